@@ -10,8 +10,10 @@ Flight in blocks: units of a source are dealt by a hash into blocks of bounded
 size. A block's flight leaves at most two fractional units, which keep their
 probabilities. Those of many blocks form the blocks of the next level, so the
 number left falls by a large factor each level, until one block per source is left.
-Its last two units land by a linear programme over the four outcomes that keeps
-their probabilities and makes the expected imbalance least.
+There the smallest third of the units waits as a reserve; the rest flies first, then
+what it leaves flies with the reserve, from large to small, under the word constraint
+alone. So what is left for landing, one unit drawn by its probability, is a small one
+where the source has small ones, and the words come near the target.
 
 Everything is decided by hashes of ids and a seed, so reruns agree.
 
@@ -108,26 +110,31 @@ def flight(size: list[int], prob: list[float], key) -> list[float]:
     return p
 
 
-def landing(size: list[int], prob: list[float], key) -> list[int]:
-    """Lands at most two units: least expected imbalance of words among designs that keep the probabilities."""
-    p = [float(x) for x in prob]
-    left = [i for i, x in enumerate(p) if EPS < x < 1 - EPS]
-    draw = _chance("landing", key)
-    if len(left) == 1:
-        p[left[0]] = float(draw < p[left[0]])
-    elif len(left) == 2:
-        i, j = left
-        want = p[i] * size[i] + p[j] * size[j]
-        outcomes = []
-        for t in (max(0.0, p[i] + p[j] - 1), min(p[i], p[j])):  # the ends of what the chance of both can be
-            chances = {(1, 1): t, (1, 0): p[i] - t, (0, 1): p[j] - t, (0, 0): 1 - p[i] - p[j] + t}
-            outcomes.append((sum(c * abs(x * size[i] + y * size[j] - want) for (x, y), c in chances.items()), chances))
-        for (x, y), c in min(outcomes, key=lambda o: o[0])[1].items():
-            draw -= c
-            p[i], p[j] = float(x), float(y)
-            if draw < 0:
-                break
-    return [int(round(x)) for x in p]
+def settle(size: list[int], prob: list[float], key) -> list[float]:
+    """The last block of a source: flight, then flight with the reserve under the word constraint, then landing."""
+    p = list(prob)
+    loose = [i for i, x in enumerate(p) if EPS < x < 1 - EPS]
+    reserve = set(sorted(loose, key=lambda i: size[i])[: len(loose) // 3])
+    first = [i for i in range(len(p)) if i not in reserve]
+    for i, x in zip(first, flight([size[i] for i in first], [p[i] for i in first], key)):
+        p[i] = x
+    draws = np.random.default_rng(int(_chance("settle", key) * 2**53)).random(len(p) + 1)
+    held = None
+    for n, i in enumerate(sorted((i for i, x in enumerate(p) if EPS < x < 1 - EPS), key=lambda i: -size[i])):
+        if held is None:
+            held = i
+            continue
+        u = {held: size[i], i: -size[held]} if size[held] else {held: 1, i: -1}
+        up = min(((1 - p[k]) / d if d > 0 else p[k] / -d) for k, d in u.items() if d)
+        down = min((p[k] / d if d > 0 else (1 - p[k]) / -d) for k, d in u.items() if d)
+        step = up if draws[n] * (up + down) < down else -down
+        for k, d in u.items():
+            x = p[k] + step * d
+            p[k] = 0.0 if x < EPS else 1.0 if x > 1 - EPS else x
+        held = next((k for k in (held, i) if 0.0 < p[k] < 1.0), None)
+    if held is not None:
+        p[held] = float(_chance("landing", key) < p[held])
+    return [float(round(x)) for x in p]
 
 
 def _fly(units: pa.Table, last: bool) -> pa.Table:
@@ -135,9 +142,7 @@ def _fly(units: pa.Table, last: bool) -> pa.Table:
     at = sorted(range(units.num_rows), key=lambda i: (rows[0][i], rows[1][i]))
     key = (rows[3][0], rows[4][0], last)
     size = [rows[1][i] for i in at]
-    p = flight(size, [rows[2][i] for i in at], key)
-    if last:
-        p = landing(size, p, key)
+    p = (settle if last else flight)(size, [rows[2][i] for i in at], key)
     prob = np.zeros(len(at))
     prob[at] = p
     return units.set_column(units.schema.get_field_index("prob"), "prob", pa.array(prob))
