@@ -10,10 +10,9 @@ Flight in blocks: units of a source are dealt by a hash into blocks of bounded
 size. A block's flight leaves at most two fractional units, which keep their
 probabilities. Those of many blocks form the blocks of the next level, so the
 number left falls by a large factor each level, until one block per source is left.
-There the smallest third of the units waits as a reserve; the rest flies first, then
-what it leaves flies with the reserve, from large to small, under the word constraint
-alone. So what is left for landing, one unit drawn by its probability, is a small one
-where the source has small ones, and the words come near the target.
+There the rest flies from large to small under the word constraint alone, two units of
+like size at a time (which nearly keeps the documents too), so that the one unit left
+for landing is a small one where the source has small ones.
 
 Everything is decided by hashes of ids and a seed, so reruns agree.
 
@@ -111,13 +110,8 @@ def flight(size: list[int], prob: list[float], key) -> list[float]:
 
 
 def settle(size: list[int], prob: list[float], key) -> list[float]:
-    """The last block of a source: flight, then flight with the reserve under the word constraint, then landing."""
+    """The last block of a source: flight from large to small under the word constraint, then landing of one unit."""
     p = list(prob)
-    loose = [i for i, x in enumerate(p) if EPS < x < 1 - EPS]
-    reserve = set(sorted(loose, key=lambda i: size[i])[: len(loose) // 3])
-    first = [i for i in range(len(p)) if i not in reserve]
-    for i, x in zip(first, flight([size[i] for i in first], [p[i] for i in first], key)):
-        p[i] = x
     draws = np.random.default_rng(int(_chance("settle", key) * 2**53)).random(len(p) + 1)
     held = None
     for n, i in enumerate(sorted((i for i, x in enumerate(p) if EPS < x < 1 - EPS), key=lambda i: -size[i])):
