@@ -42,49 +42,41 @@ def mask(policy: str) -> int:
     return sum(1 << i for i, name in enumerate(RULES) if name in POLICIES[policy])
 
 
-def _repeat_words(words: Column, n: Column) -> Column:
-    """Words that lie in a window of three found at least twice.
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Evaluates columns once for each row, whatever is asked of them above.
 
-    Windows are sorted with their places; equal neighbours mark both. This is
-    n log n in the words of one text and needs no shuffle.
+    The optimiser would write an expression again wherever its name is used, also
+    into filters below; a generator over an array of one struct holds the line.
     """
-    m = F.greatest(n - 2, F.lit(1))
-    windows = F.arrays_zip(
-        F.slice(words, 1, m).alias("a"), F.slice(words, 2, m).alias("b"), F.slice(words, 3, m).alias("c"), F.sequence(F.lit(1), m).alias("p")
-    )
-    return F.when(n >= 3, F.sort_array(windows))
-
-
-def _repeat_count(ordered: Column, same: Column) -> Column:
-    marked = F.filter(
-        F.arrays_zip(ordered["p"].alias("p"), same.alias("x"), F.concat(F.array(F.lit(False)), same).alias("y")),
-        lambda w: (w["x"] | w["y"]) & w["p"].isNotNull(),
-    )
-    places = F.array_distinct(F.flatten(F.transform(marked, lambda w: F.array(w["p"], w["p"] + 1, w["p"] + 2))))
-    return F.when(ordered.isNull(), F.lit(0)).otherwise(F.size(places)).cast("long")
+    return df.select(F.explode(F.array(F.struct(*columns))).alias("__r")).select("__r.*")
 
 
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The measurements of each whole text, by columns ``keep``."""
+    """The measurements of each whole text, by columns ``keep``.
+
+    Windows of three words are sorted with their places; equal neighbours mark both.
+    That is n log n in the words of one text and needs no shuffle.
+    """
     kept = [F.col(c) for c in keep]
     t = F.coalesce(F.col(text), F.lit(""))
-    a = docs.select(*kept, t.alias("__t"), words_of(t).alias("__w"))
-    a = a.select(*kept, "__t", "__w", F.size("__w").alias("__n"))
-    lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    a = a.select(
-        *kept,
-        F.col("__n").cast("long").alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+    a = _once(docs, *kept, t.alias("__t"), words_of(t).alias("__w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__l"))
+    n = F.size("__w")
+    m = F.greatest(n - 2, F.lit(1))
+    windows = F.arrays_zip(
+        F.slice("__w", 1, m).alias("a"), F.slice("__w", 2, m).alias("b"), F.slice("__w", 3, m).alias("c"), F.sequence(F.lit(1), m).alias("p")
+    )
+    known = [F.col(c) for c in MEASURES[:-1]]
+    a = _once(
+        a, *kept, n.cast("long").alias("n_words"), F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         (F.length("__t") - F.length(F.regexp_replace("__t", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        lines.alias("__l"),
-        _repeat_words(F.col("__w"), F.col("__n")).alias("__s"),
-    )
-    same = F.zip_with("__s", F.slice("__s", 2, F.greatest(F.size("__s"), F.lit(1))), lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False)))
-    a = a.select(
-        *kept, "n_words", "word_chars", "n_symbols", F.size("__l").cast("long").alias("n_lines"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"), "__s", same.alias("__e"),
+        F.size("__l").cast("long").alias("n_lines"), (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+        F.when(n >= 3, F.sort_array(windows)).alias("__s"),
     )
-    return a.select(*kept, *MEASURES[:-1], _repeat_count(F.col("__s"), F.col("__e")).alias("n_repeat_words"))
+    same = F.zip_with("__s", F.slice("__s", 2, F.greatest(F.size("__s"), F.lit(1))), lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False)))
+    a = _once(a, *kept, *known, F.col("__s.p").alias("__p"), same.alias("__e"))
+    marked = F.filter(F.arrays_zip(F.col("__p").alias("p"), F.col("__e").alias("x"), F.concat(F.array(F.lit(False)), "__e").alias("y")), lambda w: (w["x"] | w["y"]) & w["p"].isNotNull())
+    places = F.array_distinct(F.flatten(F.transform(marked, lambda w: F.array(w["p"], w["p"] + 1, w["p"] + 2))))
+    return _once(a, *kept, *known, F.when(F.col("__p").isNull(), F.lit(0)).otherwise(F.size(places)).cast("long").alias("n_repeat_words"))
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
