@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import geometry as g
 from folioframe.functions import text as t
+from folioframe.operators import content
 from folioframe.operators import elements as e
 from folioframe.operators import layout as l
+from folioframe.operators import matches as m
 from folioframe.operators import shapes
 from folioframe.sources import views as v
 
@@ -606,3 +608,193 @@ def t02(s, d):
 @register("t06_edit_coalesce", "SELECT doc_id, item, arg_min(value, (ts, event_id)) AS original, arg_max(value, (ts, event_id)) AS latest, count(*) AS n FROM g_edit GROUP BY doc_id, item")
 def t06(s, d):
     return e.coalesced(v.g_edit(s, d))
+
+
+# ---- further matches
+
+
+def _link_boxes(s, d):
+    """Links of documents' pages: a box over every ninth word."""
+    return v.g_text(s, d).where("ordinal % 9 = 4").select(*KEY, "x", "y", (F.col("width") * 2).alias("width"), "height", F.concat(F.lit("http://example.org/"), "text").alias("uri"))
+
+
+@register("j18_link_match", """SELECT t.doc_id, t.page_id, t.ordinal, arg_min('http://example.org/' || l.text, l.ordinal) AS uri FROM g_text t LEFT JOIN g_text l ON t.doc_id = l.doc_id AND t.page_id = l.page_id AND l.ordinal % 9 = 4
+ AND t.x + t.width / 2 BETWEEN l.x - 2 AND l.x + l.width * 2 + 2 AND t.y + t.height / 2 BETWEEN l.y - 2 AND l.y + l.height + 2 GROUP BY t.doc_id, t.page_id, t.ordinal""")
+def j18(s, d):
+    return m.linked(v.g_text(s, d), _link_boxes(s, d))
+
+
+@register("j15_paragraph_background", """SELECT t.doc_id, t.page_id, t.ordinal, arg_min(r.fill, r.ordinal) AS fill FROM (SELECT *, y + ordinal % 5 * 6 - 4 AS ty FROM g_rect) t
+ LEFT JOIN g_rect r ON r.doc_id = t.doc_id AND r.page_id = t.page_id AND r.fill IS NOT NULL AND r.height >= 5 AND ty + 6 BETWEEN r.y - 2 AND r.y + r.height + 2 AND t.x + t.width / 2 - 10 BETWEEN r.x - 5 AND r.x + r.width + 5 GROUP BY t.doc_id, t.page_id, t.ordinal""")
+def j15(s, d):
+    lines = _texts_on_rects(s, d).withColumn("font_size", F.lit(12.0))
+    return m.background(lines, v.g_rect(s, d).where("fill is not null"))
+
+
+@register("j16_nearest_underline", """SELECT l.doc_id, l.page_id, l.ordinal, arg_min(r.ordinal, (abs(r.y - (l.y + 12)), r.ordinal)) AS rule FROM g_line l LEFT JOIN rules r ON r.doc_id = l.doc_id AND r.page_id = l.page_id AND r.y - (l.y + 12) BETWEEN -2 AND 15 AND r.width <= 550.8 AND r.x <= 277 AND r.x + r.width >= 67 GROUP BY l.doc_id, l.page_id, l.ordinal""", _RULES)
+def j16(s, d):
+    lines = v.g_line(s, d).select(*KEY, F.lit(72.0).alias("x"), "y", F.lit(200.0).alias("width"), F.lit(12.0).alias("height"))
+    return m.underline_rule(lines, _rules(s, d))
+
+
+@register("j14_label_cell", """SELECT t.doc_id, t.page_id, t.ordinal, arg_min(c.ordinal, (abs(t.x + t.width / 2 - (c.x + 60)) + abs(t.y + t.height / 2 - (c.y + 9)), c.ordinal)) AS cell FROM g_text t LEFT JOIN g_field c ON t.doc_id = c.doc_id AND t.page_id = c.page_id
+ AND t.x + t.width / 2 BETWEEN c.x - 10 AND c.x + 130 AND t.y + t.height / 2 BETWEEN c.y - 15 AND c.y + 33 WHERE t.doc_id < 5 GROUP BY t.doc_id, t.page_id, t.ordinal""")
+def j14(s, d):
+    return m.nearest_cell(v.g_text(s, d).where("doc_id < 5"), v.g_field(s, d))
+
+
+@register("j19_hint_match", """SELECT l.doc_id, l.page_id, l.ordinal, arg_min(CASE h.ordinal % 3 WHEN 0 THEN 'H1' WHEN 1 THEN 'P' ELSE 'LI' END, h.ordinal) AS role FROM g_line l LEFT JOIN g_line h ON h.doc_id = l.doc_id AND h.page_id = l.page_id AND h.ordinal % 4 = 1 AND length(h.text) > 0
+ AND (contains(lower(l.text), lower(h.text)) OR contains(lower(h.text), lower(l.text))) GROUP BY l.doc_id, l.page_id, l.ordinal""")
+def j19(s, d):
+    lines = v.g_line(s, d)
+    k = F.col("ordinal") % 3
+    return m.structure_hint(lines.select(*KEY, "text"), lines.where("ordinal % 4 = 1").select(*KEY, "text", F.when(k == 0, "H1").when(k == 1, "P").otherwise("LI").alias("role")))
+
+
+@register("j22_graphic_region", """SELECT t.doc_id, t.page_id, t.ordinal, count(*) AS n FROM g_text t JOIN rules p ON t.doc_id = p.doc_id AND t.page_id = p.page_id AND t.x < p.x + p.width * 2 + 5 AND t.x + t.width + 5 > p.x AND t.y < p.y + 40 + 5 AND t.y + t.height + 5 > p.y GROUP BY t.doc_id, t.page_id, t.ordinal HAVING count(*) >= 4""", _RULES)
+def j22(s, d):
+    paths = _rules(s, d).withColumn("width", F.col("width") * 2).withColumn("height", F.lit(40.0))
+    return m.in_graphics(v.g_text(s, d), paths)
+
+
+@register("j23_field_beside_line", """SELECT doc_id, page_id, ordinal, b.line AS line, CASE WHEN b.bf THEN 'before' WHEN b IS NOT NULL THEN 'after' END AS place FROM (SELECT f.doc_id, f.page_id, f.ordinal, arg_min({'line': l.ordinal, 'bf': f.x < 150}, (abs(f.y - l.y), l.ordinal)) FILTER (l.ordinal IS NOT NULL) AS b
+ FROM g_field f LEFT JOIN g_line l ON f.doc_id = l.doc_id AND f.page_id = l.page_id AND abs(f.y - l.y) <= 9 GROUP BY f.doc_id, f.page_id, f.ordinal)""")
+def j23(s, d):
+    return m.beside_line(v.g_field(s, d), v.g_line(s, d).withColumn("x", F.lit(150.0)))
+
+
+@register("j29_field_by_rectangle", "SELECT a.doc_id, a.page_id, a.ordinal, b.ordinal AS r_ordinal FROM g_field a JOIN g_field b ON a.doc_id = b.doc_id AND a.page_id = b.page_id AND a.x = b.x AND a.y = b.y AND a.width = b.width AND a.height = b.height")
+def j29(s, d):
+    return m.by_rectangle(v.g_field(s, d), v.g_field(s, d))
+
+
+@register("j13_column_headers")
+def j13(s, d):
+    f = v.g_field(s, d)
+    first = F.min("y").over(Window.partitionBy(*PAGE))
+    return m.column_headers(f.withColumn("top", first).where("y - top <= 8").drop("top"), v.g_text(s, d))
+
+
+@register("j08_left_labels")
+def j08(s, d):
+    return m.left_label(l.bordered_tables(v.g_rect(s, d)), _texts_on_rects(s, d).withColumn("x", F.col("x") - 90))
+
+
+@register("j21_image_resources")
+def j21(s, d):
+    i = v.g_image(s, d)
+    return m.image_resources(i.select(*KEY, "name", "width", "height"), i.where("ordinal % 3 <> 0").select(*KEY, F.concat(F.lit("X"), "name").alias("name"), "width", "height"))
+
+
+@register("g10_field_tables")
+def g10(s, d):
+    f = v.g_field(s, d)
+    return m.field_tables(f, l.field_rows(f))
+
+
+@register("g13_merged_cells")
+def g13(s, d):
+    own = v.g_rect(s, d).join(l.border_groups(v.g_rect(s, d)), KEY)
+    ends = lambda a, b: l.collapse(shapes.running_means(F.flatten(F.collect_list(F.array(F.col(a), F.col(a) + F.col(b)))), 3.0))
+    grids = own.groupBy(*PAGE, "component").agg(ends("x", "width").alias("cols"), ends("y", "height").alias("rows"), F.collect_list(F.struct("x", "y", "width", "height")).alias("boxes"))
+    return m.merged_cells(grids.where("size(cols) > 2 and size(rows) > 2"))
+
+
+@register("g32_reading_order")
+def g32(s, d):
+    return m.reading_order(v.g_text(s, d))
+
+
+@register("g29_column_paragraphs", """SELECT doc_id, page_id, ordinal, sum(CASE WHEN ordinal % 2 = pc AND y - py < 2 * 34 THEN 0 WHEN py IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_id, ordinal % 2 ORDER BY y, ordinal)::BIGINT AS paragraph FROM (
+ SELECT *, lag(y) OVER w AS py, lag(ordinal % 2) OVER w AS pc FROM g_line WINDOW w AS (PARTITION BY doc_id, page_id, ordinal % 2 ORDER BY y, ordinal))""")
+def g29(s, d):
+    line = v.g_line(s, d).withColumn("col", F.col("ordinal") % 2)
+    w = Window.partitionBy(*PAGE, "col").orderBy("y", "ordinal")
+    line = line.withColumn("py", F.lag("y").over(w))
+    return shapes.chain_groups(line, [*PAGE, "col"], ["y", "ordinal"], F.col("y") - F.col("py") >= 2 * 34, "paragraph").select(*KEY, "paragraph")
+
+
+@register("w24_node_tree", """SELECT doc_id, page_id, ordinal, role, depth FROM tree WHERE role IN ('LI', 'P')""", """n AS (SELECT *, CASE WHEN ordinal = 0 THEN NULL ELSE (ordinal - 1) // 3 END AS parent FROM g_node), tree AS (
+ SELECT doc_id, page_id, ordinal, role, 0 AS depth FROM n WHERE parent IS NULL UNION ALL SELECT n.doc_id, n.page_id, n.ordinal, n.role, t.depth + 1 FROM tree t JOIN n ON n.doc_id = t.doc_id AND n.page_id = t.page_id AND n.parent = t.ordinal WHERE t.depth < 10)""", recursive=True)
+def w24(s, d):
+    nodes = v.g_node(s, d).withColumn("parent", F.when(F.col("ordinal") > 0, F.floor((F.col("ordinal") - 1) / 3).cast("long")))
+    return e.walk_tree(nodes, 10).where(F.col("role").isin("LI", "P")).select(*KEY, "role", "depth")
+
+
+# ---- content streams
+
+
+def _streams(s, d):
+    """A content stream for each page, with its lines as strings."""
+    line = v.g_line(s, d).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.lit(72.0).alias("x"), (F.lit(792.0) - F.col("y")).alias("y"), F.col("font_size").alias("size"), F.regexp_replace("text", "[^ -~]", "?").alias("text")))).alias("r"))
+    return line.select(*PAGE, content.stream_of(F.col("r")).alias("text"))
+
+
+@register("x07_lex", "SELECT doc_id, page_id, 'operator' AS type, 5 * count(*) AS n FROM g_line GROUP BY doc_id, page_id UNION ALL SELECT doc_id, page_id, 'number', 7 * count(*) FROM g_line GROUP BY doc_id, page_id UNION ALL SELECT doc_id, page_id, 'name', count(*) FROM g_line GROUP BY doc_id, page_id UNION ALL SELECT doc_id, page_id, 'string', count(*) FROM g_line GROUP BY doc_id, page_id")
+def x07(s, d):
+    t_ = content.lex(_streams(s, d).withColumn("content", F.encode("text", "ISO-8859-1")), PAGE)
+    return t_.groupBy(*PAGE, "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("x08_parse", "SELECT doc_id, page_id, unnest(['BT', 'Tf', 'Tm', 'Tj', 'ET']) AS operator, n FROM (SELECT doc_id, page_id, count(*) AS n FROM g_line GROUP BY doc_id, page_id)")
+def x08(s, d):
+    o = content.parse(_streams(s, d).withColumn("content", F.encode("text", "ISO-8859-1")), PAGE)
+    return o.groupBy(*PAGE, "operator").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("x09_text_runs", "SELECT doc_id, page_id, ordinal, regexp_replace(text, '[^ -~]', '?', 'g') AS text, 72.0::DOUBLE AS x, round(792 - y, 6) AS y, font_size AS size FROM g_line")
+def x09(s, d):
+    r = content.runs(_streams(s, d).withColumn("content", F.encode("text", "ISO-8859-1")), PAGE)
+    return r.select(*KEY, "text", "x", F.round("y", 6).alias("y"), "size")
+
+
+@register("x04_replace_in_page", "SELECT doc_id, page_id, count(*) AS n FROM g_line WHERE contains(regexp_replace(text, '[^ -~]', '?', 'g'), ' the ') GROUP BY doc_id, page_id")
+def x04(s, d):
+    p = _streams(s, d).withColumn("new", content.replace_text(F.col("text"), " the ", " THE ")).where("new is not null")
+    was = F.size(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit(" the "))))
+    now = F.size(F.filter(F.split("new", "\n"), lambda x: F.contains(x, F.lit(" the ")) | F.contains(x, F.lit(" THE "))))
+    return p.where(was == now).select(*PAGE, was.cast("long").alias("n"))
+
+
+@register("x06_blank_text", "SELECT doc_id, page_id, count(*) FILTER (contains(regexp_replace(text, '[^ -~]', '?', 'g'), ' the ')) AS n FROM g_line GROUP BY doc_id, page_id")
+def x06(s, d):
+    p = _streams(s, d).withColumn("new", content.blank_text(F.col("text"), " the "))
+    changed = F.size(F.filter(F.zip_with(F.split("text", "\n"), F.split("new", "\n"), lambda a, b: a != b), lambda x: x))
+    return p.where(F.length("new") == F.length("text")).select(*PAGE, changed.cast("long").alias("n"))
+
+
+@register("r16_words", "SELECT doc_id, ln, count(*) AS n, sum(length(text))::BIGINT AS chars FROM g_word WHERE trim(text) <> '' GROUP BY doc_id, ln")
+def r16(s, d):
+    return v.g_text(s, d).groupBy("doc_id", "ln").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@register("n03_image_placement", "SELECT ordinal, sqrt(width * width + 9) AS display, round(p_w / sqrt(width * width + 9) * 72, 6) AS dpi FROM (SELECT ordinal, width, width * 2 AS p_w FROM g_image)")
+def n03(s, d):
+    size = F.hypot(F.col("width"), F.lit(3.0))
+    return v.g_image(s, d).select("ordinal", size.alias("display"), F.round(F.col("width") * 2 / size * 72, 6).alias("dpi"))
+
+
+@register("n07_units", "SELECT doc_id, page_id, ordinal, floor(x * 20 + 0.5)::BIGINT AS twips, floor(x * 12700 + 0.5)::BIGINT AS emu FROM g_text")
+def n07(s, d):
+    return v.g_text(s, d).select(*KEY, g.twips("x").alias("twips"), g.emu("x").alias("emu"))
+
+
+@register("w05_text_in_region", "SELECT doc_id, page_id, ordinal FROM g_text WHERE x <= 300 AND x + width >= 100 AND y <= 200 AND y + height >= 120")
+def w05(s, d):
+    return v.g_text(s, d).where("x <= 300 and x + width >= 100 and y <= 200 and y + height >= 120").select(*KEY)
+
+
+@register("u08_union_fonts", "SELECT doc_id, list_sort(list_distinct(list_append(list('F' || font_size::INT), 'Calibri'))) AS fonts FROM g_text GROUP BY doc_id")
+def u08(s, d):
+    return v.g_text(s, d).groupBy("doc_id").agg(F.array_sort(F.array_union(F.collect_set(F.concat(F.lit("F"), F.round("font_size").cast("int").cast("string"))), F.array(F.lit("Calibri")))).alias("fonts"))
+
+
+@register("j27_new_files", "SELECT DISTINCT uri FROM g_link WHERE uri NOT IN (SELECT uri FROM g_link WHERE page_id % 2 = 0)")
+def j27(s, d):
+    links = v.g_link(s, d)
+    return links.select("uri").join(links.where("page_id % 2 = 0").select("uri"), "uri", "left_anti").distinct()
+
+
+@register("f17_crc32")
+def f17(s, d):
+    return v.g_image(s, d).select("ordinal", F.crc32("content").alias("crc"), F.base64(F.encode("content", "UTF-8")).alias("base64"))
