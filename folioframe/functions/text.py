@@ -112,7 +112,7 @@ def estimated_width(x, size) -> Column:
 
 def page_numbers(ranges, n_pages) -> Column:
     """Sorted page numbers of "1-3,5"; parts that are no range within the pages are left out."""
-    part = F.transform(F.split(c(ranges), ","), F.trim)
+    part = F.transform(F.split(c(ranges), ","), lambda p: F.trim(p))
     ends = F.transform(
         F.filter(part, lambda p: p.rlike("^[0-9]+(-[0-9]+)?$")),
         lambda p: F.struct(F.split_part(p, F.lit("-"), F.lit(1)).cast("int").alias("a"), F.element_at(F.split(p, "-"), -1).cast("int").alias("b")),
@@ -122,7 +122,7 @@ def page_numbers(ranges, n_pages) -> Column:
 
 
 def valid_ranges(ranges, n_pages) -> Column:
-    part = F.transform(F.split(c(ranges), ","), F.trim)
+    part = F.transform(F.split(c(ranges), ","), lambda p: F.trim(p))
     a = lambda p: F.split_part(p, F.lit("-"), F.lit(1)).try_cast("int")
     b = lambda p: F.element_at(F.split(p, "-"), -1).try_cast("int")
     return F.forall(part, lambda p: F.coalesce(p.rlike("^[0-9]+(-[0-9]+)?$") & (a(p) >= 1) & (b(p) <= c(n_pages)) & (a(p) <= b(p)), F.lit(False)))
