@@ -3,8 +3,8 @@
 The lexicon holds the terms whose inverse document frequency, ln(documents / documents
 with the term), lies in a band. A document keeps its distinct terms of the lexicon,
 sorted; for each of ``SUBSETS`` random subsets of the lexicon the kept terms of the
-subset are hashed in order. Subsets keep a half of the lexicon, a quarter and so on
-down to 1/256, so that likeness is graded: strict subsets match only copies, thin ones
+subset are hashed in order. Subsets keep a quarter of the lexicon, an eighth and so on
+down to 1/512, so that likeness is graded: dense subsets match only copies, thin ones
 also match partly equal texts.
 
 Sizes. A term in the band occurs in at least ``documents * exp(-IDF_MOST)`` documents,
@@ -35,7 +35,7 @@ from .common import checkpointed, short_batches
 IDF_LEAST = math.log(5)
 IDF_MOST = math.log(2000)
 LEVELS = 8
-EACH = 4
+EACH = 8
 SUBSETS = LEVELS * EACH
 LEXICON_MOST = 4_000_000
 #: Terms that a task counts before it passes the counts on.
@@ -82,13 +82,13 @@ class Lexicon:
         words = sorted(words)
         self.place = {w: i for i, w in enumerate(words)}
         self.hash = np.fromiter((xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
-        self.mask = np.zeros(len(words), np.uint32)
+        self.mask = np.zeros(len(words), np.uint64)
         for k in range(SUBSETS):
             x = self.hash ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)  # a hash of (term, subset)
             for s, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
                 x = (x ^ (x >> np.uint64(s))) * np.uint64(m)
             x ^= x >> np.uint64(31)
-            self.mask |= ((x >> np.uint64(64 - 1 - k // EACH)) == 0).astype(np.uint32) << np.uint32(k)
+            self.mask |= ((x >> np.uint64(64 - 2 - k // EACH)) == 0).astype(np.uint64) << np.uint64(k)
 
     def kept(self, text: str | None) -> np.ndarray:
         place = self.place
@@ -103,7 +103,7 @@ def signature(hashes: np.ndarray, masks: np.ndarray) -> list[str]:
         return [EMPTY] * SUBSETS
     out = []
     for k in range(SUBSETS):
-        mine = hashes[(masks >> np.uint32(k)) & np.uint32(1) == 1]
+        mine = hashes[(masks >> np.uint64(k)) & np.uint64(1) == 1]
         out.append(xxh32_hexdigest(mine.tobytes()) if len(mine) else EMPTY)
     return out
 
@@ -259,7 +259,7 @@ def _digest_by_slices(ordered: DataFrame, words: DataFrame, slices: int) -> Data
     def end(batches):
         def mark(packed):
             at = sorted((x.split("\t") for x in packed), key=lambda x: x[0])
-            return signature(np.array([int(x[1]) for x in at], np.uint64), np.array([int(x[2]) for x in at], np.uint32))
+            return signature(np.array([int(x[1]) for x in at], np.uint64), np.array([int(x[2]) for x in at], np.uint64))
 
         for b in batches:
             out = []
