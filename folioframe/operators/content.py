@@ -145,6 +145,52 @@ def text_runs(data: bytes) -> Iterator[tuple[str, float, float, str, float, str]
                     yield show(a[1])
 
 
+def fills(data: bytes) -> Iterator[tuple[float, float, float, float, str]]:
+    """(x, y, width, height, colour) of rectangles that a stream fills."""
+    ctm, fill, saved, held = ONE, "000000", [], []
+    channel = lambda v: f"{int(max(0.0, min(1.0, v)) * 255 + 0.5):02x}"
+    for op, args, _, _ in operators(data):
+        n = [a for a in args if isinstance(a, float)]
+        if op == "q":
+            saved.append((ctm, fill))
+        elif op == "Q" and saved:
+            ctm, fill = saved.pop()
+        elif op == "cm" and len(n) == 6:
+            ctm = _times(tuple(n), ctm)
+        elif op == "g" and n:
+            fill = channel(n[0]) * 3
+        elif op == "rg" and len(n) == 3:
+            fill = "".join(map(channel, n))
+        elif op == "k" and len(n) == 4:
+            fill = "".join(channel(1 - min(1.0, v + n[3])) for v in n[:3])
+        elif op == "re" and len(n) == 4:
+            at = [_times((1.0, 0.0, 0.0, 1.0, x, y), ctm)[4:] for x, y in ((n[0], n[1]), (n[0] + n[2], n[1] + n[3]))]
+            xs, ys = sorted(p[0] for p in at), sorted(p[1] for p in at)
+            held.append((xs[0], ys[0], xs[1] - xs[0], ys[1] - ys[0]))
+        elif op in ("f", "F", "f*", "B", "B*", "b", "b*"):
+            yield from ((*box, fill) for box in held)
+            held = []
+        elif op in ("S", "s", "n"):
+            held = []
+
+
+# Operators of content streams by kind.
+KINDS = {
+    "text": "BT ET Tc Tw Tz TL Tf Tr Ts Td TD Tm T* Tj TJ ' \"".split(),
+    "path": "m l c v y h re S s f F f* B B* b b* n W W*".split(),
+    "state": "q Q cm w J j M d ri i gs".split(),
+    "colour": "CS cs SC SCN sc scn G g RG rg K k".split(),
+    "object": "Do BI ID EI sh MP DP BMC BDC EMC BX EX d0 d1".split(),
+}
+
+
+def operator_kind(operator) -> Column:
+    kind = F.lit("other")
+    for name, ops in KINDS.items():
+        kind = F.when(F.col(operator).isin(ops), name).otherwise(kind)
+    return kind
+
+
 # ---- in Spark: rows of (keys, content)
 
 
@@ -186,6 +232,10 @@ def runs(df: DataFrame, keys: list[str], column: str = "content") -> DataFrame:
     return _flat(df, keys, column, text_runs, "text string, x double, y double, font string, size double, color string", [pa.string(), pa.float64(), pa.float64(), pa.string(), pa.float64(), pa.string()])
 
 
+def filled_rects(df: DataFrame, keys: list[str], column: str = "content") -> DataFrame:
+    return _flat(df, keys, column, fills, "x double, y double, width double, height double, color string", [*[pa.float64()] * 4, pa.string()])
+
+
 def stream_of(lines: Column) -> Column:
     """A content stream that shows an array of structs (x, y, size, text)."""
     from folioframe.functions.text import escape_pdf_string, plain_number

@@ -36,10 +36,14 @@ def register(name: str, sql: str | None = None, ctes: str = "", recursive: bool
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more  # noqa: F401
+
     return dict(_SQL)
 
 
