@@ -12,8 +12,8 @@ after a record; its commit protocol makes lost executors harmless. Reading back
 by declared lengths again.
 
 Equal payloads: the record with the largest page_id is a response and the others are
-revisits of it, which hold the stored headers but no payload. Payload bytes are shuffled
-once, by page_id, and only for the records that keep them.
+revisits of it, which hold the stored headers but no payload. Decisions are made on
+digests alone; payloads are shuffled once, by page_id and digest.
 
 Defined results: a null page is an empty payload; a null url is written as "-"; rows
 equal in page_id and payload that share the largest id are all responses; a null
@@ -240,7 +240,7 @@ def write(values: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> None:
 
 def read(spark, folder: str) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of each record in a folder's files."""
-    short_batches(spark, 1)
+    short_batches(spark)  # a partition of files has at most spark.sql.files.maxPartitionBytes, or one file
     files = spark.read.format("binaryFile").load(folder).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
