@@ -588,9 +588,18 @@ def g30(s, d):
     return l.table_rows(v.g_text(s, d))
 
 
-@register("k07_page_svg")
+def _number(x: str) -> str:
+    return f"rtrim(rtrim(printf('%.6f', {x}), '0'), '.')"
+
+
+_ELEMENTS = f"""el AS (
+ SELECT doc_id, page_id, ordinal, 0 AS layer, '<rect x="' || {_number('x')} || '" y="' || {_number('y')} || '" width="' || {_number('width')} || '" height="' || {_number('height')} || '"/>' AS x FROM g_rect UNION ALL
+ SELECT doc_id, page_id, ordinal, 3, '<text x="' || {_number('x')} || '" y="' || {_number('y')} || '" font-size="' || {_number('font_size')} || '">' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '</text>' FROM g_text)"""
+
+
+@register("k07_page_svg", """SELECT doc_id, page_id, '<svg xmlns="http://www.w3.org/2000/svg" width="612" height="792">' || string_agg(x, '' ORDER BY layer, ordinal) || '</svg>' AS svg FROM el GROUP BY doc_id, page_id""", _ELEMENTS)
 def k07(s, d):
-    return l.page_svg(v.g_rect(s, d).where("doc_id < 0"), v.g_text(s, d))
+    return l.page_svg(v.g_rect(s, d), v.g_text(s, d))
 
 
 # ---- edit logs
