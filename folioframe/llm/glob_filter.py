@@ -179,14 +179,15 @@ def digest(pages: DataFrame, rules: dict[str, str] = RULES, deny: tuple[str, ...
         return lambda rows: [(i, *x) for (i, _), x in zip(rows, judge([u for _, u in rows]))]
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"))
-    return map_rows(rows, make, "page_id long, host string, path string, rule string, verdict string, glob string")
+    found = map_rows(rows, make, "page_id long, host string, path string, rule string, verdict string, glob string")
+    return found.drop("glob")
 
 
 ORACLE = r"""
 WITH a AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), b AS (
-  SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a
 ), c AS (
   SELECT page_id, host, path, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
