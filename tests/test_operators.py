@@ -172,3 +172,9 @@ def test_rects_filled_by_a_stream():
 
     data = b"q 1 0 0 1 5 5 cm 1 0 0 rg 0 0 10 20 re 1 1 -1 2 re f Q 3 3 4 4 re S 0 0 1 1 re f*"
     assert list(content.fills(data)) == [(5.0, 5.0, 10.0, 20.0, "ff0000"), (5.0, 6.0, 1.0, 2.0, "ff0000"), (0.0, 0.0, 1.0, 1.0, "000000")]
+
+
+def test_checksums_like_zlib(spark):
+    import zlib
+
+    assert one(spark, c=F.crc32(F.lit("cold widget"))).c == zlib.crc32(b"cold widget")
