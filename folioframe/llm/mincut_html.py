@@ -1,6 +1,6 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is read into blocks (runs of text between block-level tags). A small linear
+A page is read into blocks (runs of text between block-level tags; a line break is white space). A small linear
 classifier over a block's text and its ancestors' names gives it two capacities: to the
 source (content) and to the sink (boilerplate). Smoothness edges join blocks that
 follow one another and blocks with the same parent; their capacity falls with the
@@ -31,14 +31,13 @@ from .common import map_rows
 
 # Element names of HTML.
 BLOCK = frozenset(
-    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas select button title head noembed noframes xmp".split())
 SECTION = frozenset("article aside footer form header main nav section".split())
 #: An opening tag of the key closes an open element of its values.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-ENDS_P = BLOCK - {"br"}
 
 #: Words in class, id and role that speak for or against content: learned weights.
 AGAINST = re.compile(
@@ -143,8 +142,10 @@ def blocks(page: str) -> list[Block]:
                 at = stop.end() if stop else n
             continue
         if name in VOID:
+            if name == "br":  # white space within its block
+                parts.append(" ")
             continue
-        if name in ENDS_P and any(x[0] == "p" for x in stack):
+        if name in BLOCK and any(x[0] == "p" for x in stack):
             close("p")
         for other in CLOSES.get(name, ()):
             if any(x[0] == other for x in stack[-4:]):

@@ -513,6 +513,7 @@ def test_extraction():
     for text in (None, "", "<", "<p", "</p></div>", "<!-- x", "<script>never closed", "&am", "<div " * 50):
         cut.extract(text)
     assert cut.extract("<article><p>One &am") == "One &am"
+    assert cut.extract("<article><p>One<br>two.<p>Three<br/></article>") == "One two.\nThree"
     assert cut.extract("<article>" + "<p>word of it.</p>" * 3000 + "</article>").count("\n") == 2999
     assert cut.extract("<article>" + "<div>" * 3000 + "deep words here." + "</div>" * 3000).endswith("deep words here.")
 
