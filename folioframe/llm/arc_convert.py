@@ -7,7 +7,7 @@ synthesises what WARC asks for: record ids, W3C timestamps from 14-digit dates,
 types, block and payload digests.
 
 Pages go through it in both versions (odd ids in version 2) and are written as
-``.warc`` files by Spark's text writer, whose line separator is the two line ends
+gzipped WARC files by Spark's text writer, whose line separator is the two line ends
 after a record; its commit protocol makes lost executors harmless. Reading back goes
 by declared lengths again.
 
@@ -24,6 +24,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -150,7 +151,9 @@ def convert(fields: dict[str, str], content: bytes, key: int | None, refers_to:
 
 
 def read_warc(data: bytes) -> Iterator[Record]:
-    """The records of a WARC file, by declared lengths."""
+    """The records of a WARC file, gzipped or not, by declared lengths."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         if not data.startswith(b"WARC/1.", at):
@@ -234,8 +237,8 @@ def _unbase32(column: str):
 
 
 def write(values: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> None:
-    """Writes records as WARC files; Spark's writer commits whole tasks."""
-    values.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, file_bytes >> 13)).text(folder)
+    """Writes records as gzipped WARC files; Spark's writer commits whole tasks."""
+    values.write.mode("overwrite").option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, file_bytes >> 13)).text(folder)
 
 
 def read(spark, folder: str) -> DataFrame:
