@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bpe_rounds, cube_mix, gray_index, pii_crf, quality_ledger
+from folioframe.llm import bpe_rounds, cube_mix, near_copies, pii_crf, quality_ledger
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group."""
-    return gray_index.deduplicated(docs)
+    """Keeps the document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return near_copies.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
