@@ -1,7 +1,7 @@
 """Personal data by a semi-Markov conditional random field.
 
 Two layers. The base layer is four patterns with checks (email, ip, card, phone).
-The field then looks at windows of tokens around digits and ``@`` and labels whole
+The field then looks at lines that hold digits or ``@`` and labels whole
 segments: a segment of up to ``LONGEST`` tokens gets features of its entire text
 (shape, digit count, checksum, separators, the words before it), a weight for each
 feature and kind, and a transition weight from the kind before. Dynamic programming
@@ -23,6 +23,7 @@ import hashlib
 import math
 import random
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -34,8 +35,6 @@ BASE = ("email", "ip", "card", "phone")
 #: Kinds that only the field finds follow the base kinds.
 KINDS = (*BASE, "secret", "account")
 LONGEST = 18
-#: Tokens of context on either side of a window's first and last hit.
-CONTEXT = 3
 N_TRAIN = 300
 SEED = 7
 
@@ -138,20 +137,19 @@ def features(segment: str, before: str, after: str) -> list[str]:
     return out
 
 
-def _tokens(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _TOKEN.finditer(text)]
+def _tokens(text: str, low: int = 0, high: int | None = None) -> list[tuple[int, int]]:
+    return [m.span() for m in _TOKEN.finditer(text, low, len(text) if high is None else high)]
 
 
-def _candidates(text: str, tokens: list[tuple[int, int]]) -> dict[tuple[int, int], list[str]]:
-    """Features of each segment of tokens that may be an entity: it holds a digit or ``@`` and no blank at its ends."""
-    out = {}
+def _candidates(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[tuple[int, int], list[str]]]:
+    """Features of each segment of tokens that may be an entity: it holds a digit or ``@``, no blank at its ends and no line feed."""
     solid = [not text[s:e].isspace() for s, e in tokens]
     hits = [1 if _HIT.search(text, s, e) else 0 for s, e in tokens]
     total = [0]
     for h in hits:
         total.append(total[-1] + h)
     for i, (s, _) in enumerate(tokens):
-        if not solid[i] or not (text[s].isalnum() or text[s] in "+("):
+        if total[min(i + LONGEST, len(tokens))] == total[i] or not solid[i] or not (text[s].isalnum() or text[s] in "+("):
             continue
         before = text[max(0, s - 24) : s]
         for j in range(i, min(i + LONGEST, len(tokens))):
@@ -159,8 +157,7 @@ def _candidates(text: str, tokens: list[tuple[int, int]]) -> dict[tuple[int, int
             if text[e - 1] == "\n":
                 break
             if total[j + 1] > total[i] and text[e - 1].isalnum() and e - s >= 6:
-                out[i, j + 1] = features(text[s:e], before, text[e : e + 2])
-    return out
+                yield (i, j + 1), features(text[s:e], before, text[e : e + 2])
 
 
 # ---- the field: kind 0 is no entity (single tokens), kind k is KINDS[k - 1]
@@ -171,8 +168,8 @@ def _sum(xs: list[float]) -> float:
     return m if m == -math.inf else m + math.log(sum(math.exp(x - m) for x in xs))
 
 
-def _scores(found: dict, weights: dict) -> list[tuple[int, int, list[float]]]:
-    return [(i, j, [sum(weights.get((f, k), 0.0) for f in feats) for k in range(1, len(KINDS) + 1)]) for (i, j), feats in found.items()]
+def _scores(found: Iterable, weights: dict) -> Iterator[tuple[int, int, list[float]]]:
+    return ((i, j, [sum(weights.get((f, k), 0.0) for f in feats) for k in range(1, len(KINDS) + 1)]) for (i, j), feats in found)
 
 
 def _walk(n: int, scored: list, step: float, join) -> tuple[list[list[float]], list]:
@@ -189,9 +186,9 @@ def _walk(n: int, scored: list, step: float, join) -> tuple[list[list[float]], l
     return a, ends
 
 
-def segment(text: str, weights: dict) -> list[tuple[int, int, int]]:
-    """Best segmentation: (kind number from 0, start, end) of its entities."""
-    tokens = _tokens(text)
+def segment(text: str, weights: dict, low: int = 0, high: int | None = None) -> list[tuple[int, int, int]]:
+    """Best segmentation of the text from low to high: (kind number from 0, start, end) of its entities."""
+    tokens = _tokens(text, low, high)
     scored = [x for x in _scores(_candidates(text, tokens), weights) if max(x[2]) > 0]  # others lose to outside tokens
     if not scored:
         return []
@@ -212,7 +209,7 @@ def segment(text: str, weights: dict) -> list[tuple[int, int, int]]:
 def _gradient(tokens: list, found: dict, gold: set[tuple[int, int, int]], weights: dict, grad: dict) -> None:
     """Adds observed less expected feature counts of one sentence."""
     n, step = len(tokens), weights.get("after", 0.0)
-    scored = _scores(found, weights)
+    scored = list(_scores(found.items(), weights))
     a, _ = _walk(n, scored, step, _sum)
     flipped = [(n - j, n - i, s) for i, j, s in scored]
     b, _ = _walk(n, flipped, step, _sum)
@@ -304,7 +301,7 @@ def _made(r: random.Random) -> tuple[str, set[tuple[int, int, int]]]:
 def fitted(n: int = N_TRAIN, rounds: int = 4, rate: float = 0.5, decay: float = 1e-4) -> dict:
     """Weights by (feature, kind) and the transition weight "after", the same in every run."""
     r = random.Random(SEED)
-    made = [(tokens, _candidates(text, tokens), gold) for text, gold in (_made(r) for _ in range(n)) for tokens in [_tokens(text)]]
+    made = [(tokens, dict(_candidates(text, tokens)), gold) for text, gold in (_made(r) for _ in range(n)) for tokens in [_tokens(text)]]
     weights: dict = {("bias", k): -2.0 for k in range(1, len(KINDS) + 1)}
     squares: dict = {}
     for _ in range(rounds):
@@ -320,26 +317,19 @@ def fitted(n: int = N_TRAIN, rounds: int = 4, rate: float = 0.5, decay: float =
 
 
 def field_spans(text: str, weights: dict) -> list[tuple[int, int, int]]:
-    """Spans of the field in a whole text, window by window."""
+    """Spans of the field in a whole text.
+
+    Segments hold no line feed, so each line with a hit is segmented on its own and
+    as a whole; the result is that of the whole text at once.
+    """
     out = []
     at = 0
-    n = len(text)
     while hit := _HIT.search(text, at):
-        # a window grows while the next hit is near
-        start = end = hit.start()
-        while (more := _HIT.search(text, end, min(n, end + 40))) is not None:
-            end = more.end()
-            if end - start > 4000:
-                break
-        low = start
-        for _ in range(CONTEXT):
-            low = max(text.rfind(" ", 0, max(low, 0)), text.rfind("\n", 0, max(low, 0)), start - 64, 0) if low > 0 else 0
-        high = min(n, end + 64)
-        for x in (" ", "\n"):
-            p = text.find(x, end, high)
-            high = p if p >= 0 else high
-        out += [(k, s + low, e + low) for k, s, e in segment(text[low:high], weights)]
-        at = max(high, end)
+        low = text.rfind("\n", 0, hit.start()) + 1
+        high = text.find("\n", hit.end())
+        high = len(text) if high < 0 else high
+        out += segment(text, weights, low, high)
+        at = high
     return out
 
 
