@@ -72,6 +72,11 @@ def pdf_date(x) -> Column:
     return F.try_to_timestamp(F.rpad(F.nullif(digits, F.lit("")), 14, "0"), F.lit("yyyyMMddHHmmss"))
 
 
+def shown_date(x) -> Column:
+    """A date as ``yyyy-MM-dd HH:mm:ss``; what is none stays as it is."""
+    return F.coalesce(F.date_format(pdf_date(x), "yyyy-MM-dd HH:mm:ss"), c(x))
+
+
 def fnv1a(x) -> Column:
     """32-bit FNV-1a over UTF-8 bytes, and the length: eight hex digits, a colon, the length."""
     bytes_ = F.transform(F.sequence(F.lit(0), F.greatest(F.octet_length(c(x)) - 1, F.lit(0))), lambda i: F.conv(F.hex(F.substring(F.encode(c(x), "UTF-8"), i + 1, F.lit(1))), 16, 10).cast("long"))
@@ -110,6 +115,19 @@ def estimated_width(x, size) -> Column:
     return F.length(c(x)) * c(size) * 0.5
 
 
+def choice_index(value, options: Column) -> Column:
+    """Place of a value among the options from 0; the first place where it is none of them."""
+    return F.greatest(F.array_position(options, c(value)) - 1, F.lit(0)).cast("int")
+
+
+def appearance(da) -> Column:
+    """(font, size, color) of a default appearance string; null where a part is missing."""
+    font = r"/(\S+)\s+([0-9.]+)\s+Tf"
+    color = F.regexp_extract(c(da), r"((?:[0-9.]+\s+){1,4}(?:g|rg|k))(?:\s|$)", 1)
+    part = lambda i: F.nullif(F.regexp_extract(c(da), font, i), F.lit(""))
+    return F.struct(part(1).alias("font"), part(2).cast("double").alias("size"), F.nullif(color, F.lit("")).alias("color"))
+
+
 def page_numbers(ranges, n_pages) -> Column:
     """Sorted page numbers of "1-3,5"; parts that are no range within the pages are left out."""
     part = F.transform(F.split(c(ranges), ","), lambda p: F.trim(p))

@@ -83,6 +83,11 @@ def _times(a: tuple, b: tuple) -> tuple:
 ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
+def _shown(raw: str) -> str:
+    """Text of a string's bytes: UTF-16 after its mark, else Latin-1."""
+    return raw[2:].encode("latin-1").decode("utf-16-be", "replace") if raw.startswith("\xfe\xff") else raw
+
+
 def text_runs(data: bytes) -> Iterator[tuple[str, float, float, str, float, str]]:
     """(text, x, y, font, size, colour) of the strings a stream shows; widths are half the size for each character."""
     g = {"ctm": ONE, "font": "", "size": 0.0, "char": 0.0, "word": 0.0, "scale": 1.0, "lead": 0.0, "rise": 0.0, "fill": "000000"}
@@ -104,7 +109,7 @@ def text_runs(data: bytes) -> Iterator[tuple[str, float, float, str, float, str]
 
     for op, args, _, _ in operators(data):
         numbers = [a for a in args if isinstance(a, float)]
-        strings = [a[1] for a in args if isinstance(a, tuple) and a[0] in ("string", "hex")]
+        strings = [_shown(a[1]) for a in args if isinstance(a, tuple) and a[0] in ("string", "hex")]
         if op == "q":
             saved.append(dict(g))
         elif op == "Q" and saved:
@@ -142,7 +147,7 @@ def text_runs(data: bytes) -> Iterator[tuple[str, float, float, str, float, str]
                 if isinstance(a, float):
                     tm = _times((1.0, 0.0, 0.0, 1.0, -a / 1000 * g["size"] * g["scale"], 0.0), tm)
                 elif isinstance(a, tuple):
-                    yield show(a[1])
+                    yield show(_shown(a[1]))
 
 
 def fills(data: bytes) -> Iterator[tuple[float, float, float, float, str]]:
@@ -237,10 +242,11 @@ def filled_rects(df: DataFrame, keys: list[str], column: str = "content") -> Dat
 
 
 def stream_of(lines: Column) -> Column:
-    """A content stream that shows an array of structs (x, y, size, text)."""
-    from folioframe.functions.text import escape_pdf_string, plain_number
+    """A content stream that shows an array of structs (x, y, size, text): ASCII as it is, other text as UTF-16 in hex."""
+    from folioframe.functions.text import escape_pdf_string, plain_number, utf16_hex
 
-    one = lambda r: F.concat(F.lit("BT /F1 "), plain_number(r["size"]), F.lit(" Tf 1 0 0 1 "), plain_number(r["x"]), F.lit(" "), plain_number(r["y"]), F.lit(" Tm ("), escape_pdf_string(r["text"]), F.lit(") Tj ET"))
+    string = lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.concat(F.lit("<FEFF"), utf16_hex(x), F.lit(">"))).otherwise(F.concat(F.lit("("), escape_pdf_string(x), F.lit(")")))
+    one = lambda r: F.concat(F.lit("BT /F1 "), plain_number(r["size"]), F.lit(" Tf 1 0 0 1 "), plain_number(r["x"]), F.lit(" "), plain_number(r["y"]), F.lit(" Tm "), string(r["text"]), F.lit(" Tj ET"))
     return F.array_join(F.transform(lines, one), "\n")
 
 
@@ -264,7 +270,8 @@ def replace_text(content: Column, old: str, new: str) -> Column:
 
 
 def blank_text(content: Column, old: str) -> Column:
-    """The stream with every shown ``old`` replaced by as many spaces."""
+    """The stream with every shown ``old`` replaced by as many spaces: literal, in hex, as UTF-16 in hex."""
     esc = old.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")
     out = F.replace(content, F.lit(esc), F.lit(" " * len(old)))
-    return F.replace(out, F.lit(old.encode("latin-1", "replace").hex().upper()), F.lit("20" * len(old)))
+    out = F.replace(out, F.lit(old.encode("latin-1", "replace").hex().upper()), F.lit("20" * len(old)))
+    return F.replace(out, F.lit(old.encode("utf-16-be").hex().upper()), F.lit("0020" * len(old)))

@@ -233,16 +233,34 @@ def walk_tree(nodes: DataFrame, most: int) -> DataFrame:
 def undo_log(edits: DataFrame, undo: str = "error", redo: str = "view") -> DataFrame:
     """Length and cursor of each document's history: an edit drops what was undone and appends; undo and redo move the cursor.
 
-    One fold over each document's ordered log, which is bounded as a user's session is.
+    A fold that streams over each document's sorted log and holds two numbers, however long the log is.
     """
-    log = F.array_sort(F.collect_list(F.struct("ts", "event_id", "op")))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at"))
-
-    def step(a: Column, e: Column) -> Column:
-        at = F.when(e["op"] == undo, F.greatest(a["at"] - 1, F.lit(0))).when(e["op"] == redo, F.least(a["at"] + 1, a["n"])).otherwise(a["at"] + 1)
-        return F.struct(F.when(e["op"].isin(undo, redo), a["n"]).otherwise(a["at"] + 1).alias("n"), at.alias("at"))
-
-    return edits.groupBy("doc_id").agg(F.aggregate(log, start, step).alias("s")).select("doc_id", F.col("s.n").alias("history"), F.col("s.at").alias("cursor"))
+    kind = F.when(F.col("op") == undo, -1).when(F.col("op") == redo, 1).otherwise(0).alias("kind")
+    rows = edits.select("doc_id", "ts", "event_id", kind).repartition("doc_id").sortWithinPartitions("doc_id", "ts", "event_id").select("doc_id", "kind")
+
+    def run(batches):
+        import pyarrow as pa
+
+        doc, seen, n, at = None, False, 0, 0
+        for b in batches:
+            out = []
+            for d, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not seen or d != doc:
+                    if seen:
+                        out.append((doc, n, at))
+                    doc, seen, n, at = d, True, 0, 0
+                if k < 0:
+                    at = max(at - 1, 0)
+                elif k > 0:
+                    at = min(at + 1, n)
+                else:
+                    n = at = at + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["doc_id", "history", "cursor"])
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (doc, n, at)], names=["doc_id", "history", "cursor"])
+
+    return rows.mapInArrow(run, "doc_id long, history long, cursor long")
 
 
 def coalesced(edits: DataFrame) -> DataFrame:

@@ -22,23 +22,29 @@ def _pre(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
 
 
 BOX = ["ordinal", "x", "y", "width", "height"]
+# Tolerance of clustered edges, least size of a cell, tolerance of a cell's borders.
+EDGE = 2.0
+LEAST_CELL = 10.0
+BORDER = 3.0
 
 
 def nearest_color(texts: DataFrame, marks: DataFrame) -> DataFrame:
     """Colour of the nearest mark within twice the font size, else black."""
-    m = _pre(marks, "m_", ["ordinal", "x", "y", "color"])
+    m = shapes.banded(_pre(marks, "m_", ["ordinal", "x", "y", "color"]), F.col("m_y"))
+    texts = shapes.banded(texts, F.col("y") - 2 * F.col("font_size"), F.col("y") + 2 * F.col("font_size"))
     d = F.sqrt(F.pow(F.col("x") - F.col("m_x"), 2) + F.pow(F.col("y") - F.col("m_y"), 2))
     hit = F.when(d <= 2 * F.col("font_size"), F.struct(d.alias("d"), F.col("m_ordinal").alias("o"), F.col("m_color").alias("c")))
-    best = texts.join(m, PAGE, "left").groupBy(*PAGE, "ordinal").agg(F.min(hit)["c"].alias("c"))
+    best = texts.join(m, [*PAGE, "band"], "left").groupBy(*PAGE, "ordinal").agg(F.min(hit)["c"].alias("c"))
     return best.select(*PAGE, "ordinal", F.coalesce("c", F.lit("000000")).alias("color"))
 
 
 def smallest_container(texts: DataFrame, rects: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Fill of the smallest filled box that holds a text's centre, else white."""
-    r = _pre(rects.where("fill is not null"), "r_", [*BOX, "fill"])
+    r = shapes.banded(_pre(rects.where("fill is not null"), "r_", [*BOX, "fill"]), F.col("r_y") - tolerance, F.col("r_y") + F.col("r_height") + tolerance)
     cx, cy = F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2
+    texts = shapes.banded(texts, cy)
     hit = F.when(g.contains_point("r_", cx, cy, tolerance), F.struct((F.col("r_width") * F.col("r_height")).alias("a"), F.col("r_ordinal").alias("o"), F.col("r_fill").alias("f")))
-    best = texts.join(r, PAGE, "left").groupBy(*PAGE, "ordinal").agg(F.min(hit)["f"].alias("f"))
+    best = texts.join(r, [*PAGE, "band"], "left").groupBy(*PAGE, "ordinal").agg(F.min(hit)["f"].alias("f"))
     return best.select(*PAGE, "ordinal", F.coalesce("f", F.lit("white")).alias("fill"))
 
 
@@ -55,12 +61,13 @@ def cell_of(x, y, cols: Column, rows: Column, tolerance: float = 2.0) -> Column:
 
 def text_decoration(texts: DataFrame, lines: DataFrame) -> DataFrame:
     """Whether a thin line under or through a text covers at least 80% of it."""
-    l = _pre(lines, "l_", BOX)
+    l = shapes.banded(_pre(lines, "l_", BOX), F.col("l_y") + F.col("l_height") / 2)
+    texts = shapes.banded(texts, F.col("y") + 0.3 * F.col("height") - 1, F.col("y") + F.col("height") + 3)
     over = F.least(F.col("x") + F.col("width"), F.col("l_x") + F.col("l_width")) - F.greatest("x", "l_x")
     wide = over >= 0.8 * F.col("width")
-    under = F.col("l_y") - (F.col("y") + F.col("height"))
+    under = F.col("l_y") + F.col("l_height") / 2 - (F.col("y") + F.col("height"))
     through = F.abs(F.col("l_y") + F.col("l_height") / 2 - (F.col("y") + F.col("height") / 2)) <= 0.2 * F.col("height")
-    j = texts.join(l, PAGE, "left")
+    j = texts.join(l, [*PAGE, "band"], "left")
     return j.groupBy(*PAGE, "ordinal").agg(
         F.coalesce(F.bool_or(wide & under.between(-1, 3)), F.lit(False)).alias("underline"), F.coalesce(F.bool_or(wide & ~under.between(-1, 3) & through), F.lit(False)).alias("strike")
     )
@@ -68,10 +75,12 @@ def text_decoration(texts: DataFrame, lines: DataFrame) -> DataFrame:
 
 def field_line(fields: DataFrame, lines: DataFrame, within: float = 25.0) -> DataFrame:
     """Nearest text line of each field by centres, null if none is within."""
-    l = _pre(lines, "l_", ["ordinal", "y", "font_size"])
-    d = F.abs(F.col("y") + F.col("height") / 2 - (F.col("l_y") + F.col("l_font_size") / 2))
+    middle, at = F.col("y") + F.col("height") / 2, F.col("l_y") + F.col("l_font_size") / 2
+    l = shapes.banded(_pre(lines, "l_", ["ordinal", "y", "font_size"]), at)
+    fields = shapes.banded(fields, middle - within, middle + within)
+    d = F.abs(middle - at)
     hit = F.when(d <= within, F.struct(d.alias("d"), F.col("l_ordinal").alias("o")))
-    return fields.join(l, PAGE, "left").groupBy(*PAGE, "ordinal").agg(F.min(hit)["o"].alias("line"))
+    return fields.join(l, [*PAGE, "band"], "left").groupBy(*PAGE, "ordinal").agg(F.min(hit)["o"].alias("line"))
 
 
 def overlapping_borders(rects: DataFrame, tolerance: float = 8.0) -> tuple[DataFrame, DataFrame]:
@@ -87,28 +96,37 @@ def border_groups(rects: DataFrame, tolerance: float = 8.0) -> DataFrame:
     return shapes.components(b.select(*PAGE, "ordinal"), pairs, PAGE, "ordinal", "a", "b")
 
 
-def collapse(bounds: Column, least: float = 10.0) -> Column:
-    """Sorted bounds without those closer than ``least`` to the one kept before; the last one stays."""
+def collapse(bounds: Column, least: float = LEAST_CELL) -> Column:
+    """Sorted bounds without those closer than ``least`` to the one kept before; the last one always stays."""
     kept = F.aggregate(
         F.slice(bounds, 1, F.greatest(F.size(bounds) - 1, F.lit(0))), F.expr("cast(array() as array<double>)"),
         lambda a, v: F.when((F.size(a) == 0) | (v - F.element_at(a, -1) >= least), F.concat(a, F.array(v))).otherwise(a),
     )
-    end = F.element_at(bounds, -1)
-    trimmed = F.when((F.size(kept) > 1) & (end - F.element_at(kept, -1) < least), F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
-    return F.when(F.size(bounds) > 0, F.concat(trimmed, F.array(end))).otherwise(bounds)
+    return F.when(F.size(bounds) > 0, F.concat(kept, F.array(F.element_at(bounds, -1)))).otherwise(bounds)
 
 
-def bordered_tables(rects: DataFrame) -> DataFrame:
-    """Grids of border groups: clustered edges, at least two by two bounds and half of the cells backed by a border."""
-    own = rects.join(border_groups(rects), [*PAGE, "ordinal"])
-    xs = F.flatten(F.collect_list(F.array(F.col("x"), F.col("x") + F.col("width"))))
-    ys = F.flatten(F.collect_list(F.array(F.col("y"), F.col("y") + F.col("height"))))
+def upright(rects: DataFrame) -> DataFrame:
+    """Boxes with sizes that count from their smaller corner, whatever the sign of width and height."""
+    low = lambda at, size: F.least(F.col(at), F.col(at) + F.col(size))
+    return rects.withColumns({"x": low("x", "width"), "y": low("y", "height"), "width": F.abs("width"), "height": F.abs("height")})
+
+
+def grids(rects: DataFrame) -> DataFrame:
+    """(component, cols, rows, boxes, n_borders) of border groups: clustered edges without narrow cells, at least two cells each way."""
+    own = upright(rects).join(border_groups(rects), [*PAGE, "ordinal"])
+    ends = lambda at, size: F.flatten(F.collect_list(F.array(F.col(at), F.col(at) + F.col(size))))
+    bounds = lambda at, size: collapse(shapes.running_means(ends(at, size), EDGE))
     boxes = F.collect_list(F.struct("x", "y", "width", "height"))
-    t = own.groupBy(*PAGE, "component").agg(collapse(shapes.running_means(xs, 3.0)).alias("cols"), collapse(shapes.running_means(ys, 3.0)).alias("rows"), boxes.alias("boxes"), F.count(F.lit(1)).alias("n_borders"))
-    t = t.withColumn("n_cols", F.size("cols") - 1).withColumn("n_rows", F.size("rows") - 1).where("n_cols >= 1 and n_rows >= 1 and n_cols * n_rows >= 2")
+    t = own.groupBy(*PAGE, "component").agg(bounds("x", "width").alias("cols"), bounds("y", "height").alias("rows"), boxes.alias("boxes"), F.count(F.lit(1)).alias("n_borders"))
+    return t.where((F.size("cols") > 2) & (F.size("rows") > 2))
+
+
+def bordered_tables(rects: DataFrame) -> DataFrame:
+    """Grids half of whose cells are backed by a border that overlaps them (``EDGE`` more)."""
+    t = grids(rects).withColumn("n_cols", F.size("cols") - 1).withColumn("n_rows", F.size("rows") - 1)
     cell = t.select("*", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("r")).select("*", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("c"))
     x0, x1, y0, y1 = F.get("cols", F.col("c")), F.get("cols", F.col("c") + 1), F.get("rows", F.col("r")), F.get("rows", F.col("r") + 1)
-    backed = F.exists("boxes", lambda b: (b["x"] < x1) & (b["x"] + b["width"] > x0) & (b["y"] < y1) & (b["y"] + b["height"] > y0))
+    backed = F.exists("boxes", lambda b: (b["x"] < x1 + EDGE) & (b["x"] + b["width"] > x0 - EDGE) & (b["y"] < y1 + EDGE) & (b["y"] + b["height"] > y0 - EDGE))
     cell = cell.withColumn("backed", backed)
     out = cell.groupBy(*PAGE, "component").agg(
         F.first("n_rows").alias("n_rows"), F.first("n_cols").alias("n_cols"), F.first("n_borders").alias("n_borders"), F.count_if("backed").alias("n_backed"),
@@ -173,23 +191,34 @@ def spacing(rows: DataFrame) -> DataFrame:
 
 
 def headings(lines: DataFrame) -> DataFrame:
-    """Level of lines by size against the page's body size (most frequent rounded size, first seen)."""
-    s = lines.withColumn("r", g.round_half_up(F.col("font_size")).cast("long"))
+    """Level of paragraphs of at most three lines by their first size against the page's body size.
+
+    The body size is the most frequent first size of paragraphs, rounded to half points, the first seen of equals.
+    """
+    p = paragraphs(lines)
+    first = lambda c: F.min_by(c, F.struct("y", "ordinal"))
+    s = p.groupBy(*PAGE, "paragraph").agg(first("ordinal").alias("ordinal"), F.min("y").alias("y"), first("font_size").alias("font_size"), first("bold").alias("bold"), F.count_distinct(g.round_half_up("y")).alias("n_lines"))
+    s = s.withColumn("r", g.round_half_up(F.col("font_size") * 2) / 2)
     body = shapes.first_seen_mode(s, PAGE, "r", ["y", "ordinal"], "body")
-    ratio = F.col("font_size") / F.coalesce(F.col("body"), F.lit(10))
+    ratio = F.col("font_size") / F.coalesce(F.col("body"), F.lit(10.0))
     level = F.when(ratio >= 1.5, 1).when(ratio >= 1.25, 2).when((ratio >= 1.1) & F.col("bold"), 3)
-    return s.join(body, PAGE).withColumn("level", level).where("level is not null").select(*PAGE, "ordinal", "level", "body")
+    return s.join(body, PAGE).where("n_lines <= 3").withColumn("level", level).where("level is not null").select(*PAGE, "ordinal", "level", "body", "n_lines")
 
 
-LIST_MARKS = r"^([•◦▪‣·*-]|[0-9]+[.)]|\([0-9]+\)|[a-z][.)]|[ivx]+[.)])\s+"
+# Characters and patterns that start list items.
+BULLETS = "•-*◦▪▸►◆★→‣⁃"
+BULLET_MARK = rf"^\s*([{BULLETS.replace('-', '')}-])\s*\S"
+NUMBER_MARK = r"^\s*([0-9]+[.)]|\([0-9]+\)|[a-zA-Z][.)]|\([a-zA-Z]\)|[ivxlcdmIVXLCDM]+[.)])\s"
 
 
 def lists(lines: DataFrame, column: str = "text", x: str = "x") -> DataFrame:
-    """List items with kind (1 bullet, 2 number) and level by indent in steps of 18 points."""
-    mark = F.regexp_extract(column, LIST_MARKS, 1)
-    items = lines.withColumn("mark", mark).where("mark <> ''")
+    """List items with kind (1 bullet, 2 number), level by indent in steps of 18 points, and the text without its marker."""
+    bullet, number = F.regexp_extract(column, BULLET_MARK, 1), F.regexp_extract(column, NUMBER_MARK, 1)
+    items = lines.withColumn("mark", F.coalesce(F.nullif(bullet, F.lit("")), F.nullif(number, F.lit("")))).where("mark is not null")
+    rest = F.regexp_replace(F.substring(F.regexp_replace(column, r"^\s+", ""), F.length("mark") + 1, F.length(column)), r"^\s+", "")
     low = F.min(x).over(Window.partitionBy(*PAGE))
-    return items.select(*PAGE, "ordinal", "mark", F.when(F.col("mark").rlike("^[•◦▪‣·*-]"), 1).otherwise(2).alias("num_id"), F.floor((F.col(x) - low) / 18).cast("long").alias("level"))
+    kind = F.when(F.length(bullet) > 0, 1).otherwise(2)
+    return items.select(*PAGE, "ordinal", "mark", kind.alias("num_id"), F.floor((F.col(x) - low) / 18).cast("long").alias("level"), rest.alias("rest"))
 
 
 def alignment(lines: DataFrame, keys: list[str], most: float = 15.0) -> DataFrame:
@@ -212,7 +241,7 @@ def text_boxes(texts: DataFrame, keys: list[str], factor: float = 0.9) -> DataFr
 
 
 def runs(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs of equal format in a line, with a space where the gap is over 0.3 times the size."""
+    """Runs of equal format of each line (``keys``), with a space where the gap is over 0.3 times the size."""
     w = Window.partitionBy(*keys).orderBy("x", "ordinal")
     fmt = F.struct("font_size", "bold", "color")
     d = texts.withColumn("__gap", F.col("x") - F.lag(F.col("x") + F.col("width")).over(w)).withColumn("__f", fmt.cast("string"))

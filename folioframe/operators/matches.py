@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import geometry as g
 
+from . import shapes
+
 PAGE = ["doc_id", "page_id"]
 
 
@@ -14,17 +16,22 @@ def prefixed(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     return df.select(*PAGE, *[F.col(c).alias(prefix + c) for c in columns])
 
 
-def best(left: DataFrame, right: DataFrame, hit: Column, value: Column, order: list[Column], name: str) -> DataFrame:
-    """Keys of left with the value of the right row that hits first in ``order``; null without one."""
+def best(left: DataFrame, right: DataFrame, hit: Column, value: Column, order: list[Column], name: str, point: Column, span: tuple[Column, Column]) -> DataFrame:
+    """Keys of left with the value of the right row that hits first in ``order``; null without one.
+
+    A hit asks that ``point`` of the left row lies in the ``span`` of y of the right row.
+    """
     pick = F.when(hit, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], value.alias("v")))
-    return left.join(right, PAGE, "left").groupBy(*PAGE, "ordinal").agg(F.min(pick)["v"].alias(name))
+    both = shapes.banded(left, point).join(shapes.banded(right, *span), [*PAGE, "band"], "left")
+    return both.groupBy(*PAGE, "ordinal").agg(F.min(pick)["v"].alias(name))
 
 
 def linked(texts: DataFrame, links: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Target of the first link box that holds a text's centre."""
     r = prefixed(links, "l_", ["ordinal", "x", "y", "width", "height", "uri"])
-    hit = g.contains_point("l_", F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2, tolerance)
-    return best(texts, r, hit, F.col("l_uri"), [F.col("l_ordinal")], "uri")
+    middle = F.col("y") + F.col("height") / 2
+    hit = g.contains_point("l_", F.col("x") + F.col("width") / 2, middle, tolerance)
+    return best(texts, r, hit, F.col("l_uri"), [F.col("l_ordinal")], "uri", middle, (F.col("l_y") - tolerance, F.col("l_y") + F.col("l_height") + tolerance))
 
 
 def background(lines: DataFrame, fills: DataFrame) -> DataFrame:
@@ -32,15 +39,16 @@ def background(lines: DataFrame, fills: DataFrame) -> DataFrame:
     r = prefixed(fills.where("height >= 5"), "r_", ["ordinal", "x", "y", "width", "height", "fill"])
     mid = F.col("y") + F.col("font_size") / 2
     hit = mid.between(F.col("r_y") - 2, F.col("r_y") + F.col("r_height") + 2) & F.col("x").between(F.col("r_x") - 5, F.col("r_x") + F.col("r_width") + 5)
-    return best(lines, r, hit, F.col("r_fill"), [F.col("r_ordinal")], "fill")
+    return best(lines, r, hit, F.col("r_fill"), [F.col("r_ordinal")], "fill", mid, (F.col("r_y") - 2, F.col("r_y") + F.col("r_height") + 2))
 
 
 def underline_rule(lines: DataFrame, rules: DataFrame, page_width: float = 612.0) -> DataFrame:
     """Closest rule from 2 points above to 15 below a line's bottom that overlaps it (5 points more) and spans at most 90% of the page."""
     r = prefixed(rules, "r_", ["ordinal", "x", "y", "width"])
-    gap = F.col("r_y") - (F.col("y") + F.col("height"))
+    bottom = F.col("y") + F.col("height")
+    gap = F.col("r_y") - bottom
     hit = gap.between(-2, 15) & (F.col("r_width") <= 0.9 * page_width) & (F.col("r_x") <= F.col("x") + F.col("width") + 5) & (F.col("r_x") + F.col("r_width") >= F.col("x") - 5)
-    return best(lines, r, hit, F.col("r_ordinal"), [F.abs(gap), F.col("r_ordinal")], "rule")
+    return best(lines, r, hit, F.col("r_ordinal"), [F.abs(gap), F.col("r_ordinal")], "rule", bottom, (F.col("r_y") - 15, F.col("r_y") + 2))
 
 
 def nearest_cell(texts: DataFrame, cells: DataFrame) -> DataFrame:
@@ -49,7 +57,7 @@ def nearest_cell(texts: DataFrame, cells: DataFrame) -> DataFrame:
     cx, cy = F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2
     hit = cx.between(F.col("c_x") - 10, F.col("c_x") + F.col("c_width") + 10) & cy.between(F.col("c_y") - 15, F.col("c_y") + F.col("c_height") + 15)
     d = F.abs(cx - (F.col("c_x") + F.col("c_width") / 2)) + F.abs(cy - (F.col("c_y") + F.col("c_height") / 2))
-    return best(texts, c, hit, F.col("c_ordinal"), [d, F.col("c_ordinal")], "cell")
+    return best(texts, c, hit, F.col("c_ordinal"), [d, F.col("c_ordinal")], "cell", cy, (F.col("c_y") - 15, F.col("c_y") + F.col("c_height") + 15))
 
 
 def left_label(tables: DataFrame, texts: DataFrame) -> DataFrame:
@@ -74,17 +82,35 @@ def column_headers(first_row: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def structure_hint(paragraphs: DataFrame, hints: DataFrame) -> DataFrame:
-    """First role whose text holds a paragraph's text or is held by it."""
-    h = prefixed(hints, "h_", ["ordinal", "role", "text"])
-    a, b = F.lower("text"), F.lower("h_text")
-    return best(paragraphs, h, (F.length(b) > 0) & (F.contains(a, b) | F.contains(b, a)), F.col("h_role"), [F.col("h_ordinal")], "role")
+    """What hints of the structure tree (role, text, lang, actual) say of a page's paragraphs.
+
+    The first heading whose text holds a paragraph's or is held by it gives ``role``, as
+    written; the last such language ``lang``; artifacts match whatever the case; a hint of
+    equal text with a replacement gives ``actual``.
+    """
+    h = prefixed(hints, "h_", ["ordinal", "role", "text", "lang", "actual"])
+    a, b = F.trim("text"), F.col("h_text")
+    said = (F.length(a) > 0) & (F.length(b) > 0)
+    holds = lambda x, y: F.contains(x, y) | F.contains(y, x)
+    first = lambda hit, value: F.min(F.when(said & hit, F.struct("h_ordinal", F.col(value).alias("v"))))["v"]
+    artifact = F.col("h_role") == "Artifact"
+    return paragraphs.join(h, PAGE, "left").groupBy(*PAGE, "ordinal").agg(
+        first(F.col("h_role").rlike("^[Hh][1-6]$") & holds(a, b), "h_role").alias("role"),
+        F.max(F.when(said & F.col("h_lang").isNotNull() & holds(a, b), F.struct("h_ordinal", F.col("h_lang").alias("v"))))["v"].alias("lang"),
+        first(F.col("h_actual").isNotNull() & (F.col("text") == b), "h_actual").alias("actual"),
+        F.coalesce(F.bool_or(said & artifact & holds(F.lower(a), F.lower(b))), F.lit(False)).alias("artifact"),
+    )
 
 
 def in_graphics(texts: DataFrame, paths: DataFrame, least: int = 4, tolerance: float = 5.0) -> DataFrame:
     """Texts that at least ``least`` path boxes overlap."""
     p = prefixed(paths, "p_", ["x", "y", "width", "height"])
+    p = shapes.banded(p, F.col("p_y") - tolerance, F.col("p_y") + F.col("p_height") + tolerance)
     t = texts.select(*PAGE, "ordinal", *[F.col(c).alias("t_" + c) for c in ("x", "y", "width", "height")])
-    hits = t.join(p, PAGE).where(g.overlaps("t_", "p_", tolerance)).groupBy(*PAGE, "ordinal").agg(F.count(F.lit(1)).alias("n"))
+    t = shapes.banded(t, F.col("t_y"), F.col("t_y") + F.col("t_height"))
+    # a pair meets in each band that both touch: the first of these counts
+    first = F.col("band") == F.floor(F.greatest(F.col("t_y"), F.col("p_y") - tolerance) / shapes.BAND)
+    hits = t.join(p, [*PAGE, "band"]).where(first & g.overlaps("t_", "p_", tolerance)).groupBy(*PAGE, "ordinal").agg(F.count(F.lit(1)).alias("n"))
     return hits.where(F.col("n") >= least)
 
 
@@ -92,13 +118,30 @@ def beside_line(fields: DataFrame, lines: DataFrame, within: float = 9.0) -> Dat
     """Nearest line of a field by y, and whether the field stands before or after its start."""
     l = prefixed(lines, "l_", ["ordinal", "x", "y"])
     d = F.abs(F.col("y") - F.col("l_y"))
-    found = best(fields, l, d <= within, F.struct(F.col("l_ordinal").alias("line"), (F.col("x") < F.col("l_x")).alias("before")), [d, F.col("l_ordinal")], "b")
+    place = F.struct(F.col("l_ordinal").alias("line"), (F.col("x") < F.col("l_x")).alias("before"))
+    found = best(fields, l, d <= within, place, [d, F.col("l_ordinal")], "b", F.col("y"), (F.col("l_y") - within, F.col("l_y") + within))
     return found.select(*PAGE, "ordinal", F.col("b.line").alias("line"), F.when(F.col("b.before"), "before").when(F.col("b").isNotNull(), "after").alias("place"))
 
 
-def by_rectangle(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Elements with equal boxes on a page."""
-    return left.join(prefixed(right, "r_", ["ordinal", "x", "y", "width", "height"]), PAGE).where("x = r_x and y = r_y and width = r_width and height = r_height").select(*PAGE, "ordinal", "r_ordinal")
+def by_rectangle(elements: DataFrame) -> DataFrame:
+    """Class of each element: the smallest ordinal among those with an equal box on its page, and how many there are."""
+    same = Window.partitionBy(*PAGE, "x", "y", "width", "height")
+    return elements.select(*PAGE, "ordinal", F.min("ordinal").over(same).alias("class"), F.count(F.lit(1)).over(same).alias("n"))
+
+
+def cell_borders(cells: DataFrame, rects: DataFrame) -> DataFrame:
+    """First border of each side of a cell: along the side (twice as long as thick), over 30% of it, an edge under 3 points away."""
+    r = prefixed(rects.where("stroke is not null"), "b_", ["ordinal", "x", "y", "width", "height"])
+    near = lambda v, side: F.abs(v - side) < 3
+    shared = lambda at, size: F.least(F.col(f"b_{at}") + F.col(f"b_{size}"), F.col(at) + F.col(size)) - F.greatest(f"b_{at}", at) > 0.3 * F.col(size)
+    level = (F.col("b_width") > 2 * F.col("b_height")) & shared("x", "width")
+    upright = (F.col("b_height") > 2 * F.col("b_width")) & shared("y", "height")
+    side = lambda lies, at, size, v: F.min(F.when(lies & (near(F.col(f"b_{at}"), v) | near(F.col(f"b_{at}") + F.col(f"b_{size}"), v)), F.col("b_ordinal")))
+    x1, y1 = F.col("x") + F.col("width"), F.col("y") + F.col("height")
+    return cells.join(r, PAGE, "left").groupBy(*PAGE, "ordinal").agg(
+        side(level, "y", "height", F.col("y")).alias("top"), side(level, "y", "height", y1).alias("bottom"),
+        side(upright, "x", "width", F.col("x")).alias("left"), side(upright, "x", "width", x1).alias("right"),
+    )
 
 
 # ---- folds that are sequential by nature: one page or table in a task's memory at a time
@@ -185,6 +228,15 @@ def field_tables(fields: DataFrame, rows: DataFrame, tolerance: float = 15.0) ->
     return layout.borderless_tables(starts.withColumn("k", place), 2, tolerance)
 
 
+def merge_origins(cells: DataFrame, merged: DataFrame) -> DataFrame:
+    """First merged cell (row, col, down, across) that covers each cell: the merged ones are exploded over the places they cover."""
+    rows = F.explode(F.sequence(F.col("row"), F.col("row") + F.col("down")))
+    covered = merged.select(*PAGE, F.col("ordinal").alias("origin"), "col", "across", rows.alias("row"))
+    covered = covered.select(*PAGE, "origin", "row", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("across"))).alias("col"))
+    first = covered.groupBy(*PAGE, "row", "col").agg(F.min("origin").alias("origin"))
+    return cells.join(first, [*PAGE, "row", "col"], "left").select(*PAGE, "ordinal", "origin")
+
+
 def image_resources(uses: DataFrame, resources: DataFrame) -> DataFrame:
     """Resource of each image use on a page: by name, else the first unused of equal size, else the first unused."""
     u = uses.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("ordinal", "name", "width", "height"))).alias("u"))

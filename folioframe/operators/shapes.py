@@ -47,6 +47,20 @@ def anchor_groups(rows: Column, value: str, tolerance: float) -> Column:
     return F.aggregate(rows, start, step, lambda acc: acc["out"])
 
 
+#: Height of a band of a page, in points.
+BAND = 24
+
+
+def banded(df: DataFrame, low: Column, high: Column | None = None, name: str = "band") -> DataFrame:
+    """df by bands of its page: the one of ``low``, or a row for each from ``low`` to ``high``.
+
+    Joins of points with spans of y carry page and band as equalities, so that only
+    neighbours meet instead of all elements of a page.
+    """
+    at = lambda v: F.floor(v / BAND).cast("int")
+    return df.withColumn(name, at(low) if high is None else F.explode_outer(F.sequence(at(low), at(high))))
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], distance: Column, within: Column, payload: Column, order: Column, name: str) -> DataFrame:
     """left with the payload of its nearest right row (ties: first in order); null where none is within."""
     joined = left.join(right, keys, "left").where(within | F.lit(True))

@@ -343,11 +343,10 @@ def f09(s, d):
     return v.table(s, d, "documents").select("doc_id", t.file_size(F.col("n_chars") * 64).alias("size"))
 
 
-@register("f10_pdf_date", "SELECT event_id, date_trunc('second', ts) AS at FROM g_edit WHERE event_id % 3 <> 2")
+@register("f10_pdf_date", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'no date ' || event_id ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS shown FROM g_edit")
 def f10(s, d):
-    ed = v.g_edit(s, d)
-    raw = F.when(F.col("event_id") % 3 == 2, "no date").otherwise(F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("+00'00'")))
-    return ed.select("event_id", t.pdf_date(raw).cast(dict(ed.dtypes)["ts"]).alias("at")).where("at is not null")
+    raw = F.when(F.col("event_id") % 3 == 2, F.concat(F.lit("no date "), "event_id")).otherwise(F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("+00'00'")))
+    return v.g_edit(s, d).select("event_id", t.shown_date(raw).alias("shown"))
 
 
 @register("f16_fnv1a", """SELECT DISTINCT content, lower(printf('%08x', h)) || ':' || strlen(content) AS hash FROM (SELECT content, list_reduce(list_transform(range(strlen(content)), lambda i: ascii(content[i + 1])::BIGINT), lambda a, b: (xor(a, b) * 16777619) & 4294967295, 2166136261::BIGINT) AS h FROM g_image)""")
@@ -369,7 +368,7 @@ def _marks(s, d):
 
 
 @register("j04_nearest_color", """SELECT t.doc_id, t.page_id, t.ordinal, coalesce(arg_min(m.color, (d, m.ordinal)) FILTER (d <= 2 * t.font_size), '000000') AS color FROM (
- SELECT t, m, sqrt(power(t.x - (m.x + 5), 2) + power(t.y - m.y, 2)) AS d FROM g_text t LEFT JOIN g_text m ON t.doc_id = m.doc_id AND t.page_id = m.page_id AND m.ordinal % 3 = 0 AND abs(t.y - m.y) <= 40 AND abs(t.x - m.x) <= 60) GROUP BY t.doc_id, t.page_id, t.ordinal""")
+ SELECT t, m, sqrt(power(t.x - (m.x + 5), 2) + power(t.y - m.y, 2)) AS d FROM g_text t LEFT JOIN g_text m ON t.doc_id = m.doc_id AND t.page_id = m.page_id AND m.ordinal % 3 = 0 AND abs(t.y - m.y) <= 2 * t.font_size) GROUP BY t.doc_id, t.page_id, t.ordinal""")
 def j04(s, d):
     return l.nearest_color(v.g_text(s, d), _marks(s, d))
 
@@ -410,7 +409,7 @@ _RULES = "rules AS (SELECT doc_id, page_id, ordinal, x, y + CASE WHEN ln % 2 = 0
 
 
 @register("j17_text_decoration", """SELECT t.doc_id, t.page_id, t.ordinal, coalesce(bool_or(wide AND under), false) AS underline, coalesce(bool_or(wide AND NOT under AND through), false) AS strike FROM (
- SELECT t.doc_id, t.page_id, t.ordinal, least(t.x + t.width, r.x + r.width) - greatest(t.x, r.x) >= 0.8 * t.width AS wide, r.y - (t.y + t.height) BETWEEN -1 AND 3 AS under,
+ SELECT t.doc_id, t.page_id, t.ordinal, least(t.x + t.width, r.x + r.width) - greatest(t.x, r.x) >= 0.8 * t.width AS wide, r.y + r.height / 2 - (t.y + t.height) BETWEEN -1 AND 3 AS under,
  abs(r.y + r.height / 2 - (t.y + t.height / 2)) <= 0.2 * t.height AS through FROM g_text t LEFT JOIN rules r ON t.doc_id = r.doc_id AND t.page_id = r.page_id) t GROUP BY t.doc_id, t.page_id, t.ordinal""", _RULES)
 def j17(s, d):
     return l.text_decoration(v.g_text(s, d), _rules(s, d))
@@ -533,17 +532,22 @@ def g19(s, d):
     return l.two_columns(_bands(s, d), 10.0)
 
 
-@register("g20_lists", """SELECT doc_id, page_id, ordinal, mark, CASE WHEN mark = '-' THEN 1 ELSE 2 END AS num_id, floor((x - min(x) OVER (PARTITION BY doc_id, page_id)) / 18)::BIGINT AS level FROM (
- SELECT doc_id, page_id, ordinal, CASE ln % 7 WHEN 1 THEN '1.' WHEN 2 THEN '-' END AS mark, 72.0::DOUBLE + ln % 3 * 12 AS x FROM g_line) WHERE mark IS NOT NULL""")
+_MARKS = ("1. ", "x", "- ", "  ▸", "(a) ", "XIV) ", "·", " ⁃  ", "B. ", "(12) ", "1.5 ", "mm. ")
+
+
+@register("g20_lists", rf"""SELECT doc_id, page_id, ordinal, mark, CASE WHEN bullet <> '' THEN 1 ELSE 2 END AS num_id, floor((x - min(x) OVER (PARTITION BY doc_id, page_id)) / 18)::BIGINT AS level, regexp_replace(substr(regexp_replace(t, '^[ \t\n\v\f\r]+', ''), length(mark) + 1), '^[ \t\n\v\f\r]+', '') AS rest FROM (
+ SELECT *, CASE WHEN bullet <> '' THEN bullet ELSE regexp_extract(t, '^[ \t\n\v\f\r]*([0-9]+[.)]|\([0-9]+\)|[a-zA-Z][.)]|\([a-zA-Z]\)|[ivxlcdmIVXLCDM]+[.)])[ \t\n\v\f\r]', 1) END AS mark FROM (
+ SELECT doc_id, page_id, ordinal, x, t, regexp_extract(t, '^[ \t\n\v\f\r]*([{l.BULLETS.replace('-', '')}-])[ \t\n\v\f\r]*[^ \t\n\v\f\r]', 1) AS bullet FROM (
+ SELECT doc_id, page_id, ordinal, {list(_MARKS)}[ln % {len(_MARKS)} + 1] || text AS t, 72.0::DOUBLE + ln % 3 * 12 AS x FROM g_line))) WHERE mark <> ''""")
 def g20(s, d):
-    m = F.col("ln") % 7
-    line = v.g_line(s, d).withColumn("text", F.concat(F.when(m == 1, "1. ").when(m == 2, "- ").otherwise("x "), F.col("text"))).withColumn("x", F.lit(72.0) + F.col("ln") % 3 * 12)
-    return l.lists(line)
+    mark = F.element_at(F.array(*[F.lit(x) for x in _MARKS]), (F.col("ln") % len(_MARKS) + 1).cast("int"))
+    return l.lists(v.g_line(s, d).withColumn("text", F.concat(mark, "text")).withColumn("x", F.lit(72.0) + F.col("ln") % 3 * 12))
 
 
-@register("g21_headings", """SELECT l.doc_id, l.page_id, l.ordinal, CASE WHEN font_size / body >= 1.5 THEN 1 WHEN font_size / body >= 1.25 THEN 2 ELSE 3 END AS level, body FROM g_line l JOIN (
- SELECT doc_id, page_id, arg_min(r, (-n, f)) AS body FROM (SELECT doc_id, page_id, floor(font_size + 0.5)::BIGINT AS r, count(*) AS n, min(ordinal) AS f FROM g_line GROUP BY doc_id, page_id, floor(font_size + 0.5)) GROUP BY doc_id, page_id) b
- ON l.doc_id = b.doc_id AND l.page_id = b.page_id WHERE font_size / body >= 1.25 OR (font_size / body >= 1.1 AND bold)""")
+@register("g21_headings", """SELECT l.doc_id, l.page_id, l.ordinal, CASE WHEN font_size / body >= 1.5 THEN 1 WHEN font_size / body >= 1.25 THEN 2 ELSE 3 END AS level, body, n_lines FROM ph l JOIN (
+ SELECT doc_id, page_id, arg_min(r, (-n, f)) AS body FROM (SELECT doc_id, page_id, floor(font_size * 2 + 0.5) / 2 AS r, count(*) AS n, min((y, ordinal)) AS f FROM ph GROUP BY doc_id, page_id, floor(font_size * 2 + 0.5) / 2) GROUP BY doc_id, page_id) b
+ ON l.doc_id = b.doc_id AND l.page_id = b.page_id WHERE n_lines <= 3 AND (font_size / body >= 1.25 OR (font_size / body >= 1.1 AND bold))""",
+_PARA + """, ph AS (SELECT doc_id, page_id, paragraph, arg_min(ordinal, (y, ordinal)) AS ordinal, min(y) AS y, arg_min(font_size, (y, ordinal)) AS font_size, arg_min(bold, (y, ordinal)) AS bold, count(DISTINCT floor(y + 0.5)) AS n_lines FROM pa GROUP BY doc_id, page_id, paragraph)""")
 def g21(s, d):
     return l.headings(v.g_line(s, d))
 
@@ -562,11 +566,14 @@ def g24(s, d):
     return l.text_boxes(v.g_text(s, d), [*PAGE, "ln"])
 
 
-@register("g25_runs", """SELECT doc_id, page_id, run, count(*) AS n, string_agg(CASE WHEN gap > 0.3 * font_size THEN ' ' ELSE '' END || text, '' ORDER BY x, ordinal) AS text FROM (
- SELECT *, sum(CASE WHEN f <> pf THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_id ORDER BY x, ordinal)::BIGINT AS run FROM (
- SELECT *, x - lag(x + width) OVER w AS gap, (font_size || '|' || bold || '|' || color) AS f, lag(font_size || '|' || bold || '|' || color) OVER w AS pf FROM g_text WINDOW w AS (PARTITION BY doc_id, page_id ORDER BY x, ordinal))) GROUP BY doc_id, page_id, run""")
+@register("g25_runs", """SELECT doc_id, page_id, ln, run, count(*) AS n, string_agg(CASE WHEN gap > 0.3 * font_size THEN ' ' ELSE '' END || text, '' ORDER BY x, ordinal) AS text FROM (
+ SELECT *, sum(CASE WHEN f <> pf THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_id, ln ORDER BY x, ordinal)::BIGINT AS run FROM (
+ SELECT *, x - lag(x + width) OVER w AS gap, (font_size || '|' || bold || '|' || color) AS f, lag(font_size || '|' || bold || '|' || color) OVER w AS pf FROM (SELECT * REPLACE (CASE WHEN w % 5 = 4 THEN '00ff00' ELSE color END AS color) FROM g_styled) WINDOW w AS (PARTITION BY doc_id, page_id, ln ORDER BY x, ordinal))) GROUP BY doc_id, page_id, ln, run""",
+"g_styled AS (SELECT *, ordinal % 12 AS w FROM g_text)")
 def g25(s, d):
-    return l.runs(v.g_text(s, d), PAGE)
+    # every fifth word of a line has a colour of its own
+    text = v.g_text(s, d).withColumn("color", F.when(F.col("ordinal") % 12 % 5 == 4, "00ff00").otherwise(F.col("color")))
+    return l.runs(text, [*PAGE, "ln"])
 
 
 @register("g26_words", "SELECT doc_id, page_id, ordinal, sum(CASE WHEN gap > 0.3 * font_size OR abs(y - py) > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_id, ln ORDER BY x, ordinal)::BIGINT AS word FROM (SELECT *, lag(y) OVER (PARTITION BY doc_id, page_id, ln ORDER BY x, ordinal) AS py FROM gp)", _GAP)
@@ -651,17 +658,22 @@ def j16(s, d):
 
 
 @register("j14_label_cell", """SELECT t.doc_id, t.page_id, t.ordinal, arg_min(c.ordinal, (abs(t.x + t.width / 2 - (c.x + 60)) + abs(t.y + t.height / 2 - (c.y + 9)), c.ordinal)) AS cell FROM g_text t LEFT JOIN g_field c ON t.doc_id = c.doc_id AND t.page_id = c.page_id
- AND t.x + t.width / 2 BETWEEN c.x - 10 AND c.x + 130 AND t.y + t.height / 2 BETWEEN c.y - 15 AND c.y + 33 WHERE t.doc_id < 5 GROUP BY t.doc_id, t.page_id, t.ordinal""")
+ AND t.x + t.width / 2 BETWEEN c.x - 10 AND c.x + 130 AND t.y + t.height / 2 BETWEEN c.y - 15 AND c.y + 33 GROUP BY t.doc_id, t.page_id, t.ordinal""")
 def j14(s, d):
-    return m.nearest_cell(v.g_text(s, d).where("doc_id < 5"), v.g_field(s, d))
+    return m.nearest_cell(v.g_text(s, d), v.g_field(s, d))
 
 
-@register("j19_hint_match", """SELECT l.doc_id, l.page_id, l.ordinal, arg_min(CASE h.ordinal % 3 WHEN 0 THEN 'H1' WHEN 1 THEN 'P' ELSE 'LI' END, h.ordinal) AS role FROM g_line l LEFT JOIN g_line h ON h.doc_id = l.doc_id AND h.page_id = l.page_id AND h.ordinal % 4 = 1 AND length(h.text) > 0
- AND (contains(lower(l.text), lower(h.text)) OR contains(lower(h.text), lower(l.text))) GROUP BY l.doc_id, l.page_id, l.ordinal""")
+@register("j19_hint_match", """SELECT doc_id, page_id, ordinal, arg_min(role, o) FILTER (role = 'H1' AND same) AS role, arg_max(lang, o) FILTER (same AND lang IS NOT NULL) AS lang, arg_min(actual, o) FILTER (actual IS NOT NULL AND text = h_text) AS actual, coalesce(bool_or(role = 'Artifact' AND loose), false) AS artifact FROM (
+ SELECT l.doc_id, l.page_id, l.ordinal, l.text, h.o, h.role, h.lang, h.actual, h.text AS h_text, contains(trim(l.text), h.text) OR contains(h.text, trim(l.text)) AS same, contains(lower(trim(l.text)), lower(h.text)) OR contains(lower(h.text), lower(trim(l.text))) AS loose
+ FROM g_line l LEFT JOIN (SELECT doc_id, page_id, ordinal AS o, CASE ordinal % 3 WHEN 0 THEN 'H1' WHEN 1 THEN 'P' ELSE 'Artifact' END AS role, CASE WHEN ordinal % 8 = 1 THEN 'en' END AS lang, CASE WHEN ordinal % 12 = 5 THEN 'fi' END AS actual,
+ CASE WHEN ordinal % 8 = 5 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE text END AS text FROM g_line WHERE ordinal % 4 = 1) h ON h.doc_id = l.doc_id AND h.page_id = l.page_id AND length(h.text) > 0 AND length(trim(l.text)) > 0) GROUP BY doc_id, page_id, ordinal""")
 def j19(s, d):
     lines = v.g_line(s, d)
     k = F.col("ordinal") % 3
-    return m.structure_hint(lines.select(*KEY, "text"), lines.where("ordinal % 4 = 1").select(*KEY, "text", F.when(k == 0, "H1").when(k == 1, "P").otherwise("LI").alias("role")))
+    text = F.when(F.col("ordinal") % 8 == 5, F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.col("text"))
+    role = F.when(k == 0, "H1").when(k == 1, "P").otherwise("Artifact")
+    hints = lines.where("ordinal % 4 = 1").select(*KEY, text.alias("text"), role.alias("role"), F.when(F.col("ordinal") % 8 == 1, "en").alias("lang"), F.when(F.col("ordinal") % 12 == 5, "fi").alias("actual"))
+    return m.structure_hint(lines.select(*KEY, "text"), hints)
 
 
 @register("j22_graphic_region", """SELECT t.doc_id, t.page_id, t.ordinal, count(*) AS n FROM g_text t JOIN rules p ON t.doc_id = p.doc_id AND t.page_id = p.page_id AND t.x < p.x + p.width * 2 + 5 AND t.x + t.width + 5 > p.x AND t.y < p.y + 40 + 5 AND t.y + t.height + 5 > p.y GROUP BY t.doc_id, t.page_id, t.ordinal HAVING count(*) >= 4""", _RULES)
@@ -676,9 +688,9 @@ def j23(s, d):
     return m.beside_line(v.g_field(s, d), v.g_line(s, d).withColumn("x", F.lit(150.0)))
 
 
-@register("j29_field_by_rectangle", "SELECT a.doc_id, a.page_id, a.ordinal, b.ordinal AS r_ordinal FROM g_field a JOIN g_field b ON a.doc_id = b.doc_id AND a.page_id = b.page_id AND a.x = b.x AND a.y = b.y AND a.width = b.width AND a.height = b.height")
+@register("j29_field_by_rectangle", 'SELECT a.doc_id, a.page_id, a.ordinal, min(b.ordinal) AS "class", count(*) AS n FROM g_field a JOIN g_field b ON a.doc_id = b.doc_id AND a.page_id = b.page_id AND a.x = b.x AND a.y = b.y AND a.width = b.width AND a.height = b.height GROUP BY a.doc_id, a.page_id, a.ordinal')
 def j29(s, d):
-    return m.by_rectangle(v.g_field(s, d), v.g_field(s, d))
+    return m.by_rectangle(v.g_field(s, d))
 
 
 @register("j13_column_headers")
@@ -707,10 +719,7 @@ def g10(s, d):
 
 @register("g13_merged_cells")
 def g13(s, d):
-    own = v.g_rect(s, d).join(l.border_groups(v.g_rect(s, d)), KEY)
-    ends = lambda a, b: l.collapse(shapes.running_means(F.flatten(F.collect_list(F.array(F.col(a), F.col(a) + F.col(b)))), 3.0))
-    grids = own.groupBy(*PAGE, "component").agg(ends("x", "width").alias("cols"), ends("y", "height").alias("rows"), F.collect_list(F.struct("x", "y", "width", "height")).alias("boxes"))
-    return m.merged_cells(grids.where("size(cols) > 2 and size(rows) > 2"))
+    return m.merged_cells(l.grids(v.g_rect(s, d)))
 
 
 @register("g32_reading_order")
@@ -739,11 +748,11 @@ def w24(s, d):
 
 def _streams(s, d):
     """A content stream for each page, with its lines as strings."""
-    line = v.g_line(s, d).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.lit(72.0).alias("x"), (F.lit(792.0) - F.col("y")).alias("y"), F.col("font_size").alias("size"), F.regexp_replace("text", "[^ -~]", "?").alias("text")))).alias("r"))
+    line = v.g_line(s, d).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.lit(72.0).alias("x"), (F.lit(792.0) - F.col("y")).alias("y"), F.col("font_size").alias("size"), "text"))).alias("r"))
     return line.select(*PAGE, content.stream_of(F.col("r")).alias("text"))
 
 
-@register("x07_lex", "SELECT doc_id, page_id, 'operator' AS type, 5 * count(*) AS n FROM g_line GROUP BY doc_id, page_id UNION ALL SELECT doc_id, page_id, 'number', 7 * count(*) FROM g_line GROUP BY doc_id, page_id UNION ALL SELECT doc_id, page_id, 'name', count(*) FROM g_line GROUP BY doc_id, page_id UNION ALL SELECT doc_id, page_id, 'string', count(*) FROM g_line GROUP BY doc_id, page_id")
+@register("x07_lex", "SELECT doc_id, page_id, 'operator' AS type, 5 * count(*) AS n FROM g_line GROUP BY doc_id, page_id UNION ALL SELECT doc_id, page_id, 'number', 7 * count(*) FROM g_line GROUP BY doc_id, page_id UNION ALL SELECT doc_id, page_id, 'name', count(*) FROM g_line GROUP BY doc_id, page_id UNION ALL SELECT doc_id, page_id, CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 'hex' ELSE 'string' END, count(*) FROM g_line GROUP BY ALL")
 def x07(s, d):
     t_ = content.lex(_streams(s, d).withColumn("content", F.encode("text", "ISO-8859-1")), PAGE)
     return t_.groupBy(*PAGE, "type").agg(F.count(F.lit(1)).alias("n"))
@@ -755,25 +764,26 @@ def x08(s, d):
     return o.groupBy(*PAGE, "operator").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("x09_text_runs", "SELECT doc_id, page_id, ordinal, regexp_replace(text, '[^ -~]', '?', 'g') AS text, 72.0::DOUBLE AS x, round(792 - y, 6) AS y, font_size AS size FROM g_line")
+@register("x09_text_runs", "SELECT doc_id, page_id, ordinal, text, 72.0::DOUBLE AS x, round(792 - y, 6) AS y, font_size AS size FROM g_line")
 def x09(s, d):
     r = content.runs(_streams(s, d).withColumn("content", F.encode("text", "ISO-8859-1")), PAGE)
     return r.select(*KEY, "text", "x", F.round("y", 6).alias("y"), "size")
 
 
-@register("x04_replace_in_page", "SELECT doc_id, page_id, count(*) AS n FROM g_line WHERE contains(regexp_replace(text, '[^ -~]', '?', 'g'), ' the ') GROUP BY doc_id, page_id")
+def _texts(pages: DataFrame) -> DataFrame:
+    """Texts that the streams of a column ``new`` show."""
+    return content.runs(pages.withColumn("content", F.encode("new", "ISO-8859-1")), PAGE).select(*KEY, "text")
+
+
+@register("x04_replace_in_page", """SELECT l.doc_id, l.page_id, l.ordinal, CASE WHEN l.ordinal = o THEN regexp_replace(text, 'that', 'THAT') ELSE text END AS text FROM g_line l JOIN (
+ SELECT doc_id, page_id, coalesce(min(ordinal) FILTER (NOT regexp_matches(text, '[^\\x00-\\x7F]')), min(ordinal)) AS o FROM g_line WHERE contains(text, 'that') GROUP BY doc_id, page_id) h ON h.doc_id = l.doc_id AND h.page_id = l.page_id""")
 def x04(s, d):
-    p = _streams(s, d).withColumn("new", content.replace_text(F.col("text"), " the ", " THE ")).where("new is not null")
-    was = F.size(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit(" the "))))
-    now = F.size(F.filter(F.split("new", "\n"), lambda x: F.contains(x, F.lit(" the ")) | F.contains(x, F.lit(" THE "))))
-    return p.where(was == now).select(*PAGE, was.cast("long").alias("n"))
+    return _texts(_streams(s, d).withColumn("new", content.replace_text(F.col("text"), "that", "THAT")).where("new is not null"))
 
 
-@register("x06_blank_text", "SELECT doc_id, page_id, count(*) FILTER (contains(regexp_replace(text, '[^ -~]', '?', 'g'), ' the ')) AS n FROM g_line GROUP BY doc_id, page_id")
+@register("x06_blank_text", "SELECT doc_id, page_id, ordinal, replace(text, 'that', '    ') AS text FROM g_line")
 def x06(s, d):
-    p = _streams(s, d).withColumn("new", content.blank_text(F.col("text"), " the "))
-    changed = F.size(F.filter(F.zip_with(F.split("text", "\n"), F.split("new", "\n"), lambda a, b: a != b), lambda x: x))
-    return p.where(F.length("new") == F.length("text")).select(*PAGE, changed.cast("long").alias("n"))
+    return _texts(_streams(s, d).withColumn("new", content.blank_text(F.col("text"), "that")))
 
 
 @register("r16_words", "SELECT doc_id, ln, count(*) AS n, sum(length(text))::BIGINT AS chars FROM g_word WHERE trim(text) <> '' GROUP BY doc_id, ln")

@@ -130,13 +130,21 @@ def j09(s, d):
     return texts.join(b, PAGE).where(over.between(0, 20) | under.between(0, 20)).select(*KEY, F.when(over >= 0, "above").otherwise("below").alias("place"))
 
 
-@register("j10_cell_borders", "SELECT c.page_id, c.ordinal, min(CASE WHEN abs(b.y - c.y) < 3 THEN b.ordinal END) AS top, min(CASE WHEN abs(b.y - (c.y + c.height)) < 5 THEN b.ordinal END) AS bottom FROM g_rect c LEFT JOIN g_rect b ON b.page_id = c.page_id AND b.stroke IS NOT NULL AND least(b.x + b.width, c.x + c.width) - greatest(b.x, c.x) > 0.3 * c.width GROUP BY c.page_id, c.ordinal")
+def _turned(r):
+    """Boxes, every second one of them lying on its side."""
+    turn = F.col("ordinal") % 2 == 0
+    return r.withColumns({"width": F.when(turn, F.col("height") * 2).otherwise(F.col("width")), "height": F.when(turn, F.col("width")).otherwise(F.col("height"))})
+
+
+@register("j10_cell_borders", """SELECT doc_id, page_id, ordinal, min(o) FILTER (lv AND (abs(bt - ct) < 3 OR abs(bb - ct) < 3)) AS top, min(o) FILTER (lv AND (abs(bt - cb) < 3 OR abs(bb - cb) < 3)) AS bottom,
+ min(o) FILTER (up AND (abs(bl - cl) < 3 OR abs(br - cl) < 3)) AS "left", min(o) FILTER (up AND (abs(bl - cr) < 3 OR abs(br - cr) < 3)) AS "right" FROM (
+ SELECT c.doc_id, c.page_id, c.ordinal, b.ordinal AS o, c.y AS ct, c.y + c.height AS cb, c.x AS cl, c.x + c.width AS cr, b.y AS bt, b.y + b.height AS bb, b.x AS bl, b.x + b.width AS br,
+ b.width > 2 * b.height AND least(b.x + b.width, c.x + c.width) - greatest(b.x, c.x) > 0.3 * c.width AS lv, b.height > 2 * b.width AND least(b.y + b.height, c.y + c.height) - greatest(b.y, c.y) > 0.3 * c.height AS up
+ FROM turned c LEFT JOIN turned b ON b.page_id = c.page_id AND b.stroke IS NOT NULL) GROUP BY doc_id, page_id, ordinal""",
+          "turned AS (SELECT * REPLACE (CASE WHEN ordinal % 2 = 0 THEN height * 2 ELSE width END AS width, CASE WHEN ordinal % 2 = 0 THEN width ELSE height END AS height) FROM g_rect)")
 def j10(s, d):
-    r = v.g_rect(s, d)
-    b = m.prefixed(r.where("stroke is not null"), "b_", ["ordinal", "x", "y", "width"])
-    over = F.least(F.col("b_x") + F.col("b_width"), F.col("x") + F.col("width")) - F.greatest("b_x", "x") > 0.3 * F.col("width")
-    pick = lambda side, near: F.min(F.when(over & (F.abs(F.col("b_y") - side) < near), F.col("b_ordinal")))
-    return r.join(b, PAGE, "left").groupBy("page_id", "ordinal").agg(pick(F.col("y"), 3).alias("top"), pick(F.col("y") + F.col("height"), 5).alias("bottom"))
+    r = _turned(v.g_rect(s, d))
+    return m.cell_borders(r, r)
 
 
 @register("j24_image_files", "SELECT a.ordinal, f.ordinal AS file FROM g_image a JOIN (SELECT doc_id, page_id, name, min(ordinal) AS ordinal FROM g_image GROUP BY doc_id, page_id, name) f ON f.doc_id = a.doc_id AND f.page_id = a.page_id AND f.name = a.name")
@@ -145,10 +153,13 @@ def j24(s, d):
     return i.join(i.groupBy(*PAGE, "name").agg(F.min("ordinal").alias("file")), [*PAGE, "name"]).select("ordinal", "file")
 
 
-@register("j25_merge_origins", "SELECT ordinal, unnest(range(ordinal % 5, ordinal % 5 + 1 + ordinal % 3))::BIGINT AS r FROM g_field")
+@register("j25_merge_origins", """SELECT c.doc_id, c.page_id, c.ordinal, min(m.ordinal) AS origin FROM g_field c LEFT JOIN g_field m ON m.doc_id = c.doc_id AND m.page_id = c.page_id AND m.ordinal % 4 = 1
+ AND c.ordinal // 3 BETWEEN m.ordinal // 3 AND m.ordinal // 3 + m.ordinal % 5 AND c.ordinal % 3 BETWEEN m.ordinal % 3 AND m.ordinal % 3 + 1 GROUP BY c.doc_id, c.page_id, c.ordinal""")
 def j25(s, d):
-    k = F.col("ordinal") % 5
-    return v.g_field(s, d).select("ordinal", F.explode(F.sequence(k, k + F.col("ordinal") % 3)).alias("r"))
+    row, col = F.floor(F.col("ordinal") / 3).cast("long"), F.col("ordinal") % 3
+    cells = v.g_field(s, d).select(*KEY, row.alias("row"), col.alias("col"))
+    merged = cells.where("ordinal % 4 = 1").withColumn("down", F.col("ordinal") % 5).withColumn("across", F.lit(1))
+    return m.merge_origins(cells, merged)
 
 
 @register("j30_glyph_widths", "SELECT ordinal, sum(CASE ch WHEN ' ' THEN 250 WHEN 'e' THEN 444 WHEN 'l' THEN 278 ELSE 500 END)::BIGINT AS width FROM (SELECT ordinal, unnest(string_split(content, '')) AS ch FROM g_image) GROUP BY ordinal")
@@ -292,9 +303,9 @@ def v05(s, d):
     return d_.select(*PAGE, "paragraph", F.when(F.col("d") > 10, "first").when(F.col("d") < -10, "hanging").otherwise("none").alias("indent"))
 
 
-@register("v07_sequential_ids", "SELECT doc_id, text, dense_rank() OVER (PARTITION BY doc_id ORDER BY first) AS id FROM (SELECT doc_id, text, min(ln * 100 + ordinal % 12) AS first FROM g_text WHERE length(text) > 8 GROUP BY doc_id, text)")
+@register("v07_sequential_ids", "SELECT doc_id, text, dense_rank() OVER (PARTITION BY doc_id ORDER BY first) AS id FROM (SELECT doc_id, text, min(ln * 100 + ordinal % 12) AS first FROM g_text GROUP BY doc_id, text)")
 def v07(s, d):
-    w = v.g_text(s, d).where(F.length("text") > 8).groupBy("doc_id", "text").agg(F.min(F.col("ln") * 100 + F.col("ordinal") % 12).alias("first"))
+    w = v.g_text(s, d).groupBy("doc_id", "text").agg(F.min(F.col("ln") * 100 + F.col("ordinal") % 12).alias("first"))
     return w.select("doc_id", "text", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first")).cast("long").alias("id"))
 
 
@@ -355,9 +366,9 @@ def f08(s, d):
     return v.table(s, d, "pages").select("page_id", t.file_name("url").alias("name"), t.extension("url").alias("ext"))
 
 
-@register("f11_page_geometry", "SELECT ordinal, printf('%.2f x %.2f in (%d x %d mm)', floor(width / 72 * 100 + 0.5) / 100, floor(height / 72 * 100 + 0.5) / 100, floor(width / 72 * 25.4 + 0.5)::INT, floor(height / 72 * 25.4 + 0.5)::INT) AS size FROM g_image WHERE ordinal % 9 = 0")
+@register("f11_page_geometry", "SELECT ordinal, printf('%.2f x %.2f in (%d x %d mm)', floor(width / 72 * 100 + 0.5) / 100, floor(height / 72 * 100 + 0.5) / 100, floor(width / 72 * 25.4 + 0.5)::INT, floor(height / 72 * 25.4 + 0.5)::INT) AS size FROM g_image")
 def f11(s, d):
-    return v.g_image(s, d).where("ordinal % 9 = 0").select("ordinal", t.page_geometry("width", "height").alias("size"))
+    return v.g_image(s, d).select("ordinal", t.page_geometry("width", "height").alias("size"))
 
 
 @register("f13_estimated_width", "SELECT doc_id, ln, length(text) * font_size * 0.5::DOUBLE AS width FROM g_line")
@@ -386,10 +397,10 @@ def f20(s, d):
     return v.g_field(s, d).select("ordinal", F.when(F.col("type") == "Btn", F.when(F.col("value") == "", "Unchecked").otherwise("Checked")).otherwise(F.col("value")).alias("text"))
 
 
-@register("f22_svg_path", "SELECT page_id, ordinal, 'M ' || x::INT || ' ' || y::INT || ' L ' || (x + width)::INT || ' ' || y::INT || ' Z' AS d FROM g_rect WHERE page_id % 10 = 1")
+@register("f22_svg_path", "SELECT page_id, ordinal, 'M ' || x::INT || ' ' || y::INT || ' L ' || (x + width)::INT || ' ' || y::INT || ' Z' AS d FROM g_rect")
 def f22(s, d):
     n = t.plain_number
-    return v.g_rect(s, d).where("page_id % 10 = 1").select("page_id", "ordinal", F.concat(F.lit("M "), n("x"), F.lit(" "), n("y"), F.lit(" L "), n(F.col("x") + F.col("width")), F.lit(" "), n("y"), F.lit(" Z")).alias("d"))
+    return v.g_rect(s, d).select("page_id", "ordinal", F.concat(F.lit("M "), n("x"), F.lit(" "), n("y"), F.lit(" L "), n(F.col("x") + F.col("width")), F.lit(" "), n("y"), F.lit(" Z")).alias("d"))
 
 
 @register("f24_minified_html", "SELECT page_id, regexp_replace(html, '>[ \\t\\n\\r\\f\\v]+<', '><', 'g') AS html FROM pages")
@@ -397,16 +408,19 @@ def f24(s, d):
     return v.table(s, d, "pages").select("page_id", t.minify_xml("html").alias("html"))
 
 
-@register("f26_choice_index", "SELECT ordinal, greatest(coalesce(list_position(['Customer#000000001', 'x', value], value), 1) - 1, 0)::INT AS i FROM g_field")
+_CHOICES = ("HOUSEHOLD", "AUTOMOBILE", "FURNITURE")
+
+
+@register("f26_choice_index", f"SELECT c_custkey AS ordinal, greatest(coalesce(list_position({list(_CHOICES)}, c_mktsegment), 0) - 1, 0)::INT AS i FROM customer")
 def f26(s, d):
-    at = F.array_position(F.array(F.lit("Customer#000000001"), F.lit("x"), F.col("value")), F.col("value"))
-    return v.g_field(s, d).select("ordinal", F.greatest(at - 1, F.lit(0)).cast("int").alias("i"))
+    return v.table(s, d, "customer").select(F.col("c_custkey").alias("ordinal"), t.choice_index("c_mktsegment", F.array(*[F.lit(x) for x in _CHOICES])).alias("i"))
 
 
-@register("f27_default_appearance", "SELECT ordinal, 'Helv' AS font, (ordinal % 9 + 4)::DOUBLE AS size FROM g_field")
+@register("f27_default_appearance", """SELECT ordinal, CASE ordinal % 4 WHEN 0 THEN 'Helv' WHEN 1 THEN 'Ti+Ro' WHEN 2 THEN 'Cour' END AS font, CASE WHEN ordinal % 4 < 3 THEN (ordinal % 9 + 4)::DOUBLE END AS size, CASE ordinal % 4 WHEN 0 THEN '0 g' WHEN 1 THEN '0.5 0 1 rg' END AS color FROM g_field""")
 def f27(s, d):
-    da = F.concat(F.lit("0 g /Helv "), (F.col("ordinal") % 9 + 4).cast("string"), F.lit(" Tf"))
-    return v.g_field(s, d).select("ordinal", F.regexp_extract(da, r"/(\S+)\s+([0-9.]+)\s+Tf", 1).alias("font"), F.regexp_extract(da, r"/(\S+)\s+([0-9.]+)\s+Tf", 2).cast("double").alias("size"))
+    k, size = F.col("ordinal") % 4, (F.col("ordinal") % 9 + 4).cast("string")
+    made = F.when(k == 0, F.concat(F.lit("0 g /Helv "), size, F.lit(" Tf"))).when(k == 1, F.concat(F.lit("/Ti+Ro  "), size, F.lit(".0 Tf 0.5 0 1 rg"))).when(k == 2, F.concat(F.lit("/Cour "), size, F.lit(" Tf"))).otherwise("Helv 12")
+    return v.g_field(s, d).withColumn("da", made).select("ordinal", t.appearance("da").alias("a")).select("ordinal", "a.font", "a.size", "a.color")
 
 
 # ---- interpreters and sessions

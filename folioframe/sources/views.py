@@ -7,16 +7,27 @@ All have the keys doc_id, page_id and ordinal.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Pieces of a visual line.
+WRAP = 12
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _visual_lines(text: Column) -> Column:
+    """A text's lines, laid out over visual lines of at most twelve blank-separated pieces. Every piece is kept."""
+    pieces = lambda x: F.split(x, " ")
+    starts = lambda x: F.sequence(F.lit(0), F.floor((F.size(pieces(x)) - 1) / WRAP).cast("int"))
+    return F.flatten(F.transform(F.split(text, "\n"), lambda x: F.transform(starts(x), lambda i: F.array_join(F.slice(pieces(x), i * WRAP + 1, F.lit(WRAP)), " "))))
+
+
 def g_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "text"))
+    """Visual lines of documents, forty to a page."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(_visual_lines(F.col("text"))).alias("ln", "text"))
     k = F.col("ln") % 40
     return d.select(
         "doc_id", F.floor(F.col("ln") / 40).cast("long").alias("page_id"), k.cast("long").alias("ordinal"), F.col("ln").cast("long").alias("ln"), "text",
@@ -27,15 +38,15 @@ def g_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of lines: the first twelve, without blanks. No shuffle: positions are sums within a line's array."""
+    """Words of visual lines, without blanks. No shuffle: positions are sums within a line's array."""
     line = g_line(spark, sf_dir)
-    words = F.slice(F.split("text", " "), 1, 12)
+    words = F.split("text", " ")
     widths = F.transform("ws", lambda w: F.when(F.trim(w) == "", F.lit(0.0)).otherwise((F.length(w) + 1) * F.col("font_size") / 2 + F.col("font_size") / 2))
     line = line.withColumn("ws", words).withColumn("adv", widths)
     w = F.posexplode(F.transform("ws", lambda x, i: F.struct(x.alias("t"), F.aggregate(F.slice("adv", 1, i), F.lit(0.0), lambda a, b: a + b).alias("sum")))).alias("w", "x")
     line = line.select("doc_id", "page_id", "ln", F.col("ordinal").alias("k"), "y", "font_size", "bold", w).where(F.trim("x.t") != "")
     return line.select(
-        "doc_id", "page_id", (F.col("k") * 12 + F.col("w")).cast("long").alias("ordinal"), "ln", F.col("x.t").alias("text"),
+        "doc_id", "page_id", (F.col("k") * WRAP + F.col("w")).cast("long").alias("ordinal"), "ln", F.col("x.t").alias("text"),
         (F.lit(72.0) + F.floor(F.col("w") / 6) * 60 + F.col("x.sum")).alias("x"), (F.col("y") + F.col("w") % 3).alias("y"),
         (F.length("x.t") * F.col("font_size") / 2).alias("width"), F.col("font_size").alias("height"), "font_size", "bold",
         F.element_at(F.array(F.lit("000000"), F.lit("ff0000"), F.lit("0000ff")), (F.pmod(F.col("doc_id") + F.col("ln"), F.lit(3)) + 1).cast("int")).alias("color"),
@@ -59,14 +70,16 @@ def g_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # sixty fields to a page, whatever the table's size
     k = F.col("c_custkey")
+    page = F.floor(k / 60 % 5).cast("long")
     kind = F.create_map(*[F.lit(v) for p in {"AUTOMOBILE": "Tx", "BUILDING": "Btn", "FURNITURE": "Ch", "HOUSEHOLD": "Tx", "MACHINERY": "Push"}.items() for v in p])
     return table(spark, sf_dir, "customer").select(
-        F.floor(F.col("c_nationkey") / 5).cast("long").alias("doc_id"), (F.col("c_nationkey") % 5).cast("long").alias("page_id"), k.alias("ordinal"),
-        F.concat(F.lit("form[0].page["), (F.col("c_nationkey") % 5).cast("string"), F.lit("]."), F.lower("c_mktsegment"), F.lit("["), (k % 7).cast("string"), F.lit("]")).alias("name"),
+        F.floor(k / 300).cast("long").alias("doc_id"), page.alias("page_id"), k.alias("ordinal"),
+        F.concat(F.lit("form[0].page["), page.cast("string"), F.lit("]."), F.lower("c_mktsegment"), F.lit("["), (k % 7).cast("string"), F.lit("]")).alias("name"),
         kind[F.col("c_mktsegment")].alias("type"), F.when(F.col("c_acctbal") < 0, "").otherwise(F.col("c_name")).alias("value"),
         (k % 2 == 0).alias("required"), (k % 15 + 10).alias("max_length"),
-        (F.lit(60.0) + k % 3 * 160).alias("x"), (F.lit(90.0) + F.floor(k / 3) % 16 * 40 + k % 5).cast("double").alias("y"), F.lit(120.0).alias("width"), F.lit(18.0).alias("height"),
+        (F.lit(60.0) + k % 3 * 160).alias("x"), (F.lit(90.0) + F.floor(k / 3) % 16 * 40 + k % 4).cast("double").alias("y"), F.lit(120.0).alias("width"), F.lit(18.0).alias("height"),
     )
 
 
@@ -101,9 +114,10 @@ SQL = r"""
 g_line AS (
   SELECT doc_id, ln // 40 AS page_id, ln % 40 AS ordinal, ln, text, (72 + 14 * (ln % 40) + 20 * ((ln % 40) // 5))::DOUBLE AS y,
     (CASE WHEN ln % 40 = 0 THEN 18 WHEN ln % 13 = 0 THEN 15 WHEN ln % 17 = 0 THEN 13.5 ELSE 12 END)::DOUBLE AS font_size, ln % 17 = 0 AS bold
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, (unnest(range(len(string_split(text, chr(10))))))::BIGINT AS ln FROM documents)
+  FROM (SELECT doc_id, unnest(v) AS text, unnest(range(len(v)))::BIGINT AS ln FROM (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)),
+    lambda x: list_transform(range((len(string_split(x, ' ')) + 11) // 12), lambda i: array_to_string(string_split(x, ' ')[i * 12 + 1 : i * 12 + 12], ' ')))) AS v FROM documents))
 ), g_word AS (
-  SELECT doc_id, page_id, ln, ordinal AS k, y, font_size, bold, unnest(string_split(text, ' ')[1:12]) AS text, unnest(range(least(12, len(string_split(text, ' ')))))::BIGINT AS w FROM g_line
+  SELECT doc_id, page_id, ln, ordinal AS k, y, font_size, bold, unnest(string_split(text, ' ')) AS text, unnest(range(len(string_split(text, ' '))))::BIGINT AS w FROM g_line
 ), g_text AS (
   SELECT doc_id, page_id, k * 12 + w AS ordinal, ln, text,
     72 + 60 * (w // 6) + coalesce(sum((length(text) + 1) * font_size / 2 + font_size / 2) OVER (PARTITION BY doc_id, ln ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS x,
@@ -115,11 +129,11 @@ g_line AS (
     CASE WHEN l_returnflag <> 'N' THEN lower(l_returnflag) END AS stroke, CASE WHEN l_linestatus <> 'O' THEN (l_suppkey % 3)::VARCHAR END AS fill, 1.0::DOUBLE AS line_width
   FROM lineitem
 ), g_field AS (
-  SELECT (c_nationkey // 5)::BIGINT AS doc_id, (c_nationkey % 5)::BIGINT AS page_id, c_custkey AS ordinal,
-    'form[0].page[' || (c_nationkey % 5) || '].' || lower(c_mktsegment) || '[' || (c_custkey % 7) || ']' AS name,
+  SELECT c_custkey // 300 AS doc_id, c_custkey // 60 % 5 AS page_id, c_custkey AS ordinal,
+    'form[0].page[' || (c_custkey // 60 % 5) || '].' || lower(c_mktsegment) || '[' || (c_custkey % 7) || ']' AS name,
     CASE c_mktsegment WHEN 'BUILDING' THEN 'Btn' WHEN 'FURNITURE' THEN 'Ch' WHEN 'MACHINERY' THEN 'Push' ELSE 'Tx' END AS type,
     CASE WHEN c_acctbal < 0 THEN '' ELSE c_name END AS value, c_custkey % 2 = 0 AS required, c_custkey % 15 + 10 AS max_length,
-    (60 + 160 * (c_custkey % 3))::DOUBLE AS x, (90 + 40 * (c_custkey // 3 % 16) + c_custkey % 5)::DOUBLE AS y, 120.0::DOUBLE AS width, 18.0::DOUBLE AS height
+    (60 + 160 * (c_custkey % 3))::DOUBLE AS x, (90 + 40 * (c_custkey // 3 % 16) + c_custkey % 4)::DOUBLE AS y, 120.0::DOUBLE AS width, 18.0::DOUBLE AS height
   FROM customer
 ), g_image AS (
   SELECT p_partkey // 20 AS doc_id, p_partkey % 4 AS page_id, p_partkey AS ordinal, 'Im' || (p_partkey % 5) AS name, (p_size * 4)::DOUBLE AS width, (p_size * 5)::DOUBLE AS height,
