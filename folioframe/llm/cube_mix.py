@@ -7,12 +7,17 @@ fractional inclusion probabilities moves through the null space of two
 constraints (words, documents) until entries reach 0 or 1.
 
 Flight in blocks: units of a source are dealt by a hash into blocks of bounded
-size. A block's flight leaves at most two fractional units, which keep their
-probabilities. Those of many blocks form the blocks of the next level, so the
-number left falls by a large factor each level, until one block per source is left.
-There the rest flies from large to small under the word constraint alone, two units of
-like size at a time (which nearly keeps the documents too), so that the one unit left
-for landing is a small one where the source has small ones.
+size, and every block flies, also the only one of a small source. A flight leaves at
+most two fractional units, which keep their probabilities; those of many blocks form
+the blocks of the next level. What is left at last meets the units of the source's
+block 0, flies once more, and the one or two units left then land by chance. Landing
+leaves a gap of words, which swaps of one copy between two units of block 0 close:
+they keep the number of documents. Only a gap wider than any unit takes or gives
+single copies.
+
+Giants, units over ``1 / GIANT`` of a source of many blocks, fly and land first, and the
+rest of the target is shared by the other units, whose probabilities move: no later
+swap could make up for a giant.
 
 Everything is decided by hashes of ids and a seed, so reruns agree.
 
@@ -25,6 +30,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +46,8 @@ BLOCK = 2048
 GATHER = 512
 #: Sources up to which their plan (under 100 bytes each) is broadcast.
 FEW = 20_000
+#: A unit over this part of its source is a giant.
+GIANT = 64
 SEED = 20
 EPS = 1e-9
 
@@ -109,77 +117,144 @@ def flight(size: list[int], prob: list[float], key) -> list[float]:
     return p
 
 
-def settle(size: list[int], prob: list[float], key) -> list[float]:
-    """The last block of a source: flight from large to small under the word constraint, then landing of one unit."""
-    p = list(prob)
-    draws = np.random.default_rng(int(_chance("settle", key) * 2**53)).random(len(p) + 1)
-    held = None
-    for n, i in enumerate(sorted((i for i, x in enumerate(p) if EPS < x < 1 - EPS), key=lambda i: -size[i])):
-        if held is None:
-            held = i
-            continue
-        u = {held: size[i], i: -size[held]} if size[held] else {held: 1, i: -1}
-        up = min(((1 - p[k]) / d if d > 0 else p[k] / -d) for k, d in u.items() if d)
-        down = min((p[k] / d if d > 0 else (1 - p[k]) / -d) for k, d in u.items() if d)
-        step = up if draws[n] * (up + down) < down else -down
-        for k, d in u.items():
-            x = p[k] + step * d
-            p[k] = 0.0 if x < EPS else 1.0 if x > 1 - EPS else x
-        held = next((k for k in (held, i) if 0.0 < p[k] < 1.0), None)
-    if held is not None:
-        p[held] = float(_chance("landing", key) < p[held])
-    return [float(round(x)) for x in p]
+def land(size: list[int], prob: list[float], key) -> list[int]:
+    """Whole copies (0 or 1) from probabilities: a flight, then chance for the one or two units that it leaves."""
+    p = flight(size, prob, (key, "last"))
+    return [int(round(x)) if not EPS < x < 1 - EPS else int(_chance("landing", key, i) < x) for i, x in enumerate(p)]
 
 
-def _fly(units: pa.Table, last: bool) -> pa.Table:
-    rows = [units[c].to_pylist() for c in ("order", "size", "prob", "rank", "block")]
-    at = sorted(range(units.num_rows), key=lambda i: (rows[0][i], rows[1][i]))
-    key = (rows[3][0], rows[4][0], last)
-    size = [rows[1][i] for i in at]
-    p = (settle if last else flight)(size, [rows[2][i] for i in at], key)
-    prob = np.zeros(len(at))
-    prob[at] = p
-    return units.set_column(units.schema.get_field_index("prob"), "prob", pa.array(prob))
+def close_gap(size: np.ndarray, copies: np.ndarray, gap: float, most: int) -> np.ndarray:
+    """Copies from 0 to ``most`` whose words are more by about ``gap``.
 
+    While the gap is wider than any unit, units take (or give) a copy each in their
+    order; then the best swap of a copy between two units is made as long as it helps.
+    """
+    copies = copies.copy()
+    widest = size.max(initial=0)
+    while abs(gap) > widest > 0:
+        able = np.flatnonzero((size > 0) & ((copies < most) if gap > 0 else (copies > 0)))
+        some = able[np.cumsum(size[able]) <= abs(gap)]
+        if not len(some):
+            break
+        copies[some] += 1 if gap > 0 else -1
+        gap -= np.sign(gap) * size[some].sum()
+    for _ in range(64):
+        up, down = np.flatnonzero(copies < most), np.flatnonzero(copies > 0)
+        if not len(up) or not len(down) or abs(gap) < 0.5:
+            break
+        down = down[np.argsort(size[down], kind="stable")]
+        at = np.searchsorted(size[down], size[up] - gap)
+        near = np.stack([np.clip(at - 1, 0, len(down) - 1), np.clip(at, 0, len(down) - 1)])
+        left = np.abs(gap - (size[up] - size[down][near]))
+        side, i = np.unravel_index(left.argmin(), left.shape)
+        if left[side, i] >= abs(gap) - 1e-9:
+            break
+        copies[up[i]] += 1
+        copies[down[near[side, i]]] -= 1
+        gap -= size[up[i]] - size[down[near[side, i]]]
+    if len(size) and abs(gap) >= 0.5:  # a single copy where no swap helps
+        able = np.flatnonzero((size > 0) & ((copies < most) if gap > 0 else (copies > 0)))
+        left = np.abs(abs(gap) - size[able])
+        if len(able) and left.min() < abs(gap):
+            copies[able[left.argmin()]] += 1 if gap > 0 else -1
+    return copies
+
+
+def _ordered(units: pa.Table) -> tuple[list[int], list[int], list[float]]:
+    order, size, prob = (units[c].to_pylist() for c in ("order", "size", "prob"))
+    at = sorted(range(units.num_rows), key=lambda i: (order[i], size[i]))
+    return at, [size[i] for i in at], [prob[i] for i in at]
+
+
+def _put(units: pa.Table, name: str, at: list[int], values, kind) -> pa.Table:
+    out = np.zeros(len(at), kind)
+    out[at] = values
+    return units.set_column(units.schema.get_field_index(name), name, pa.array(out))
+
+
+def _fly(units: pa.Table) -> pa.Table:
+    """One block's flight."""
+    at, size, prob = _ordered(units)
+    return _put(units, "prob", at, flight(size, prob, (units["rank"][0].as_py(), units["block"][0].as_py())), np.float64)
+
+
+def _land(units: pa.Table, most: int) -> pa.Table:
+    """The last block of a source: its copies, whose words are to come to ``rest``."""
+    at, size, prob = _ordered(units)
+    sure = np.array([units["sure"][i].as_py() for i in at])
+    copies = sure + np.array(land(size, prob, units["rank"][0].as_py()))
+    words = np.array(size)
+    low, high = units["low"][0].as_py(), units["high"][0].as_py()  # what others leave to these units
+    taken = float((words * copies).sum())
+    gap = low - taken if taken < low else high - taken if taken > high else 0.0
+    return _put(units, "sure", at, close_gap(words, copies, gap, most), np.int64)
+
+
+def _with_ratio(units: DataFrame, ratio) -> DataFrame:
+    """units with their sure copies and the probability of one more."""
+    whole = F.floor(ratio + EPS)
+    return units.withColumn("sure", whole.cast("long")).withColumn("prob", F.greatest(ratio - whole, F.lit(0.0)))
 
-def _flown(units: DataFrame, last: bool) -> DataFrame:
-    return units.groupBy("rank", "block").applyInArrow(lambda t: _fly(t, last), units.schema)
+
+def _by_rank(units: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """units with their source's row of a plan: sent to all tasks if sources are few, else joined with Spark's splitting of skewed keys."""
+    return units.join(F.broadcast(plan) if few else plan.hint("merge"), "rank", "left")
 
 
 def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for rows (doc_id, source, size)."""
     sizes = checkpointed(sizes)
     plan = targets(sizes, weights, most)
-    # the number of units of the largest source says how many levels there are
     largest, n_sources = plan.agg(F.max("n"), F.count(F.lit(1))).first()
+    columns = ["doc_id", "source", "size", "source_size", "target"]
     if largest is None:
-        return sizes.join(plan, "source").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("copies"))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(ratio + EPS)
+        return sizes.join(plan, "source").select(*columns, F.lit(0).cast("long").alias("copies"))
+    few = n_sources <= FEW
     order = F.xxhash64("doc_id", "size", F.lit(SEED))
-    plan = plan.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("sure", whole).withColumn("prob", F.greatest(ratio - whole, F.lit(0.0)))
-    # one row for each source: sent to all tasks if few, else joined with Spark's splitting of skewed keys
-    plan = plan.withColumnRenamed("source", "of")
-    units = sizes.join(F.broadcast(plan) if n_sources <= FEW else plan.hint("merge"), F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "source", "size", "source_size", "target", "rank", F.col("sure").cast("long").alias("sure"), "prob",
-        order.alias("order"), F.pmod(order, F.col("blocks")).cast("long").alias("block"),
+    plan = plan.withColumn("blocks", F.ceil(F.col("n") / block)).withColumnRenamed("source", "of")
+    units = sizes.join(F.broadcast(plan) if few else plan.hint("merge"), F.col("source").eqNullSafe(F.col("of"))).select(
+        *columns, "rank", order.alias("order"), F.pmod(order, F.col("blocks")).cast("long").alias("block"),
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("ratio"),
+        ((F.col("blocks") > 1) & (F.col("size") * GIANT > F.col("source_size"))).alias("giant"),
     )
-    done = units.where("prob <= 0").withColumn("copies", F.col("sure"))
-    open_units = units.where("prob > 0")
+    top = int(most)
+    landed = lambda df: df.groupBy("rank").applyInArrow(lambda t: _land(t, top), df.schema)
+    parts = []
+    if largest > block:  # giants first, then the ratio of the others
+        giants = units.where("giant")
+        held = giants.groupBy("rank").agg(F.sum("size").alias("held"))
+        least = F.greatest(F.lit(0.0), F.col("target") - most * (F.col("source_size") - F.col("held")))
+        giants = _by_rank(_with_ratio(giants, F.col("ratio")), held, few).withColumn("low", least).withColumn("high", F.col("target")).drop("held")
+        giants = checkpointed(landed(giants))
+        parts.append(giants.withColumn("copies", F.col("sure")))
+        taken = giants.groupBy("rank").agg(F.sum(F.col("size") * F.col("sure")).alias("taken"), F.sum("size").alias("held"))
+        units = _by_rank(units.where("not giant"), taken, few)
+        rest, room = F.col("target") - F.col("taken"), F.col("source_size") - F.col("held")
+        moved = F.when(room > 0, F.least(F.lit(float(most)), F.greatest(F.lit(0.0), rest / room))).otherwise(0.0)
+        units = units.withColumn("ratio", F.when(F.col("taken").isNull(), F.col("ratio")).otherwise(moved)).withColumn("target_left", F.coalesce(rest, F.col("target"))).drop("taken", "held")
+    else:
+        units = units.withColumn("target_left", F.col("target"))
+    flown = _with_ratio(units, F.col("ratio"))
+    flown = checkpointed(flown.groupBy("rank", "block").applyInArrow(_fly, flown.schema))
+    last, level = flown.where("block = 0"), flown.where("block <> 0")
+    fractional = (F.col("prob") > EPS) & (F.col("prob") < 1 - EPS)
+    copied = F.col("sure") + F.round("prob").cast("long")
+    fixed = [level.where(~fractional)]
     n_blocks = -(-largest // block)
-    parts = [done]
-    while n_blocks > 1:
-        flown = checkpointed(_flown(open_units, False))
-        fixed = flown.where(f"prob <= {EPS} or prob >= {1 - EPS}")
-        parts.append(fixed.withColumn("copies", F.col("sure") + F.round("prob").cast("long")))
+    left = level.where(fractional)
+    while n_blocks > GATHER:  # blocks of what the level before left
         n_blocks = -(-n_blocks // GATHER)
-        open_units = flown.where(f"prob > {EPS} and prob < {1 - EPS}").withColumn("block", F.pmod(F.xxhash64("block"), F.lit(n_blocks)))
-    landed = _flown(open_units.withColumn("block", F.lit(0).cast("long")), True)
-    parts.append(landed.withColumn("copies", F.col("sure") + F.round("prob").cast("long")))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies")
+        again = left.withColumn("block", F.pmod(F.xxhash64("block"), F.lit(n_blocks)))
+        again = checkpointed(again.groupBy("rank", "block").applyInArrow(_fly, again.schema))
+        fixed.append(again.where(~fractional))
+        left = again.where(fractional)
+    done = reduce(DataFrame.unionByName, fixed).withColumn("copies", copied)
+    words = done.groupBy("rank").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
+    last = _by_rank(last.unionByName(left), words, few)
+    rest = F.col("target_left") - F.coalesce(F.col("words"), F.lit(0))
+    last = landed(last.withColumn("low", rest).withColumn("high", rest).drop("words"))
+    parts += [done, last.withColumn("copies", F.col("sure"))]
+    return reduce(DataFrame.unionByName, [x.select(*columns, "copies") for x in parts])
 
 
 def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
