@@ -3,21 +3,21 @@
 A fingerprint holds 64 majority bits over the hashes of a text's shingles.
 Linking works on distinct fingerprints only, so copies cost nothing:
 
-1. Top nodes. Fingerprints at most ``radius`` bits apart agree on at least
-   ``blocks - radius`` of ``blocks`` bit blocks. Each choice of blocks is a mask;
-   equal masked bits are a top node. Nodes are dealt over the tasks.
-2. Within a node the fingerprints are sorted by Gray rank, so neighbours share
+1. Dealing. Of ``radius + 1`` equal bit fields, fingerprints at most ``radius`` bits
+   apart agree on one at least. For each field, its first bits deal the fingerprints
+   into ranges; there are so many of these bits that a range holds ``RANGE``
+   fingerprints on average. One that holds over ``CROWD`` is dealt again by the fields
+   of its other bits, until it doesn't or few bits are left.
+2. The index. The fingerprints of a range are sorted by Gray rank, so neighbours share
    many bits. Runs of ``FANOUT`` form the next nodes upwards; a node stores the bits
    on which its whole run agrees (mask and pattern).
-3. A search walks down with an accumulated difference: each node adds only the
-   differing bits that its mask fixes beyond its parent's. Over ``radius``, the whole
-   group is dropped. At the entries the accumulated difference is the distance.
+3. The search is of the index in itself, node against node, from the top. A pair of
+   nodes carries its accumulated difference; a pair of children adds the differing bits
+   that both masks fix and their parents' didn't. Over ``radius``, both whole groups
+   are dropped. At the entries the accumulated difference is the distance.
 4. A task reduces its links to a spanning forest; the forests are joined by
    alternating star contraction, in tables, with reliable checkpoints.
 
-A top node that holds many fingerprints is dealt again by blocks of the bits it
-does not fix, which bounds it by 2 ** 16 fingerprints and stays exact.
-
 Defined results: null and blank texts have fingerprint zero and link like any
 other; rows without id take part and are returned; equal rows are all returned;
 an empty table gives an empty result; other columns are ignored.
@@ -25,22 +25,23 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, short_batches
+from .common import checkpointed, map_rows
 
 SEED = 42
 FANOUT = 16
-#: Fingerprints in a hash bucket of top nodes, beyond four times the mean, from which the nodes are dealt again.
-CROWD = 20_000
-BUCKETS = 4096
+#: Fingerprints of a range on average, and those from which it is dealt again.
+RANGE, CROWD = 1024, 16_384
+#: Pairs of nodes that the search holds at once.
+PIECE = 2_000_000
 ONES = 0xFFFFFFFFFFFFFFFF
 
 
@@ -91,18 +92,17 @@ class GrayIndex:
         order = np.lexsort((gray_rank(fps), group))
         self.fps, group = fps[order], group[order]
         self.order = order
+        self.dropped = self.kept = 0  # pairs of groups that searches have dropped and opened
         ones = np.full(len(fps), ONES, np.uint64)
         # level 0: the entries; each level: mask, pattern, first child, children
         self.levels = [(ones, self.fps, None, None)]
         mask, pattern = ones, self.fps
-        while True:
+        while len(group):
             n = len(group)
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             size = np.diff(np.r_[starts, n])
             place = np.arange(n) - np.repeat(starts, size)
             first = np.flatnonzero(place % fanout == 0)
-            if not n:
-                break
             both, either = np.bitwise_and.reduceat(pattern, first), np.bitwise_or.reduceat(pattern, first)
             mask = np.bitwise_and.reduceat(mask, first) & ~(both ^ either)
             pattern = both & mask
@@ -110,47 +110,36 @@ class GrayIndex:
             group = group[first]
             if size.max() <= fanout:
                 break
-        self.root_of = np.repeat(np.arange(len(self.levels[-1][0])), self._span()) if len(fps) else np.zeros(0, np.int64)
-
-    def _span(self) -> np.ndarray:
-        span = np.ones(len(self.fps), np.int64)
-        for _, _, first, _ in self.levels[1:]:
-            span = np.add.reduceat(span, first)
-        return span
-
-    def search(self, fps: np.ndarray, roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query number, place in ``self.fps``, distance) of all within radius."""
-        q = np.arange(len(fps))
-        node = roots
-        mask, pattern, _, _ = self.levels[-1]
-        acc = np.bitwise_count((fps ^ pattern[node]) & mask[node]).astype(np.int16)
-        for level in range(len(self.levels) - 1, 0, -1):
-            keep = acc <= radius
-            q, node, acc = q[keep], node[keep], acc[keep]
+
+    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, later place, distance) of all pairs within radius, in bounded pieces."""
+        top = len(self.levels) - 1
+        roots = np.arange(len(self.levels[top][0]) if top else 0)
+        todo = [(top, roots, roots, np.zeros(len(roots), np.int16))]
+        while todo:
+            level, a, b, acc = todo.pop()
+            if not level:
+                yield a, b, acc
+                continue
             mask, _, first, count = self.levels[level]
             below, pattern, _, _ = self.levels[level - 1]
-            n = count[node]
-            child = np.repeat(first[node] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else node
-            fresh = below[child] & ~np.repeat(mask[node], n)
-            q = np.repeat(q, n)
-            acc = np.repeat(acc, n) + np.bitwise_count((fps[q] ^ pattern[child]) & fresh).astype(np.int16)
-            node = child
-        keep = acc <= radius
-        return q[keep], node[keep], acc[keep]
-
-    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places (smaller first) within radius, in bounded pieces."""
-        sizes = np.bincount(self.root_of, minlength=1)[self.root_of] if len(self.fps) else np.zeros(0, np.int64)
-        todo = np.flatnonzero(sizes > 1)
-        at = 0
-        while at < len(todo):
-            step = int(max(64, min(65536, 4_000_000 // max(16, sizes[todo[at : at + 65536]].max()))))
-            mine = todo[at : at + step]
-            q, p, _ = self.search(self.fps[mine], self.root_of[mine], radius)
-            a = mine[q]
-            keep = a < p
-            yield a[keep], p[keep]
-            at += step
+            n = count[a] * count[b]
+            if len(a) > 1 and n.sum() > PIECE:
+                half = len(a) // 2
+                todo += [(level, a[half:], b[half:], acc[half:]), (level, a[:half], b[:half], acc[:half])]
+                continue
+            pair = np.repeat(np.arange(len(a)), n)
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+            x, y = first[a][pair] + at // count[b][pair], first[b][pair] + at % count[b][pair]
+            once = x <= y if level > 1 else x < y  # within a node, each pair once; an entry is no pair with itself
+            pair, x, y = pair[once], x[once], y[once]
+            fresh = below[x] & below[y] & ~(mask[a] & mask[b])[pair]
+            new = acc[pair] + np.bitwise_count((pattern[x] ^ pattern[y]) & fresh).astype(np.int16)
+            near = new <= radius
+            if level > 1:
+                self.kept += int(near.sum())
+                self.dropped += int(len(near) - near.sum())
+            todo.append((level - 1, x[near], y[near], new[near]))
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -169,86 +158,89 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def block_masks(bits: int, blocks: int, equal: int) -> list[int]:
-    """Masks of each choice of ``equal`` of the blocks that ``bits`` falls into."""
-    places = [i for i in range(64) if bits >> i & 1]
-    parts = [reduce(int.__or__, (1 << p for p in places[k * len(places) // blocks : (k + 1) * len(places) // blocks]), 0) for k in range(blocks)]
-    return [reduce(int.__or__, c) for c in combinations(parts, equal)]
+def fields(bits: int, n: int) -> list[int]:
+    """Masks of the n fields that ``bits`` falls into, from the highest bit down."""
+    places = [i for i in range(63, -1, -1) if bits >> i & 1]
+    return [sum(1 << p for p in places[k * len(places) // n : (k + 1) * len(places) // n]) for k in range(n)]
+
+
+def first_bits(mask: int, n: int) -> int:
+    """The n highest bits of a mask."""
+    return sum(1 << p for p in [i for i in range(63, -1, -1) if mask >> i & 1][:n])
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _masked(mask: int) -> Column:
-    return F.col("fp").bitwiseAND(F.lit(_signed(mask)))
+def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """(mask, key, fp): fps by their bits in each of the masks."""
+    one = lambda m: F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"))
+    return fps.select("fp", F.explode(F.array(*[one(m) for m in masks])).alias("x")).select("x.mask", "x.key", "fp")
 
 
 def _dealt(fps: DataFrame, radius: int) -> DataFrame:
-    """(mask, key, fp): one row for each choice of blocks. Crowded nodes by finer keys."""
-    blocks = radius + 2
-    masks = block_masks(ONES, blocks, 2)
-    one = lambda m: F.struct(F.lit(_signed(m)).alias("mask"), _masked(m).alias("key"))
-    rows = fps.select("fp", F.explode(F.array(*[one(m) for m in masks])).alias("x")).select("x.mask", "x.key", "fp")
-    bucket = F.pmod(F.hash("mask", "key"), F.lit(BUCKETS)).alias("bucket")
-    counted = rows.groupBy(bucket).count().collect()  # BUCKETS rows at most
-    mean = sum(r["count"] for r in counted) / BUCKETS
-    crowded = [r["bucket"] for r in counted if r["count"] > CROWD + 4 * mean]
-    if not crowded:
-        return rows
-    crowd = bucket.isin(crowded)
-    finer = F.lit(None)
-    for m in masks:
-        finer = F.when(F.col("mask") == _signed(m), F.array(*[one(m | k) for k in block_masks(ONES & ~m, blocks, 2)])).otherwise(finer)
-    again = rows.where(crowd).select("fp", F.explode(finer).alias("x")).select("x.mask", "x.key", "fp")
-    return rows.where(~crowd).unionByName(again)
+    """(mask, key, fp): the ranges of all fields; those that are too full by finer keys."""
+    n, own = fps.count(), 64 // (radius + 1)
+    bits = min(own, max(0, math.ceil(math.log2(max(1, n / RANGE)))))
+    masks = [first_bits(m, bits) for m in fields(ONES, radius + 1)] if bits else [0]
+    rows = _keyed(fps, masks)
+    parts = []
+    while True:
+        # at most one range in CROWD rows is full, so few are counted out
+        full = checkpointed(rows.groupBy("mask", "key").count().where(F.col("count") > CROWD).select("mask", "key"))
+        known = sorted(r["mask"] & ONES for r in full.select("mask").distinct().collect())  # some of the few masks
+        finer = {m: [m | x for x in fields(ONES & ~m, radius + 1)] for m in known if (ONES & ~m).bit_count() > 16}
+        if not finer:
+            break
+        full = full.where(F.col("mask").isin([_signed(m) for m in finer]))
+        parts.append(rows.join(full, ["mask", "key"], "left_anti"))
+        crowd = rows.join(full, ["mask", "key"], "left_semi")
+        rows = reduce(DataFrame.unionByName, [_keyed(crowd.where(F.col("mask") == _signed(m)).select("fp"), x) for m, x in finer.items()])
+    return reduce(DataFrame.unionByName, [*parts, rows])
 
 
 def _link_tasks(radius: int, rows_at_once: int = 1_000_000):
-    def some(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        mask, key, fp = (np.concatenate(x) for x in zip(*parts))
-        change = np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]
-        group = np.cumsum(change)
+    def some(mask: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        group = np.cumsum(np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
         index = GrayIndex(group, fp.view(np.uint64))
         distinct, number = np.unique(index.fps, return_inverse=True)
-        pairs = [(number[a], number[b]) for a, b in index.links(radius)]
-        if not pairs:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = (np.concatenate(x) for x in zip(*pairs))
-        label = forest(a, b, len(distinct))
+        label = np.arange(len(distinct))
+        for a, b, _ in index.pairs(radius):
+            label = forest(label[number[a]], label[number[b]], len(distinct))[label]
         other = np.flatnonzero(label != np.arange(len(distinct)))
-        return distinct[other].view(np.int64), distinct[label[other]].view(np.int64)
+        cols = distinct[other].view(np.int64), distinct[label[other]].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        held = 0
+        for cols in whole_groups(batches, 2, rows_at_once):
+            yield some(*cols)
 
-        def emit(parts):
-            a, b = some(parts)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    return run
 
-        for x in batches:
-            if not x.num_rows:
-                continue
-            parts.append(tuple(c.to_numpy(zero_copy_only=False) for c in x.columns))
-            held += x.num_rows
-            if held >= rows_at_once:
-                mask, key, fp = (np.concatenate(y) for y in zip(*parts))
-                last = np.flatnonzero((mask != mask[-1]) | (key != key[-1]))
-                cut = int(last[-1]) + 1 if len(last) else 0  # a node stays whole
-                if cut:
-                    yield emit([(mask[:cut], key[:cut], fp[:cut])])
-                parts = [(mask[cut:], key[cut:], fp[cut:])]
-                held = 0
-        if parts:
-            yield emit(parts)
 
-    return run
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows_at_once: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches in pieces that hold whole groups by the first ``keys`` columns."""
+    parts: list[list[np.ndarray]] = []
+    held = 0
+    for x in batches:
+        if not x.num_rows:
+            continue
+        parts.append([c.to_numpy(zero_copy_only=False) for c in x.columns])
+        held += x.num_rows
+        if held >= rows_at_once:
+            cols = [np.concatenate(c) for c in zip(*parts)]
+            last = np.flatnonzero(np.any([c != c[-1] for c in cols[:keys]], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield [c[:cut] for c in cols]
+            parts, held = [[c[cut:] for c in cols]], 0
+    if parts:
+        yield [np.concatenate(c) for c in zip(*parts)]
 
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b): links that join what distinct ``fps`` (column fp) within radius join."""
-    short_batches(fps.sparkSession, 65536)
     dealt = _dealt(fps, radius).repartition("mask", "key").sortWithinPartitions("mask", "key")
     return dealt.mapInArrow(_link_tasks(radius), "a long, b long")
 
@@ -259,48 +251,72 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     def tidy(e: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def state(e: DataFrame) -> tuple:
-        r = e.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        return tuple(r)
-
     edges = checkpointed(tidy(edges))
-    before = state(edges)
-    for _ in range(rounds if before[0] else 0):
+    settled = edges.isEmpty()
+    for _ in range(rounds):
+        if settled:
+            break
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = tidy(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        edges = checkpointed(tidy(small.select("b", "m").toDF("a", "b").union(low.select("a", "m").toDF("a", "b"))))
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        new = checkpointed(tidy(small.select("b", "m").toDF("a", "b").union(low.select("a", "m").toDF("a", "b"))))
+        # rows are distinct, so equal numbers and no new row mean equal tables
+        settled = new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty()
+        edges = new
+    if not settled:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def labelled(rows: DataFrame, found: DataFrame, key: str, doc_id: str = "doc_id") -> DataFrame:
+    """rows with component_id: the smallest id of all rows whose ``key`` is theirs or linked to it by ``found`` (node, root).
+
+    A key of over a 10,000th of all rows is joined by broadcast, since there are fewer
+    than 10,000 of these; so no key lands in one task with more than that share.
+    """
+    member = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    classes = checkpointed(rows.groupBy(key).agg(F.min(doc_id).alias("rep"), F.count(F.lit(1)).alias("n")))
+    named = member.join(classes, member["node"] == classes[key])
+    smallest = named.groupBy("root").agg(F.min("rep").alias("smallest"))
+    of = named.select(key, "root").join(smallest, "root").select(key, "smallest")
+    # a key of one row and without link needs no label
+    label = classes.join(of, key, "left").where("n > 1 or smallest is not null").select(key, "n", F.coalesce("smallest", "rep").alias("component_id"))
+    most = rows.count() / 10_000
+    hot = label.where(F.col("n") > most).select(key, F.col("component_id").alias("hot"))
+    cold = label.where(F.col("n") <= most).select(key, "component_id")
+    marked = rows.join(F.broadcast(hot), key, "left")
+    far = marked.where("hot is null").drop("hot").join(cold, key, "left").withColumn("component_id", F.coalesce("component_id", doc_id))
+    return far.unionByName(marked.where("hot is not null").withColumnRenamed("hot", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id reachable by links."""
     marked = checkpointed(fingerprints(docs, width, doc_id, text))
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = components(links(classes.select("fp"), radius))
-    member = found.union(found.select("root", "root").distinct())
-    named = member.join(classes, member["node"] == classes["fp"])
-    smallest = named.groupBy("root").agg(F.min("rep").alias("smallest"))
-    of = named.join(smallest, "root").select("fp", "smallest")
-    classes = classes.join(of, "fp", "left").select("fp", F.coalesce("smallest", "rep").alias("component_id"))
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    found = components(links(checkpointed(marked.select("fp").distinct()), radius))
+    return labelled(marked, found, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group: that of the smallest id. Rows without id stay."""
-    found = near_duplicates(docs, width, radius, doc_id, text)
+def first_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each group: that of the smallest id. Rows without id stay.
+
+    Of rows that share that id, the first by all columns' text stays, so reruns agree.
+    """
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    whole = docs.join(kept, F.col(doc_id) == F.col("__id"), "left_semi").dropDuplicates([doc_id])
-    return whole.unionByName(docs.where(F.col(doc_id).isNull()))
+    whole = docs.join(kept, F.col(doc_id) == F.col("__id"), "left_semi")
+    again = whole.groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("__id"))
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"})
+    # ids that repeat are few as a rule: only their rows are sorted
+    twice = whole.join(again, F.col(doc_id) == F.col("__id"), "left_semi").withColumn("__text", text)
+    first = twice.withColumn("__n", F.row_number().over(Window.partitionBy(doc_id).orderBy("__text"))).where("__n = 1").drop("__text", "__n")
+    once = whole.join(again, F.col(doc_id) == F.col("__id"), "left_anti")
+    return once.unionByName(first).unionByName(docs.where(F.col(doc_id).isNull()))
+
+
+def deduplicated(docs: DataFrame, width: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates."""
+    return first_of_each(docs, near_duplicates(docs, width, radius, doc_id, text), doc_id)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -1,18 +1,20 @@
-"""Near copies by the exact Jaccard similarity of five-word shingles.
+"""Near copies by five-word shingles: Gray-order index for candidates, exact Jaccard similarity for links.
 
 Two texts are linked where their sets of shingles have a similarity of at least
-``least``; groups are the connected components. No pair is lost: a fingerprint
-differs by about ten of 64 bits at a similarity of 0.8, so a radius that finds all
-pairs would leave an index nothing to exclude. Candidates come from the sets:
+``least``; groups are the connected components. No pair is lost. A fingerprint of 64
+bits differs by about ten bits at a similarity of 0.8, where an index over all
+fingerprints has nothing left to exclude, so the index works inside smaller groups:
 
 1. Texts with equal sets are one class; all below works on classes.
-2. The smallest ``SKETCH`` hashes of a set lead to the first class and to the one
-   before under the same hash; the one that shares most of them is checked exactly.
-   This joins most of a large group with one pair a class.
-3. Prefixes find the rest: in any fixed order of shingles, sets of that similarity
-   share a shingle among the first n - ceil(least * n) + 1 of each. Pairs that
-   lengths, places or counts of hashes by bins exclude, or that are in one group
-   already, are dropped; the others are checked exactly.
+2. Prefixes. In any fixed order of shingles, sets of that similarity share a shingle
+   among the first n - ceil(least * n) + 1 of each. Classes that share one of these
+   meet in its group; a shingle of one class only is dropped at once.
+3. In each group the Gray-order index finds fingerprints up to ``RADIUS`` bits apart. A
+   spanning forest of these pairs, nearest first, is checked exactly, so a large
+   group of near copies is joined by one pair a class.
+4. The exact rest. Groups whose classes are not all joined yet give every pair across
+   components that lengths, places or counts of hashes by bins don't exclude; these are
+   checked exactly as well.
 
 The order puts shingles that are frequent in a sample last. It bears on speed only.
 Shingles and sets are compared by 64-bit hashes.
@@ -28,20 +30,23 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, short_batches
-from .gray_index import SEED, components
+from .common import checkpointed, map_rows
+from .gray_index import SEED, GrayIndex, components, first_of_each, forest, gray_rank, labelled, whole_groups
 
-SKETCH = 4
-#: Least number of bins; a set has a bin for four to eight hashes.
-BINS = 32
+#: Bits up to which the index looks; at a similarity of 0.8 one pair in a thousand differs by more.
+RADIUS = 18
+#: Fingerprints of a group that are searched together, next to one another in Gray order.
+CHUNK = 2048
+#: Least number of bins; a set has about a bin for each hash.
+BINS = 64
 #: Documents in the sample and the shingles taken from it that count as frequent.
 SAMPLE = 4_000
 FREQUENT = 500_000
 #: Pairs made at once.
-PIECE = 2_000_000
+PIECE = 1_000_000
 #: Rows of one or two numbers up to which a table is sent to all tasks.
 SMALL = 500_000
 
@@ -80,8 +85,16 @@ def _frequent(rows: DataFrame, width: int) -> np.ndarray:
     return np.array([r.token for r in top.select("token").collect()][::-1], np.int64).view(np.uint64)
 
 
+def _fingerprint(hashes: np.ndarray) -> int:
+    """Majority bits of distinct hashes, as a signed integer."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
 def _marked(rows: DataFrame, width: int, least: Fraction, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, class, n, sketch, bins, prefix) of each row."""
+    """(doc_id, class, n, fp, bins, prefix) of each row."""
 
     def make():
         by_value = np.argsort(frequent)
@@ -91,121 +104,166 @@ def _marked(rows: DataFrame, width: int, least: Fraction, frequent: np.ndarray)
             s = shingle_set(t, width)
             n = len(s)
             if not n:
-                return i, _class_of(s), 0, b"", b"", b""
+                return i, _class_of(s), 0, 0, b"", b""
             rank = np.zeros(n, np.int64)
             if len(values):
                 at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                 rank = np.where(values[at] == s, by_value[at] + 1, 0)
             order = np.lexsort((s, rank))[: n + int(-least * n // 1) + 1]  # n - ceil(least * n) + 1
-            size = max(BINS, 1 << (n // 4).bit_length() - 1 if n >= 4 else 0)
-            bins = np.minimum(np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size), 255).astype(np.uint8)
-            return i, _class_of(s), n, s[:SKETCH].tobytes(), bins.tobytes(), s[order].tobytes()
+            size = max(BINS, 1 << (n - 1).bit_length())
+            bins = np.minimum(np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size), 15).astype(np.uint8)
+            return i, _class_of(s), n, _fingerprint(s), (bins[::2] | bins[1::2] << 4).tobytes(), s[order].tobytes()
 
         return lambda found: [one(*r) for r in found]
 
-    return map_rows(rows, make, "doc_id long, class long, n long, sketch binary, bins binary, prefix binary")
+    return map_rows(rows, make, "doc_id long, class long, n long, fp long, bins binary, prefix binary")
 
 
-def _sketch_pairs(classes: DataFrame, least: Fraction) -> DataFrame:
-    """(a, b): for each class that of its neighbours by the smallest hashes that shares most of these."""
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, class, n, place) of (class, n, prefix)."""
+    for x in batches:
+        tokens = [np.frombuffer(p, np.int64) for p in x.column(2).to_pylist()]
+        if not tokens:
+            continue
+        size = np.array([len(t) for t in tokens])
+        place = np.arange(size.sum()) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
+        node, n = (np.repeat(x.column(k).to_numpy(zero_copy_only=False), size) for k in (0, 1))
+        cols = np.concatenate(tokens), node, n.astype(np.int32), place.astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "class", "n", "place"])
 
-    def make():
-        return lambda found: [(int(t), c, n) for c, n, s in found for t in np.frombuffer(s, np.int64)]
 
-    rows = map_rows(classes.select("class", "n", "sketch"), make, "token long, class long, n long")
-    w = Window.partitionBy("token").orderBy("n", "class")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    one = F.struct(F.col("class").alias("b"), F.col("n").alias("m"))
-    rows = rows.select("token", F.col("class").alias("a"), "n", F.first(one).over(upto).alias("head"), F.lag(one).over(w).alias("last"))
-    rows = rows.select("a", "n", F.explode(F.array_distinct(F.array("head", "last"))).alias("x")).select("a", "n", "x.b", "x.m")
-    rows = rows.where((F.col("a") != F.col("b")) & (F.col("m") * least.denominator >= F.col("n") * least.numerator))  # m <= n
-    shared = rows.groupBy("a", "b").count()
-    return shared.groupBy("a").agg(F.max(F.struct("count", "b")).alias("x")).select("a", "x.b")
+def _by_token(rows: DataFrame, of: str) -> DataFrame:
+    """The rows (token first) of tokens that have two values of a column."""
+    names = rows.columns
+    at = names.index(of)
 
-
-def _pair_tasks(least: Fraction, rows_at_once: int = 1_000_000):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in whole_groups(batches, 1, 500_000):
+            token, value = cols[0], cols[at]
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            size = np.diff(np.r_[starts, len(token)])
+            keep = np.repeat(np.maximum.reduceat(value, starts) != np.minimum.reduceat(value, starts), size)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=names)
+
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, schema)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, distance: np.ndarray, n: int) -> np.ndarray:
+    """Places of the pairs that make a spanning forest of n nodes, nearest first."""
+    label = np.arange(n)
+    taken = []
+    for d in np.unique(distance):
+        at = np.flatnonzero(distance == d)
+        while len(at):
+            x, y = label[a[at]], label[b[at]]
+            at, x, y = (v[x != y] for v in (at, x, y))
+            if not len(at):
+                break
+            # each component takes its first pair; all at once, for they stand in one order
+            first = np.unique(np.unique(np.stack([x, y], 1).reshape(-1), return_index=True)[1] // 2)
+            taken.append(at[first])
+            label = forest(x[first], y[first], n)[label]
+    return np.concatenate(taken) if taken else np.zeros(0, np.int64)
+
+
+def _near_tasks(least: Fraction):
     up, down = least.numerator, least.denominator
 
-    def pairs(token, node, n, place, group) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        first = np.repeat(starts, np.diff(np.r_[starts, len(token)]))
-        before = np.arange(len(token)) - first  # rows of the same shingle that stand before
-        todo = np.flatnonzero(before)
-        total = np.r_[0, np.cumsum(before[todo])]
-        at = 0
-        while at < len(todo):
-            stop = max(at + 1, int(np.searchsorted(total, total[at] + PIECE, "right")) - 1)
-            mine = todo[at:stop]
-            count = before[mine]
-            i = np.repeat(mine, count)
-            j = np.arange(count.sum()) + np.repeat(first[mine] - (total[at:stop] - total[at]), count)
-            at = stop
-            n1, n2 = n[i], n[j]
-            keep = (group[i] != group[j]) & (np.minimum(n1, n2) * down >= np.maximum(n1, n2) * up)
-            # at their first common shingle, no more can be shared than it and what follows in both
-            keep &= np.minimum(n1 - place[i], n2 - place[j]) * (up + down) >= up * (n1 + n2)
-            a, b = node[i[keep]], node[j[keep]]
-            if len(a):
-                both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
-        held = 0
-        for x in batches:
-            if not x.num_rows:
-                continue
-            parts.append([c.to_numpy(zero_copy_only=False) for c in x.columns])
-            held += x.num_rows
-            if held >= rows_at_once:
-                cols = [np.concatenate(c) for c in zip(*parts)]
-                last = np.flatnonzero(cols[0] != cols[0][-1])
-                cut = int(last[-1]) + 1 if len(last) else 0  # the rows of a shingle stay together
-                if cut:
-                    yield from pairs(*(c[:cut] for c in cols))
-                parts, held = [[c[cut:] for c in cols]], 0
-        if parts:
-            yield from pairs(*(np.concatenate(c) for c in zip(*parts)))
+        for token, node, n, fp in whole_groups(batches, 1, 200_000):
+            order = np.lexsort((gray_rank(fp.view(np.uint64)), token))
+            token, node, n, fp = (c[order] for c in (token, node, n, fp))
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            place = np.arange(len(token)) - np.repeat(starts, np.diff(np.r_[starts, len(token)]))
+            group = np.cumsum(place % CHUNK == 0)
+            index = GrayIndex(group, fp.view(np.uint64))
+            found = []
+            for a, b, d in index.pairs(RADIUS):
+                a, b = index.order[a], index.order[b]
+                close = np.minimum(n[a], n[b]).astype(np.int64) * down >= np.maximum(n[a], n[b]).astype(np.int64) * up
+                a, b, d = a[close], b[close], d[close]
+                some = spanning(a, b, d, len(token))
+                found.append((a[some], b[some], d[some]))
+            if found:
+                a, b, d = (np.concatenate(x) for x in zip(*found))
+                some = spanning(a, b, d, len(token))
+                both = np.unique(np.stack([np.maximum(node[a[some]], node[b[some]]), np.minimum(node[a[some]], node[b[some]])], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     return run
 
 
-def _prefix_pairs(classes: DataFrame, found: DataFrame, least: Fraction) -> DataFrame:
-    """(a, b): classes that share a shingle of their prefixes and aren't in one group by ``found`` (node, root)."""
+def _near_pairs(shared: DataFrame, classes: DataFrame, least: Fraction) -> DataFrame:
+    """(a, b): spanning forests of what the index finds in the groups of shared prefix shingles."""
+    rows = shared.join(classes.select("class", "fp"), "class").select("token", "class", "n", "fp")
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(_near_tasks(least), "a long, b long").distinct()
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if not x.num_rows:
-                continue
-            node, n, group = (x.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            tokens = [np.frombuffer(p, np.int64) for p in x.column(3).to_pylist()]
-            size = np.array([len(t) for t in tokens])
-            place = np.arange(size.sum()) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
-            cols = [np.concatenate(tokens), np.repeat(node, size), np.repeat(n, size), place, np.repeat(group, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "class", "n", "place", "group"])
 
-    label = found.select(F.col("node").alias("class"), "root")
-    rows = classes.join(label, "class", "left").select("class", "n", F.coalesce("root", "class").alias("group"), "prefix")
-    rows = rows.mapInArrow(spread, "token long, class long, n long, place long, group long")
-    dealt = rows.repartition("token").sortWithinPartitions("token")
-    pairs = checkpointed(dealt.mapInArrow(_pair_tasks(least), "a long, b long").distinct())
+def may_be_near(bins: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray, least: Fraction) -> np.ndarray:
+    """Whether the counts by bins let the sets i and j have the similarity: they share no more than the smaller count of each bin."""
+    up, down = least.numerator, least.denominator
+    size = np.array([len(x) for x in bins])
+    out = np.ones(len(i), bool)
+    both = np.minimum(size[i], size[j])
+    for s in np.unique(both):
+        mine = np.flatnonzero(both == s)
+        used, at = np.unique(np.r_[i[mine], j[mine]], return_inverse=True)
+        # more bins fold to fewer, since both numbers are powers of two
+        table = np.stack([bins[k].reshape(-1, s).sum(0, dtype=np.int32) for k in used])
+        full = np.array([(bins[k] == 15).any() for k in used])  # full bins exclude nothing
+        x, y = at[: len(mine)], at[len(mine) :]
+        for p in range(0, len(mine), max(1, 4_000_000 // int(s))):
+            q = slice(p, p + max(1, 4_000_000 // int(s)))
+            shared = np.minimum(table[x[q]], table[y[q]]).sum(1, dtype=np.int64)
+            out[mine[q]] = full[x[q]] | full[y[q]] | (shared * (up + down) >= up * (n[i[mine[q]]] + n[j[mine[q]]]))
+    return out
+
+
+def _pair_tasks(least: Fraction):
+    up, down = least.numerator, least.denominator
 
-    def make():
-        up, down = least.numerator, least.denominator
+    def unpacked(x: bytes) -> np.ndarray:
+        x = np.frombuffer(x, np.uint8)
+        return np.stack([x & 15, x >> 4], 1).reshape(-1)
 
-        def may(n1, n2, x, y):
-            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-            if max(x.max(), y.max()) == 255:  # full bins exclude nothing
-                return True
-            size = min(len(x), len(y))  # powers of two, so that larger numbers of bins fold
-            x, y = (z.reshape(-1, size).sum(0, dtype=np.int64) for z in (x, y))
-            return int(np.minimum(x, y).sum()) * (up + down) >= up * (n1 + n2)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, node, n, place, group, packed in whole_groups(batches, 1, 100_000):
+            n, place = n.astype(np.int64), place.astype(np.int64)
+            _, number, own = np.unique(node, return_index=True, return_inverse=True)
+            bins = [unpacked(packed[k]) for k in number]
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            first = np.repeat(starts, np.diff(np.r_[starts, len(token)]))
+            before = np.arange(len(token)) - first  # rows of the same shingle that stand before
+            todo = np.flatnonzero(before)
+            total = np.r_[0, np.cumsum(before[todo])]
+            at = 0
+            while at < len(todo):
+                stop = max(at + 1, int(np.searchsorted(total, total[at] + PIECE, "right")) - 1)
+                mine, count = todo[at:stop], before[todo[at:stop]]
+                i = np.repeat(mine, count)
+                j = np.arange(count.sum()) + np.repeat(first[mine] - (total[at:stop] - total[at]), count)
+                at = stop
+                i, j = (v[group[i] != group[j]] for v in (i, j))
+                keep = np.minimum(n[i], n[j]) * down >= np.maximum(n[i], n[j]) * up
+                # at their first common shingle, no more can be shared than it and what follows in both
+                keep &= np.minimum(n[i] - place[i], n[j] - place[j]) * (up + down) >= up * (n[i] + n[j])
+                both = np.unique(np.stack([np.maximum(own[i[keep]], own[j[keep]]), np.minimum(own[i[keep]], own[j[keep]])], 1), axis=0)
+                if len(both):
+                    both = both[may_be_near(bins, n[number], both[:, 0], both[:, 1], least)]
+                    a, b = node[number][both[:, 0]], node[number][both[:, 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    return run
 
-        return lambda found: [(a, b) for a, b, n1, n2, x, y in found if may(n1, n2, x, y)]
 
-    side = lambda k, n, x: classes.select(F.col("class").alias(k), F.col("n").alias(n), F.col("bins").alias(x))
-    both = _small(pairs).join(side("a", "n1", "x"), "a").join(side("b", "n2", "y"), "b")
-    return map_rows(both.select("a", "b", "n1", "n2", "x", "y"), make, "a long, b long")
+def _rest_pairs(shared: DataFrame, classes: DataFrame, found: DataFrame, least: Fraction) -> DataFrame:
+    """(a, b): the pairs of the groups that ``found`` (node, root) doesn't join and nothing excludes."""
+    label = found.select(F.col("node").alias("class"), "root")
+    rows = shared.join(label, "class", "left").select("token", "class", "n", "place", F.coalesce("root", "class").alias("group"))
+    mixed = checkpointed(_by_token(rows, "group"))
+    whole = mixed.join(classes.select("class", "bins"), "class").select(*mixed.columns, "bins")
+    return whole.repartition("token").sortWithinPartitions("token").mapInArrow(_pair_tasks(least), "a long, b long").distinct()
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -248,23 +306,15 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, doc_id: str
     least = Fraction(str(least))
     rows = _rows(docs, doc_id, text)
     marked = checkpointed(_marked(rows, width, least, _frequent(rows, width)))
-    one = F.first(F.struct("n", "sketch", "bins", "prefix")).alias("x")  # equal in all rows of a class
+    one = F.first(F.struct("n", "fp", "bins", "prefix")).alias("x")  # equal in all rows of a class
     classes = checkpointed(marked.groupBy("class").agg(F.min("doc_id").alias("rep"), one).select("class", "rep", "x.*"))
-    close = _checked(rows, classes, _sketch_pairs(classes, least), width, least)
-    short_batches(docs.sparkSession)
-    rest = _checked(rows, classes, _prefix_pairs(classes, components(close), least), width, least)
-    found = components(close.union(rest))
-    member = found.union(found.select("root", "root").distinct())
-    named = member.join(classes.select("class", "rep"), member["node"] == F.col("class"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("smallest"))
-    of = named.join(smallest, "root").select("class", "smallest")
-    label = classes.select("class", "rep").join(of, "class", "left").select("class", F.coalesce("smallest", "rep").alias("component_id"))
-    return marked.select("doc_id", "class").join(label, "class").select("doc_id", "class", "component_id")
+    tokens = classes.select("class", "n", "prefix").mapInArrow(_spread, "token long, class long, n int, place int")
+    shared = checkpointed(_by_token(tokens, "class"))
+    close = _checked(rows, classes, _near_pairs(shared, classes, least), width, least)
+    rest = _checked(rows, classes, _rest_pairs(shared, classes, components(close), least), width, least)
+    return labelled(marked.select("doc_id", "class"), components(close.union(rest)), "class")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group: that of the smallest id. Rows without id stay."""
-    found = near_copies(docs, width, least, doc_id, text)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    whole = docs.join(kept, F.col(doc_id) == F.col("__id"), "left_semi").dropDuplicates([doc_id])
-    return whole.unionByName(docs.where(F.col(doc_id).isNull()))
+    return first_of_each(docs, near_copies(docs, width, least, doc_id, text), doc_id)

@@ -49,11 +49,37 @@ def test_stage_removes_planted_near_copies(spark):
     assert sorted(r.doc_id for r in got.collect()) == kept(texts)
 
 
-def test_prefixes_find_what_sketches_miss(spark, monkeypatch):
+def test_rest_finds_what_the_index_misses(spark, monkeypatch):
     from folioframe.llm import near_copies
 
-    monkeypatch.setattr(near_copies, "SKETCH", 0)
+    monkeypatch.setattr(near_copies, "RADIUS", -1)
     monkeypatch.setattr(near_copies, "PIECE", 5)
     texts = planted()
     got = near_copies.deduplicated(spark.createDataFrame(texts, SCHEMA))
     assert sorted(r.doc_id for r in got.collect()) == kept(texts)
+
+
+def test_spanning_forest_is_nearest_first():
+    import numpy as np
+
+    from folioframe.llm.near_copies import spanning
+
+    r = np.random.default_rng(1)
+    for _ in range(50):
+        n, m = 30, 80
+        a, b, d = r.integers(0, n, m), r.integers(0, n, m), r.integers(0, 6, m)
+        some = spanning(a, b, d, n)
+        root = list(range(n))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        least = 0
+        for k in np.argsort(d, kind="stable"):
+            x, y = find(a[k]), find(b[k])
+            if x != y:
+                root[x] = y
+                least += d[k]
+        assert d[some].sum() == least and len(some) == n - len({find(x) for x in range(n)})
