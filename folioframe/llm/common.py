@@ -61,6 +61,15 @@ _ARROW = {
 }
 
 
+#: Rows of one or two numbers up to which a table is sent to all tasks.
+SMALL = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast where it has few rows; beyond, joins shuffle."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in ``spark.checkpoint.dir``.
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows
+from .common import checkpointed, map_rows, small
 
 SEED = 42
 FANOUT = 16
@@ -303,15 +303,15 @@ def first_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") ->
 
     Of rows that share that id, the first by all columns' text stays, so reruns agree.
     """
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    whole = docs.join(kept, F.col(doc_id) == F.col("__id"), "left_semi")
-    again = whole.groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("__id"))
+    kept = checkpointed(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")))
+    of = lambda ids: docs.join(small(ids.select("__id")), F.col(doc_id) == F.col("__id"), "left_semi")
+    out = of(kept.where("__n = 1")).unionByName(docs.where(F.col(doc_id).isNull()))
+    again = kept.where("__n > 1")
+    if again.isEmpty():
+        return out
     text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"})
-    # ids that repeat are few as a rule: only their rows are sorted
-    twice = whole.join(again, F.col(doc_id) == F.col("__id"), "left_semi").withColumn("__text", text)
-    first = twice.withColumn("__n", F.row_number().over(Window.partitionBy(doc_id).orderBy("__text"))).where("__n = 1").drop("__text", "__n")
-    once = whole.join(again, F.col(doc_id) == F.col("__id"), "left_anti")
-    return once.unionByName(first).unionByName(docs.where(F.col(doc_id).isNull()))
+    place = F.row_number().over(Window.partitionBy(doc_id).orderBy("__text"))
+    return out.unionByName(of(again).withColumn("__text", text).withColumn("__n", place).where("__n = 1").drop("__text", "__n"))
 
 
 def deduplicated(docs: DataFrame, width: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -12,9 +12,10 @@ fingerprints has nothing left to exclude, so the index works inside smaller grou
 3. In each group the Gray-order index finds fingerprints up to ``RADIUS`` bits apart. A
    spanning forest of these pairs, nearest first, is checked exactly, so a large
    group of near copies is joined by one pair a class.
-4. The exact rest. Groups whose classes are not all joined yet give every pair across
-   components that lengths, places or counts of hashes by bins don't exclude; these are
-   checked exactly as well.
+4. The exact rest. Groups whose classes are not all joined yet give the pairs across
+   components that lengths, places and counts of hashes by bins don't exclude: first a
+   spanning forest of the components by the most that a pair may share, then, among
+   what is still apart, every pair. All of these are checked exactly.
 
 The order puts shingles that are frequent in a sample last. It bears on speed only.
 Shingles and sets are compared by 64-bit hashes.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows
+from .common import checkpointed, map_rows, small
 from .gray_index import SEED, GrayIndex, components, first_of_each, forest, gray_rank, labelled, whole_groups
 
 #: Bits up to which the index looks; at a similarity of 0.8 one pair in a thousand differs by more.
@@ -47,8 +48,6 @@ SAMPLE = 4_000
 FREQUENT = 500_000
 #: Pairs made at once.
 PIECE = 1_000_000
-#: Rows of one or two numbers up to which a table is sent to all tasks.
-SMALL = 500_000
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -200,11 +199,10 @@ def _near_pairs(shared: DataFrame, classes: DataFrame, least: Fraction) -> DataF
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(_near_tasks(least), "a long, b long").distinct()
 
 
-def may_be_near(bins: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray, least: Fraction) -> np.ndarray:
-    """Whether the counts by bins let the sets i and j have the similarity: they share no more than the smaller count of each bin."""
-    up, down = least.numerator, least.denominator
+def most_shared(bins: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Hashes that the sets i and j share at most: the smaller count of each bin."""
     size = np.array([len(x) for x in bins])
-    out = np.ones(len(i), bool)
+    out = np.minimum(n[i], n[j])
     both = np.minimum(size[i], size[j])
     for s in np.unique(both):
         mine = np.flatnonzero(both == s)
@@ -216,11 +214,11 @@ def may_be_near(bins: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndar
         for p in range(0, len(mine), max(1, 4_000_000 // int(s))):
             q = slice(p, p + max(1, 4_000_000 // int(s)))
             shared = np.minimum(table[x[q]], table[y[q]]).sum(1, dtype=np.int64)
-            out[mine[q]] = full[x[q]] | full[y[q]] | (shared * (up + down) >= up * (n[i[mine[q]]] + n[j[mine[q]]]))
+            out[mine[q]] = np.where(full[x[q]] | full[y[q]], out[mine[q]], shared)
     return out
 
 
-def _pair_tasks(least: Fraction):
+def _pair_tasks(least: Fraction, spread_out: bool):
     up, down = least.numerator, least.denominator
 
     def unpacked(x: bytes) -> np.ndarray:
@@ -232,12 +230,13 @@ def _pair_tasks(least: Fraction):
             n, place = n.astype(np.int64), place.astype(np.int64)
             _, number, own = np.unique(node, return_index=True, return_inverse=True)
             bins = [unpacked(packed[k]) for k in number]
+            component = np.unique(group, return_inverse=True)[1][number]
             starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             first = np.repeat(starts, np.diff(np.r_[starts, len(token)]))
             before = np.arange(len(token)) - first  # rows of the same shingle that stand before
             todo = np.flatnonzero(before)
             total = np.r_[0, np.cumsum(before[todo])]
-            at = 0
+            at, found = 0, []
             while at < len(todo):
                 stop = max(at + 1, int(np.searchsorted(total, total[at] + PIECE, "right")) - 1)
                 mine, count = todo[at:stop], before[todo[at:stop]]
@@ -250,25 +249,31 @@ def _pair_tasks(least: Fraction):
                 keep &= np.minimum(n[i] - place[i], n[j] - place[j]) * (up + down) >= up * (n[i] + n[j])
                 both = np.unique(np.stack([np.maximum(own[i[keep]], own[j[keep]]), np.minimum(own[i[keep]], own[j[keep]])], 1), axis=0)
                 if len(both):
-                    both = both[may_be_near(bins, n[number], both[:, 0], both[:, 1], least)]
-                    a, b = node[number][both[:, 0]], node[number][both[:, 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                    a, b = both.T
+                    size, shared = n[number], most_shared(bins, n[number], a, b)
+                    keep = shared * (up + down) >= up * (size[a] + size[b])
+                    a, b, apart = a[keep], b[keep], 1000 - 1000 * shared[keep] // (size[a] + size[b] - shared)[keep]
+                    if not spread_out:
+                        some = spanning(component[a], component[b], apart, len(token))
+                        a, b, apart = a[some], b[some], apart[some]
+                    found.append((a, b, apart))
+            if found:
+                a, b, apart = (np.concatenate(x) for x in zip(*found))
+                some = np.arange(len(a)) if spread_out else spanning(component[a], component[b], apart, len(token))
+                both = np.unique(np.stack([a[some], b[some]], 1), axis=0)
+                a, b = node[number][both[:, 0]], node[number][both[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     return run
 
 
-def _rest_pairs(shared: DataFrame, classes: DataFrame, found: DataFrame, least: Fraction) -> DataFrame:
-    """(a, b): the pairs of the groups that ``found`` (node, root) doesn't join and nothing excludes."""
+def _rest_pairs(shared: DataFrame, classes: DataFrame, found: DataFrame, least: Fraction, spread_out: bool) -> DataFrame:
+    """(a, b): the pairs of the groups that ``found`` (node, root) doesn't join and nothing excludes, or a spanning forest of them."""
     label = found.select(F.col("node").alias("class"), "root")
     rows = shared.join(label, "class", "left").select("token", "class", "n", "place", F.coalesce("root", "class").alias("group"))
     mixed = checkpointed(_by_token(rows, "group"))
     whole = mixed.join(classes.select("class", "bins"), "class").select(*mixed.columns, "bins")
-    return whole.repartition("token").sortWithinPartitions("token").mapInArrow(_pair_tasks(least), "a long, b long").distinct()
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast where it has few rows."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+    return whole.repartition("token").sortWithinPartitions("token").mapInArrow(_pair_tasks(least, spread_out), "a long, b long").distinct()
 
 
 def _checked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, least: Fraction) -> DataFrame:
@@ -293,11 +298,11 @@ def _checked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
 
     pairs = checkpointed(pairs)
     wanted = checkpointed(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
-    ids = checkpointed(classes.select("class", "rep").join(_small(wanted), "class", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
-    members = map_rows(rows.join(_small(ids), "doc_id", "left_semi"), sets, "class long, members binary")
-    members = checkpointed(members.join(_small(wanted), "class", "left_semi").dropDuplicates(["class"]))
+    ids = checkpointed(classes.select("class", "rep").join(small(wanted), "class", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
+    members = map_rows(rows.join(small(ids), "doc_id", "left_semi"), sets, "class long, members binary")
+    members = checkpointed(members.join(small(wanted), "class", "left_semi").dropDuplicates(["class"]))
     side = lambda k: members.select(F.col("class").alias(k), F.col("members").alias(f"{k}_members"))
-    both = _small(pairs).join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_members", "b_members")
+    both = small(pairs).join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_members", "b_members")
     return checkpointed(map_rows(both, check, "a long, b long"))
 
 
@@ -311,8 +316,11 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, doc_id: str
     tokens = classes.select("class", "n", "prefix").mapInArrow(_spread, "token long, class long, n int, place int")
     shared = checkpointed(_by_token(tokens, "class"))
     close = _checked(rows, classes, _near_pairs(shared, classes, least), width, least)
-    rest = _checked(rows, classes, _rest_pairs(shared, classes, components(close), least), width, least)
-    return labelled(marked.select("doc_id", "class"), components(close.union(rest)), "class")
+    found = components(close)
+    for spread_out in (False, True):
+        rest = _checked(rows, classes, _rest_pairs(shared, classes, found, least, spread_out), width, least)
+        found = components(found.toDF("a", "b").union(rest))
+    return labelled(marked.select("doc_id", "class"), found, "class")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
