@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next stage's docs.
+
+Defined results. Null texts have no words and are rejected by the first stage, as are
+empty ones; an empty table runs through all stages; very long texts are worked on as a
+whole. Rows that share an id are judged each on its own by ``quality`` and
+``personal_data``; ``near_duplicates`` keeps one of them, ``mixing`` and ``encoding`` one
+decision and a row each. Rows without id stay. Any column may be null, and further
+columns, whatever their names, are carried to the last stage but one.
 """
 
 from __future__ import annotations
@@ -12,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import bpe_rounds, cube_mix, near_copies, pii_crf, quality_ledger
+from folioframe.llm.common import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each by way of Parquet in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/folioframe-checkpoints"
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

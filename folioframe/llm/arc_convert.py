@@ -26,6 +26,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, short_batches
+from .common import checkpointed, map_rows, shared_folder
 
 #: Header fields of an ARC line by version: fixed by the format.
 FIELDS = {
@@ -42,7 +43,7 @@ FIELDS = {
     "2": ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 DATE = "20240101000000"
-#: Rough bytes of a WARC file.
+#: Bytes of records in a WARC file, on average.
 FILE_BYTES = 64 << 20
 LEAST_BYTES = 0
 
@@ -151,22 +152,23 @@ def convert(fields: dict[str, str], content: bytes, key: int | None, refers_to:
 
 
 def read_warc(data: bytes) -> Iterator[Record]:
-    """The records of a WARC file, gzipped or not, by declared lengths."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/1.", at):
-            raise ValueError(f"no record at {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")[1:]
-        head = dict(x.split(": ", 1) for x in lines)
-        start = end + 4
-        stop = start + int(head["Content-Length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at {at} does not end after its declared length")
-        yield Record(head, data[start:stop])
-        at = stop + 4
+    """The records of a WARC file, gzipped (by record or as a whole) or not, by declared lengths.
+
+    Bytes are unpacked as records are asked for, so one record is held at a time.
+    """
+    f = gzip.open(io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while first := f.readline():
+        if not first.startswith(b"WARC/1."):
+            raise ValueError(f"no record where {first[:40]!r} stands")
+        head = {}
+        while line := f.readline().rstrip(b"\r\n"):
+            key, _, value = line.decode("utf-8", "surrogatepass").partition(": ")
+            head[key] = value
+        n = int(head["Content-Length"])
+        block = f.read(n)
+        if len(block) < n or f.read(4) != b"\r\n\r\n":
+            raise ValueError(f"{head.get('WARC-Record-ID')} does not end after its declared length")
+        yield Record(head, block)
 
 
 # ---- in Spark
@@ -205,9 +207,8 @@ def _archived(rows: list[tuple], version: str) -> list[str]:
     return out
 
 
-def records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """(value): the WARC record of each page, without the two line ends after it."""
-    choice = checkpointed(decided(pages, least))
+def records(pages: DataFrame, choice: DataFrame) -> DataFrame:
+    """(value): the WARC record of each page, without the two line ends after it, by what was ``decided``."""
 
     def make():
         def work(rows):
@@ -236,14 +237,16 @@ def _unbase32(column: str):
     return unpack(F.col(column))
 
 
-def write(values: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> None:
-    """Writes records as gzipped WARC files; Spark's writer commits whole tasks."""
-    values.write.mode("overwrite").option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, file_bytes >> 13)).text(folder)
+def write(pages: DataFrame, folder: str, least: int = LEAST_BYTES, file_bytes: int = FILE_BYTES) -> None:
+    """Writes pages as gzipped WARC files of ``file_bytes`` on average; Spark's writer commits whole tasks."""
+    choice = checkpointed(decided(pages, least))
+    mean = choice.agg(F.avg(F.when(F.col("winner").isNull(), F.col("n_bytes")).otherwise(0) + 700)).first()[0] or 1.0
+    out = records(pages, choice).write.mode("overwrite").option("compression", "gzip").option("lineSep", "\r\n\r\n")
+    out.option("maxRecordsPerFile", max(1, int(file_bytes / mean))).text(folder)
 
 
 def read(spark, folder: str) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of each record in a folder's files."""
-    short_batches(spark)  # a partition of files has at most spark.sql.files.maxPartitionBytes, or one file
     files = spark.read.format("binaryFile").load(folder).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +268,6 @@ def read(spark, folder: str) -> DataFrame:
 def digest(pages: DataFrame) -> DataFrame:
     """The rows of op7: archives written to the shared folder and read back."""
     spark = pages.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/folioframe-checkpoints"
-    folder = f"{shared}/warc-{uuid.uuid4().hex}"
-    write(records(pages), folder)
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write(pages, folder)
     return read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

@@ -5,7 +5,7 @@ seen before are encoded together: the symbols of all of them lie in one flat arr
 with the number of their word. A round looks up every adjacent pair by binary search
 in the sorted pair keys, finds each word's lowest rank, and merges that pair
 wherever it stands in the word, left to right. A word leaves when no pair of it is
-known. Merging all places of a word's lowest pair at once gives the same as one
+known; very long words take their merges from a heap instead, in the same order. Merging all places of a word's lowest pair at once gives the same as one
 after the other, since a new pair holds the new symbol and so has a higher rank.
 
 The ids of a piece are kept as little-endian bytes in a bounded table in each
@@ -24,6 +24,7 @@ same path on all machines and is never copied.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from functools import lru_cache
 
@@ -38,9 +39,13 @@ from .common import map_rows
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The pattern's white space is the White_Space property, without the four information separators.
 _SPACE = r"\t\n\x0B\f\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-#: Pieces that a worker keeps, and symbols that one batch of rounds takes.
-KEPT = 800_000
+#: Bytes of pieces and ids that a worker keeps in each table, and symbols that one batch of rounds takes.
+KEPT = 64_000_000
 FLAT = 1_000_000
+#: Bytes of a word from which its merges are taken from a heap: rounds go over the whole word for each rank.
+LONG = 2_000
+#: Rough bytes of an entry beside its text and ids.
+ENTRY = 150
 
 
 def byte_letters() -> dict[str, int]:
@@ -89,6 +94,7 @@ class Bpe:
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.known: dict[str, bytes] = {}
         self.units = _Noting()
+        self.held = self.held_units = 0
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of each pair; the highest integer where there is none."""
@@ -134,11 +140,48 @@ class Bpe:
         ends = (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
+    def merge_long(self, word: bytes) -> bytes:
+        """Ids of one long word: the lowest rank, leftmost first, from a heap over a linked list of symbols."""
+        sym = self.id_of_byte[np.frombuffer(word, np.uint8)]
+        rank, made = self.ranks(sym[:-1], sym[1:])
+        none = np.iinfo(np.int64).max
+        sym, before, after = sym.tolist(), list(range(-1, len(word) - 1)), [*range(1, len(word)), -1]
+        heap = [(r, i, m, sym[i], sym[i + 1]) for i, (r, m) in enumerate(zip(rank.tolist(), made.tolist())) if r != none]
+        heapq.heapify(heap)
+        known: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def push(i: int, j: int) -> None:
+            pair = sym[i], sym[j]
+            if pair not in known:
+                r, m = self.ranks(np.array([pair[0]]), np.array([pair[1]]))
+                known[pair] = int(r[0]), int(m[0])
+            r, m = known[pair]
+            if r != none:
+                heapq.heappush(heap, (r, i, m, *pair))
+
+        while heap:
+            _, i, m, x, y = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] != x or j < 0 or sym[j] != y:  # one of the two has been merged since
+                continue
+            sym[i], sym[j], after[i] = m, -1, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+                push(i, after[i])
+            if before[i] >= 0:
+                push(before[i], i)
+        return np.array([x for x in sym if x >= 0], "<u4").tobytes()
+
     def learn(self, pieces: set[str]) -> None:
         """Adds pieces to the table of known ones."""
-        if len(self.known) + len(pieces) > KEPT:
+        if self.held > KEPT:
             self.known.clear()
+            self.held = 0
         fresh = [p for p in pieces if p not in self.known]
+        self.held += sum(5 * len(p) + ENTRY for p in fresh)
+        for p in [p for p in fresh if len(p) >= LONG]:
+            self.known[p] = self.merge_long(p.encode("utf-8", "surrogatepass"))
+        fresh = [p for p in fresh if len(p) < LONG]
         at = 0
         while at < len(fresh):
             some, held = [], 0
@@ -161,8 +204,10 @@ class Bpe:
         return b"".join(out)
 
     def _learn_units(self, units: set[str]) -> None:
-        if len(self.units) > KEPT:
+        if self.held_units > KEPT:
             self.units.clear()
+            self.held_units = 0
+        self.held_units += sum(5 * len(u) + ENTRY for u in units)
         cuts = {u: self.cut(u) for u in units if not _odd(u)}
         self.learn({p for c in cuts.values() for p in c})
         get = self.known.__getitem__

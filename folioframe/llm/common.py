@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: Rows in an Arrow batch. Texts can be long, so batches stay short.
-BATCH_ROWS = 256
+#: Rows that a worker holds as Python objects at once. Spark bounds the Arrow batch itself, by rows and bytes.
+PIECE_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,25 +24,29 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the memory of a Python worker by the rows it holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local folder where the session names none and all tasks run on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return "/tmp/folioframe-checkpoints"
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str) -> DataFrame:
-    """Applies ``make()(rows)`` to each batch; ``make`` runs once in a task.
+    """Applies ``make()(rows)`` to pieces of batches; ``make`` runs once in a task.
 
     ``rows`` is a list of tuples in the order of df's columns, the result is a
     list of tuples in the order of ``schema``.
     """
-    short_batches(df.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
     arrow = [_ARROW[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for b in batches:
-            out = work(list(zip(*(c.to_pylist() for c in b.columns))) if b.num_rows else [])
+        for b in (x.slice(at, PIECE_ROWS) for x in batches for at in range(0, x.num_rows, PIECE_ROWS)):
+            out = work(list(zip(*(c.to_pylist() for c in b.columns))))
             cols = list(zip(*out)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, arrow)], names=names)
 
@@ -76,8 +80,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     Sets a folder of its own only where the session names none, as in tests.
     """
     spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or "/tmp/folioframe-checkpoints")
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

@@ -8,9 +8,10 @@ ambiguous texts.
 
 Features: lower-cased text with runs of non-letters as one space; 2-grams and 3-grams
 of code points hashed into ``DIM`` places, square roots of their shares, over the
-whole text in pieces. Classifiers are ridge regressions fitted in the dual on a
-bounded, hash-chosen sample: about ``PER_LANGUAGE`` learnable documents of each
-language, however large the table.
+whole text in pieces. Classifiers are ridge regressions on a bounded, hash-chosen
+sample: about ``PER_LANGUAGE`` learnable documents of each language and at most about
+``SAMPLE`` of all, however large the table and however many its languages. They are fitted
+in the dual, so the driver solves a system of ``SAMPLE`` unknowns at most.
 
 Defined results: texts that are null or hold no letter are ``und`` with score 0, as
 is every text where nothing could be learned; one learned language is predicted for
@@ -30,10 +31,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, short_batches
+from .common import map_rows
 
 DIM = 4096
 PER_LANGUAGE = 400
+SAMPLE = 4096
 RIDGE = 1e-3
 PIECE = 1 << 20
 #: Languages up to which all divisions in two are used as bits.
@@ -149,18 +151,18 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fits on a sample that the driver gets as feature vectors: per_language rows of each language on average."""
+    """Fits on a sample that the driver gets as feature vectors: per_language rows of each language on average, ``SAMPLE`` of all."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     # a null id has no remainder and is not learned from
     able = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = {r["lang"]: r["n"] for r in able.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not n:
         return fit(np.zeros((0, DIM)), [])
+    per_language = min(per_language, SAMPLE // len(n))
     share = F.lit(0.0)
     for v, k in n.items():
         share = F.when(F.col("lang") == v, F.lit(min(1.0, per_language / k))).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

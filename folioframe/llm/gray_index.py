@@ -42,6 +42,8 @@ FANOUT = 16
 RANGE, CROWD = 1024, 16_384
 #: Pairs of nodes that the search holds at once.
 PIECE = 2_000_000
+#: Edges for each task of a round over them.
+EDGES = 500_000
 ONES = 0xFFFFFFFFFFFFFFFF
 
 
@@ -252,18 +254,22 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         return e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     edges = checkpointed(tidy(edges))
-    settled = edges.isEmpty()
+    number = edges.count()
+    settled = not number
+    # few edges need few tasks; a table that grows keeps its partitions
+    narrow = lambda df: df.coalesce(1 + number // EDGES)
     for _ in range(rounds):
         if settled:
             break
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = tidy(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        new = checkpointed(tidy(small.select("b", "m").toDF("a", "b").union(low.select("a", "m").toDF("a", "b"))))
+        low = narrow(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = checkpointed(narrow(tidy(narrow(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))))))
+        low = narrow(large.groupBy("a").agg(F.min("b").alias("m")))
+        to_low = narrow(large.join(low, "a").select("b", "m").toDF("a", "b").union(low.select("a", "m").toDF("a", "b")))
+        new = checkpointed(narrow(tidy(to_low)))
         # rows are distinct, so equal numbers and no new row mean equal tables
-        settled = new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty()
+        before, number = number, new.count()
+        settled = number == before and narrow(new.join(edges, ["a", "b"], "left_anti")).isEmpty()
         edges = new
     if not settled:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

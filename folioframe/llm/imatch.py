@@ -26,11 +26,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, short_batches
+from .common import checkpointed
 
 IDF_LEAST = math.log(5)
 IDF_MOST = math.log(2000)
@@ -49,7 +50,6 @@ def terms(text: str | None) -> set[str]:
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term, n): documents with the term, over all documents. Tasks count before the shuffle."""
-    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -132,12 +132,16 @@ def _quantiles(docs: DataFrame, parts: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def _bucket(cuts: list[int], low: int, high: int) -> Column:
-    """Number of cuts up to the key, by a tree of comparisons."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(F.col("o") < cuts[mid], _bucket(cuts, low, mid)).otherwise(_bucket(cuts, mid + 1, high))
+def _places(cuts: list[int], before: dict[int, int]):
+    """Column of the keys' bucket (the number of cuts up to the key) and of the bucket that gets a first key too."""
+    steps = np.array(cuts, np.int64)
+
+    @F.pandas_udf("array<struct<bucket:int,halo:int>>")
+    def places(o):
+        at = np.searchsorted(steps, o.to_numpy(), side="right")
+        return pd.Series([[(b, 0), (before[k], 1)] if k in before else [(b, 0)] for b, k in zip(at.tolist(), o.tolist())])
+
+    return places("o")
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,16 +155,13 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     least = -(2**63)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(least)).alias("o"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _quantiles(rows, min(4 * parts, 1024))
-    rows = rows.withColumn("bucket", _bucket(cuts, 0, len(cuts)))
-    firsts = sorted((r["bucket"], r["o"]) for r in rows.groupBy("bucket").agg(F.min("o").alias("o")).collect())
+    cuts = _quantiles(rows, 4 * parts)
+    own = rows.select("o", _places(cuts, {})[0]["bucket"].alias("bucket"))
+    firsts = sorted((r["bucket"], r["o"]) for r in own.groupBy("bucket").agg(F.min("o").alias("o")).collect())
     if not firsts:
-        return rows.select("bucket", F.lit(0).alias("halo"), "doc_id", "text")
+        return rows.select(F.lit(0).alias("bucket"), F.lit(0).alias("halo"), "doc_id", "text")
     before = {o: firsts[i - 1][0] for i, (_, o) in enumerate(firsts)}  # -1: the last bucket
-    entries = [F.lit(x) for pair in before.items() for x in pair]
-    also = F.element_at(F.create_map(*entries), F.col("o"))
-    places = F.array(F.struct("bucket", F.lit(0).alias("halo")), F.struct(also.alias("bucket"), F.lit(1).alias("halo")))
-    rows = rows.withColumn("at", F.explode(F.filter(places, lambda x: x["bucket"].isNotNull()))).select("at.bucket", "at.halo", "o", "doc_id", "text")
+    rows = rows.withColumn("at", F.explode(_places(cuts, before))).select("at.bucket", "at.halo", "o", "doc_id", "text")
     return rows.repartition("bucket").sortWithinPartitions("bucket", "halo", "o", "text").select("bucket", "halo", "doc_id", "text")
 
 
@@ -191,7 +192,6 @@ def digest(docs: DataFrame, most: int = LEXICON_MOST) -> DataFrame:
     words = checkpointed(lexicon(docs))
     n = words.count()
     ordered = with_next(docs)
-    short_batches(spark)
     if n > most:
         return _digest_by_slices(ordered, words, -(-n // most))
     sent = spark.sparkContext.broadcast([r[0] for r in words.toLocalIterator()])

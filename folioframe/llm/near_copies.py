@@ -319,7 +319,8 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, doc_id: str
     found = components(close)
     for spread_out in (False, True):
         rest = _checked(rows, classes, _rest_pairs(shared, classes, found, least, spread_out), width, least)
-        found = components(found.toDF("a", "b").union(rest))
+        if not rest.isEmpty():
+            found = components(found.toDF("a", "b").union(rest))
     return labelled(marked.select("doc_id", "class"), found, "class")
 
 

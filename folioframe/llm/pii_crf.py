@@ -424,14 +424,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with personal data masked in its text; n_chars follows if it is there."""
-    from pyspark.sql.functions import pandas_udf
-
-    from .common import short_batches
-
-    short_batches(docs.sparkSession)
     weights = fitted()
 
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def clean(texts):
         return texts.map(lambda t: masked(t, spans(t, weights)[1]) if t else t)
 

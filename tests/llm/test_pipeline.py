@@ -28,10 +28,9 @@ def test_stages(spark, data, tmp_path):
     bad = {r.doc_id for r in quality_ledger.digest(spark.read.parquet(f"{data}/documents.parquet")).collect() if not r.kept}
     assert sorted(ids("quality")) == sorted(r.doc_id for r in seen["start"] if r.doc_id not in bad)
 
-    from tests.llm.test_llm_operators import classes, fingerprint
+    from tests.llm.test_near_copies import kept
 
-    fps = {r.doc_id: fingerprint(r.text) for r in seen["quality"]}
-    assert sorted(ids("near_duplicates")) == sorted(set(classes(sorted(fps), fps).values()))
+    assert sorted(ids("near_duplicates")) == kept([(r.doc_id, r.text) for r in seen["quality"]])
 
     before = {r.doc_id: r.text for r in seen["near_duplicates"]}
     weights = pii_crf.fitted()
@@ -57,3 +56,27 @@ def test_stages(spark, data, tmp_path):
 def test_run(spark, data):
     got = corpus_pipeline.run(spark, data)
     assert got.columns == ["doc_id", "n_tokens", "ids"] and got.count() > 0
+
+
+EDGES = [
+    (1, None), (None, " ".join(f"none{i}" for i in range(60))), (2, ""), (3, " \n\t"), (4, "x" * 200_000), (5, "w " * 30_000), (6, "same text here " + " ".join(f"word{i}" for i in range(80))),
+    (7, "same text here " + " ".join(f"word{i}" for i in range(80))), (7, "other text " + " ".join(f"w{i}" for i in range(90))), (8, None), (9, " ".join(f"v{i}" for i in range(25_000))), (10, " ".join(f"u{i} a.b{i}@mail.example.com" for i in range(70))),
+]
+
+
+def test_stages_on_edges(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, class string, token long, fp string, __copies int, `a b` string"
+    for n, rows in enumerate((EDGES, [])):
+        docs = spark.createDataFrame([(i, t, None, [None, "a"][k % 2], None, "clash", 1, "clash", 3, "v") for k, (i, t) in enumerate(rows)], schema)
+        ids = {r.doc_id for r in docs.collect()}
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            if name != "encoding":
+                assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{n}{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{n}{name}")
+            assert {r.doc_id for r in docs.select("doc_id").collect()} <= ids
+            if name == "near_duplicates" and rows:
+                kept = sorted(r.doc_id or 0 for r in docs.select("doc_id").collect())
+                assert len(kept) == len(set(kept)) and {0, 6, 9} <= set(kept) and 7 in kept
+        assert (docs.count() > 0) == bool(rows)
