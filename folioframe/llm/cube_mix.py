@@ -15,7 +15,7 @@ leaves a gap of words, which swaps of one copy between two units of block 0 clos
 they keep the number of documents. Only a gap wider than any unit takes or gives
 single copies.
 
-Giants, units over ``1 / GIANT`` of a source of many blocks, fly and land first, and the
+Giants, units over ``1 / GIANT`` of a source of many blocks or a fourth of a smaller one, fly and land first, and the
 rest of the target is shared by the other units, whose probabilities move: no later
 swap could make up for a giant.
 
@@ -46,8 +46,8 @@ BLOCK = 2048
 GATHER = 512
 #: Sources up to which their plan (under 100 bytes each) is broadcast.
 FEW = 20_000
-#: A unit over this part of its source is a giant.
-GIANT = 64
+#: A unit over this part of its source is a giant, in sources of many blocks and of one.
+GIANT, GIANT_OF_ONE = 64, 4
 SEED = 20
 EPS = 1e-9
 
@@ -160,6 +160,20 @@ def close_gap(size: np.ndarray, copies: np.ndarray, gap: float, most: int) -> np
     return copies
 
 
+def into(size: np.ndarray, copies: np.ndarray, low: float, high: float, most: int) -> np.ndarray:
+    """Copies whose words come into a range, by single copies more or less as long as these help."""
+    copies = copies.copy()
+    beyond = lambda t: np.maximum(0.0, np.maximum(low - t, t - high))
+    while True:
+        taken = (size * copies).sum()
+        step = np.r_[np.where(copies < most, size, 0), np.where(copies > 0, -size, 0)]
+        left = beyond(taken + step)
+        if not len(step) or left.min() >= beyond(taken):
+            return copies
+        k = int(left.argmin())
+        copies[k % len(size)] += 1 if k < len(size) else -1
+
+
 def _ordered(units: pa.Table) -> tuple[list[int], list[int], list[float]]:
     order, size, prob = (units[c].to_pylist() for c in ("order", "size", "prob"))
     at = sorted(range(units.num_rows), key=lambda i: (order[i], size[i]))
@@ -185,6 +199,8 @@ def _land(units: pa.Table, most: int) -> pa.Table:
     copies = sure + np.array(land(size, prob, units["rank"][0].as_py()))
     words = np.array(size)
     low, high = units["low"][0].as_py(), units["high"][0].as_py()  # what others leave to these units
+    if low < high:
+        copies = into(words, copies, low, high, most)
     taken = float((words * copies).sum())
     gap = low - taken if taken < low else high - taken if taken > high else 0.0
     return _put(units, "sure", at, close_gap(words, copies, gap, most), np.int64)
@@ -215,25 +231,22 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST
     units = sizes.join(F.broadcast(plan) if few else plan.hint("merge"), F.col("source").eqNullSafe(F.col("of"))).select(
         *columns, "rank", order.alias("order"), F.pmod(order, F.col("blocks")).cast("long").alias("block"),
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("ratio"),
-        ((F.col("blocks") > 1) & (F.col("size") * GIANT > F.col("source_size"))).alias("giant"),
+        (F.col("size") * F.when(F.col("blocks") > 1, GIANT).otherwise(GIANT_OF_ONE) > F.col("source_size")).alias("giant"),
     )
     top = int(most)
     landed = lambda df: df.groupBy("rank").applyInArrow(lambda t: _land(t, top), df.schema)
-    parts = []
-    if largest > block:  # giants first, then the ratio of the others
-        giants = units.where("giant")
-        held = giants.groupBy("rank").agg(F.sum("size").alias("held"))
-        least = F.greatest(F.lit(0.0), F.col("target") - most * (F.col("source_size") - F.col("held")))
-        giants = _by_rank(_with_ratio(giants, F.col("ratio")), held, few).withColumn("low", least).withColumn("high", F.col("target")).drop("held")
-        giants = checkpointed(landed(giants))
-        parts.append(giants.withColumn("copies", F.col("sure")))
-        taken = giants.groupBy("rank").agg(F.sum(F.col("size") * F.col("sure")).alias("taken"), F.sum("size").alias("held"))
-        units = _by_rank(units.where("not giant"), taken, few)
-        rest, room = F.col("target") - F.col("taken"), F.col("source_size") - F.col("held")
-        moved = F.when(room > 0, F.least(F.lit(float(most)), F.greatest(F.lit(0.0), rest / room))).otherwise(0.0)
-        units = units.withColumn("ratio", F.when(F.col("taken").isNull(), F.col("ratio")).otherwise(moved)).withColumn("target_left", F.coalesce(rest, F.col("target"))).drop("taken", "held")
-    else:
-        units = units.withColumn("target_left", F.col("target"))
+    # giants first, then the ratio of the others
+    giants = units.where("giant")
+    held = giants.groupBy("rank").agg(F.sum("size").alias("held"))
+    least = F.greatest(F.lit(0.0), F.col("target") - most * (F.col("source_size") - F.col("held")))
+    giants = _by_rank(_with_ratio(giants, F.col("ratio")), held, few).withColumn("low", least).withColumn("high", F.col("target")).drop("held")
+    giants = checkpointed(landed(giants))
+    parts = [giants.withColumn("copies", F.col("sure"))]
+    taken = giants.groupBy("rank").agg(F.sum(F.col("size") * F.col("sure")).alias("taken"), F.sum("size").alias("held"))
+    units = _by_rank(units.where("not giant"), taken, few)
+    rest, room = F.col("target") - F.col("taken"), F.col("source_size") - F.col("held")
+    moved = F.when(room > 0, F.least(F.lit(float(most)), F.greatest(F.lit(0.0), rest / room))).otherwise(0.0)
+    units = units.withColumn("ratio", F.when(F.col("taken").isNull(), F.col("ratio")).otherwise(moved)).withColumn("target_left", F.coalesce(rest, F.col("target"))).drop("taken", "held")
     flown = _with_ratio(units, F.col("ratio"))
     flown = checkpointed(flown.groupBy("rank", "block").applyInArrow(_fly, flown.schema))
     last, level = flown.where("block = 0"), flown.where("block <> 0")
