@@ -58,6 +58,21 @@ def overlaps(a: str, b: str, tolerance: float = 0.0) -> Column:
     )
 
 
+def touches(a: str, b: str, tolerance: float = 0.0) -> Column:
+    """Overlap of boxes under prefixes a and b, their edges and ``tolerance`` beyond included."""
+    g = lambda p, n: F.col(f"{p}{n}")
+    side = lambda p, q, at, size: g(p, at) + g(p, size) + tolerance >= g(q, at)
+    return side(a, b, "x", "width") & side(b, a, "x", "width") & side(a, b, "y", "height") & side(b, a, "y", "height")
+
+
+def inverse_rotation(angle, width, height) -> Column:
+    """Matrix that undoes a page's rotation by a multiple of 90 degrees."""
+    w, h = c(width).cast("double"), c(height).cast("double")
+    m = lambda *x: F.array(*[v if isinstance(v, Column) else F.lit(float(v)) for v in x])
+    turn = F.pmod(c(angle), F.lit(360))
+    return F.when(turn == 90, m(0, -1, 1, 0, 0, w)).when(turn == 180, m(-1, 0, 0, -1, w, h)).when(turn == 270, m(0, 1, -1, 0, h, 0)).otherwise(m(1, 0, 0, 1, 0, 0))
+
+
 def contains_point(box: str, x, y, tolerance: float = 0.0) -> Column:
     g = lambda n: F.col(f"{box}{n}")
     return (c(x) >= g("x") - tolerance) & (c(x) <= g("x") + g("width") + tolerance) & (c(y) >= g("y") - tolerance) & (c(y) <= g("y") + g("height") + tolerance)

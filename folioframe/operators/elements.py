@@ -60,6 +60,17 @@ def form_stats(fields: DataFrame) -> DataFrame:
     return out.withColumn("percent", g.round_half_up(F.col("filled") * 100 / F.col("total")).cast("long"))
 
 
+def annotation_label(kind: Column, content: Column, n_paths: Column, shape: Column) -> Column:
+    """What a list of annotations shows for one."""
+    strokes = F.concat(F.lit("Drawing ("), n_paths.cast("string"), F.when(n_paths == 1, " stroke)").otherwise(" strokes)"))
+    start = F.nullif(F.left(content, F.lit(30)), F.lit(""))
+    named = F.concat(F.upper(F.left(shape, F.lit(1))), F.substring(shape, F.lit(2), F.length(shape)))
+    return (
+        F.when(kind == "text", F.coalesce(start, F.lit("Text"))).when(kind == "image", "Image").when(kind == "highlight", "Highlight").when(kind == "drawing", strokes)
+        .when(kind == "shape", named).when(kind == "note", F.coalesce(start, F.lit("Empty note"))).when(kind == "stamp", content).otherwise("Annotation")
+    )
+
+
 # ---- search
 
 

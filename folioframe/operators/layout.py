@@ -83,9 +83,15 @@ def field_line(fields: DataFrame, lines: DataFrame, within: float = 25.0) -> Dat
     return fields.join(l, [*PAGE, "band"], "left").groupBy(*PAGE, "ordinal").agg(F.min(hit)["o"].alias("line"))
 
 
+def upright(rects: DataFrame) -> DataFrame:
+    """Boxes with sizes that count from their smaller corner, whatever the sign of width and height."""
+    low = lambda at, size: F.least(F.col(at), F.col(at) + F.col(size))
+    return rects.withColumns({"x": low("x", "width"), "y": low("y", "height"), "width": F.abs("width"), "height": F.abs("height")})
+
+
 def overlapping_borders(rects: DataFrame, tolerance: float = 8.0) -> tuple[DataFrame, DataFrame]:
     """(borders, pairs a < b that overlap within tolerance)."""
-    b = rects.where(rect_role() == "table-border")
+    b = upright(rects.where(rect_role() == "table-border"))
     pairs = _pre(b, "a_", BOX).join(_pre(b, "b_", BOX), PAGE).where((F.col("a_ordinal") < F.col("b_ordinal")) & g.overlaps("a_", "b_", tolerance))
     return b, pairs.select(*PAGE, F.col("a_ordinal").alias("a"), F.col("b_ordinal").alias("b"))
 
@@ -105,12 +111,6 @@ def collapse(bounds: Column, least: float = LEAST_CELL) -> Column:
     return F.when(F.size(bounds) > 0, F.concat(kept, F.array(F.element_at(bounds, -1)))).otherwise(bounds)
 
 
-def upright(rects: DataFrame) -> DataFrame:
-    """Boxes with sizes that count from their smaller corner, whatever the sign of width and height."""
-    low = lambda at, size: F.least(F.col(at), F.col(at) + F.col(size))
-    return rects.withColumns({"x": low("x", "width"), "y": low("y", "height"), "width": F.abs("width"), "height": F.abs("height")})
-
-
 def grids(rects: DataFrame) -> DataFrame:
     """(component, cols, rows, boxes, n_borders) of border groups: clustered edges without narrow cells, at least two cells each way."""
     own = upright(rects).join(border_groups(rects), [*PAGE, "ordinal"])
@@ -251,6 +251,34 @@ def runs(texts: DataFrame, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ordinal", piece.alias("p")))), lambda r: r["p"]), "").alias("text"))
 
 
+def styled_runs(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs of each line with their format."""
+    fmt = F.first(F.struct("font_size", "bold", "color")).alias("f")  # equal in all texts of a run
+    w = Window.partitionBy(*keys).orderBy("x", "ordinal")
+    f = F.struct("font_size", "bold", "color").cast("string")
+    d = shapes.chain_groups(texts.withColumn("__f", f).withColumn("__p", F.lag(f).over(w)), keys, ["x", "ordinal"], F.col("__f") != F.col("__p"), "run")
+    return runs(texts, keys).join(d.groupBy(*keys, "run").agg(fmt), [*keys, "run"]).select(*keys, "run", "n", "text", "f.*")
+
+
+def line_splits(lines: DataFrame, factor: float = 1.5) -> DataFrame:
+    """Paragraph of each line (ln, y, height, font_size): a gap over ``factor`` times the mean size, counted from the line's mean height."""
+    w = Window.partitionBy(*PAGE).orderBy("ln")
+    d = lines.withColumns({f"__{c}": F.lag(c).over(w) for c in ("y", "height", "font_size")})
+    gap = F.col("y") - F.col("__y") - F.col("__height")
+    return shapes.chain_groups(d, PAGE, ["ln"], gap > factor * (F.col("font_size") + F.col("__font_size")) / 2, "paragraph").drop("__y", "__height", "__font_size")
+
+
+def extents(tables: DataFrame, left: Column) -> DataFrame:
+    """Column widths, row heights and box of grids whose first column reaches ``left`` points further for labels."""
+    steps = lambda b: F.transform(F.slice(b, 2, F.size(b) - 1), lambda x, i: x - F.get(b, i))
+    widths = F.transform(steps(F.col("cols")), lambda x, i: x + F.when(i == 0, left).otherwise(0.0))
+    first, last = (lambda b: F.element_at(b, 1)), (lambda b: F.element_at(b, -1))
+    return tables.select(
+        *PAGE, "component", widths.alias("widths"), steps(F.col("rows")).alias("heights"), (first("cols") - left).alias("x"), first("rows").alias("y"),
+        (last("cols") - first("cols") + left).alias("width"), (last("rows") - first("rows")).alias("height"),
+    )
+
+
 def two_columns(texts: DataFrame, least: float = 40.0) -> DataFrame:
     """Widest gap of at least ``least`` between the texts of each band, and its middle."""
     w = Window.partitionBy(*PAGE, "band").orderBy("x", "ordinal")

@@ -36,13 +36,13 @@ def register(name: str, sql: str | None = None, ctes: str = "", recursive: bool
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import more  # noqa: F401  registers its queries
+    from . import more, wider  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import more  # noqa: F401
+    from . import more, wider  # noqa: F401
 
     return dict(_SQL)
 
@@ -697,7 +697,8 @@ def j29(s, d):
 def j13(s, d):
     f = v.g_field(s, d)
     first = F.min("y").over(Window.partitionBy(*PAGE))
-    return m.column_headers(f.withColumn("top", first).where("y - top <= 8").drop("top"), v.g_text(s, d))
+    row = f.withColumn("top", first).where("y - top <= 8").drop("top")
+    return m.column_headers(row.withColumn("y", F.col("y") + 24), v.g_text(s, d))
 
 
 @register("j08_left_labels")
