@@ -41,8 +41,8 @@ from .gray_index import SEED, GrayIndex, components, first_of_each, forest, gray
 RADIUS = 18
 #: Fingerprints of a group that are searched together, next to one another in Gray order.
 CHUNK = 2048
-#: Least number of bins; a set has about a bin for each hash.
-BINS = 64
+#: Hashes up to which a set has bins, about one for each hash; those of larger sets would outweigh their tokens.
+BINNED = 512
 #: Documents in the sample and the shingles taken from it that count as frequent.
 SAMPLE = 4_000
 FREQUENT = 500_000
@@ -92,6 +92,16 @@ def _fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
+def _bins(hashes: np.ndarray) -> bytes:
+    """Counts of hashes by bins, two bits each: 3 is three or more."""
+    n = len(hashes)
+    if n > BINNED:
+        return b""
+    size = max(16, 1 << n.bit_length() - 1)
+    count = np.minimum(np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size), 3).astype(np.uint8)
+    return (count[::4] | count[1::4] << 2 | count[2::4] << 4 | count[3::4] << 6).tobytes()
+
+
 def _marked(rows: DataFrame, width: int, least: Fraction, frequent: np.ndarray) -> DataFrame:
     """(doc_id, class, n, fp, bins, prefix) of each row."""
 
@@ -109,9 +119,7 @@ def _marked(rows: DataFrame, width: int, least: Fraction, frequent: np.ndarray)
                 at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                 rank = np.where(values[at] == s, by_value[at] + 1, 0)
             order = np.lexsort((s, rank))[: n + int(-least * n // 1) + 1]  # n - ceil(least * n) + 1
-            size = max(BINS, 1 << (n - 1).bit_length())
-            bins = np.minimum(np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size), 15).astype(np.uint8)
-            return i, _class_of(s), n, _fingerprint(s), (bins[::2] | bins[1::2] << 4).tobytes(), s[order].tobytes()
+            return i, _class_of(s), n, _fingerprint(s), _bins(s), s[order].tobytes()
 
         return lambda found: [one(*r) for r in found]
 
@@ -199,44 +207,56 @@ def _near_pairs(shared: DataFrame, classes: DataFrame, least: Fraction) -> DataF
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(_near_tasks(least), "a long, b long").distinct()
 
 
-def most_shared(bins: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Hashes that the sets i and j share at most: the smaller count of each bin."""
-    size = np.array([len(x) for x in bins])
+def most_shared(bins: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Hashes that the sets i and j share at most.
+
+    Where a bin of one counts more than that of the other, the difference is not shared.
+    Sets with other numbers of bins fold to the smaller number.
+    """
+    size = np.array([4 * len(x) for x in bins])
     out = np.minimum(n[i], n[j])
     both = np.minimum(size[i], size[j])
-    for s in np.unique(both):
+    for s in np.unique(both[both > 0]):
         mine = np.flatnonzero(both == s)
         used, at = np.unique(np.r_[i[mine], j[mine]], return_inverse=True)
-        # more bins fold to fewer, since both numbers are powers of two
-        table = np.stack([bins[k].reshape(-1, s).sum(0, dtype=np.int32) for k in used])
-        full = np.array([(bins[k] == 15).any() for k in used])  # full bins exclude nothing
+        table = np.stack([_folded(bins[k], int(s)) for k in used])
         x, y = at[: len(mine)], at[len(mine) :]
-        for p in range(0, len(mine), max(1, 4_000_000 // int(s))):
-            q = slice(p, p + max(1, 4_000_000 // int(s)))
-            shared = np.minimum(table[x[q]], table[y[q]]).sum(1, dtype=np.int64)
-            out[mine[q]] = np.where(full[x[q]] | full[y[q]], out[mine[q]], shared)
+        step = max(1, 4_000_000 // int(s))
+        for p in range(0, len(mine), step):
+            q = mine[p : p + step]
+            left, right = table[x[p : p + step]], table[y[p : p + step]]
+            # a bin that is full may hold more, so it takes nothing from the other
+            only_left = np.where(right < 3, np.maximum(left - right, 0), 0).sum(1, dtype=np.int64)
+            only_right = np.where(left < 3, np.maximum(right - left, 0), 0).sum(1, dtype=np.int64)
+            out[q] = np.minimum(n[i[q]] - only_left, n[j[q]] - only_right)
     return out
 
 
+def _folded(packed: bytes, size: int) -> np.ndarray:
+    x = np.frombuffer(packed, np.uint8)
+    count = np.stack([x >> k & 3 for k in (0, 2, 4, 6)], 1).reshape(-1, size)
+    return np.minimum(count.sum(0, dtype=np.int8), 3).astype(np.int8)
+
+
 def _pair_tasks(least: Fraction, spread_out: bool):
     up, down = least.numerator, least.denominator
 
-    def unpacked(x: bytes) -> np.ndarray:
-        x = np.frombuffer(x, np.uint8)
-        return np.stack([x & 15, x >> 4], 1).reshape(-1)
+    def batch(*cols) -> pa.RecordBatch:
+        n = max(len(c) for c in cols if c is not None)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c) for c in cols], names=["a", "b", "token"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, node, n, place, group, packed in whole_groups(batches, 1, 100_000):
             n, place = n.astype(np.int64), place.astype(np.int64)
             _, number, own = np.unique(node, return_index=True, return_inverse=True)
-            bins = [unpacked(packed[k]) for k in number]
+            bins = [packed[k] for k in number]
             component = np.unique(group, return_inverse=True)[1][number]
             starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             first = np.repeat(starts, np.diff(np.r_[starts, len(token)]))
             before = np.arange(len(token)) - first  # rows of the same shingle that stand before
             todo = np.flatnonzero(before)
             total = np.r_[0, np.cumsum(before[todo])]
-            at, found = 0, []
+            at, found, alive = 0, [], []
             while at < len(todo):
                 stop = max(at + 1, int(np.searchsorted(total, total[at] + PIECE, "right")) - 1)
                 mine, count = todo[at:stop], before[todo[at:stop]]
@@ -247,11 +267,13 @@ def _pair_tasks(least: Fraction, spread_out: bool):
                 keep = np.minimum(n[i], n[j]) * down >= np.maximum(n[i], n[j]) * up
                 # at their first common shingle, no more can be shared than it and what follows in both
                 keep &= np.minimum(n[i] - place[i], n[j] - place[j]) * (up + down) >= up * (n[i] + n[j])
-                both = np.unique(np.stack([np.maximum(own[i[keep]], own[j[keep]]), np.minimum(own[i[keep]], own[j[keep]])], 1), axis=0)
+                i, j = i[keep], j[keep]
+                both, of = np.unique(np.stack([np.maximum(own[i], own[j]), np.minimum(own[i], own[j])], 1), axis=0, return_inverse=True)
                 if len(both):
                     a, b = both.T
                     size, shared = n[number], most_shared(bins, n[number], a, b)
                     keep = shared * (up + down) >= up * (size[a] + size[b])
+                    alive.append(np.unique(token[i[keep[of.reshape(-1)]]]))
                     a, b, apart = a[keep], b[keep], 1000 - 1000 * shared[keep] // (size[a] + size[b] - shared)[keep]
                     if not spread_out:
                         some = spanning(component[a], component[b], apart, len(token))
@@ -262,18 +284,24 @@ def _pair_tasks(least: Fraction, spread_out: bool):
                 some = np.arange(len(a)) if spread_out else spanning(component[a], component[b], apart, len(token))
                 both = np.unique(np.stack([a[some], b[some]], 1), axis=0)
                 a, b = node[number][both[:, 0]], node[number][both[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                yield batch(np.maximum(a, b), np.minimum(a, b), None)
+                yield batch(None, None, np.unique(np.concatenate(alive)))
 
     return run
 
 
-def _rest_pairs(shared: DataFrame, classes: DataFrame, found: DataFrame, least: Fraction, spread_out: bool) -> DataFrame:
-    """(a, b): the pairs of the groups that ``found`` (node, root) doesn't join and nothing excludes, or a spanning forest of them."""
+def _rest_pairs(shared: DataFrame, classes: DataFrame, found: DataFrame, least: Fraction, spread_out: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the groups that ``found`` (node, root) doesn't join and nothing excludes, or a spanning forest of them.
+
+    Also the rows of ``shared`` whose token has such pairs: no other can give one later.
+    """
     label = found.select(F.col("node").alias("class"), "root")
     rows = shared.join(label, "class", "left").select("token", "class", "n", "place", F.coalesce("root", "class").alias("group"))
     mixed = checkpointed(_by_token(rows, "group"))
     whole = mixed.join(classes.select("class", "bins"), "class").select(*mixed.columns, "bins")
-    return whole.repartition("token").sortWithinPartitions("token").mapInArrow(_pair_tasks(least, spread_out), "a long, b long").distinct()
+    out = checkpointed(whole.repartition("token").sortWithinPartitions("token").mapInArrow(_pair_tasks(least, spread_out), "a long, b long, token long"))
+    alive = out.where("token is not null").select("token").distinct()
+    return out.where("a is not null").select("a", "b").distinct(), mixed.join(alive, "token", "left_semi").drop("group")
 
 
 def _checked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, least: Fraction) -> DataFrame:
@@ -318,7 +346,8 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, doc_id: str
     close = _checked(rows, classes, _near_pairs(shared, classes, least), width, least)
     found = components(close)
     for spread_out in (False, True):
-        rest = _checked(rows, classes, _rest_pairs(shared, classes, found, least, spread_out), width, least)
+        pairs, shared = _rest_pairs(shared, classes, found, least, spread_out)
+        rest = _checked(rows, classes, pairs, width, least)
         if not rest.isEmpty():
             found = components(found.toDF("a", "b").union(rest))
     return labelled(marked.select("doc_id", "class"), found, "class")

@@ -83,3 +83,22 @@ def test_spanning_forest_is_nearest_first():
                 root[x] = y
                 least += d[k]
         assert d[some].sum() == least and len(some) == n - len({find(x) for x in range(n)})
+
+
+def test_most_shared_is_a_bound():
+    import numpy as np
+
+    from folioframe.llm.near_copies import _bins, most_shared
+
+    r = np.random.default_rng(2)
+    sets = []
+    for n in (3, 20, 120, 130, 260, 500, 600):
+        base = r.integers(0, 1 << 62, n).astype(np.uint64)
+        for share in (0.0, 0.1, 0.5):
+            other = base.copy()
+            other[: int(share * n)] = r.integers(0, 1 << 62, int(share * n))
+            sets.append(np.unique(other))
+    i, j = (x.reshape(-1) for x in np.meshgrid(range(len(sets)), range(len(sets))))
+    bound = most_shared([_bins(s) for s in sets], np.array([len(s) for s in sets]), i, j)
+    true = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (bound >= true).all() and (bound < np.minimum([len(sets[a]) for a in i], [len(sets[b]) for b in j])).sum() > 100
