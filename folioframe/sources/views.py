@@ -20,9 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _visual_lines(text: Column) -> Column:
     """A text's lines, laid out over visual lines of at most twelve blank-separated pieces. Every piece is kept."""
-    pieces = lambda x: F.split(x, " ")
-    starts = lambda x: F.sequence(F.lit(0), F.floor((F.size(pieces(x)) - 1) / WRAP).cast("int"))
-    return F.flatten(F.transform(F.split(text, "\n"), lambda x: F.transform(starts(x), lambda i: F.array_join(F.slice(pieces(x), i * WRAP + 1, F.lit(WRAP)), " "))))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.split(x, " "))
+    starts = lambda p: F.sequence(F.lit(0), F.floor((F.size(p) - 1) / WRAP).cast("int"))
+    return F.flatten(F.transform(lines, lambda p: F.transform(starts(p), lambda i: F.array_join(F.slice(p, i * WRAP + 1, F.lit(WRAP)), " "))))
 
 
 def g_line(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,17 +38,17 @@ def g_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of visual lines, without blanks. No shuffle: positions are sums within a line's array."""
-    line = g_line(spark, sf_dir)
-    words = F.split("text", " ")
-    widths = F.transform("ws", lambda w: F.when(F.trim(w) == "", F.lit(0.0)).otherwise((F.length(w) + 1) * F.col("font_size") / 2 + F.col("font_size") / 2))
-    line = line.withColumn("ws", words).withColumn("adv", widths)
-    w = F.posexplode(F.transform("ws", lambda x, i: F.struct(x.alias("t"), F.aggregate(F.slice("adv", 1, i), F.lit(0.0), lambda a, b: a + b).alias("sum")))).alias("w", "x")
-    line = line.select("doc_id", "page_id", "ln", F.col("ordinal").alias("k"), "y", "font_size", "bold", w).where(F.trim("x.t") != "")
-    return line.select(
-        "doc_id", "page_id", (F.col("k") * WRAP + F.col("w")).cast("long").alias("ordinal"), "ln", F.col("x.t").alias("text"),
-        (F.lit(72.0) + F.floor(F.col("w") / 6) * 60 + F.col("x.sum")).alias("x"), (F.col("y") + F.col("w") % 3).alias("y"),
-        (F.length("x.t") * F.col("font_size") / 2).alias("width"), F.col("font_size").alias("height"), "font_size", "bold",
+    """Words of visual lines, without blanks. No shuffle: a word's place follows from the line before it."""
+    line = g_line(spark, sf_dir).withColumnRenamed("text", "line").withColumnRenamed("ordinal", "k")
+    word = line.select("doc_id", "page_id", "ln", "k", "y", "font_size", "bold", "line", F.posexplode(F.split("line", " ")).alias("w", "text")).where("text <> ''")
+    before = F.expr("substring_index(line, ' ', w)")
+    # each word before takes its length and two more; runs of blanks leave empty pieces, which take nothing
+    empty = F.when(F.concat(F.lit(" "), before).contains("  "), F.col("w") - F.regexp_count(before, F.lit("[^ ]+"))).otherwise(0)
+    taken = F.when(F.col("w") > 0, F.length(before) + 1 + F.col("w") - 2 * empty).otherwise(0)
+    return word.select(
+        "doc_id", "page_id", (F.col("k") * WRAP + F.col("w")).cast("long").alias("ordinal"), "ln", "text",
+        (F.lit(72.0) + F.floor(F.col("w") / 6) * 60 + taken * F.col("font_size") / 2).alias("x"), (F.col("y") + F.col("w") % 3).alias("y"),
+        (F.length("text") * F.col("font_size") / 2).alias("width"), F.col("font_size").alias("height"), "font_size", "bold",
         F.element_at(F.array(F.lit("000000"), F.lit("ff0000"), F.lit("0000ff")), (F.pmod(F.col("doc_id") + F.col("ln"), F.lit(3)) + 1).cast("int")).alias("color"),
     )
 

@@ -17,13 +17,16 @@ def debounced(edits: DataFrame, gap: str = "300 milliseconds", late: str = "10 m
 
 
 def coalesced(edits: DataFrame) -> DataFrame:
-    """First original and last new value of each item; update or complete output."""
+    """First original and last new value of each item; update or complete output. The state has a row for each item."""
     at = F.struct("ts", "event_id")
     return edits.groupBy("doc_id", "item").agg(F.min_by("value", at).alias("original"), F.max_by("value", at).alias("latest"), F.count(F.lit(1)).alias("n"))
 
 
 def histories(edits: DataFrame, undo: str = "error", redo: str = "view") -> DataFrame:
-    """(doc_id, history, cursor) after each batch of edits, with the state kept by document."""
+    """(doc_id, history, cursor) after each batch of edits, with the state kept by document.
+
+    Edits are ordered within a batch; one that comes a batch too late is applied where it comes.
+    """
     import pandas as pd
 
     def step(key, frames, state):
