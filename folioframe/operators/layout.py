@@ -146,12 +146,12 @@ def text_in_tables(texts: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def baseline_lines(texts: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """Line number of each text: texts by y join while near the line's first. One fold over each page."""
-    rows = F.array_sort(F.collect_list(F.struct("y", "x", "ordinal")))
-    pages = texts.groupBy(*PAGE).agg(rows.alias("r"))
-    pages = pages.withColumn("g", shapes.anchor_groups(F.col("r"), "y", tolerance))
-    z = pages.select(*PAGE, F.explode(F.arrays_zip("r", "g")).alias("z"))
-    return z.select(*PAGE, "z.r.ordinal", "z.r.x", "z.r.y", F.col("z.g").cast("long").alias("line"))
+    """Line number of each text: texts by y join while near the line's first. One fold over the distinct y of each page."""
+    pages = texts.groupBy(*PAGE).agg(F.array_sort(F.collect_set("y")).alias("ys"), F.collect_list(F.struct("ordinal", "x", "y")).alias("r"))
+    pages = pages.withColumn("lines", shapes.anchor_groups(F.col("ys"), tolerance))
+    z = pages.select(*PAGE, "ys", "lines", F.explode("r").alias("r"))
+    at = F.array_position("ys", F.col("r.y")).cast("int") - 1
+    return z.select(*PAGE, "r.ordinal", "r.x", "r.y", F.get("lines", at).cast("long").alias("line"))
 
 
 def split_gaps(texts: DataFrame, keys: list[str], gap: float = 30.0) -> DataFrame:

@@ -35,16 +35,16 @@ def running_means(values: Column, tolerance: float) -> Column:
     return F.aggregate(F.array_sort(values), empty, step, lambda acc: F.transform(acc, lambda x: x["s"] / x["n"]))
 
 
-def anchor_groups(rows: Column, value: str, tolerance: float) -> Column:
-    """Group numbers along an ordered array of structs: a row farther than ``tolerance`` from its group's first starts one."""
+def anchor_groups(values: Column, tolerance: float) -> Column:
+    """Group numbers along a sorted array of numbers: one farther than ``tolerance`` from its group's first starts a group."""
     start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("g"), F.expr("cast(array() as array<int>)").alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        fresh = acc["anchor"].isNull() | (F.abs(r[value] - acc["anchor"]) > tolerance)
+    def step(acc: Column, v: Column) -> Column:
+        fresh = acc["anchor"].isNull() | (F.abs(v - acc["anchor"]) > tolerance)
         g = acc["g"] + F.when(fresh, 1).otherwise(0)
-        return F.struct(F.when(fresh, r[value]).otherwise(acc["anchor"]).alias("anchor"), g.alias("g"), F.concat(acc["out"], F.array(g)).alias("out"))
+        return F.struct(F.when(fresh, v).otherwise(acc["anchor"]).alias("anchor"), g.alias("g"), F.concat(acc["out"], F.array(g)).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    return F.aggregate(values, start, step, lambda acc: acc["out"])
 
 
 #: Height of a band of a page, in points.
