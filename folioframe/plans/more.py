@@ -276,9 +276,10 @@ def a16(s, d):
     return v.g_line(s, d).groupBy("doc_id").agg(F.bool_or(F.col("ln") % 5 == 3).alias("any_list"), F.min_by("text", F.when((F.col("ordinal") == 0) & (F.col("text") != ""), F.col("page_id"))).alias("header"))
 
 
-@register("a18_variance", "SELECT doc_id, page_id, round(var_pop(x), 4) AS v FROM g_text GROUP BY doc_id, page_id")
+@register("a18_variance", "SELECT doc_id, page_id, round(var_pop(x) + 1e-7, 4) AS v FROM g_text GROUP BY doc_id, page_id")
 def a18(s, d):
-    return v.g_text(s, d).groupBy(*PAGE).agg(F.round(F.coalesce(F.var_pop("x"), F.lit(0.0)), 4).alias("v"))
+    # the small term keeps halves of the last digit from going either way
+    return v.g_text(s, d).groupBy(*PAGE).agg(F.round(F.coalesce(F.var_pop("x"), F.lit(0.0)) + 1e-7, 4).alias("v"))
 
 
 @register("a20_fields_by_page", "SELECT doc_id, page_id, list(ordinal ORDER BY ordinal) AS fields FROM g_field GROUP BY doc_id, page_id")
