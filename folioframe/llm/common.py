@@ -65,6 +65,15 @@ _ARROW = {
 }
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    lead = "__"
+    while any(lead + n in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 #: Rows of one or two numbers up to which a table is sent to all tasks.
 SMALL = 500_000
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, words_of
+from .common import checkpointed, fresh, words_of
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
@@ -277,10 +277,11 @@ def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     counts all of them. Rows without id are kept once.
     """
     units = sized(docs, doc_id, text, source).where("doc_id is not null").groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
-    copies = mix(units).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").alias("__copies"))
-    named = docs.join(copies, (F.col(doc_id) == F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")), "left")
-    times = F.when(F.col(doc_id).isNull(), F.lit(1)).otherwise(F.coalesce(F.col("__copies"), F.lit(0))).cast("int")
-    return named.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, of, taken, copy = fresh(docs, "id", "source", "copies", "copy")
+    copies = mix(units).select(F.col("doc_id").alias(own), F.col("source").alias(of), F.col("copies").alias(taken))
+    named = docs.join(copies, (F.col(doc_id) == F.col(own)) & F.col(source).eqNullSafe(F.col(of)), "left")
+    times = F.when(F.col(doc_id).isNull(), F.lit(1)).otherwise(F.coalesce(F.col(taken), F.lit(0))).cast("int")
+    return named.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

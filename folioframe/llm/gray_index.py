@@ -26,15 +26,16 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, small
+from .common import checkpointed, fresh, map_rows, small
 
 SEED = 42
 FANOUT = 16
@@ -277,7 +278,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def labelled(rows: DataFrame, found: DataFrame, key: str, doc_id: str = "doc_id") -> DataFrame:
-    """rows with component_id: the smallest id of all rows whose ``key`` is theirs or linked to it by ``found`` (node, root).
+    """rows with their group and component_id: the smallest id of all rows whose ``key`` is theirs or linked to it by ``found`` (node, root).
 
     A key of over a 10,000th of all rows is joined by broadcast, since there are fewer
     than 10,000 of these; so no key lands in one task with more than that share.
@@ -286,43 +287,56 @@ def labelled(rows: DataFrame, found: DataFrame, key: str, doc_id: str = "doc_id"
     classes = checkpointed(rows.groupBy(key).agg(F.min(doc_id).alias("rep"), F.count(F.lit(1)).alias("n")))
     named = member.join(classes, member["node"] == classes[key])
     smallest = named.groupBy("root").agg(F.min("rep").alias("smallest"))
-    of = named.select(key, "root").join(smallest, "root").select(key, "smallest")
+    of = named.select(key, "root").join(smallest, "root").select(key, "root", "smallest")
     # a key of one row and without link needs no label
-    label = classes.join(of, key, "left").where("n > 1 or smallest is not null").select(key, "n", F.coalesce("smallest", "rep").alias("component_id"))
+    label = classes.join(of, key, "left").where("n > 1 or smallest is not null").select(key, "n", F.coalesce("smallest", "rep").alias("component_id"), F.coalesce("root", key).alias("group"))
     most = rows.count() / 10_000
-    hot = label.where(F.col("n") > most).select(key, F.col("component_id").alias("hot"))
-    cold = label.where(F.col("n") <= most).select(key, "component_id")
+    hot, cold = label.where(F.col("n") > most).drop("n"), label.where(F.col("n") <= most).drop("n")
     marked = rows.join(F.broadcast(hot), key, "left")
-    far = marked.where("hot is null").drop("hot").join(cold, key, "left").withColumn("component_id", F.coalesce("component_id", doc_id))
-    return far.unionByName(marked.where("hot is not null").withColumnRenamed("hot", "component_id"))
+    far = marked.where("group is null").drop("component_id", "group").join(cold, key, "left")
+    far = far.withColumn("component_id", F.coalesce("component_id", doc_id)).withColumn("group", F.coalesce("group", key))
+    return far.unionByName(marked.where("group is not null"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest id reachable by links."""
+    """(doc_id, fp, component_id, group): component_id is the smallest id reachable by links."""
     marked = checkpointed(fingerprints(docs, width, doc_id, text))
     found = components(links(checkpointed(marked.select("fp").distinct()), radius))
-    return labelled(marked, found, "fp").select("doc_id", "fp", "component_id")
+    return labelled(marked, found, "fp")
 
 
-def first_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def first_of_each(docs: DataFrame, found: DataFrame, key: str, marked: Callable[[Column], Column], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group: that of the smallest id. Rows without id stay.
 
-    Of rows that share that id, the first by all columns' text stays, so reruns agree.
+    found: (doc_id, ``key``, component_id, group); ``marked`` computes the key of a text.
+    Of a group's rows that share that id, the first by all columns' text stays, so reruns
+    agree; rows of other groups that share it stay as well.
     """
-    kept = checkpointed(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")))
-    of = lambda ids: docs.join(small(ids.select("__id")), F.col(doc_id) == F.col("__id"), "left_semi")
-    out = of(kept.where("__n = 1")).unionByName(docs.where(F.col(doc_id).isNull()))
-    again = kept.where("__n > 1")
+    own, whole, mine, theirs, group, place = fresh(docs, "id", "text", "key", "own", "group", "n")
+    kept = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
+    kept = checkpointed(kept.where("first").drop("first"))
+    of = lambda ids: docs.join(small(ids.select(own)), F.col(doc_id) == F.col(own), "left_semi")
+    out = of(kept.where("n = 1")).unionByName(docs.where(F.col(doc_id).isNull()))
+    again = kept.where("n > 1")
     if again.isEmpty():
         return out
-    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"})
-    place = F.row_number().over(Window.partitionBy(doc_id).orderBy("__text"))
-    return out.unionByName(of(again).withColumn("__text", text).withColumn("__n", place).where("__n = 1").drop("__text", "__n"))
+    as_text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"})
+    twice = of(again).withColumn(whole, as_text).withColumn(mine, marked(F.col(text)))
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(own), F.col(key).alias(theirs), F.col("group").alias(group)).distinct()
+    rows = twice.join(first, (F.col(doc_id) == F.col(own)) & (F.col(mine) == F.col(theirs)))
+    at = F.row_number().over(Window.partitionBy(doc_id, group).orderBy(whole))
+    return out.unionByName(rows.withColumn(place, at).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def deduplicated(docs: DataFrame, width: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates."""
-    return first_of_each(docs, near_duplicates(docs, width, radius, doc_id, text), doc_id)
+    make = _fingerprinter(width)
+
+    @F.pandas_udf("long")
+    def marked(texts):
+        return pd.Series([fp for _, fp in make()([(0, t) for t in texts])], dtype="int64")
+
+    return first_of_each(docs, near_duplicates(docs, width, radius, doc_id, text), "fp", marked, doc_id, text)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -335,7 +336,7 @@ def _checked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
 
 
 def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class, component_id): component_id is the smallest id reachable by links."""
+    """(doc_id, class, component_id, group): component_id is the smallest id reachable by links."""
     least = Fraction(str(least))
     rows = _rows(docs, doc_id, text)
     marked = checkpointed(_marked(rows, width, least, _frequent(rows, width)))
@@ -355,4 +356,9 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, doc_id: str
 
 def deduplicated(docs: DataFrame, width: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group: that of the smallest id. Rows without id stay."""
-    return first_of_each(docs, near_copies(docs, width, least, doc_id, text), doc_id)
+
+    @F.pandas_udf("long")
+    def marked(texts):
+        return pd.Series([_class_of(shingle_set(t, width)) for t in texts], dtype="int64")
+
+    return first_of_each(docs, near_copies(docs, width, least, doc_id, text), "class", marked, doc_id, text)
