@@ -42,7 +42,7 @@ from .gray_index import SEED, GrayIndex, components, first_of_each, forest, gray
 RADIUS = 18
 #: Fingerprints of a group that are searched together, next to one another in Gray order.
 CHUNK = 2048
-#: Hashes up to which a set has bins, about one for each hash; those of larger sets would outweigh their tokens.
+#: Hashes up to which a set's bins go with each of its tokens; those of larger sets go with their pairs.
 BINNED = 512
 #: Documents in the sample and the shingles taken from it that count as frequent.
 SAMPLE = 4_000
@@ -94,11 +94,8 @@ def _fingerprint(hashes: np.ndarray) -> int:
 
 
 def _bins(hashes: np.ndarray) -> bytes:
-    """Counts of hashes by bins, two bits each: 3 is three or more."""
-    n = len(hashes)
-    if n > BINNED:
-        return b""
-    size = max(16, 1 << n.bit_length() - 1)
+    """Counts of hashes by bins, about one for each hash, two bits each: 3 is three or more."""
+    size = max(16, 1 << len(hashes).bit_length() - 1)
     count = np.minimum(np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size), 3).astype(np.uint8)
     return (count[::4] | count[1::4] << 2 | count[2::4] << 4 | count[3::4] << 6).tobytes()
 
@@ -251,6 +248,7 @@ def _pair_tasks(least: Fraction, spread_out: bool):
             n, place = n.astype(np.int64), place.astype(np.int64)
             _, number, own = np.unique(node, return_index=True, return_inverse=True)
             bins = [packed[k] for k in number]
+            has = np.array([len(x) > 0 for x in bins])
             component = np.unique(group, return_inverse=True)[1][number]
             starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             first = np.repeat(starts, np.diff(np.r_[starts, len(token)]))
@@ -275,6 +273,8 @@ def _pair_tasks(least: Fraction, spread_out: bool):
                     size, shared = n[number], most_shared(bins, n[number], a, b)
                     keep = shared * (up + down) >= up * (size[a] + size[b])
                     alive.append(np.unique(token[i[keep[of.reshape(-1)]]]))
+                    if not spread_out:  # pairs without bins wait for the second round
+                        keep &= has[a] & has[b]
                     a, b, apart = a[keep], b[keep], 1000 - 1000 * shared[keep] // (size[a] + size[b] - shared)[keep]
                     if not spread_out:
                         some = spanning(component[a], component[b], apart, len(token))
@@ -299,10 +299,32 @@ def _rest_pairs(shared: DataFrame, classes: DataFrame, found: DataFrame, least:
     label = found.select(F.col("node").alias("class"), "root")
     rows = shared.join(label, "class", "left").select("token", "class", "n", "place", F.coalesce("root", "class").alias("group"))
     mixed = checkpointed(_by_token(rows, "group"))
-    whole = mixed.join(classes.select("class", "bins"), "class").select(*mixed.columns, "bins")
+    light = classes.select("class", F.when(F.col("n") <= BINNED, F.col("bins")).otherwise(F.lit(b"")).alias("bins"))
+    whole = mixed.join(light, "class").select(*mixed.columns, "bins")
     out = checkpointed(whole.repartition("token").sortWithinPartitions("token").mapInArrow(_pair_tasks(least, spread_out), "a long, b long, token long"))
     alive = out.where("token is not null").select("token").distinct()
-    return out.where("a is not null").select("a", "b").distinct(), mixed.join(alive, "token", "left_semi").drop("group")
+    pairs = out.where("a is not null").select("a", "b").distinct()
+    return _bounded(pairs, classes, least) if spread_out else pairs, mixed.join(alive, "token", "left_semi").drop("group")
+
+
+def _bounded(pairs: DataFrame, classes: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs whose bins let them have the similarity, where one of them is too large to have had bins before."""
+
+    def make():
+        up, down = least.numerator, least.denominator
+
+        def may(n1, n2, x, y):
+            if max(n1, n2) <= BINNED:
+                return True
+            shared = most_shared([x, y], np.array([n1, n2]), np.array([0]), np.array([1]))
+            return int(shared[0]) * (up + down) >= up * (n1 + n2)
+
+        return lambda found: [(a, b) for a, b, n1, n2, x, y in found if may(n1, n2, x, y)]
+
+    bins = F.when(F.col("n") > BINNED // 2, F.col("bins")).otherwise(F.lit(b""))  # partners of large sets
+    side = lambda k, n, x: classes.select(F.col("class").alias(k), F.col("n").alias(n), bins.alias(x))
+    both = small(checkpointed(pairs)).join(side("a", "n1", "x"), "a").join(side("b", "n2", "y"), "b")
+    return map_rows(both.select("a", "b", "n1", "n2", "x", "y"), make, "a long, b long")
 
 
 def _checked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, least: Fraction) -> DataFrame:
@@ -329,10 +351,10 @@ def _checked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     wanted = checkpointed(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
     ids = checkpointed(classes.select("class", "rep").join(small(wanted), "class", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
     members = map_rows(rows.join(small(ids), "doc_id", "left_semi"), sets, "class long, members binary")
-    members = checkpointed(members.join(small(wanted), "class", "left_semi").dropDuplicates(["class"]))
+    members = checkpointed(members.join(small(wanted), "class", "left_semi"))
     side = lambda k: members.select(F.col("class").alias(k), F.col("members").alias(f"{k}_members"))
     both = small(pairs).join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_members", "b_members")
-    return checkpointed(map_rows(both, check, "a long, b long"))
+    return checkpointed(map_rows(both, check, "a long, b long").distinct())  # rows that share an id give a set twice
 
 
 def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -54,6 +54,7 @@ def test_rest_finds_what_the_index_misses(spark, monkeypatch):
 
     monkeypatch.setattr(near_copies, "RADIUS", -1)
     monkeypatch.setattr(near_copies, "PIECE", 5)
+    monkeypatch.setattr(near_copies, "BINNED", 150)
     texts = planted()
     got = near_copies.deduplicated(spark.createDataFrame(texts, SCHEMA))
     assert sorted(r.doc_id for r in got.collect()) == kept(texts)
