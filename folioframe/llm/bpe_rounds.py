@@ -40,7 +40,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The pattern's white space is the White_Space property, without the four information separators.
 _SPACE = r"\t\n\x0B\f\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Bytes of pieces and ids that a worker keeps in each table, and symbols that one batch of rounds takes.
-KEPT = 64_000_000
+KEPT = 160_000_000
 FLAT = 1_000_000
 #: Bytes of a word from which its merges are taken from a heap: rounds go over the whole word for each rank.
 LONG = 2_000
