@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arc_convert, bpe_rounds, cube_mix, ecoc_langid, glob_filter, gray_index, imatch, mincut_html, pii_crf, quality_ledger
+from . import arc_convert, bpe_rounds, cube_mix, ecoc_langid, glob_filter, gray_index, imatch, mincut_html, pii_crf, quality_ledger, source_audit
 from .common import table
 
 
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_glob_filter": lambda s, d: glob_filter.digest(table(s, d, "pages")),
         "op9_quality_ledger": lambda s, d: quality_ledger.digest(table(s, d, "documents")),
         "op10_mincut_html": lambda s, d: mincut_html.digest(table(s, d, "pages")),
+        "op11_source_audit": lambda s, d: source_audit.digest(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_glob_filter": glob_filter.ORACLE, "op9_quality_ledger": quality_ledger.ORACLE}
+    return {"op8_glob_filter": glob_filter.ORACLE, "op9_quality_ledger": quality_ledger.ORACLE, "op11_source_audit": source_audit.ORACLE}
