@@ -1,13 +1,18 @@
 """k-means on integer vectors with block-norm screening.
 
-A vector's components become integers floor(256 * x). Its 64 components are cut in blocks of
-eight; the blocks' norms are computed once and kept beside the vector, as are those of the
-centroids in each round. By Cauchy-Schwarz a block's squared distance is at least the
-square of the difference of its norms, so the sum over blocks is a lower bound of the
-distance that takes eight numbers in place of 64. Each vector first meets the centroid of
-its least bound; only centroids whose bound does not exceed that distance get an exact one.
-Bounds are shortened by a margin for rounding, so no nearest centroid is lost, and ties
-go to the smaller number.
+A vector's components become integers floor(256 * x). Beside them stands, made once, a
+compressed vector: each component over a power of two, rounded to a signed byte, and for each
+of eight segments the norms of what the bytes hold and of what they leave. The centroids are
+compressed likewise in each round. With x = a + e and c = b + g (compressed parts and rests),
+
+    x.c = a.b + a.g + e.c <= a.b + sum over segments of |a||g| + |e||c|
+
+by Cauchy-Schwarz, so one product of bytes (exact in 32-bit floats) and two of eight norms bound
+all distances from below. Each vector first meets the centroid of its least bound; only centroids
+whose bound does not exceed that distance get an exact integer one. Bounds are shortened by a
+margin for rounding, so no nearest centroid is lost, and ties go to the smaller number.
+Norms alone, (|x| - |c|)^2 by segment, would rule out nothing where vectors have one length, as
+embeddings mostly do.
 
 Every round is one pass over the vectors: tasks screen, assign and add up, Spark merges one row
 of sums for each task and centroid. Centroids (``K`` rows) are all that the driver sees.
@@ -28,6 +33,7 @@ vectors each one with an id starts a centroid; without any there is no row; furt
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,31 +50,49 @@ ROUNDS = 5
 SEED = 2
 #: Components up to which 64-bit integers hold all squared distances.
 PLAIN = 1 << 27
+BYTE = 127
 LIMB = 31
 LONG = (1 << 63) - 1
 #: Vectors that a task screens at once.
 PIECE = 4096
 
 
-def block_norms(v: np.ndarray) -> np.ndarray:
-    """Norms of the blocks of each row."""
-    return np.sqrt((v.astype(np.float64).reshape(len(v), DIM // BLOCK, BLOCK) ** 2).sum(2))
+def segment_norms(v: np.ndarray) -> np.ndarray:
+    """Norms of the segments of each row, rounded up to 32 bits."""
+    n = np.sqrt((v.astype(np.float64).reshape(len(v), DIM // BLOCK, BLOCK) ** 2).sum(2))
+    return np.nextafter((n * (1 + 1e-12)).astype(np.float32), np.float32(np.inf))
+
+
+class Screen:
+    """Compressed rows: bytes, their power of two, segment norms of both parts, squared length."""
+
+    def __init__(self, small: np.ndarray, shift: np.ndarray, held: np.ndarray, rest: np.ndarray, square: np.ndarray):
+        self.small, self.shift, self.held, self.rest, self.square = small, shift, held, rest, square
 
+    @staticmethod
+    def of(v: np.ndarray) -> Screen:
+        most = np.abs(v).max(1, initial=0)
+        shift = np.where(most > BYTE, np.ceil(np.log2(np.maximum(most, 1) / BYTE)), 0).astype(np.int64)
+        unit = (1 << shift)[:, None]
+        small = np.clip((2 * v + unit) // (2 * unit), -BYTE, BYTE)
+        return Screen(small.astype(np.int8), shift, segment_norms(small * unit), segment_norms(v - small * unit), (v * v).sum(1))
 
-def lower_bounds(norms: np.ndarray, centre_norms: np.ndarray) -> np.ndarray:
-    """Rows x centroids: no more than the squared distances."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        a = (norms**2).sum(1)[:, None] + (centre_norms**2).sum(1)[None, :]
-        bound = a - 2 * (norms @ centre_norms.T) - 1e-9 * a - 1
-    return np.where(np.isfinite(bound), np.maximum(bound, 0), 0)
+    def bounds(self, centres: Screen, whole: np.ndarray) -> np.ndarray:
+        """Rows x centroids: no more than the squared distances. ``whole``: segment norms of the centroids."""
+        dot = (self.small.astype(np.float32) @ centres.small.astype(np.float32).T).astype(np.float64)
+        dot *= (1 << self.shift)[:, None] * (1 << centres.shift)[None, :]
+        f = np.float64
+        dot += self.held.astype(f) @ centres.rest.astype(f).T + self.rest.astype(f) @ whole.astype(f).T
+        a = self.square[:, None] + centres.square[None, :].astype(f)
+        return np.maximum(a - 2 * dot - 1e-9 * a - 1, 0)
 
 
-def nearest(v: np.ndarray, norms: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def nearest(v: np.ndarray, screen: Screen, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Nearest centroid and squared distance of each row, and how many exact distances were taken.
 
     All components lie within PLAIN.
     """
-    bounds = lower_bounds(norms, block_norms(centres))
+    bounds = screen.bounds(Screen.of(centres), segment_norms(centres))
     best = bounds.argmin(1)
     far = ((v - centres[best]) ** 2).sum(1)
     taken = len(v)
@@ -97,16 +121,16 @@ class Centres:
         d, i = min((sum((a - b) ** 2 for a, b in zip(x, c)), i) for i, c in enumerate(self.rows))
         return i, d
 
-    def of(self, v: np.ndarray, norms: np.ndarray) -> tuple[list[int], list[int]]:
+    def of(self, v: np.ndarray, screen: Screen) -> tuple[list[int], list[int]]:
         """(centroids, squared distances) of plain vectors."""
         if not self.plain:
             found = [self.of_one(x) for x in v.tolist()]
             return [i for i, _ in found], [d for _, d in found]
-        best, far, _ = nearest(v, norms, self.array)
+        best, far, _ = nearest(v, screen, self.array)
         best = np.array(self.plain)[best]
         for c in self.wide:
-            bound = lower_bounds(norms, block_norms(np.array([self.rows[c]], np.float64)))[:, 0]
-            for r in np.flatnonzero(bound <= far):
+            length = math.isqrt(sum(x * x for x in self.rows[c]))
+            for r in np.flatnonzero((float(length) * (1 - 1e-9) - np.sqrt(screen.square.astype(np.float64))).clip(0) ** 2 <= far):
                 d = sum((a - b) ** 2 for a, b in zip(v[r].tolist(), self.rows[c]))
                 if d < far[r] or (d == far[r] and c < best[r]):
                     best[r], far[r] = c, d
@@ -114,7 +138,7 @@ class Centres:
 
 
 def vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, plain, v, norms): integers and block norms of the vectors that are kept.
+    """(vec_id, plain, v, small, shift, norms): integers and compressed form of the vectors that are kept.
 
     ``v`` holds 64 32-bit integers where they are plain, else doubles.
     """
@@ -128,13 +152,13 @@ def vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
             x = np.floor(x * 256)  # exact, by a power of two
             plain = (np.abs(x) < PLAIN).all(1)
             whole = np.where(plain[:, None], x, 0).astype(np.int64)
-            norms = block_norms(whole)
-            short = whole.astype(np.int32)
+            short, c = whole.astype(np.int32), Screen.of(whole)
             data = [(short[i] if plain[i] else x[i]).tobytes() for i in range(len(x))]
-            cols = [b.column(0), pa.array(plain), pa.array(data, pa.binary()), pa.array([n.tobytes() for n in norms], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "plain", "v", "norms"])
+            norms = np.concatenate([c.held, c.rest], axis=1)
+            packed = [pa.array([r.tobytes() for r in m], pa.binary()) for m in (c.small, norms)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(plain), pa.array(data, pa.binary()), packed[0], pa.array(c.shift.astype(np.int32)), packed[1]], names=["vec_id", "plain", "v", "small", "shift", "norms"])
 
-    return kept.mapInArrow(make, "vec_id long, plain boolean, v binary, norms binary")
+    return kept.mapInArrow(make, "vec_id long, plain boolean, v binary, small binary, shift int, norms binary")
 
 
 def _ints(plain: bool, v: bytes) -> list[int]:
@@ -154,11 +178,13 @@ def _assign(batches: Iterator[pa.RecordBatch], centres: Centres) -> Iterator[tup
         for lo in range(0, b.num_rows, PIECE):
             piece = b.slice(lo, PIECE)
             plain = np.asarray(piece.column(1).to_pylist(), bool)
-            ids, raw, norms = (piece.column(i).to_pylist() for i in (0, 2, 3))
+            ids, raw, small, shift, norms = (piece.column(i).to_pylist() for i in (0, 2, 3, 4, 5))
             at = np.flatnonzero(plain).tolist()
             if at:
                 v = np.frombuffer(b"".join(raw[i] for i in at), np.int32).reshape(-1, DIM).astype(np.int64)
-                yield [ids[i] for i in at], v, [], *centres.of(v, np.frombuffer(b"".join(norms[i] for i in at), np.float64).reshape(-1, DIM // BLOCK))
+                n = np.frombuffer(b"".join(norms[i] for i in at), np.float32).reshape(-1, 2, DIM // BLOCK)
+                screen = Screen(np.frombuffer(b"".join(small[i] for i in at), np.int8).reshape(-1, DIM), np.array([shift[i] for i in at], np.int64), n[:, 0], n[:, 1], (v * v).sum(1))
+                yield [ids[i] for i in at], v, [], *centres.of(v, screen)
             at = np.flatnonzero(~plain).tolist()
             if at:
                 wide = [_ints(False, raw[i]) for i in at]
