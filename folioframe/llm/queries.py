@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arc_convert, block_centroids, bpe_rounds, cube_mix, ecoc_langid, glob_filter, gray_index, imatch, mincut_html, pii_crf, quality_ledger, source_audit
+from . import arc_convert, block_centroids, bpe_rounds, cube_mix, ecoc_langid, glob_filter, gray_index, imatch, log_bloom, mincut_html, pii_crf, quality_ledger, source_audit
 from .common import table
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_ledger": lambda s, d: quality_ledger.digest(table(s, d, "documents")),
         "op10_mincut_html": lambda s, d: mincut_html.digest(table(s, d, "pages")),
         "op11_source_audit": lambda s, d: source_audit.digest(table(s, d, "documents")),
+        "op12_log_bloom": lambda s, d: log_bloom.digest(table(s, d, "documents")),
         "op13_block_centroids": lambda s, d: block_centroids.digest(table(s, d, "embeddings")),
     }
 
@@ -32,5 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_glob_filter": glob_filter.ORACLE,
         "op9_quality_ledger": quality_ledger.ORACLE,
         "op11_source_audit": source_audit.ORACLE,
+        "op12_log_bloom": lambda s, d: log_bloom.digest(table(s, d, "documents")),
         "op13_block_centroids": block_centroids.ORACLE,
     }
