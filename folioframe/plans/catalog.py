@@ -36,13 +36,13 @@ def register(name: str, sql: str | None = None, ctes: str = "", recursive: bool
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import more, wider  # noqa: F401  register their queries
+    from . import more, wider, deeper  # noqa: F401, I001  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import more, wider  # noqa: F401
+    from . import more, wider, deeper  # noqa: F401, I001
 
     return dict(_SQL)
 
