@@ -43,7 +43,7 @@ LEAST_DOCUMENTS = 3
 TOP = 200
 SCALE = 1_000_000_000
 #: Bytes of text that a task counts at once, rows of a shard and sources that it pairs at once.
-PIECE_BYTES = 32 << 20
+PIECE_BYTES = 16 << 20
 CHUNK = 250_000
 BLOCK = 256
 
@@ -51,8 +51,8 @@ BLOCK = 256
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "CASE WHEN strlen(text) = length(text) THEN lower(text) ELSE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END"
 
-_COUNT = f"""SELECT lang, source, term, sum(n)::BIGINT AS n, count(*)::BIGINT AS docs FROM (
- SELECT doc, lang, source, term, count(*) AS n FROM (SELECT doc, lang, source, unnest(regexp_extract_all({_LOWER}, '{TERM}')) AS term FROM piece) GROUP BY doc, lang, source, term) GROUP BY lang, source, term"""
+_COUNT = f"""SELECT place, term, sum(n)::BIGINT AS n, count(*)::BIGINT AS docs FROM (
+ SELECT doc, place, term, count(*) AS n FROM (SELECT doc, place, unnest(regexp_extract_all({_LOWER}, '{TERM}')) AS term FROM piece) GROUP BY doc, place, term) GROUP BY place, term"""
 
 _KEEP = f"""SELECT lang, term, source, n, (sum(n) OVER p)::BIGINT AS n_lang, (row_number() OVER p = 1)::BIGINT AS is_first
  FROM piece WINDOW p AS (PARTITION BY lang, term) QUALIFY sum(docs) OVER p >= {LEAST_DOCUMENTS}"""
@@ -85,26 +85,33 @@ def _duck():
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Documents, some ``PIECE_BYTES`` at a time, numbered."""
+    """Documents, some ``PIECE_BYTES`` at a time."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for b in batches:
+    for b in (x.slice(at, 256) for x in batches for at in range(0, x.num_rows, 256)):
         held.append(b)
         size += b.nbytes
         if size >= PIECE_BYTES:
-            yield _numbered(held)
+            yield pa.Table.from_batches(held)
             held, size = [], 0
     if held:
-        yield _numbered(held)
+        yield pa.Table.from_batches(held)
 
 
-def _batches(c, sql: str, schema: pa.Schema) -> list[pa.RecordBatch]:
-    return c.sql(sql).to_arrow_table().cast(schema).to_batches()
+def _placed(piece: pa.Table) -> tuple[pa.Table, pa.Array, pa.Array]:
+    """((doc, place, text), languages, sources): each pair of language and source stands for its place, a number."""
+    lang, source = (piece[c].combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    both = pc.add(pc.multiply(lang.indices.cast(pa.int64()), len(source.dictionary)), source.indices.cast(pa.int64())).dictionary_encode()
+    of = both.dictionary
+    return (
+        pa.table({"doc": pa.array(range(piece.num_rows), pa.int64()), "place": both.indices, "text": piece["text"]}),
+        lang.dictionary.take(pc.divide(of, len(source.dictionary))),
+        source.dictionary.take(pc.subtract(of, pc.multiply(pc.divide(of, len(source.dictionary)), len(source.dictionary)))),
+    )
 
 
-def _numbered(held: list[pa.RecordBatch]) -> pa.Table:
-    t = pa.Table.from_batches(held)
-    return t.append_column("doc", pa.array(range(t.num_rows), pa.int64()))
+def _batches(c, sql: str, schema: pa.Schema) -> list[pa.RecordBatch]:
+    return c.sql(sql).to_arrow_table().cast(schema).to_batches()
 
 
 def whole_terms(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
@@ -132,13 +139,15 @@ def whole_terms(batches: Iterator[pa.RecordBatch], most: int | None = None) -> I
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents with the term, over whole texts."""
 
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+    schema = pa.schema([("place", pa.int32()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _duck()
         for piece in _pieces(batches):
-            c.register("piece", piece)
-            yield from _batches(c, _COUNT, schema)
+            rows, langs, sources = _placed(piece)
+            c.register("piece", rows)
+            for b in _batches(c, _COUNT, schema):
+                yield pa.RecordBatch.from_arrays([langs.take(b["place"]), sources.take(b["place"]), b["term"], b["n"], b["docs"]], names=["lang", "source", "term", "n", "docs"])
 
     plain = docs.select(*[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(a) for x, a in ((text, "text"), (lang, "lang"), (source, "source"))])
     part = plain.mapInArrow(count, "lang string, source string, term string, n long, docs long")
