@@ -37,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -51,8 +52,9 @@ BITS = 9
 #: Where a filter starts at a higher level, its first entries have so many times the probes and bits.
 FIRM = 4
 MU = 100.0
-#: Bytes of text that a task works on at once, and that a segment stands for.
+#: Bytes of text that a task counts and scores at once, and that a segment stands for.
 PIECE_BYTES = 8 << 20
+SCORE_BYTES = 4 << 20
 SEGMENT_BYTES = 8 << 20
 #: Bounds of what is broadcast.
 FILTER_MOST = 192 << 20
@@ -63,6 +65,7 @@ END = b""
 LEAST = np.unique(np.ceil(BASE ** np.arange(LEVELS) - 1e-9).astype(np.int64))
 MEAN = np.concatenate([[0.0], (LEAST[:-1] + LEAST[1:] - 1) / 2, [float(LEAST[-1])]])
 _U = np.uint64
+_LOW = _U(0xFFFFFFFF)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -98,20 +101,20 @@ class Piece:
     """Words of some texts as numbers: each text is an end, its words and an end."""
 
     def __init__(self, texts: list[str | None]):
-        flat: list[bytes] = []
-        sizes = []
-        for t in texts:
-            w = words(t)
-            flat.append(END)
-            flat += w
-            flat.append(END)
-            sizes.append(len(w) + 1)
-        place = {w: i for i, w in enumerate(set(flat))}
-        self.word = np.fromiter((xxh64_intdigest(w) for w in place), np.uint64, len(place))
-        at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
-        self.sizes = np.array(sizes, np.int64)
+        lower = pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string()))
+        split = pc.ascii_split_whitespace(lower)  # white space of ASCII, as in words()
+        parts = split.flatten()
+        real = pc.greater(pc.binary_length(parts), 0)
+        of = np.asarray(pc.list_parent_indices(split).filter(real))
+        coded = parts.filter(real).dictionary_encode()
+        end = len(coded.dictionary)
+        sizes = np.bincount(of, minlength=len(texts)) + 1
+        at = np.full(len(of) + 2 * len(texts), end, np.int64)  # an end on both sides of each text
+        at[np.arange(len(of)) + 2 * of + 1] = np.asarray(coded.indices)
+        self.word = np.fromiter((xxh64_intdigest(w) for w in [*coded.dictionary.cast(pa.large_binary()).to_pylist(), END]), np.uint64, end + 1)
+        self.sizes = sizes.astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(self.sizes + 1)])[:-1]
-        keep = np.ones(len(flat), bool)
+        keep = np.ones(len(at), bool)
         keep[starts] = False
         here = np.flatnonzero(keep)
         self.token, self.before = at[here], at[here - 1]
@@ -200,7 +203,12 @@ def merged(parts: DataFrame) -> DataFrame:
 def _probe(hashes: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and step of the probes for n-grams with level q."""
     x = mixed(hashes + _U((q * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF))
-    return x >> _U(24), (x & _U(0xFFFFFF)) | _U(1)
+    return x >> _U(32), (x & _LOW) | _U(1)
+
+
+def _place(start: np.ndarray, step: np.ndarray, i: int, m) -> np.ndarray:
+    """The i-th probe among m bits (fewer than 2^32), without a division."""
+    return ((((start + _U(i) * step) & _LOW) * m) >> _U(32)).astype(np.int64)
 
 
 def probes(q: int, least: int) -> int:
@@ -216,7 +224,7 @@ def fill(hashes: np.ndarray, levels: np.ndarray, least: int = 1) -> tuple[int, b
     for q in range(least, int(levels.max(initial=0)) + 1):
         start, step = _probe(hashes[levels >= q], q)
         for i in range(probes(q, least)):
-            flags[((start + _U(i) * step) % _U(m)).astype(np.int64)] = 1
+            flags[_place(start, step, i, _U(m))] = 1
     return m, np.packbits(flags, bitorder="little").tobytes()
 
 
@@ -249,7 +257,7 @@ class Filter:
             start, step = _probe(h, q)
             alive = np.arange(len(h))
             for i in range(probes(q, self.least)):
-                p = ((start[alive] + _U(i) * step[alive]) % m[alive]).astype(np.int64)
+                p = _place(start[alive], step[alive], i, m[alive])
                 alive = alive[(self.data[base[alive] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1]
                 if not len(alive):
                     break
@@ -381,7 +389,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         known: Known = sent.value
         p = Piece([r[-1] for r in part])
         exact = known.word_counts(p.word)
-        one, two = known.filter.levels(p.word), known.filter.levels(p.pair)
+        once_each, back = np.unique(p.pair, return_inverse=True)
+        one, two = known.filter.levels(p.word), known.filter.levels(once_each)[back]
         if least > 1:
             flat = [x for r in part for x in r[1] or ()]
             h = np.concatenate([np.frombuffer(x["h"], np.uint64) for x in flat] or [np.zeros(0, np.uint64)])
@@ -400,7 +409,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         return [(r[0], int(n), int(k), float(b), float(s)) for r, n, b, s, k in zip(part, p.sizes, *sums)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(_rows(batches)):
+        for part in pieces(_rows(batches), SCORE_BYTES):
             cols = zip(*work(part))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
