@@ -227,15 +227,17 @@ def rotate(pages: DataFrame, angle: int, column: str = "rotation") -> DataFrame:
     return pages.withColumn(column, F.pmod(F.col(column) + angle, F.lit(360)))
 
 
-def walk_tree(nodes: DataFrame, most: int) -> DataFrame:
-    """Nodes with their depth from the roots of their page, down to ``most`` levels: a join for each level."""
-    level = nodes.where("parent is null").withColumn("depth", F.lit(0))
-    out = level
-    for k in range(most):
-        up = level.select(*PAGE, F.col("ordinal").alias("parent"))
-        level = nodes.join(up, [*PAGE, "parent"]).withColumn("depth", F.lit(k + 1))
-        out = out.unionByName(level)
-    return out
+def walk_tree(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """Nodes with their depth from the roots of their page, down to ``most`` levels.
+
+    Nodes on cycles, below them or below a parent that isn't there are not met.
+    """
+    from .trees import rooted
+
+    r = rooted(nodes, PAGE, "ordinal", "parent", paths=False).where("not cyclic")
+    stray = r.where("depth = 0 and parent is not null").select(*PAGE, F.col("ordinal").alias("root"))
+    r = r.join(stray, [*PAGE, "root"], "left_anti").select(*nodes.columns, "depth")
+    return r if most is None else r.where(F.col("depth") <= most)
 
 
 # ---- edit logs

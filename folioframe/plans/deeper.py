@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions.text import escape_pdf_string, utf16_hex
 from folioframe.operators import strings as st
+from folioframe.operators import trees
 from folioframe.sources import views as v
 
 from .catalog import _QUERIES, _SQL, KEY, PAGE, register
@@ -123,3 +124,74 @@ def x05c(s, d):
     codes = F.create_map(*[F.lit(x) for kv in _FONT.items() for x in kv])
     fonts = streams.select(*PAGE, F.lit("F2").alias("font"), codes.alias("codes"))
     return _split(st.replace_text(streams, PAGE, "that", "THAT", fonts), s, d, fonts).select(*KEY, "text")
+
+
+# ---- trees
+
+_STACK = f"""tagged AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '{v.OPAQUE}', '', 'g'), '<(/?[a-z][a-z0-9]*)', 1) AS u FROM pages),
+ stacked AS (SELECT page_id, u, list_reduce(list_concat([['']], list_transform(u, lambda m: [m])), lambda acc, m: list_append(acc, CASE WHEN m[1][1] = '/' THEN regexp_replace(acc[-1], '/[^/]*$', '') WHEN m[1] IN {v.VOID} THEN acc[-1] ELSE acc[-1] || '/' || len(acc) - 1 || ':' || m[1] END)) AS st FROM tagged),
+ el AS (SELECT page_id, i - 1 AS ordinal, upper(u[i]) AS role, CASE WHEN u[i] IN {v.VOID} THEN st[i] ELSE regexp_replace(st[i + 1], '/[^/]*$', '') END AS around FROM (SELECT *, unnest(range(1, len(u) + 1)) AS i FROM stacked) WHERE u[i][1] <> '/')"""
+
+
+def _elements(s, d) -> DataFrame:
+    return trees.bracketed(v.g_tag(s, d), PAGE, "ordinal", "kind")
+
+
+_ELEMENT_NODES = _STACK + """, node AS (SELECT 0::BIGINT AS doc_id, page_id, ordinal, role, nullif(regexp_extract(around, '/([0-9]+):[^/]*$', 1), '')::BIGINT AS parent, len(around) - len(replace(around, '/', '')) AS depth, around FROM el)"""
+
+
+@_redefine("w12_artifacts", "SELECT page_id, ordinal, role, depth::BIGINT AS depth, role IN ('NAV', 'FOOTER') OR regexp_matches(around, ':(nav|footer)(/|$)') AS artifact FROM node", _ELEMENT_NODES)
+def w12(s, d):
+    e = trees.within(_elements(s, d), PAGE, "ordinal", "kind", F.col("role").isin("NAV", "FOOTER"))
+    return e.where("kind >= 0").select("page_id", "ordinal", "role", F.col("depth").cast("long").alias("depth"), F.col("inside").alias("artifact"))
+
+
+@register("w12_ancestors", "SELECT page_id, ordinal, parent, list_transform(regexp_extract_all(around, '/([0-9]+):', 1), lambda x: x::BIGINT) || [ordinal] AS path FROM node", _ELEMENT_NODES)
+def w12a(s, d):
+    e = _elements(s, d).where("kind >= 0")
+    return trees.rooted(e.select(*KEY, "parent"), PAGE, "ordinal", "parent").select("page_id", "ordinal", "parent", "path")
+
+
+_WALK = """, walk AS (SELECT *, ordinal AS root, 0::BIGINT AS level, [ordinal] AS path FROM node WHERE parent IS NULL UNION ALL SELECT n.*, w.root, w.level + 1, list_append(w.path, n.ordinal) FROM walk w JOIN node n ON n.page_id = w.page_id AND n.parent = w.ordinal)"""
+
+
+@register("w24_tree_walk", "SELECT page_id, ordinal, role, level AS depth FROM walk WHERE role IN ('LI', 'P')", _ELEMENT_NODES + _WALK, recursive=True)
+def w24t(s, d):
+    from folioframe.operators import elements as e
+
+    nodes = _elements(s, d).where("kind >= 0").drop("depth", "closes", "kind")
+    return e.walk_tree(nodes).where(F.col("role").isin("LI", "P")).select("page_id", "ordinal", "role", F.col("depth").cast("long").alias("depth"))
+
+
+_HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
+
+
+@_redefine("r17_structure_tree", f"""SELECT host, w.page_id, w.ordinal, w.role, CASE WHEN w.level = 1 AND r.role = 'HTML' THEN NULL ELSE w.parent END AS parent, w.level + CASE WHEN r.role = 'HTML' THEN 0 ELSE 1 END AS depth, CASE WHEN r.role = 'HTML' THEN w.path[2:] ELSE w.path END AS path
+ FROM walk w JOIN node r ON r.page_id = w.page_id AND r.ordinal = w.root JOIN (SELECT page_id, {_HOST} AS host FROM pages) p ON p.page_id = w.page_id WHERE NOT (w.level = 0 AND w.role = 'HTML')""", _ELEMENT_NODES + _WALK, recursive=True)
+def r17(s, d):
+    hosts = v.table(s, d, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"))
+    nodes = _elements(s, d).where("kind >= 0").select("page_id", "ordinal", "parent", "role").join(hosts, "page_id")
+    t = trees.merged(nodes, ["host"], "page_id", "ordinal", "parent", "role", ("HTML",))
+    return t.select("host", "page_id", "ordinal", "role", "parent", F.col("depth").cast("long").alias("depth"), "path")
+
+
+_ITEMS = """, item AS (SELECT n.page_id, n.ordinal, n.parent, n.role, lower(regexp_replace(coalesce(a.title, ''), '[^A-Za-z]', '', 'g')) AS name FROM node n LEFT JOIN (
+ SELECT page_id, unnest(regexp_extract_all(html, '<a href=[^>]*>([^<]*)', 1)) AS title, generate_subscripts(regexp_extract_all(html, '<a href=[^>]*>([^<]*)', 1), 1) AS k FROM pages) a
+ ON n.role = 'A' AND a.page_id = n.page_id AND a.k = (SELECT count(*) FROM node o WHERE o.page_id = n.page_id AND o.role = 'A' AND o.ordinal <= n.ordinal) WHERE n.role IN ('A', 'LI', 'UL', 'NAV') AND (n.role = 'NAV' OR regexp_matches(n.around, ':nav(/|$)'))),
+ up AS (SELECT page_id, ordinal, ordinal AS item, 0::BIGINT AS depth FROM item i WHERE NOT EXISTS (SELECT 1 FROM item o WHERE o.page_id = i.page_id AND o.ordinal = i.parent) UNION ALL SELECT i.page_id, i.ordinal, i.ordinal, u.depth + 1 FROM up u JOIN item i ON i.page_id = u.page_id AND i.parent = u.item),
+ dest AS (SELECT lower(regexp_extract(html, '<h1>([A-Za-z]+)', 1)) AS name, min(page_id) AS page FROM pages GROUP BY 1)"""
+
+
+@register("r18_outline", "SELECT i.page_id, i.ordinal, i.role, i.name, u.depth, coalesce(d.page, 0) + 1 AS page FROM item i JOIN up u ON u.page_id = i.page_id AND u.ordinal = i.ordinal LEFT JOIN dest d ON d.name = i.name AND i.name <> ''", _ELEMENT_NODES + _ITEMS, recursive=True)
+def r18(s, d):
+    # the navigation's lists as an outline: a link leads to the first page whose heading starts with its text
+    pages = v.table(s, d, "pages")
+    e = trees.within(_elements(s, d), PAGE, "ordinal", "kind", F.col("role") == "NAV").where("kind >= 0")
+    k = F.row_number().over(Window.partitionBy(*PAGE, "role").orderBy("ordinal"))
+    links = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<a href=[^>]*>([^<]*)"), 1)).alias("k", "title"))
+    e = e.withColumn("k", F.when(F.col("role") == "A", k - 1)).where("inside and role in ('A', 'LI', 'UL', 'NAV')")
+    items = e.join(links, ["page_id", "k"], "left")
+    items = items.select("page_id", "ordinal", "parent", "role", F.lower(F.regexp_replace(F.coalesce("title", F.lit("")), "[^A-Za-z]", "")).alias("name"))
+    named = pages.select(F.lower(F.regexp_extract("html", "<h1>([A-Za-z]+)", 1)).alias("name"), "page_id").where("name <> ''").groupBy("name").agg(F.min("page_id").alias("page"))
+    t = trees.outline(items, named, ["page_id"], "ordinal", "parent", "name")
+    return t.select("page_id", "ordinal", "role", "name", F.col("depth").cast("long").alias("depth"), "page")

@@ -109,6 +109,19 @@ def g_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.lit(0).cast("long").alias("doc_id"), "page_id", F.col("ordinal").cast("long").alias("ordinal"), F.upper("tag").alias("role"))
 
 
+#: Tags without content, and what holds no tags.
+VOID = ("br", "meta", "img", "hr", "input", "link")
+OPAQUE = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->"
+
+
+def g_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of pages in order: kind is 1 where one opens, -1 where one closes, 0 for one without content."""
+    bare = F.regexp_replace("html", OPAQUE, "")
+    p = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all(bare, F.lit("<(/?[a-z][a-z0-9]*)"), 1)).alias("ordinal", "m"))
+    kind = F.when(F.startswith("m", F.lit("/")), -1).when(F.col("m").isin(*VOID), 0).otherwise(1)
+    return p.select(F.lit(0).cast("long").alias("doc_id"), "page_id", F.col("ordinal").cast("long").alias("ordinal"), F.upper(F.replace("m", F.lit("/"), F.lit(""))).alias("role"), kind.alias("kind"))
+
+
 #: The same views for DuckDB, as common table expressions.
 SQL = r"""
 g_line AS (
