@@ -9,9 +9,9 @@ ambiguous texts.
 Features: lower-cased text with runs of non-letters as one space; 2-grams and 3-grams
 of code points hashed into ``DIM`` places, square roots of their shares, over the
 whole text in pieces. Classifiers are ridge regressions on a bounded, hash-chosen
-sample: about ``PER_LANGUAGE`` learnable documents of each language and at most about
-``SAMPLE`` of all, however large the table and however many its languages. They are fitted
-in the dual, so the driver solves a system of ``SAMPLE`` unknowns at most.
+sample: about ``PER_LANGUAGE`` learnable documents of each language and about ``SAMPLE`` of all, with at
+least one document of each language however many there are. The driver solves a system of as
+many unknowns as the sample has rows, or of ``DIM`` where those are fewer.
 
 Defined results: texts that are null or hold no letter are ``und`` with score 0, as
 is every text where nothing could be learned; one learned language is predicted for
@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import checkpointed, map_rows, small
 
 DIM = 4096
 PER_LANGUAGE = 400
@@ -91,7 +91,7 @@ def codewords(n: int, seed: int = SEED) -> np.ndarray:
     bits = int(np.ceil(10 * np.log2(n)))
     r = np.random.default_rng(seed)
     best, far = None, -1
-    for _ in range(50):
+    for _ in range(50 if n <= 256 else 1):
         code = r.choice([-1.0, 1.0], (n, bits))
         code = code[:, np.abs(code.sum(0)) < n]
         d = (code.shape[1] - code @ code.T) / 2
@@ -129,15 +129,19 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
     code = codewords(len(languages))
     if len(languages) < 2:
         return Model(languages, code, np.zeros((DIM, code.shape[1])), np.zeros(code.shape[1]), np.ones(code.shape[1]))
-    y = code[[languages.index(v) for v in labels]]
+    place = {v: i for i, v in enumerate(languages)}
+    y = code[[place[v] for v in labels]]
 
     def solve(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = x[rows], y[rows]
         mean = a.mean(0)
         a = a - mean
         middle = b.mean(0)
-        dual = np.linalg.solve(a @ a.T + RIDGE * len(rows) * np.eye(len(rows)) * (a**2).sum() / max(1, len(rows)), b - middle)
-        w = a.T @ dual
+        ridge = max(RIDGE * (a**2).sum(), 1e-9)  # equal features leave nothing but the mean
+        if len(rows) <= DIM:
+            w = a.T @ np.linalg.solve(a @ a.T + ridge * np.eye(len(rows)), b - middle)
+        else:
+            w = np.linalg.solve(a.T @ a + ridge * np.eye(DIM), a.T @ (b - middle))
         return w, middle - mean @ w
 
     back = np.arange(len(labels)) % 5 == 4
@@ -155,21 +159,23 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     # a null id has no remainder and is not learned from
     able = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["n"] for r in able.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
-    if not n:
-        return fit(np.zeros((0, DIM)), [])
-    per_language = min(per_language, SAMPLE // len(n))
-    share = F.lit(0.0)
-    for v, k in n.items():
-        share = F.when(F.col("lang") == v, F.lit(min(1.0, per_language / k))).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
+    able = able.where(F.col("text").rlike(r"\p{L}")).withColumn("draw", draw)
+    of_each = checkpointed(able.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("draw", "doc_id", "text")).alias("first")))
+    kinds = of_each.count()
+    if not kinds:
+        return fit(np.zeros((0, DIM)), [])
+    share = F.lit(float(min(per_language, SAMPLE / kinds))) / F.col("n")
+    drawn = able.join(small(of_each.select("lang", share.alias("share"), F.col("first.draw").alias("least"))), "lang").where("draw < share and draw > least")
+    first = of_each.select("first.doc_id", "first.text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = [shape(counts(t)).astype(np.float32).tobytes() if _LETTER.search(t) else None for t in b.column(1).to_pylist()]
+            vectors = [shape(counts(t)).astype(np.float32).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(vectors, pa.binary())], names=["doc_id", "lang", "x"])
 
-    sample = able.where(draw < share).mapInArrow(run, "doc_id long, lang string, x binary").where("x is not null").collect()
+    rows = drawn.select("doc_id", "text", "lang").unionByName(first)
+    sample = rows.mapInArrow(run, "doc_id long, lang string, x binary").dropDuplicates().collect()  # rows that repeat whole count once
     sample.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["x"])))
     sample = [sample[i] for i in np.random.default_rng(SEED).permutation(len(sample))]
     return fit(np.array([np.frombuffer(r["x"], np.float32) for r in sample], np.float64).reshape(-1, DIM), [r["lang"] for r in sample])
