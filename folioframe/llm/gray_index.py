@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, fresh, map_rows, small
 
 SEED = 42
-FANOUT = 16
+FANOUT = 2
 #: Fingerprints of a range on average, and those from which it is dealt again.
 RANGE, CROWD = 1024, 16_384
 #: Pairs of nodes that the search holds at once.
@@ -96,6 +96,7 @@ class GrayIndex:
         self.fps, group = fps[order], group[order]
         self.order = order
         self.dropped = self.kept = 0  # pairs of groups that searches have dropped and opened
+        self.compared = 0  # pairs of entries that were compared one by one
         ones = np.full(len(fps), ONES, np.uint64)
         # level 0: the entries; each level: mask, pattern, first child, children
         self.levels = [(ones, self.fps, None, None)]
@@ -142,6 +143,8 @@ class GrayIndex:
             if level > 1:
                 self.kept += int(near.sum())
                 self.dropped += int(len(near) - near.sum())
+            else:
+                self.compared += len(near)
             todo.append((level - 1, x[near], y[near], new[near]))
 
 
