@@ -55,10 +55,12 @@ MU = 100.0
 #: Bytes of text that a task counts and scores at once, and that a segment stands for.
 PIECE_BYTES = 8 << 20
 SCORE_BYTES = 4 << 20
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 1 << 20
 #: Bounds of what is broadcast.
 FILTER_MOST = 192 << 20
 WORDS_MOST = 8_000_000
+#: Parts of the broadcast filter at most; beyond, several segments share one.
+PARTS_MOST = 4096
 
 END = b""
 #: Least count of each level; a level's value is the mean of the counts that it holds.
@@ -93,7 +95,7 @@ def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
-    """Ranges of the hash, so that sorted hashes are sorted by segment."""
+    """Ranges of the hash, so that sorted hashes are sorted by segment. Numbers of segments are powers of two: fewer ones hold whole ranges of more."""
     return ((hashes >> _U(32)) * _U(segments)) >> _U(32)
 
 
@@ -228,43 +230,40 @@ def fill(hashes: np.ndarray, levels: np.ndarray, least: int = 1) -> tuple[int, b
     return m, np.packbits(flags, bitorder="little").tobytes()
 
 
+def found_levels(hashes: np.ndarray, m: np.ndarray, base: np.ndarray, data: np.ndarray, least: int) -> np.ndarray:
+    """Levels of n-grams, 0 for those that are not in the filter: each looks at m bits from byte ``base`` of data on."""
+    out = np.zeros(len(hashes), np.uint8)
+    rest, h = np.arange(len(hashes)), hashes
+    q = least
+    while len(rest) and q <= LEVELS:
+        start, step = _probe(h, q)
+        alive = np.arange(len(h))
+        for i in range(probes(q, least)):
+            p = _place(start[alive], step[alive], i, m[alive])
+            alive = alive[(data[base[alive] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1]
+            if not len(alive):
+                break
+        rest, h, m, base = rest[alive], h[alive], m[alive], base[alive]
+        out[rest] = q
+        q += 1
+    return out
+
+
 class Filter:
-    """The segments' filters one after another."""
+    """Filters of ranges of the hash, one after another."""
 
-    def __init__(self, segments: int, parts: list[tuple[int, int, bytes]], least: int = 1):
-        self.segments, self.least = segments, least
-        self.bits = np.full(segments, 64, np.int64)
-        self.start = np.zeros(segments, np.int64)
-        blank = bytes(8)
+    def __init__(self, ranges: int, parts: list[tuple[int, int, bytes]], least: int = 1):
+        self.ranges, self.least = ranges, least
         held = {s: (m, b) for s, m, b in parts}
-        chunks, at = [], 0
-        for s in range(segments):
-            m, b = held.get(s, (64, blank))
-            self.bits[s], self.start[s] = m, at
-            chunks.append(b)
-            at += len(b)
-        self.data = np.frombuffer(b"".join(chunks), np.uint8)
+        blank = 64, bytes(8)
+        chunks = [held.get(s, blank) for s in range(ranges)]
+        self.bits = np.array([m for m, _ in chunks], np.uint64)
+        self.start = np.cumsum([0, *(len(b) for _, b in chunks)])[:-1]
+        self.data = np.frombuffer(b"".join(b for _, b in chunks), np.uint8)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """Levels found, 0 for n-grams that are not in the filter."""
-        out = np.zeros(len(hashes), np.uint8)
-        rest = np.arange(len(hashes))
-        h = hashes
-        seg = segment_of(h, self.segments).astype(np.int64)
-        m, base = self.bits[seg].astype(np.uint64), self.start[seg]
-        q = self.least
-        while len(rest) and q <= LEVELS:
-            start, step = _probe(h, q)
-            alive = np.arange(len(h))
-            for i in range(probes(q, self.least)):
-                p = _place(start[alive], step[alive], i, m[alive])
-                alive = alive[(self.data[base[alive] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1]
-                if not len(alive):
-                    break
-            rest, h, m, base = rest[alive], h[alive], m[alive], base[alive]
-            out[rest] = q
-            q += 1
-        return out
+        at = segment_of(hashes, self.ranges).astype(np.int64)
+        return found_levels(hashes, self.bits[at], self.start[at], self.data, self.least)
 
 
 @dataclass
@@ -300,34 +299,57 @@ class Model:
         """The least level from on which all n-grams fit the bounds."""
         for q in range(1, LEVELS + 1):
             entries = sum(n * (k - q + 1 + (q > 1) * (FIRM - 1)) for k, n in enumerate(self.by_level) if k >= q)
-            if entries * BITS // 8 + 16 * self.segments <= filter_most and sum(self.words_by_level[q:]) <= words_most:
+            if entries * BITS // 8 <= filter_most and sum(self.words_by_level[q:]) <= words_most:
                 return q
         return LEVELS
 
     def known(self, least: int) -> Known:
         """Collected from the segments, within the bounds that ``least`` was chosen by."""
+        ranges = min(self.segments, PARTS_MOST)
+        share = self.segments // ranges
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for segment, w, n, g, lg in zip(*(x.to_pylist() for x in b.columns)):
-                    w, n = np.frombuffer(w, np.uint64), np.frombuffer(n, np.int64)
+                    w, n, g, lg = (np.frombuffer(x, t) for x, t in zip((w, n, g, lg), (np.uint64, np.int64, np.uint64, np.uint8)))
                     lw = level(n)
-                    m, bits = fill(np.concatenate([w, np.frombuffer(g, np.uint64)]), np.concatenate([lw, np.frombuffer(lg, np.uint8)]), least)
-                    keep = lw >= least
-                    row = (segment, m, bits, w[keep].tobytes(), n[keep].tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["segment", "m", "bits", "words", "counts"])
-
-        found = self.parts.select("segment", "words", "word_counts", "pairs", "levels").mapInArrow(run, "segment int, m long, bits binary, words binary, counts binary")
-        rows = sorted(found.toLocalIterator(), key=lambda r: r["segment"])
-        w = np.frombuffer(b"".join(r["words"] for r in rows), np.uint64)  # segments are ranges: sorted
-        return Known(Filter(self.segments, [(r["segment"], r["m"], r["bits"]) for r in rows], least), w, np.frombuffer(b"".join(r["counts"] for r in rows), np.int64))
+                    keep, also = lw >= least, lg >= least
+                    row = (segment // share, w[keep].tobytes(), n[keep].tobytes(), g[also].tobytes(), lg[also].tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), *[pa.binary()] * 4))], names=["segment", "words", "counts", "pairs", "levels"])
+
+        def make(part: int, held: list[tuple]) -> pa.RecordBatch:
+            w, n, g, lg = (np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate((np.uint64, np.int64, np.uint64, np.uint8)))
+            order = np.argsort(w)
+            m, bits = fill(np.concatenate([w, g]), np.concatenate([level(n), lg]), least)
+            row = (part, m, bits, w[order].tobytes(), n[order].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["segment", "m", "bits", "words", "counts"])
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held = None, []
+            for b in batches:
+                for part, *row in zip(*(x.to_pylist() for x in b.columns)):
+                    if part != at and held:
+                        yield make(at, held)
+                        held = []
+                    at = part
+                    held.append(row)
+            if held:
+                yield make(at, held)
+
+        rows = self.parts.select("segment", "words", "word_counts", "pairs", "levels").mapInArrow(pick, "segment int, words binary, counts binary, pairs binary, levels binary")
+        if share > 1:
+            rows = rows.repartition("segment").sortWithinPartitions("segment")
+        found = rows.mapInArrow(build, "segment int, m long, bits binary, words binary, counts binary")
+        got = sorted(found.toLocalIterator(), key=lambda r: r["segment"])
+        w = np.frombuffer(b"".join(r["words"] for r in got), np.uint64)  # parts are ranges: sorted
+        return Known(Filter(ranges, [(r["segment"], r["m"], r["bits"]) for r in got], least), w, np.frombuffer(b"".join(r["counts"] for r in got), np.int64))
 
 
 def learn(docs: DataFrame, text: str = "text", segment_bytes: int = SEGMENT_BYTES) -> Model:
     """Counts over all rows of docs."""
     plain = docs.select(F.col(text).cast("string").alias("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    segments = max(1, -(-size // segment_bytes))
+    segments = 1 << max(0, (-(-size // segment_bytes) - 1).bit_length())
     parts = checkpointed(merged(counted(plain, segments)))
     total = parts.agg(F.sum("tokens"), F.sum("distinct"), F.sum("once"), *[F.sum(F.col(c)[i]) for c in ("by_level", "words_by_level") for i in range(LEVELS + 1)]).first()
     n = [x or 0 for x in total]
@@ -350,18 +372,18 @@ def _answers(docs: DataFrame, model: Model, sent) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out) if out else [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["segment", "k1", "k2", "words"])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, w, n = None, None, None, None
+        at, own, m, w, n = None, None, 64, None, None
         for b in batches:
             out = []
             for segment, kind, k1, k2, asked, counts, pairs, levels in zip(*(x.to_pylist() for x in b.columns)):
                 if not kind:
                     w, n = np.frombuffer(asked, np.uint64), np.frombuffer(counts, np.int64)
                     m, bits = fill(np.concatenate([w, np.frombuffer(pairs, np.uint64)]), np.concatenate([level(n), np.frombuffer(levels, np.uint8)]))
-                    at, own = segment, Filter(segments, [(segment, m, bits)])
+                    at, own = segment, np.frombuffer(bits, np.uint8)
                     continue
                 h = np.frombuffer(asked, np.uint64)
                 mine = segment == at  # else nothing was learned in this range
-                q = own.levels(h) if mine else np.zeros(len(h), np.uint8)
+                q = found_levels(h, np.full(len(h), m, np.uint64), np.zeros(len(h), np.int64), own, 1) if mine else np.zeros(len(h), np.uint8)
                 c = _look(w, n, h) if mine else np.zeros(len(h), np.int64)
                 out.append((k1, k2, h.tobytes(), q.tobytes(), c.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["k1", "k2", "h", "q", "c"])
