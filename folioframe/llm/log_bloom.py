@@ -54,7 +54,7 @@ FIRM = 4
 MU = 100.0
 #: Bytes of text that a task counts and scores at once, and that a segment stands for.
 PIECE_BYTES = 8 << 20
-SCORE_BYTES = 4 << 20
+SCORE_BYTES = 1 << 20
 SEGMENT_BYTES = 1 << 20
 #: Bounds of what is broadcast.
 FILTER_MOST = 192 << 20
@@ -266,16 +266,18 @@ class Filter:
         return found_levels(hashes, self.bits[at], self.start[at], self.data, self.least)
 
 
-@dataclass
 class Known:
-    """What tasks look n-grams up in: the broadcast part, and answers for rare n-grams that came by shuffle."""
+    """What tasks look n-grams up in: the filter and the words' exact counts, most of which fit a byte."""
 
-    filter: Filter
-    words: np.ndarray  # sorted hashes
-    counts: np.ndarray
+    def __init__(self, filter: Filter, words: np.ndarray, counts: np.ndarray):
+        self.filter, self.words = filter, words  # sorted hashes
+        self.few = np.minimum(counts, 255).astype(np.uint8)
+        often = counts >= 255
+        self.often, self.many = words[often], counts[often]
 
     def word_counts(self, hashes: np.ndarray) -> np.ndarray:
-        return _look(self.words, self.counts, hashes)
+        few = _look(self.words, self.few, hashes).astype(np.int64)
+        return np.where(few == 255, _look(self.often, self.many, hashes), few)
 
 
 def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
