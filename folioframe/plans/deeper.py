@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions.text import escape_pdf_string, utf16_hex
+from folioframe.operators import elements as e
 from folioframe.operators import strings as st
+from folioframe.operators import tables as tb
 from folioframe.operators import trees
 from folioframe.sources import views as v
 
-from .catalog import _QUERIES, _SQL, KEY, PAGE, register
+from .catalog import _QUERIES, _ROLE, _SQL, KEY, PAGE, register
+from .wider import _GRIDS
 
 
 def _redefine(name: str, sql: str, ctes: str = "", recursive: bool = False):
@@ -157,8 +160,6 @@ _WALK = """, walk AS (SELECT *, ordinal AS root, 0::BIGINT AS level, [ordinal] A
 
 @register("w24_tree_walk", "SELECT page_id, ordinal, role, level AS depth FROM walk WHERE role IN ('LI', 'P')", _ELEMENT_NODES + _WALK, recursive=True)
 def w24t(s, d):
-    from folioframe.operators import elements as e
-
     nodes = _elements(s, d).where("kind >= 0").drop("depth", "closes", "kind")
     return e.walk_tree(nodes).where(F.col("role").isin("LI", "P")).select("page_id", "ordinal", "role", F.col("depth").cast("long").alias("depth"))
 
@@ -195,3 +196,106 @@ def r18(s, d):
     named = pages.select(F.lower(F.regexp_extract("html", "<h1>([A-Za-z]+)", 1)).alias("name"), "page_id").where("name <> ''").groupBy("name").agg(F.min("page_id").alias("page"))
     t = trees.outline(items, named, ["page_id"], "ordinal", "parent", "name")
     return t.select("page_id", "ordinal", "role", "name", F.col("depth").cast("long").alias("depth"), "page")
+
+
+# ---- whole tables
+
+#: Texts in, left of, above and below the boxes, one for each box and kind; fields in the boxes.
+_STUFF_SQL = """tx AS (SELECT doc_id, page_id, ordinal * 4 + k AS ordinal, CASE k WHEN 0 THEN x + 3 + ordinal % 3 * 7 WHEN 1 THEN x - 30 - ordinal * 11 WHEN 2 THEN x + 10 ELSE x + 40 END AS x,
+ CASE k WHEN 0 THEN y + 2 + ordinal % 4 * 2 WHEN 1 THEN y + ordinal % 5 * 3 WHEN 2 THEN y - 12 - ordinal * 3 ELSE y + height + ordinal * 4 END AS y, 16.0::DOUBLE AS width, 7.0::DOUBLE AS height FROM g_rect, (SELECT unnest(range(4)) AS k)),
+ fd AS (SELECT doc_id, page_id, ordinal, x + 20 + ordinal % 4 * 9 AS x, y + 4 AS y, 10.0::DOUBLE AS width, 6.0::DOUBLE AS height FROM g_rect),
+ fl AS (SELECT * FROM (SELECT *, """ + _ROLE + """ AS role FROM g_rect) WHERE role = 'cell-fill')"""
+
+
+def _stuff(s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    r = v.g_rect(s, d)
+    o, x, y = F.col("ordinal"), F.col("x"), F.col("y")
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), a.cast("double").alias("tx"), b.cast("double").alias("ty")) for k, a, b in (
+        (0, x + 3 + o % 3 * 7, y + 2 + o % 4 * 2), (1, x - 30 - o * 11, y + o % 5 * 3), (2, x + 10, y - 12 - o * 3), (3, x + 40, y + F.col("height") + o * 4))])
+    texts = r.select(*KEY, F.explode(kinds).alias("t")).select(*PAGE, (o * 4 + F.col("t.k")).alias("ordinal"), F.col("t.tx").alias("x"), F.col("t.ty").alias("y"), F.lit(16.0).alias("width"), F.lit(7.0).alias("height"))
+    fields = r.select(*KEY, (x + 20 + o % 4 * 9).alias("x"), (y + 4).alias("y"), F.lit(10.0).alias("width"), F.lit(6.0).alias("height"))
+    return r, texts, fields, r.where(e.rect_role() == "cell-fill")
+
+
+_RUNS_ALONG = "len(list_filter(boxes, lambda b: (abs(b.{at} - {line}) <= 12 OR abs(b.{at} + b.{size} - {line}) <= 12) AND b.{across} <= {start} + 12 AND b.{across} + b.{length} >= {end} - 12)) > 0"
+_TABLES = (
+    _GRIDS
+    + """, tg AS (SELECT g.* FROM grids g JOIN bt USING (doc_id, page_id, component)), gc AS (SELECT *, len(rws) - 1 AS n, len(cols) - 1 AS m FROM tg), gr AS (SELECT *, unnest(range(n)) AS r FROM gc), gx AS (SELECT *, unnest(range(m)) AS c FROM gr),
+ gb AS (SELECT *, c = m - 1 OR """ + _RUNS_ALONG.format(at="x", size="w", line="cols[c + 2]", across="y", length="h", start="rws[r + 1]", end="rws[r + 2]") + """ AS rt, r = n - 1 OR """ + _RUNS_ALONG.format(at="y", size="h", line="rws[r + 2]", across="x", length="w", start="cols[c + 1]", end="cols[c + 2]") + """ AS bl FROM gx),
+ ga AS (SELECT a.*, (SELECT min(z.c) FROM gb z WHERE z.doc_id = a.doc_id AND z.page_id = a.page_id AND z.component = a.component AND z.r = a.r AND z.c >= a.c AND z.rt) - c + 1 AS ac FROM gb a),
+ gd AS (SELECT a.*, (SELECT min(z.r) FROM gb z WHERE z.doc_id = a.doc_id AND z.page_id = a.page_id AND z.component = a.component AND z.c BETWEEN a.c AND a.c + a.ac - 1 AND z.r >= a.r AND z.bl) - r + 1 AS dn FROM ga a),
+ oc AS (SELECT doc_id, page_id, component, any_value(cols) AS cols, any_value(rws) AS rws, list_reduce(list_transform(list({'r': r, 'c': c, 'd': dn, 'a': ac} ORDER BY r, c), lambda x: [x]), lambda acc, q: CASE WHEN len(list_filter(acc, lambda o: o.r <= q[1].r AND q[1].r < o.r + o.d AND o.c <= q[1].c AND q[1].c < o.c + o.a)) > 0 THEN acc ELSE list_concat(acc, q) END) AS os FROM gd GROUP BY doc_id, page_id, component),
+ cel AS (SELECT *, cols[o.c + 1] AS x, rws[o.r + 1] AS y, cols[o.c + o.a + 1] - cols[o.c + 1] AS w, rws[o.r + o.d + 1] - rws[o.r + 1] AS h FROM (SELECT *, unnest(os) AS o FROM oc))"""
+)
+_SPOT = "list_filter(range(len({b}) - 1), lambda i: {v} >= {b}[i + 1] - 2 AND {v} <= {b}[i + 2] + 2)[1]"
+_COVER = "list_filter(os, lambda o: o.r <= {r} AND {r} < o.r + o.d AND o.c <= {c} AND {c} < o.c + o.a)[1]"
+_CLAIMS = (
+    _TABLES
+    + ", " + _STUFF_SQL
+    + f""", pr AS (SELECT t.*, q.component, cols, rws, os, t.x + t.width / 2 AS cx, {_SPOT.format(b='rws', v='(t.y + t.height / 2)')} AS sr, {_SPOT.format(b='cols', v='(t.x + t.width / 2)')} AS sc FROM tx t JOIN oc q USING (doc_id, page_id)),
+ p1 AS (SELECT *, {_COVER.format(r='sr', c='sc')} AS ins, CASE WHEN cx < cols[1] AND x >= cols[1] - 120 THEN {_COVER.format(r='sr', c='0')} END AS lab FROM pr),
+ p2 AS (SELECT *, min(CASE WHEN ins IS NOT NULL THEN 0 + component / 1e6 WHEN lab IS NOT NULL THEN 1000000 + component / 1e6 END) OVER (PARTITION BY doc_id, page_id, ordinal) AS one FROM p1),
+ p3 AS (SELECT *, CASE WHEN ins IS NOT NULL THEN 0 WHEN lab IS NOT NULL THEN 1 END AS way1, min(CASE WHEN ins IS NOT NULL THEN 0 WHEN lab IS NOT NULL THEN 1 END) OVER (PARTITION BY doc_id, page_id, ordinal) AS w FROM p2),
+ p4 AS (SELECT *, min(component) FILTER (way1 = w) OVER (PARTITION BY doc_id, page_id, ordinal) AS k FROM p3),
+ p5 AS (SELECT *, max(cols[1] - x + 4) FILTER (w = 1 AND k = component) OVER (PARTITION BY doc_id, page_id, component) AS ext FROM p4),
+ p6 AS (SELECT *, coalesce(sc, CASE WHEN cx >= cols[1] - ext AND cx <= cols[2] + 2 THEN 0 END) AS hc FROM p5),
+ p7 AS (SELECT *, CASE WHEN w IS NULL AND y + height BETWEEN rws[1] - 20 AND rws[1] + 2 AND {_COVER.format(r='0', c='hc')} IS NOT NULL THEN 2 WHEN w IS NULL AND y BETWEEN rws[-1] - 2 AND rws[-1] + 20 AND {_COVER.format(r='(len(rws) - 2)', c='hc')} IS NOT NULL THEN 3 END AS way2 FROM p6),
+ p8 AS (SELECT *, min(way2) OVER (PARTITION BY doc_id, page_id, ordinal) AS w2 FROM p7), p9 AS (SELECT *, min(component) FILTER (way2 = w2) OVER (PARTITION BY doc_id, page_id, ordinal) AS k2 FROM p8),
+ claim AS (SELECT doc_id, page_id, ordinal, component, x, y, x + width AS x1, y + height AS y1, coalesce(ext, 0) AS ext, coalesce(w, w2) AS way, CASE coalesce(w, w2) WHEN 0 THEN ins WHEN 1 THEN lab WHEN 2 THEN {_COVER.format(r='0', c='hc')} ELSE {_COVER.format(r='(len(rws) - 2)', c='hc')} END AS cell FROM p9 WHERE component = coalesce(k, k2))"""
+)
+
+
+def _grid_parts(s, d):
+    r, texts, fields, fills = _stuff(s, d)
+    return tb.tables(r), texts, fields, fills
+
+
+@_redefine("g13_merged_cells", "SELECT doc_id, page_id, component, o.r AS \"row\", o.c AS col, o.d AS row_span, o.a AS col_span FROM cel", _TABLES, True)
+def g13(s, d):
+    o = tb.tables(v.g_rect(s, d)).select(*PAGE, "component", F.explode("origins").alias("o"))
+    return o.select(*PAGE, "component", *[F.col(f"o.{c}").cast("long").alias(c) for c in ("row", "col", "row_span", "col_span")])
+
+
+@_redefine("j07_cell_fill", f"""SELECT doc_id, page_id, component, o.r AS "row", o.c AS col, arg_max(fill, ordinal) AS fill FROM (SELECT *, {_COVER.format(r='sr', c='sc')} AS o, min(CASE WHEN {_COVER.format(r='sr', c='sc')} IS NOT NULL THEN component END) OVER (PARTITION BY doc_id, page_id, ordinal) AS k FROM (
+ SELECT f.*, component, os, {_SPOT.format(b='rws', v='(f.y + f.height / 2)')} AS sr, {_SPOT.format(b='cols', v='(f.x + f.width / 2)')} AS sc FROM fl f JOIN oc USING (doc_id, page_id))) WHERE o IS NOT NULL AND component = k GROUP BY ALL""", _TABLES + ", " + _STUFF_SQL, True)
+def j07(s, d):
+    t, _, _, fills = _grid_parts(s, d)
+    return tb.placed(fills, t).groupBy(*PAGE, "component", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).agg(F.max_by("fill", "ordinal").alias("fill"))
+
+
+@_redefine("j08_left_labels", 'SELECT doc_id, page_id, ordinal, component, cell.r AS "row", cell.c AS col, round(ext, 6) AS extension FROM claim WHERE way = 1', _CLAIMS, True)
+def j08(s, d):
+    t, texts, _, _ = _grid_parts(s, d)
+    c = tb.claims(texts, t).where(F.col("way") == tb.LEFT)
+    return c.select(*PAGE, "ordinal", "component", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.round("extension", 6).alias("extension"))
+
+
+@_redefine("j09_table_bands", "SELECT doc_id, page_id, ordinal, component, cell.r AS \"row\", cell.c AS col, CASE way WHEN 2 THEN 'above' ELSE 'below' END AS place FROM claim WHERE way >= 2", _CLAIMS, True)
+def j09(s, d):
+    t, texts, _, _ = _grid_parts(s, d)
+    c = tb.claims(texts, t).where(F.col("way") >= tb.ABOVE)
+    return c.select(*PAGE, "ordinal", "component", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.when(F.col("way") == tb.ABOVE, "above").otherwise("below").alias("place"))
+
+
+_CELLS = (
+    _CLAIMS
+    + f""", hold AS (SELECT doc_id, page_id, component, cell.r AS r, cell.c AS c, list(ordinal ORDER BY ordinal) AS texts, min(x) AS a0, min(y) AS b0, max(x1) AS a1, max(y1) AS b1 FROM claim GROUP BY ALL), exts AS (SELECT doc_id, page_id, component, max(ext) AS ext FROM claim GROUP BY ALL),
+ pl AS (SELECT *, {_COVER.format(r='sr', c='sc')} AS o, min(CASE WHEN {_COVER.format(r='sr', c='sc')} IS NOT NULL THEN component END) OVER (PARTITION BY kind, doc_id, page_id, ordinal) AS k FROM (SELECT f.*, component, os, {_SPOT.format(b='rws', v='(f.y + f.height / 2)')} AS sr, {_SPOT.format(b='cols', v='(f.x + f.width / 2)')} AS sc
+ FROM (SELECT 'field' AS kind, doc_id, page_id, ordinal, x, y, width, height, NULL AS fill FROM fd UNION ALL SELECT 'fill', doc_id, page_id, ordinal, x, y, width, height, fill FROM fl) f JOIN oc USING (doc_id, page_id))),
+ inn AS (SELECT doc_id, page_id, component, o.r AS r, o.c AS c, list(ordinal ORDER BY ordinal) FILTER (kind = 'field') AS fields, arg_max(fill, ordinal) FILTER (kind = 'fill') AS fill FROM pl WHERE o IS NOT NULL AND component = k GROUP BY ALL),
+ box AS (SELECT cel.doc_id, cel.page_id, cel.component, o.r AS r, o.c AS c, o.d AS d, o.a AS a, x - CASE WHEN o.c = 0 THEN coalesce(ext, 0) ELSE 0 END AS x, y, w + CASE WHEN o.c = 0 THEN coalesce(ext, 0) ELSE 0 END AS w, h FROM cel LEFT JOIN exts USING (doc_id, page_id, component)),
+ full_ AS (SELECT box.*, inn.fill, coalesce(texts, []) AS texts, coalesce(fields, []) AS fields, a0 - x AS pl, b0 - y AS pt, x + w - a1 AS pr, y + h - b1 AS pb, h - (b1 - b0) AS free FROM box LEFT JOIN hold USING (doc_id, page_id, component, r, c) LEFT JOIN inn USING (doc_id, page_id, component, r, c))"""
+)
+
+
+@register("g12_table_cells", """SELECT doc_id, page_id, component, r AS "row", c AS col, d AS row_span, a AS col_span, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS width, round(h, 6) AS height, fill, texts, fields FROM full_""", _CELLS, True)
+def g12c(s, d):
+    c = tb.cells(*_stuff(s, d))
+    return c.select(*PAGE, "component", *[F.col(x).cast("long").alias(x) for x in ("row", "col", "row_span", "col_span")], *[F.round(x, 6).alias(x) for x in ("x", "y", "width", "height")], "fill", "texts", "fields")
+
+
+@_redefine("g14_padding", """SELECT doc_id, page_id, component, r AS "row", c AS col, CASE WHEN pl > 2 THEN round(pl, 6) END AS pad_left, CASE WHEN pt > 2 THEN round(pt, 6) END AS pad_top, CASE WHEN pr > 2 THEN round(pr, 6) END AS pad_right, CASE WHEN pb > 2 THEN round(pb, 6) END AS pad_bottom,
+ CASE WHEN free > 6 THEN CASE WHEN pt / (pt + pb) < 0.3 THEN 'top' WHEN pt / (pt + pb) > 0.7 THEN 'bottom' ELSE 'center' END END AS align FROM full_ WHERE len(texts) > 0""", _CELLS, True)
+def g14(s, d):
+    c = tb.cells(*_stuff(s, d)).where(F.size("texts") > 0)
+    return c.select(*PAGE, "component", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *[F.round(x, 6).alias(x) for x in ("pad_left", "pad_top", "pad_right", "pad_bottom")], "align")
