@@ -207,7 +207,8 @@ def share(n: Column, total: Column, terms: Column) -> Column:
 
 def excess(p: Column, q: Column) -> Column:
     """floor((p - q)^2 / q), as a decimal."""
-    return F.call_function("div", (p - q) * (p - q), q).cast("decimal(38,0)")
+    away = (p - q).cast("long")
+    return F.call_function("div", away * away, q).cast("decimal(38,0)")
 
 
 def pair_sums(sums: DataFrame, groups: DataFrame) -> DataFrame:
