@@ -19,19 +19,28 @@ KERNING = {"AT": -120, "AV": -70, "AW": -50, "AY": -100, "LT": -110, "LV": -110,
 ASCENDER, DESCENDER = 718, -207
 
 
-def _letters(x) -> Column:
-    return F.filter(F.split(c(x), ""), lambda a: a != "")
+def _width_classes() -> dict[int, str]:
+    """Characters by their distance from the default width."""
+    out: dict[int, str] = {}
+    for i, w in enumerate(HELVETICA):
+        if w != DEFAULT:
+            out[w - DEFAULT] = out.get(w - DEFAULT, "") + chr(32 + i)
+    return out
 
 
 def text_width(x, size, kerning: bool = False) -> Column:
-    """Width of a text by its glyphs, with the adjustments of pairs if asked for."""
-    table = F.array(*[F.lit(w) for w in HELVETICA])
-    one = lambda a: F.coalesce(F.when(F.ascii(a) >= 32, F.get(table, F.ascii(a) - 32)), F.lit(DEFAULT)).cast("long")
-    total = F.aggregate(F.transform(_letters(x), one), F.lit(0).cast("long"), lambda a, w: a + w)
+    """Width of a text by its glyphs, with the adjustments of pairs if asked for.
+
+    Characters of one width are counted at once by what their removal takes away, in compiled code.
+    """
+    x = c(x)
+    n = F.length(x)
+    total = n.cast("long") * DEFAULT
+    for more, chars in _width_classes().items():
+        total = total + (n - F.length(F.translate(x, chars, ""))) * more
     if kerning:
-        pairs = F.zip_with(_letters(x), F.slice(_letters(x), 2, F.greatest(F.length(c(x)), F.lit(1))), lambda a, b: F.concat(a, b))
-        known = F.create_map(*[F.lit(v) for p in KERNING.items() for v in p])
-        total = total + F.aggregate(F.transform(pairs, lambda p: F.coalesce(known[p], F.lit(0)).cast("long")), F.lit(0).cast("long"), lambda a, w: a + w)
+        for pair, more in KERNING.items():
+            total = total + (n - F.length(F.replace(x, F.lit(pair), F.lit(pair[0])))) * more
     return total * c(size) / 1000
 
 

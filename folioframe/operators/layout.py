@@ -29,13 +29,31 @@ BORDER = 3.0
 
 
 def nearest_color(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """Colour of the nearest mark within twice the font size, else black."""
-    m = shapes.banded(_pre(marks, "m_", ["ordinal", "x", "y", "color"]), F.col("m_y"))
-    texts = shapes.banded(texts, F.col("y") - 2 * F.col("font_size"), F.col("y") + 2 * F.col("font_size"))
+    """Colour of the nearest mark within twice the font size, else black.
+
+    Texts stand in cells as wide as their radius, rounded up to a power of two; marks stand in the cells
+    around them, for each radius that occurs, so that a text meets the marks of nine cells.
+    """
+    k = F.least(F.greatest(F.ceil(F.log2(2 * F.col("font_size"))).cast("int"), F.lit(3)), F.lit(WIDEST))
+    texts = texts.withColumn("k", F.coalesce(k, F.lit(3)))
+    sizes = sorted(r["k"] for r in texts.select("k").distinct().collect())  # a few powers of two
+    if not sizes:
+        return texts.select(*PAGE, "ordinal", F.lit("000000").alias("color"))
+    cell = lambda v, width: F.when(F.col("k") == WIDEST, 0).otherwise(F.floor(v / width)).cast("long")
+    width = F.pow(F.lit(2.0), F.col("k"))
+    m = _pre(marks, "m_", ["ordinal", "x", "y", "color"]).withColumn("k", F.explode(F.array(*[F.lit(x) for x in sizes])))
+    step = F.when(F.col("k") == WIDEST, F.array(F.lit(0))).otherwise(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    m = m.withColumn("cx", cell(F.col("m_x"), width)).withColumn("cy", cell(F.col("m_y"), width))
+    m = m.withColumn("cx", F.explode(F.transform(step, lambda i: F.col("cx") + i))).withColumn("cy", F.explode(F.transform(step, lambda i: F.col("cy") + i)))
+    t = texts.select(*PAGE, "ordinal", "x", "y", "font_size", "k", cell(F.col("x"), width).alias("cx"), cell(F.col("y"), width).alias("cy"))
     d = F.sqrt(F.pow(F.col("x") - F.col("m_x"), 2) + F.pow(F.col("y") - F.col("m_y"), 2))
-    hit = F.when(d <= 2 * F.col("font_size"), F.struct(d.alias("d"), F.col("m_ordinal").alias("o"), F.col("m_color").alias("c")))
-    best = texts.join(m, [*PAGE, "band"], "left").groupBy(*PAGE, "ordinal").agg(F.min(hit)["c"].alias("c"))
-    return best.select(*PAGE, "ordinal", F.coalesce("c", F.lit("000000")).alias("color"))
+    near = t.join(m, [*PAGE, "k", "cx", "cy"]).where(d <= 2 * F.col("font_size"))
+    best = near.groupBy(*PAGE, "ordinal").agg(F.min(F.struct(d.alias("d"), F.col("m_ordinal").alias("o"), F.col("m_color").alias("c")))["c"].alias("c"))
+    return texts.select(*PAGE, "ordinal").join(best, [*PAGE, "ordinal"], "left").select(*PAGE, "ordinal", F.coalesce("c", F.lit("000000")).alias("color"))
+
+
+#: Power of two from which on a radius takes the whole page as one cell.
+WIDEST = 10
 
 
 def smallest_container(texts: DataFrame, rects: DataFrame, tolerance: float = 2.0) -> DataFrame:
@@ -240,24 +258,21 @@ def text_boxes(texts: DataFrame, keys: list[str], factor: float = 0.9) -> DataFr
     )
 
 
-def runs(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs of equal format of each line (``keys``), with a space where the gap is over 0.3 times the size."""
+def styled_runs(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs of equal format of each line (``keys``) with that format, and a space where the gap is over 0.3 times the size."""
     w = Window.partitionBy(*keys).orderBy("x", "ordinal")
     fmt = F.struct("font_size", "bold", "color")
     d = texts.withColumn("__gap", F.col("x") - F.lag(F.col("x") + F.col("width")).over(w)).withColumn("__f", fmt.cast("string"))
     d = d.withColumn("__p", F.lag("__f").over(w))
     d = shapes.chain_groups(d, keys, ["x", "ordinal"], F.col("__f") != F.col("__p"), "run")
     piece = F.concat(F.when(F.col("__gap") > 0.3 * F.col("font_size"), " ").otherwise(""), F.col("text"))
-    return d.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ordinal", piece.alias("p")))), lambda r: r["p"]), "").alias("text"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ordinal", piece.alias("p")))), lambda r: r["p"]), "")
+    return d.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n"), whole.alias("text"), F.first(fmt).alias("f")).select(*keys, "run", "n", "text", "f.*")
 
 
-def styled_runs(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs of each line with their format."""
-    fmt = F.first(F.struct("font_size", "bold", "color")).alias("f")  # equal in all texts of a run
-    w = Window.partitionBy(*keys).orderBy("x", "ordinal")
-    f = F.struct("font_size", "bold", "color").cast("string")
-    d = shapes.chain_groups(texts.withColumn("__f", f).withColumn("__p", F.lag(f).over(w)), keys, ["x", "ordinal"], F.col("__f") != F.col("__p"), "run")
-    return runs(texts, keys).join(d.groupBy(*keys, "run").agg(fmt), [*keys, "run"]).select(*keys, "run", "n", "text", "f.*")
+def runs(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs of equal format of each line."""
+    return styled_runs(texts, keys).select(*keys, "run", "n", "text")
 
 
 def line_splits(lines: DataFrame, factor: float = 1.5) -> DataFrame:

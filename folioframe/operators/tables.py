@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import layout
+from .trees import kept
 
 PAGE = ["doc_id", "page_id"]
 #: Points that an edge may be off its bound: when points are placed, and after narrow cells have been merged away.
@@ -139,7 +140,7 @@ def cells(rects: DataFrame, texts: DataFrame, fields: DataFrame, fills: DataFram
     A label widens the first column to the left. The last fill whose centre a cell holds colours it.
     Paddings over 2 points count; texts align to the top, centre or bottom where over 6 points are free.
     """
-    grids = tables(rects)
+    grids = kept(tables(rects))
     o = grids.select(*PAGE, "component", "cols", "rows", F.explode("origins").alias("o"))
     box = o.select(
         *PAGE, "component", *[F.col(f"o.{c}").alias(c) for c in ("row", "col", "row_span", "col_span")], _at("cols", F.col("o.col")).alias("x"), _at("rows", F.col("o.row")).alias("y"),
@@ -165,3 +166,42 @@ def cells(rects: DataFrame, texts: DataFrame, fields: DataFrame, fills: DataFram
         pad(F.col("t_x") - F.col("x")).alias("pad_left"), pad(top).alias("pad_top"), pad(F.col("x") + F.col("width") - F.col("t_x1")).alias("pad_right"), pad(bottom).alias("pad_bottom"),
         F.when(free > 6, F.when(ratio < 0.3, "top").when(ratio > 0.7, "bottom").otherwise("center")).alias("align"),
     )
+
+
+# ---- a page as a whole
+
+#: Parts by the order in which they take elements.
+PARTS = ("table", "header", "footer", "body")
+
+
+def page_parts(rects: DataFrame, texts: DataFrame, fields: DataFrame, page_height: float = 792.0) -> DataFrame:
+    """(keys, kind, ordinal, part, ref, place): each text and field of a page in exactly one part.
+
+    Tables take what they claim; artifacts in the top and bottom 15% of the page go to header and footer; what is left
+    is grouped into lines and paragraphs. All claims on an element are settled by one minimum over their order, so no
+    step waits for an anti join with the step before it. ``ref`` is the table's component or
+    the paragraph's number; ``place`` the order of tables and paragraphs by y. texts have ``artifact``.
+    """
+    grids = kept(tables(rects))
+    own = lambda df, kind, artifact: df.select(*PAGE, F.lit(kind).alias("kind"), "ordinal", F.struct("x", "y", F.col("height").alias("size")).alias("at"), artifact.alias("artifact"))
+    elements = own(texts, "text", F.coalesce(F.col("artifact"), F.lit(False))).unionByName(own(fields, "field", F.lit(False)))
+    y = F.col("at.y")
+    by_place = F.when(F.col("artifact") & (y < 0.15 * page_height), 1).when(F.col("artifact") & (y > 0.85 * page_height), 2).otherwise(3)
+    claim = lambda df, rank, ref, at: df.select(*PAGE, "kind", "ordinal", F.struct(rank.alias("rank"), ref.alias("ref")).alias("c"), at.alias("at"))
+    none = F.lit(None).cast("struct<x:double,y:double,size:double>")
+    to_tables = claims(texts, grids).select(*PAGE, F.lit("text").alias("kind"), "ordinal", "component").unionByName(placed(fields, grids).select(*PAGE, F.lit("field").alias("kind"), "ordinal", "component"))
+    all_claims = claim(elements, by_place, F.lit(None).cast("long"), F.col("at")).unionByName(claim(to_tables, F.lit(0), F.col("component"), none))
+    settled = all_claims.groupBy(*PAGE, "kind", "ordinal").agg(F.min("c").alias("c"), F.max("at").alias("at"))
+    settled = settled.select(*PAGE, "kind", "ordinal", F.get(F.array(*[F.lit(p) for p in PARTS]), F.col("c.rank")).alias("part"), F.col("c.ref").alias("ref"), "at.x", "at.y", "at.size")
+    body = settled.where("part = 'body'")
+    # lines and paragraphs of what is left
+    uid = (F.col("ordinal") * 2 + F.when(F.col("kind") == "field", 1).otherwise(0)).alias("ordinal")
+    lines = layout.baseline_lines(body.select(*PAGE, uid, "x", "y")).select(*PAGE, "ordinal", "line", "y")
+    sized = lines.join(body.select(*PAGE, uid, "size"), [*PAGE, "ordinal"])
+    rows = sized.groupBy(*PAGE, "line").agg(F.min("y").alias("y"), F.max("size").alias("font_size")).withColumnRenamed("line", "ordinal")
+    paragraph = layout.paragraphs(rows).select(*PAGE, F.col("ordinal").alias("line"), F.col("paragraph").cast("long").alias("paragraph"))
+    of = lines.join(paragraph, [*PAGE, "line"]).select(*PAGE, F.expr("ordinal div 2").alias("ordinal"), F.when(F.col("ordinal") % 2 == 1, "field").otherwise("text").alias("kind"), "paragraph")
+    full = settled.join(of, [*PAGE, "kind", "ordinal"], "left").withColumn("ref", F.coalesce("paragraph", "ref")).withColumn("part", F.when(F.col("part") == "body", "paragraph").otherwise(F.col("part")))
+    tops = full.where("part = 'paragraph'").groupBy(*PAGE, "part", "ref").agg(F.min("y").alias("top")).unionByName(grids.select(*PAGE, F.lit("table").alias("part"), F.col("component").alias("ref"), _at("rows", F.lit(0)).alias("top")))
+    place = tops.select(*PAGE, "part", "ref", F.row_number().over(Window.partitionBy(*PAGE).orderBy("top", "part", "ref")).cast("long").alias("place"))
+    return full.join(place, [*PAGE, "part", "ref"], "left").select(*PAGE, "kind", "ordinal", "part", "ref", "place")

@@ -57,7 +57,7 @@ def rooted(nodes: DataFrame, keys: list[str], node: str, parent: str, paths: boo
     up = F.when(F.col("__known"), F.col(parent))
     own = [c for c in nodes.columns]
     n = n.select(*own, up.alias("__up"), F.when(up.isNull(), 0).otherwise(1).alias("depth"), F.coalesce(up, F.col(node)).alias("root"), F.array(F.col(node)).alias("path") if paths else F.lit(None).cast("array<long>").alias("path"))
-    n = _kept(n)
+    n = kept(n)
     most = max(1, n.count()).bit_length() + 1
     for i in range(most):
         if n.where("__up is not null").limit(1).count() == 0:
@@ -69,12 +69,12 @@ def rooted(nodes: DataFrame, keys: list[str], node: str, parent: str, paths: boo
             *own, F.col("__next").alias("__up"), F.when(at, F.col("depth") + F.col("__depth")).otherwise(F.col("depth")).alias("depth"), F.when(at, F.col("__root")).otherwise(F.col("root")).alias("root"),
             F.when(at & F.lit(paths), F.concat("__path", "path")).otherwise(F.col("path")).alias("path"),
         )
-        n = _kept(n)
+        n = kept(n)
     cyclic = F.col("__up").isNotNull()
     return n.select(*own, *[F.when(~cyclic, F.col(c)).alias(c) for c in ("depth", "root", "path")], cyclic.alias("cyclic"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the folder that spark.checkpoint.dir names."""
     spark = df.sparkSession
     sc = spark.sparkContext

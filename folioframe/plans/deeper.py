@@ -299,3 +299,30 @@ def g12c(s, d):
 def g14(s, d):
     c = tb.cells(*_stuff(s, d)).where(F.size("texts") > 0)
     return c.select(*PAGE, "component", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *[F.round(x, 6).alias(x) for x in ("pad_left", "pad_top", "pad_right", "pad_bottom")], "align")
+
+
+# ---- pages as a whole
+
+_LAYOUT = (
+    _CELLS
+    + """, el AS (SELECT 'text' AS kind, doc_id, page_id, ordinal, y, height AS size, ordinal % 4 = 2 AS artifact FROM tx UNION ALL SELECT 'field', doc_id, page_id, ordinal, y, height, false FROM fd),
+ part AS (SELECT el.*, CASE WHEN c.component IS NOT NULL OR p.component IS NOT NULL THEN 'table' WHEN artifact AND el.y < 118.8 THEN 'header' WHEN artifact AND el.y > 673.2 THEN 'footer' ELSE 'paragraph' END AS part, coalesce(c.component, p.component) AS ref FROM el
+ LEFT JOIN claim c ON el.kind = 'text' AND c.doc_id = el.doc_id AND c.page_id = el.page_id AND c.ordinal = el.ordinal LEFT JOIN pl p ON el.kind = 'field' AND p.kind = 'field' AND p.o IS NOT NULL AND p.component = p.k AND p.doc_id = el.doc_id AND p.page_id = el.page_id AND p.ordinal = el.ordinal),
+ fold AS (SELECT doc_id, page_id, unnest(list_reduce(list_transform(list_sort(list(DISTINCT y)), lambda q: [{'y': q, 'a': q, 'l': 0}]), lambda acc, b: list_append(acc, CASE WHEN abs(b[1].y - acc[-1].a) > 3 THEN {'y': b[1].y, 'a': b[1].y, 'l': acc[-1].l + 1} ELSE {'y': b[1].y, 'a': acc[-1].a, 'l': acc[-1].l} END))) AS f FROM part WHERE part = 'paragraph' GROUP BY doc_id, page_id),
+ lined AS (SELECT p.*, f.l AS line FROM part p JOIN fold ON fold.doc_id = p.doc_id AND fold.page_id = p.page_id AND fold.f.y = p.y WHERE part = 'paragraph'),
+ prg AS (SELECT *, sum(CASE WHEN y - (py + 1.2 * ps) > 1.5 * (size + ps) / 2 OR greatest(size, ps) / least(size, ps) > 1.15 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_id ORDER BY line)::BIGINT AS paragraph FROM (SELECT *, lag(y) OVER w AS py, lag(size) OVER w AS ps FROM (
+ SELECT doc_id, page_id, line, min(y) AS y, max(size) AS size FROM lined GROUP BY ALL) WINDOW w AS (PARTITION BY doc_id, page_id ORDER BY line))),
+ whole AS (SELECT p.doc_id, p.page_id, p.kind, p.ordinal, p.part, coalesce(g.paragraph, p.ref) AS ref, p.y FROM part p LEFT JOIN lined l ON l.doc_id = p.doc_id AND l.page_id = p.page_id AND l.kind = p.kind AND l.ordinal = p.ordinal LEFT JOIN prg g ON g.doc_id = l.doc_id AND g.page_id = l.page_id AND g.line = l.line),
+ tops AS (SELECT doc_id, page_id, part, ref, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY top, part, ref) AS place FROM (SELECT doc_id, page_id, part, ref, min(y) AS top FROM whole WHERE part = 'paragraph' GROUP BY ALL UNION ALL SELECT doc_id, page_id, 'table', component, rws[1] FROM oc))"""
+)
+
+
+@_redefine("g34_page_layout", "SELECT w.doc_id, w.page_id, w.kind, w.ordinal, w.part, w.ref, t.place FROM whole w LEFT JOIN tops t ON t.doc_id = w.doc_id AND t.page_id = w.page_id AND t.part = w.part AND t.ref = w.ref", _LAYOUT, True)
+def g34(s, d):
+    r, texts, fields, _ = _stuff(s, d)
+    return tb.page_parts(r, texts.withColumn("artifact", F.col("ordinal") % 4 == 2), fields)
+
+
+@register("g34_parts", "SELECT part, count(*) AS n, count(DISTINCT (doc_id, page_id, ref)) AS n_parts FROM whole GROUP BY part", _LAYOUT, True)
+def g34p(s, d):
+    return g34(s, d).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id", "page_id", F.coalesce("ref", F.lit(-1))).alias("n_parts"))
