@@ -39,8 +39,8 @@ from .common import map_rows
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The pattern's white space is the White_Space property, without the four information separators.
 _SPACE = r"\t\n\x0B\f\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-#: Bytes of pieces and ids that a worker keeps in each table, and symbols that one batch of rounds takes.
-KEPT = 160_000_000
+#: Bytes of pieces and ids in each of the two generations of a worker's tables, and symbols that one batch of rounds takes.
+KEPT = 48_000_000
 FLAT = 1_000_000
 #: Bytes of a word from which its merges are taken from a heap: rounds go over the whole word for each rank.
 LONG = 2_000
@@ -55,14 +55,42 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Noting(dict):
-    """A table that notes the keys asked for in vain."""
+class _Table(dict):
+    """A table in two generations: when the younger one is full it becomes the older, which goes; what is asked for again moves up.
 
-    missing: list
+    Keys in neither are noted and stand for empty bytes.
+    """
+
+    def __init__(self):
+        self.old: dict = {}
+        self.held = 0
+        self.missing: list = []
 
     def __missing__(self, key):
-        self.missing.append(key)
-        return b""
+        found = self.old.get(key, b"")
+        if found == b"":
+            self.missing.append(key)
+        else:
+            self.put(key, found)
+        return found
+
+    def has(self, key) -> bool:
+        if key in self:
+            return True
+        if key in self.old:
+            self.put(key, self.old[key])
+            return True
+        return False
+
+    def put(self, key, value) -> None:
+        self[key] = value
+        self.held += len(key) + len(value or b"") + ENTRY
+
+    def age(self) -> None:
+        if self.held > KEPT:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
 
 
 def _odd(unit: str) -> bool:
@@ -92,9 +120,7 @@ class Bpe:
         pattern = PATTERN.replace(r"\s", f"[{_SPACE}]").replace(f"[^[{_SPACE}]", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]")
         self.cut = regex.compile(pattern).findall
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.known: dict[str, bytes] = {}
-        self.units = _Noting()
-        self.held = self.held_units = 0
+        self.known, self.units = _Table(), _Table()
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of each pair; the highest integer where there is none."""
@@ -174,13 +200,10 @@ class Bpe:
 
     def learn(self, pieces: set[str]) -> None:
         """Adds pieces to the table of known ones."""
-        if self.held > KEPT:
-            self.known.clear()
-            self.held = 0
-        fresh = [p for p in pieces if p not in self.known]
-        self.held += sum(5 * len(p) + ENTRY for p in fresh)
+        self.known.age()
+        fresh = [p for p in pieces if not self.known.has(p)]
         for p in [p for p in fresh if len(p) >= LONG]:
-            self.known[p] = self.merge_long(p.encode("utf-8", "surrogatepass"))
+            self.known.put(p, self.merge_long(p.encode("utf-8", "surrogatepass")))
         fresh = [p for p in fresh if len(p) < LONG]
         at = 0
         while at < len(fresh):
@@ -189,7 +212,8 @@ class Bpe:
                 some.append(fresh[at])
                 held += len(fresh[at])
                 at += 1
-            self.known.update(zip(some, self.merge([p.encode("utf-8", "surrogatepass") for p in some])))
+            for p, ids in zip(some, self.merge([p.encode("utf-8", "surrogatepass") for p in some])):
+                self.known.put(p, ids)
 
     def _whole(self, text: str) -> bytes:
         """Ids of a text that is cut as a whole."""
@@ -204,14 +228,12 @@ class Bpe:
         return b"".join(out)
 
     def _learn_units(self, units: set[str]) -> None:
-        if self.held_units > KEPT:
-            self.units.clear()
-            self.held_units = 0
-        self.held_units += sum(5 * len(u) + ENTRY for u in units)
+        self.units.age()
         cuts = {u: self.cut(u) for u in units if not _odd(u)}
         self.learn({p for c in cuts.values() for p in c})
         get = self.known.__getitem__
-        self.units.update((u, b"".join(map(get, cuts[u])) if u in cuts else None) for u in units)
+        for u in units:
+            self.units.put(u, b"".join(map(get, cuts[u])) if u in cuts else None)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
