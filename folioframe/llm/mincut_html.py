@@ -2,13 +2,15 @@
 
 A page is read into blocks (runs of text between block-level tags; a line break is white
 space), each with a pointer to its element, so that deep pages cost no more than flat ones.
-A logistic classifier over a block's text and its elements' names and marks gives it two
-capacities: to the source (content) and to the sink (boilerplate). Smoothness edges join
-blocks that follow one another and blocks whose elements have the same parent; their
-capacity falls with the distance in the tree. None crosses the border of an article, menu
-or other sectioning or marked element. The minimum cut, found by augmenting along
-shortest paths, labels all blocks together: a short line among paragraphs stays, a
-sentence among links goes.
+A logistic classifier over a block's text and its own element gives it a
+capacity to the source (content) or to the sink (boilerplate). Articles, menus and other
+sectioning or marked elements are nodes too, tied to source or sink for certain; a block is
+tied to the one around it by an edge whose capacity is what the marks weigh in the fit.
+Smoothness edges join blocks that follow one another and blocks whose elements have the same
+parent; their capacity falls with the distance in the tree, and none crosses the border of
+such an element. The minimum cut, found by augmenting along shortest paths, labels all
+blocks together: a short line of an article or among paragraphs stays, a sentence of a
+menu or among links goes, whatever the line or sentence says by itself.
 
 The classifier is fitted on ``N_TRAIN`` pages that are made here with a fixed seed; no
 page of a table takes part.
@@ -240,8 +242,10 @@ def features(b: Block, e: Element) -> list[float]:
     ]
 
 
+#: Of these, what an element around the block says.
+MARKS = ("inside", "bad", "header", "against", "for", "hidden")
 #: Capacity of an edge between neighbours, and how it falls with the distance in the tree.
-NEAR = 1.5
+NEAR = 3.0
 FALL = 0.6
 
 
@@ -417,8 +421,37 @@ def fitted(n: int = N_TRAIN, rounds: int = 25, decay: float = 0.3) -> tuple[floa
 
 
 def scores(found: list[Block], elements: list[Element], weights: tuple[float, ...]) -> list[float]:
-    """Log-odds of content."""
-    return [sum(w * v for w, v in zip(weights, features(b, elements[b.element]))) for b in found]
+    """Log-odds of content by a block's text and its own element."""
+    own = [i for i, k in enumerate(FEATURES) if k not in MARKS]
+    return [sum(weights[i] * x[i] for i in own) for x in (features(b, elements[b.element]) for b in found)]
+
+
+#: Capacity of what is certain.
+CERTAIN = 1e6
+
+
+def ties(found: list[Block], elements: list[Element], weights: tuple[float, ...]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Capacities of the sectioning and marked elements, numbered after the blocks, and the edges from them to their blocks."""
+    marks = [i for i, k in enumerate(FEATURES) if k in MARKS]
+    place: dict[tuple[int, bool], int] = {}
+    more: list[float] = []
+    links = []
+    for i, b in enumerate(found):
+        x = features(b, elements[b.element])
+        said = sum(weights[k] * x[k] for k in marks)
+        if said:
+            key = elements[b.element].border, said > 0
+            if key not in place:
+                place[key] = len(found) + len(more)
+                more.append(CERTAIN if said > 0 else -CERTAIN)
+            links.append((place[key], i, abs(said)))
+    return more, links
+
+
+def labels(found: list[Block], elements: list[Element], weights: tuple[float, ...]) -> list[bool]:
+    """Whether each block is content, by the minimum cut."""
+    more, links = ties(found, elements, weights)
+    return minimum_cut(scores(found, elements, weights) + more, edges(found, elements) + links)[: len(found)]
 
 
 def extract(page: str | None, weights: tuple[float, ...] | None = None) -> str:
@@ -428,7 +461,7 @@ def extract(page: str | None, weights: tuple[float, ...] | None = None) -> str:
     found, elements = blocks(page)
     if not found:
         return ""
-    keep = minimum_cut(scores(found, elements, weights or fitted()), edges(found, elements))
+    keep = labels(found, elements, weights or fitted())
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 
