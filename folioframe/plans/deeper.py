@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions.text import escape_pdf_string, utf16_hex
 from folioframe.operators import elements as e
+from folioframe.operators import numbering as nb
 from folioframe.operators import strings as st
 from folioframe.operators import tables as tb
 from folioframe.operators import trees
@@ -326,3 +327,29 @@ def g34(s, d):
 @register("g34_parts", "SELECT part, count(*) AS n, count(DISTINCT (doc_id, page_id, ref)) AS n_parts FROM whole GROUP BY part", _LAYOUT, True)
 def g34p(s, d):
     return g34(s, d).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id", "page_id", F.coalesce("ref", F.lit(-1))).alias("n_parts"))
+
+
+# ---- numbering
+
+_ITEMS_SQL = """it AS (SELECT conv_id, turn, text, CASE WHEN length(text) % 7 = 0 THEN NULL ELSE (turn * 3 + length(text)) % 4 END AS level FROM conversations),
+ nr AS (SELECT i.conv_id, i.turn, list(greatest((SELECT count(*) FROM it j WHERE j.conv_id = i.conv_id AND j.turn <= i.turn AND j.level = k AND NOT EXISTS (SELECT 1 FROM it m WHERE m.conv_id = i.conv_id AND m.turn <= i.turn AND m.turn > j.turn AND m.level < k)), 1) ORDER BY k) AS numbers
+ FROM it i, (SELECT unnest(range(9)) AS k) WHERE k <= i.level GROUP BY i.conv_id, i.turn)"""
+
+
+def _list_items(s, d) -> DataFrame:
+    c = v.table(s, d, "conversations")
+    n = F.length("text")
+    return c.select("conv_id", "turn", "text", F.when(n % 7 != 0, (F.col("turn") * 3 + n) % 4).alias("level"))
+
+
+@register("k03_numbering", """SELECT i.conv_id, i.turn, i.level, numbers, array_to_string(numbers, '.') AS legal, CASE (len(numbers) - 1) % 3 WHEN 0 THEN numbers[-1]::VARCHAR WHEN 1 THEN repeat(chr((97 + (numbers[-1] - 1) % 26)::INT), (numbers[-1] - 1) // 26 + 1)
+ ELSE ['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x', 'xi', 'xii', 'xiii', 'xiv', 'xv', 'xvi', 'xvii', 'xviii', 'xix', 'xx'][numbers[-1]] END || '.' AS label FROM it i LEFT JOIN nr n ON n.conv_id = i.conv_id AND n.turn = i.turn""", _ITEMS_SQL)
+def k03n(s, d):
+    t = nb.counters(_list_items(s, d), ["conv_id"], ["turn"])
+    return t.select("conv_id", "turn", "level", "numbers", nb.legal_label(F.col("numbers")).alias("legal"), nb.label(F.col("numbers")).alias("label"))
+
+
+@register("k03_list_items", """SELECT conv_id, string_agg('<w:p>' || CASE WHEN level IS NOT NULL THEN '<w:pPr><w:numPr><w:ilvl w:val="' || level || '"/><w:numId w:val="' || CASE WHEN level < 3 THEN 2 ELSE 1 END || '"/></w:numPr></w:pPr>' ELSE '' END || '<w:r><w:t xml:space="preserve">' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '</w:t></w:r></w:p>', '' ORDER BY turn) AS xml FROM it GROUP BY conv_id""", _ITEMS_SQL)
+def k03l(s, d):
+    one = nb.item_xml(F.col("text"), F.col("level"), F.col("level") < 3)
+    return _list_items(s, d).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("x")))), lambda r: r["x"]), "").alias("xml"))
