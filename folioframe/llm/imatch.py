@@ -235,11 +235,15 @@ def _digest_by_slices(ordered: DataFrame, words: DataFrame, slices: int) -> Data
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pairs in _pairs(batches):
-            flat = [(d, kind, t, len(a), _sha(edited(a, b))) for d, a, b in pairs for kind, t in enumerate((a, b, edited(a, b)))]
-            cols = list(zip(*flat)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string()))], names=["doc_id", "kind", "text", "n_chars", "sha"])
-
-    flat = ordered.mapInArrow(texts, "doc_id long, kind int, text string, n_chars long, sha string").withColumn("row", F.xxhash64("doc_id", "n_chars", "sha"))
+            flat = []
+            for d, a, b in pairs:
+                # rows are told apart by both texts: an edited text doesn't show the half that it lost
+                own, changed = _sha(a + "\0" + b), edited(a, b)
+                flat += [(d, kind, t, len(a), _sha(changed), own) for kind, t in enumerate((a, b, changed))]
+            cols = list(zip(*flat)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "kind", "text", "n_chars", "sha", "own"])
+
+    flat = ordered.mapInArrow(texts, "doc_id long, kind int, text string, n_chars long, sha string, own string").withColumn("row", F.xxhash64("doc_id", "own")).drop("own")
     found = None
     for k in range(slices):
         mine = words.where(F.pmod(F.xxhash64("term"), F.lit(slices)) == k)
