@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import bpe_rounds, cube_mix, near_copies, pii_crf, quality_ledger
-from folioframe.llm.common import shared_folder
+from folioframe.llm.common import remove, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each by way of Parquet in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:  # what a stage has read is not read again
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
