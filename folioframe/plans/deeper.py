@@ -46,12 +46,9 @@ def _whole(s, d) -> DataFrame:
     return _page_streams(lines, F.concat(_token(F.col("text"), F.lit(False)), F.lit(" Tj")))
 
 
-#: Length of the pieces that a line is cut into.
-_CUT = (F.col("doc_id") + F.col("ln")) % 5 + 1
-
-
 def _pieces(s, d) -> DataFrame:
-    lines = v.g_line(s, d).where("text <> ''").withColumn("k", _CUT.cast("int"))
+    """Lines cut into pieces of one to five characters."""
+    lines = v.g_line(s, d).where("text <> ''").withColumn("k", ((F.col("doc_id") + F.col("ln")) % 5 + 1).cast("int"))
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / F.col("k")).cast("int")), lambda i: F.struct(i.alias("i"), F.substr(F.col("text"), i * F.col("k") + 1, F.col("k")).alias("p")))
     return lines.withColumn("cut", cut)
 
