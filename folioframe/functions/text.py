@@ -160,3 +160,15 @@ def masked_digits(raw, mask: str) -> Column:
 def page_geometry(width, height) -> Column:
     """Size of a page in inches and millimetres."""
     return F.format_string("%.2f x %.2f in (%d x %d mm)", c(width) / 72, c(height) / 72, round_half_up(c(width) / 72 * 25.4), round_half_up(c(height) / 72 * 25.4))
+
+
+def css_colour(x) -> Column:
+    """(r, g, b, a) from 0 to 1 of #rgb, #rrggbb, rgb() or rgba(); a is 1 where none is given, null where it is no colour."""
+    v = F.lower(F.trim(c(x)))
+    short = F.regexp_extract(v, r"^#?([0-9a-f]{3})$", 1)
+    six = F.coalesce(F.nullif(F.regexp_extract(v, r"^#?([0-9a-f]{6})$", 1), F.lit("")), F.when(short != "", F.regexp_replace(short, "(.)", "$1$1")))
+    hexed = lambda i: F.conv(F.substring(six, i, 2), 16, 10).cast("double") / 255
+    call = r"^rgba?\(\s*([0-9.]+)\s*,\s*([0-9.]+)\s*,\s*([0-9.]+)\s*(?:,\s*([0-9.]+)\s*)?\)$"
+    part = lambda i: F.nullif(F.regexp_extract(v, call, i), F.lit("")).try_cast("double")
+    r, g, b = (F.coalesce(hexed(1 + 2 * i), part(i + 1) / 255) for i in range(3))
+    return F.when(r.isNotNull(), F.struct(r.alias("r"), g.alias("g"), b.alias("b"), F.coalesce(part(4), F.lit(1.0)).alias("a")))

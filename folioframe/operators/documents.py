@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from folioframe.functions import geometry as g
 from folioframe.functions.text import escape_xml
 
+from . import shapes
+
 PAGE = ["doc_id", "page_id"]
 
 
@@ -104,3 +106,21 @@ def saved(texts: DataFrame, edits: DataFrame, fields: DataFrame, values: DataFra
     moved = pages.select("doc_id", F.col("from_page").alias("old"), F.col("page_id").alias("new_page"))
     whole = shown.unionByName(filled).withColumnRenamed("page_id", "old")
     return whole.join(moved, ["doc_id", "old"]).select("doc_id", F.col("new_page").alias("page_id"), "kind", "ordinal", "text")
+
+
+# How far an item may lie from its band's mean, and the fewest fields and items of a paragraph that is split.
+BAND_TOLERANCE, LEAST_FIELDS, LEAST_ITEMS = 8.0, 2, 4
+
+
+def split_field_paragraphs(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Band of each item (kind, ordinal, x, y, height) of a paragraph (``keys``), and its place in the band by x, texts first.
+
+    Items in the order of y join the last band while their centre is near its mean. Paragraphs with fewer than
+    two fields or four items stay whole, in band 0.
+    """
+    p = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", "kind", "ordinal", "x", (F.col("y") + F.col("height") / 2).alias("c")))).alias("r"), F.count_if(F.col("kind") == "field").alias("f"))
+    small = (F.col("f") < LEAST_FIELDS) | (F.size("r") < LEAST_ITEMS)
+    bands = F.when(small, F.transform("r", lambda _: F.lit(0))).otherwise(shapes.mean_bands(F.transform("r", lambda x: x["c"]), BAND_TOLERANCE))
+    rows = p.select(*keys, F.explode(F.arrays_zip("r", bands.alias("b"))).alias("z")).select(*keys, "z.r.kind", "z.r.ordinal", "z.r.x", F.col("z.b").alias("band"))
+    order = Window.partitionBy(*keys, "band").orderBy(F.when(F.col("kind") == "text", 0).otherwise(1), "x", "ordinal")
+    return rows.select(*keys, "kind", "ordinal", "band", F.row_number().over(order).cast("long").alias("place"))

@@ -47,6 +47,20 @@ def anchor_groups(values: Column, tolerance: float) -> Column:
     return F.aggregate(values, start, step, lambda acc: acc["out"])
 
 
+def mean_bands(centres: Column, tolerance: float) -> Column:
+    """Band numbers along an array of numbers in its order: one within ``tolerance`` of the mean of the last band joins it."""
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), F.lit(-1).alias("b"), F.expr("cast(array() as array<int>)").alias("out"))
+
+    def step(acc: Column, v: Column) -> Column:
+        near = (acc["n"] > 0) & (F.abs(v - acc["s"] / F.greatest(acc["n"], F.lit(1))) <= tolerance)
+        b = acc["b"] + F.when(near, 0).otherwise(1)
+        s = F.when(near, acc["s"]).otherwise(F.lit(0.0)) + v
+        n = F.when(near, acc["n"]).otherwise(F.lit(0).cast("long")) + 1
+        return F.struct(s.alias("s"), n.alias("n"), b.alias("b"), F.concat(acc["out"], F.array(b)).alias("out"))
+
+    return F.aggregate(centres, start, step, lambda acc: acc["out"])
+
+
 #: Height of a band of a page, in points.
 BAND = 24
 

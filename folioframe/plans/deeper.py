@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.functions.text import escape_pdf_string, utf16_hex
+from folioframe.functions import fonts
+from folioframe.functions.text import css_colour, escape_pdf_string, utf16_hex
+from folioframe.operators import documents as doc
 from folioframe.operators import elements as e
 from folioframe.operators import numbering as nb
 from folioframe.operators import strings as st
@@ -350,3 +352,36 @@ def k03n(s, d):
 def k03l(s, d):
     one = nb.item_xml(F.col("text"), F.col("level"), F.col("level") < 3)
     return _list_items(s, d).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("x")))), lambda r: r["x"]), "").alias("xml"))
+
+
+# ---- field paragraphs, glyphs, colours
+
+_SPLIT_SQL = """im AS (SELECT doc_id, page_id, ordinal // 12 AS paragraph, 'field' AS kind, ordinal, x, y, height FROM g_field UNION ALL SELECT doc_id, page_id, ordinal // 12, 'text', ordinal, x - 50, y + ordinal % 3 * 5, 9.0 FROM g_field),
+ bn AS (SELECT doc_id, page_id, paragraph, list({'y': y, 'kind': kind, 'ordinal': ordinal, 'x': x, 'c': y + height / 2} ORDER BY y, kind, ordinal) AS r, count(*) FILTER (kind = 'field') AS f FROM im GROUP BY ALL),
+ bz AS (SELECT *, CASE WHEN f < 2 OR len(r) < 4 THEN list_transform(r, lambda q: 0) ELSE list_transform(list_reduce(list_transform(r, lambda q: [{'s': q.c, 'n': 1, 'b': 0}]), lambda a, q: list_append(a, CASE WHEN abs(q[1].s - a[-1].s / a[-1].n) <= 8 THEN {'s': a[-1].s + q[1].s, 'n': a[-1].n + 1, 'b': a[-1].b} ELSE {'s': q[1].s, 'n': 1, 'b': a[-1].b + 1} END)), lambda z: z.b) END AS b FROM bn),
+ bx AS (SELECT doc_id, page_id, paragraph, unnest(r) AS q, unnest(b) AS band FROM bz)"""
+
+
+@register("g07_split_paragraphs", "SELECT doc_id, page_id, paragraph, q.kind AS kind, q.ordinal AS ordinal, band, row_number() OVER (PARTITION BY doc_id, page_id, paragraph, band ORDER BY CASE q.kind WHEN 'text' THEN 0 ELSE 1 END, q.x, q.ordinal) AS place FROM bx", _SPLIT_SQL)
+def g07s(s, d):
+    f = v.g_field(s, d).withColumn("paragraph", F.expr("ordinal div 12"))
+    own = [*PAGE, "paragraph"]
+    fields = f.select(*own, F.lit("field").alias("kind"), "ordinal", "x", "y", "height")
+    labels = f.select(*own, F.lit("text").alias("kind"), "ordinal", (F.col("x") - 50).alias("x"), (F.col("y") + F.col("ordinal") % 3 * 5).alias("y"), F.lit(9.0).alias("height"))
+    return doc.split_field_paragraphs(fields.unionByName(labels), own)
+
+
+@_redefine("j30_glyph_widths", f"SELECT ordinal, coalesce(list_sum(list_transform(string_split(content, ''), lambda h: coalesce({list(fonts.HELVETICA)}[unicode(h) - 31], 500))), 0)::DOUBLE AS width FROM g_image")
+def j30(s, d):
+    return v.g_image(s, d).select("ordinal", fonts.text_width("content", F.lit(1000)).cast("double").alias("width"))
+
+
+@register("f06_css_colour", """SELECT ordinal, ordinal % 256 / 255 AS r, (ordinal * 7) % 256 / 255 AS g, (ordinal * 13) % 256 / 255 AS b, CASE WHEN ordinal % 3 = 0 THEN round(ordinal % 11 / 10, 6) ELSE 1 END AS a FROM g_image""")
+def f06c(s, d):
+    # written in turn as rgba(), as #rrggbb and as rgb()
+    k = F.col("ordinal")
+    n = [k % 256, k * 7 % 256, k * 13 % 256]
+    text = F.concat_ws(", ", *[x.cast("string") for x in n])
+    code = F.concat(*[F.lpad(F.hex(x), 2, "0") for x in n])
+    css = F.when(k % 3 == 0, F.concat(F.lit("rgba("), text, F.lit(", "), (k % 11 / 10).cast("string"), F.lit(")"))).when(k % 3 == 1, F.concat(F.lit("#"), code)).otherwise(F.concat(F.lit("rgb( "), text, F.lit(" )")))
+    return v.g_image(s, d).select("ordinal", css_colour(css).alias("v")).select("ordinal", "v.r", "v.g", "v.b", F.round("v.a", 6).alias("a"))

@@ -156,12 +156,12 @@ def a19(s, d):
  SELECT c.doc_id, c.page_id, least(c.first, h.h_x, (SELECT min(t.x) FROM txt t WHERE t.doc_id = c.doc_id AND t.page_id = c.page_id AND t.x < c.first AND t.y + t.height / 2 BETWEEN r.top - 5 AND r.y1)) - 2 AS lft, c.inr, c.rgt, r.btw, r.top, r.below, h.h_top, h.h_bottom
  FROM (SELECT doc_id, page_id, arg_min(st, col) AS first, max_by(en, col) + 2 AS rgt, coalesce(list((bf + st) / 2 ORDER BY col) FILTER (bf IS NOT NULL), []) AS inr FROM (SELECT *, lag(en) OVER (PARTITION BY doc_id, page_id ORDER BY col) AS bf FROM (SELECT doc_id, page_id, ordinal % 3 AS col, avg(x) AS st, avg(x + width) AS en FROM fd GROUP BY doc_id, page_id, ordinal % 3)) GROUP BY doc_id, page_id HAVING count(*) >= 2) c
  JOIN (SELECT doc_id, page_id, arg_min(lead, rw) AS top, arg_max(bottom, rw) + 2 AS below, arg_max(lead + 18, rw) + 5 AS y1, coalesce(list((bf + tp) / 2 ORDER BY rw) FILTER (bf IS NOT NULL), []) AS btw FROM (SELECT *, lag(bottom) OVER (PARTITION BY doc_id, page_id ORDER BY rw) AS bf FROM (
- SELECT doc_id, page_id, ordinal // 3 % 20 AS rw, min(y) AS tp, max(y + height) AS bottom, arg_min(y, x) AS lead FROM fd GROUP BY doc_id, page_id, ordinal // 3 % 20)) GROUP BY doc_id, page_id) r ON r.doc_id = c.doc_id AND r.page_id = c.page_id
+ SELECT doc_id, page_id, ordinal // 3 % 16 AS rw, min(y) AS tp, max(y + height) AS bottom, arg_min(y, x) AS lead FROM fd GROUP BY doc_id, page_id, ordinal // 3 % 16)) GROUP BY doc_id, page_id) r ON r.doc_id = c.doc_id AND r.page_id = c.page_id
  LEFT JOIN (SELECT doc_id, page_id, min(x) AS h_x, min(y) AS h_top, max(y + height) AS h_bottom FROM txt WHERE y < 84 GROUP BY doc_id, page_id) h ON h.doc_id = c.doc_id AND h.page_id = c.page_id)""",
           "fd AS (SELECT * FROM g_field), txt AS (SELECT doc_id, page_id, ordinal, 60 - ordinal % 7 * 6 AS x, (70 + ordinal % 9 * 40)::DOUBLE AS y, 20.0::DOUBLE AS width, 9.0::DOUBLE AS height FROM g_field WHERE ordinal % 5 = 0 AND ordinal % 60 > 20)")
 def g11(s, d):
     f = v.g_field(s, d)
-    fields = f.withColumn("row", F.floor(F.col("ordinal") / 3).cast("long") % 20).withColumn("col", F.col("ordinal") % 3)
+    fields = f.withColumn("row", F.floor(F.col("ordinal") / 3).cast("long") % 16).withColumn("col", F.col("ordinal") % 3)
     texts = f.where("ordinal % 5 = 0 and ordinal % 60 > 20").select(*KEY, (60 - F.col("ordinal") % 7 * 6).cast("double").alias("x"), (F.lit(70.0) + F.col("ordinal") % 9 * 40).alias("y"), F.lit(20.0).alias("width"), F.lit(9.0).alias("height"))
     t = doc.field_grid(fields, texts.where("y < 84"), texts)
     return t.select(*PAGE, *[F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("cols", "rows")], "has_header")
