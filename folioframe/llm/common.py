@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,6 +35,24 @@ def shared_folder(spark: SparkSession) -> str:
     return "/tmp/folioframe-checkpoints"
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system, so that a worker doesn't keep what its last task needed."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+    pa.default_memory_pool().release_unused()
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, with a tidy worker at its end."""
+
+    def out(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        tidy()
+
+    return out
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str) -> DataFrame:
     """Applies ``make()(rows)`` to pieces of batches; ``make`` runs once in a task.
 
@@ -50,7 +69,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema:
             cols = list(zip(*out)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, arrow)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 _ARROW = {

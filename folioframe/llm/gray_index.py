@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, map_rows, small
+from .common import checkpointed, fresh, map_rows, small, tidied
 
 SEED = 42
 FANOUT = 2
@@ -248,7 +248,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows_at_once: int
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b): links that join what distinct ``fps`` (column fp) within radius join."""
     dealt = _dealt(fps, radius).repartition("mask", "key").sortWithinPartitions("mask", "key")
-    return dealt.mapInArrow(_link_tasks(radius), "a long, b long")
+    return dealt.mapInArrow(tidied(_link_tasks(radius)), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

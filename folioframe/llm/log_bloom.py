@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed
+from .common import checkpointed, tidied
 
 BASE = 1.5
 LEVELS = 100
@@ -159,7 +159,7 @@ def counted(docs: DataFrame, segments: int) -> DataFrame:
                 out += [(s, size, h[a:b].tobytes(), c[a:b].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=names)
 
-    return docs.mapInArrow(run, "segment int, size int, hashes binary, counts binary")
+    return docs.mapInArrow(tidied(run), "segment int, size int, hashes binary, counts binary")
 
 
 def _sum(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +199,7 @@ def merged(parts: DataFrame) -> DataFrame:
         if at is not None:
             yield end(at, held)
 
-    return parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, schema)
+    return parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(tidied(run), schema)
 
 
 def _probe(hashes: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -338,10 +338,10 @@ class Model:
             if held:
                 yield make(at, held)
 
-        rows = self.parts.select("segment", "words", "word_counts", "pairs", "levels").mapInArrow(pick, "segment int, words binary, counts binary, pairs binary, levels binary")
+        rows = self.parts.select("segment", "words", "word_counts", "pairs", "levels").mapInArrow(tidied(pick), "segment int, words binary, counts binary, pairs binary, levels binary")
         if share > 1:
             rows = rows.repartition("segment").sortWithinPartitions("segment")
-        found = rows.mapInArrow(build, "segment int, m long, bits binary, words binary, counts binary")
+        found = rows.mapInArrow(tidied(build), "segment int, m long, bits binary, words binary, counts binary")
         got = sorted(found.toLocalIterator(), key=lambda r: r["segment"])
         w = np.frombuffer(b"".join(r["words"] for r in got), np.uint64)  # parts are ranges: sorted
         return Known(Filter(ranges, [(r["segment"], r["m"], r["bits"]) for r in got], least), w, np.frombuffer(b"".join(r["counts"] for r in got), np.int64))
@@ -391,11 +391,11 @@ def _answers(docs: DataFrame, model: Model, sent) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["k1", "k2", "h", "q", "c"])
 
     null = F.lit(None).cast("binary")
-    asked = docs.select("k1", "k2", "text").mapInArrow(ask, "segment int, k1 long, k2 long, words binary").dropDuplicates(["segment", "k1", "k2"])
+    asked = docs.select("k1", "k2", "text").mapInArrow(tidied(ask), "segment int, k1 long, k2 long, words binary").dropDuplicates(["segment", "k1", "k2"])
     asked = asked.select("segment", F.lit(1).alias("kind"), "k1", "k2", "words", null.alias("word_counts"), null.alias("pairs"), null.alias("levels"))
     own = model.parts.select("segment", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), "words", "word_counts", "pairs", "levels")
     both = own.unionByName(asked).repartition("segment").sortWithinPartitions("segment", "kind")
-    told = both.mapInArrow(tell, "k1 long, k2 long, h binary, q binary, c binary")
+    told = both.mapInArrow(tidied(tell), "k1 long, k2 long, h binary, q binary, c binary")
     return told.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "q", "c")).alias("found"))
 
 
@@ -437,7 +437,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             cols = zip(*work(part))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return rows.mapInArrow(tidied(run), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def digest(docs: DataFrame, filter_most: int = FILTER_MOST, words_most: int = WORDS_MOST) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, small
+from .common import checkpointed, map_rows, small, tidied
 from .gray_index import SEED, GrayIndex, components, first_of_each, forest, gray_rank, labelled, whole_groups
 
 #: Bits up to which the index looks; at a similarity of 0.8 one pair in a thousand differs by more.
@@ -151,7 +151,7 @@ def _by_token(rows: DataFrame, of: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=names)
 
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, schema)
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(tidied(run), schema)
 
 
 def spanning(a: np.ndarray, b: np.ndarray, distance: np.ndarray, n: int) -> np.ndarray:
@@ -202,7 +202,7 @@ def _near_tasks(least: Fraction):
 def _near_pairs(shared: DataFrame, classes: DataFrame, least: Fraction) -> DataFrame:
     """(a, b): spanning forests of what the index finds in the groups of shared prefix shingles."""
     rows = shared.join(classes.select("class", "fp"), "class").select("token", "class", "n", "fp")
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(_near_tasks(least), "a long, b long").distinct()
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(tidied(_near_tasks(least)), "a long, b long").distinct()
 
 
 def most_shared(bins: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -301,7 +301,7 @@ def _rest_pairs(shared: DataFrame, classes: DataFrame, found: DataFrame, least:
     mixed = checkpointed(_by_token(rows, "group"))
     light = classes.select("class", F.when(F.col("n") <= BINNED, F.col("bins")).otherwise(F.lit(b"")).alias("bins"))
     whole = mixed.join(light, "class").select(*mixed.columns, "bins")
-    out = checkpointed(whole.repartition("token").sortWithinPartitions("token").mapInArrow(_pair_tasks(least, spread_out), "a long, b long, token long"))
+    out = checkpointed(whole.repartition("token").sortWithinPartitions("token").mapInArrow(tidied(_pair_tasks(least, spread_out)), "a long, b long, token long"))
     alive = out.where("token is not null").select("token").distinct()
     pairs = out.where("a is not null").select("a", "b").distinct()
     return _bounded(pairs, classes, least) if spread_out else pairs, mixed.join(alive, "token", "left_semi").drop("group")
@@ -364,7 +364,7 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, doc_id: str
     marked = checkpointed(_marked(rows, width, least, _frequent(rows, width)))
     one = F.first(F.struct("n", "fp", "bins", "prefix")).alias("x")  # equal in all rows of a class
     classes = checkpointed(marked.groupBy("class").agg(F.min("doc_id").alias("rep"), one).select("class", "rep", "x.*"))
-    tokens = classes.select("class", "n", "prefix").mapInArrow(_spread, "token long, class long, n int, place int")
+    tokens = classes.select("class", "n", "prefix").mapInArrow(tidied(_spread), "token long, class long, n int, place int")
     shared = checkpointed(_by_token(tokens, "class"))
     close = _checked(rows, classes, _near_pairs(shared, classes, least), width, least)
     found = components(close)

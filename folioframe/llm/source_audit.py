@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL, checkpointed
+from .common import SMALL, checkpointed, tidied
 
 LEAST_DOCUMENTS = 3
 TOP = 200
@@ -150,7 +150,7 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
                 yield pa.RecordBatch.from_arrays([langs.take(b["place"]), sources.take(b["place"]), b["term"], b["n"], b["docs"]], names=["lang", "source", "term", "n", "docs"])
 
     plain = docs.select(*[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(a) for x, a in ((text, "text"), (lang, "lang"), (source, "source"))])
-    part = plain.mapInArrow(count, "lang string, source string, term string, n long, docs long")
+    part = plain.mapInArrow(tidied(count), "lang string, source string, term string, n long, docs long")
     return part.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -165,7 +165,7 @@ def kept_terms(counts: DataFrame) -> DataFrame:
             c.register("piece", piece)
             yield from _batches(c, _KEEP, schema)
 
-    return counts.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(keep, "lang string, term string, source string, n long, n_lang long, is_first long")
+    return counts.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(tidied(keep), "lang string, term string, source string, n long, n_lang long, is_first long")
 
 
 def totals(docs: DataFrame, kept: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -195,7 +195,7 @@ def partial_sums(kept: DataFrame, groups: DataFrame) -> DataFrame:
     few = groups.limit(SMALL + 1).count() <= SMALL
     both = kept.join(F.broadcast(groups) if few else groups, ["lang", "source"])
     shards = both.repartition("lang", "term").sortWithinPartitions("lang", "term")
-    part = shards.mapInArrow(sums, "kind string, lang string, source string, item string, value decimal(38,0)")
+    part = shards.mapInArrow(tidied(sums), "kind string, lang string, source string, item string, value decimal(38,0)")
     return part.groupBy("kind", "lang", "source", "item").agg(F.sum("value").cast("decimal(38,0)").alias("value"))
 
 
