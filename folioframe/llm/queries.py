@@ -33,6 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_glob_filter": glob_filter.ORACLE,
         "op9_quality_ledger": quality_ledger.ORACLE,
         "op11_source_audit": source_audit.ORACLE,
-        "op12_log_bloom": lambda s, d: log_bloom.digest(table(s, d, "documents")),
         "op13_block_centroids": block_centroids.ORACLE,
     }
