@@ -9,7 +9,7 @@ from folioframe.llm import queries as llm
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_same_as_duckdb(spark, data, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     r = c.execute(llm.oracle_sql()[name])
     names = [x[0] for x in r.description]
