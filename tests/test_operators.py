@@ -178,3 +178,24 @@ def test_checksums_like_zlib(spark):
     import zlib
 
     assert one(spark, c=F.crc32(F.lit("cold widget"))).c == zlib.crc32(b"cold widget")
+
+
+def test_stream_rows_in_parts():
+    # a task holds a bounded number of rows in Python, whatever a batch of pages holds
+    import pyarrow as pa
+
+    from folioframe.operators import content
+
+    class Frame:
+        dtypes = [("k", "bigint"), ("content", "binary")]
+        
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    page = b"\n".join(b"BT (x) Tj ET" for _ in range(9000))
+    parts = list(content.lex(Frame(), ["k"])([pa.RecordBatch.from_pydict({"k": [1, 2, 3], "content": [page, None, page]})]))
+    assert max(p.num_rows for p in parts) <= 10_000
+    assert [(k, o) for p in parts for k, o in zip(p["k"].to_pylist(), p["ordinal"].to_pylist())] == [(k, o) for k in (1, 3) for o in range(36_000)]
