@@ -35,6 +35,21 @@ def running_means(values: Column, tolerance: float) -> Column:
     return F.aggregate(F.array_sort(values), empty, step, lambda acc: F.transform(acc, lambda x: x["s"] / x["n"]))
 
 
+def running_variance(values: Column) -> Column:
+    """Population variance of an array of doubles, one after the other by Welford's rule; 0 without any, nulls left out.
+
+    Partial sums would be merged in the order in which tasks end, so a variance at a threshold would fall on either side of it.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("sq"))
+
+    def step(acc: Column, v: Column) -> Column:
+        n = acc["n"] + 1
+        mean = acc["mean"] + (v - acc["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["sq"] + (v - mean) * (v - acc["mean"])).alias("sq"))
+
+    return F.aggregate(F.array_compact(values), start, step, lambda acc: F.when(acc["n"] > 1, acc["sq"] / acc["n"]).otherwise(0.0))
+
+
 def anchor_groups(values: Column, tolerance: float) -> Column:
     """Group numbers along a sorted array of numbers: one farther than ``tolerance`` from its group's first starts a group."""
     start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("g"), F.expr("cast(array() as array<int>)").alias("out"))

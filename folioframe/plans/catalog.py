@@ -558,7 +558,7 @@ def g23(s, d):
     blk = F.floor(F.col("ordinal") / 5).cast("long")
     x0 = F.lit(72.0) + F.when(blk % 2 == 0, 0).otherwise(F.col("ordinal") % 5 * 9)
     line = v.g_line(s, d).withColumn("blk", blk).withColumn("x0", x0).withColumn("x1", F.when(blk % 3 == 0, 540.0).otherwise(F.col("x0") + F.length("text")))
-    return l.alignment(line, [*PAGE, "blk"])
+    return l.alignment(line, [*PAGE, "blk"], order=["ordinal"])
 
 
 @register("g24_text_boxes", "SELECT doc_id, page_id, ln, box, min(x) AS x, max(x + width) AS x1, count(*) AS n, string_agg(text, ' ' ORDER BY x, ordinal) AS text FROM (SELECT *, sum(CASE WHEN gap >= 0.9 * font_size THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_id, ln ORDER BY x, ordinal)::BIGINT AS box FROM gp) GROUP BY doc_id, page_id, ln, box", _GAP)

@@ -180,6 +180,28 @@ def test_checksums_like_zlib(spark):
     assert one(spark, c=F.crc32(F.lit("cold widget"))).c == zlib.crc32(b"cold widget")
 
 
+def test_edges_in_order(spark):
+    # variances of exactly 15 on paper: the lines' order decides on which side of the limit their sum falls
+    from itertools import permutations
+
+    def side(xs):
+        n, mean, sq = 0, 0.0, 0.0
+        for x in xs:
+            n, before = n + 1, mean
+            mean += (x - mean) / n
+            sq += (x - mean) * (x - before)
+        return "left" if sq / n < 15 else "other"
+
+    spread = (p for p in ([72 + a / 2 for a in (0, b, c, d, e)] for b in range(24) for c in range(b, 24) for d in range(c, 24) for e in range(d, 24)) if 5 * sum(x * x for x in p) - sum(p) ** 2 == 375)
+    orders = next(o for o in (list(permutations(p)) for p in spread) if len(set(map(side, o))) == 2)
+    rows = [(k, i, x, 1000.0 * i) for k, o in enumerate(orders) for i, x in enumerate(o)]
+    df = spark.createDataFrame(rows[::-1], "k int, ordinal int, x0 double, x1 double").repartition(4)
+    got = {r.k: r.v for r in df.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("ordinal", "x0"))).alias("e")).select("k", (shapes.running_variance(F.col("e.x0")) < 15).alias("v")).collect()}
+    assert got == {k: side(o) == "left" for k, o in enumerate(orders)}
+    wide = l.alignment(df.withColumn("x1", F.col("x0")).withColumn("x0", 1000.0 * F.col("ordinal")), ["k"], order=["ordinal"])
+    assert {r.k: r.align == "right" for r in wide.collect()} == got
+
+
 def test_stream_rows_in_parts():
     # a task holds a bounded number of rows in Python, whatever a batch of pages holds
     import pyarrow as pa
