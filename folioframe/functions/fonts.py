@@ -19,25 +19,16 @@ KERNING = {"AT": -120, "AV": -70, "AW": -50, "AY": -100, "LT": -110, "LV": -110,
 ASCENDER, DESCENDER = 718, -207
 
 
-def _width_classes() -> dict[int, str]:
-    """Characters by their distance from the default width."""
-    out: dict[int, str] = {}
-    for i, w in enumerate(HELVETICA):
-        if w != DEFAULT:
-            out[w - DEFAULT] = out.get(w - DEFAULT, "") + chr(32 + i)
-    return out
-
-
 def text_width(x, size, kerning: bool = False) -> Column:
     """Width of a text by its glyphs, with the adjustments of pairs if asked for.
 
-    Characters of one width are counted at once by what their removal takes away, in compiled code.
+    One pass over the characters looks each one up in the table by its code.
     """
     x = c(x)
     n = F.length(x)
-    total = n.cast("long") * DEFAULT
-    for more, chars in _width_classes().items():
-        total = total + (n - F.length(F.translate(x, chars, ""))) * more
+    widths = F.lit(list(HELVETICA))
+    glyph = lambda ch: F.coalesce(F.get(widths, F.ascii(ch) - 32), F.lit(DEFAULT))
+    total = F.aggregate(F.split(x, ""), F.lit(0).cast("long"), lambda a, ch: a + F.when(ch == "", 0).otherwise(glyph(ch)))
     if kerning:
         for pair, more in KERNING.items():
             total = total + (n - F.length(F.replace(x, F.lit(pair), F.lit(pair[0])))) * more
@@ -55,7 +46,8 @@ def descent_below(size) -> Column:
 def character_spacing(x, target, size) -> Column:
     """Spacing that brings a text to a width; null if it fits within half a point or is empty."""
     gap = c(target) - text_width(x, size)
-    return F.when((F.length(c(x)) > 0) & (F.abs(gap) >= 0.5), gap / F.length(c(x)))
+    spread = lambda v: F.when((F.length(c(x)) > 0) & (F.abs(v) >= 0.5), v / F.length(c(x)))
+    return F.get(F.transform(F.array(gap), spread), F.lit(0))  # the gap is made once
 
 
 def advance(x, size, char: float = 0.0, word: float = 0.0, scale: float = 1.0) -> Column:

@@ -256,3 +256,10 @@ def test_long_logs_stream_through(spark):
     df = spark.createDataFrame([(i % 2, i // 2, i // 2, o) for i, o in enumerate(x for o in ops for x in (o, "click"))], "doc_id long, event_id long, ts long, op string").repartition(7)
     got = {r.doc_id: (r.history, r.cursor) for r in e.undo_log(df).collect()}
     assert got == {0: (length, at), 1: (n, n)}
+
+
+def test_width_by_one_pass(spark):
+    df = spark.createDataFrame([("Hi, you 中\U0001F600\t",), ("",), (None,)], "x string").select(fonts.text_width("x", F.lit(1000)).alias("w"))
+    table = dict(zip(range(32, 127), fonts.HELVETICA))
+    assert [r.w for r in df.collect()] == [sum(table.get(ord(ch), fonts.DEFAULT) for ch in "Hi, you 中\U0001F600\t"), 0, None]
+    assert "translate(" not in df._jdf.queryExecution().optimizedPlan().toString()
