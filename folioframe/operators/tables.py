@@ -2,16 +2,15 @@
 
 Everything about a table's grid is a function of its row (bounds and border boxes), so
 spans, origins and places of points are array expressions without a shuffle. Texts, fields and
-fills meet the tables of their page; each of them is settled once, in the first table and by the first rule that claims it.
+fills meet the tables of their page in one row; each of them is settled once, in the first table and by the first rule that claims it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import layout
-from .trees import kept
+from . import layout, shapes
 
 PAGE = ["doc_id", "page_id"]
 #: Points that an edge may be off its bound: when points are placed, and after narrow cells have been merged away.
@@ -84,25 +83,83 @@ def tables(rects: DataFrame) -> DataFrame:
     return t.select(*PAGE, "component", "cols", "rows", "boxes", origins.alias("origins"))
 
 
-def _band(bounds: str, v: Column) -> Column:
+def _band(bounds: Column, v: Column) -> Column:
     """Place of the first interval between bounds that holds v, ``EDGE`` more on both sides; null without one."""
     hits = F.filter(_upto(F.size(bounds) - 1), lambda i: (v >= _at(bounds, i) - EDGE) & (v <= _at(bounds, i + 1) + EDGE))
     return F.get(hits, F.lit(0))
 
 
-def _origin(row: Column, col: Column) -> Column:
+def _origin(grid: Column, row: Column, col: Column) -> Column:
     """The first remaining cell that covers a place of the grid."""
-    return F.get(F.filter("origins", lambda o: (o["row"] <= row) & (row < o["row"] + o["row_span"]) & (o["col"] <= col) & (col < o["col"] + o["col_span"])), F.lit(0))
+    return F.get(F.filter(grid["origins"], lambda o: (o["row"] <= row) & (row < o["row"] + o["row_span"]) & (o["col"] <= col) & (col < o["col"] + o["col_span"])), F.lit(0))
+
+
+def _spot(p: Column, grid: Column, f) -> Column:
+    """f(row, col) of the place of the grid where a point's centre is."""
+    return _let(_band(grid["rows"], p["y"] + p["height"] / 2), lambda r: _let(_band(grid["cols"], p["x"] + p["width"] / 2), lambda c: f(r, c)))
+
+
+def _by_page(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """One row for each page with its rows as an array: what follows is array expressions of one row, without windows or joins."""
+    return df.groupBy(*PAGE).agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def _with_grids(pages: DataFrame, grids: DataFrame, how: str = "inner") -> DataFrame:
+    return pages.join(_by_page(grids, "grids", ["component", "cols", "rows", "origins"]), PAGE, how)
+
+
+def _home(p: Column, grids: Column) -> Column:
+    """(component, cell) of the first of a page's tables that holds a point's centre."""
+    own = lambda g: _let(_spot(p, g, lambda r, c: _origin(g, r, c)), lambda cell: F.when(cell.isNotNull(), F.struct(g["component"].alias("component"), cell.alias("cell"))))
+    return F.array_min(F.transform(grids, own))
+
+
+def _placed(points: str, grids: str = "grids") -> Column:
+    """The points of a page that a table holds, as (p, at)."""
+    return F.filter(F.transform(points, lambda p: F.struct(p.alias("p"), _home(p, F.col(grids)).alias("at"))), lambda x: x["at"].isNotNull())
 
 
 def placed(points: DataFrame, grids: DataFrame) -> DataFrame:
     """points with the table and cell that holds their centre; the first table where several do. Others are left out."""
-    cx, cy = F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2
-    p = points.join(grids.select(*PAGE, "component", "cols", "rows", "origins"), PAGE)
-    p = p.withColumn("cell", _origin(_band("rows", cy), _band("cols", cx))).where("cell is not null")
-    first = F.min("component").over(Window.partitionBy(*PAGE, "ordinal"))
-    p = p.withColumn("__f", first).where("component = __f")
-    return p.select(*points.columns, "component", F.col("cell.row").alias("row"), F.col("cell.col").alias("col"))
+    rest = [c for c in points.columns if c not in PAGE]
+    p = _with_grids(_by_page(points, "points", rest), grids).select(*PAGE, F.explode(_placed("points")).alias("z"))
+    return p.select(*PAGE, *[F.col(f"z.p.{c}").alias(c) for c in rest], F.col("z.at.component").alias("component"), F.col("z.at.cell.row").alias("row"), F.col("z.at.cell.col").alias("col")).select(*points.columns, "component", "row", "col")
+
+
+def _claims(texts: Column, grids: Column, f) -> Column:
+    """f(taken) of an array with (component, cell, way, extension) for each text of a page, null where no table takes it. The rules are those of ``claims``."""
+    x0 = lambda g: _at(g["cols"], F.lit(0))
+    claim = lambda way, g, cell: F.when(cell.isNotNull(), F.struct(F.lit(way).alias("way"), g["component"].alias("component"), cell.alias("cell")))
+
+    def first(t: Column, g: Column) -> Column:
+        label = (t["x"] + t["width"] / 2 < x0(g)) & (t["x"] >= x0(g) - LABEL)
+        return _spot(t, g, lambda r, c: F.coalesce(_let(_origin(g, r, c), lambda o: claim(INSIDE, g, o)), F.when(label, _let(_origin(g, r, F.lit(0)), lambda o: claim(LEFT, g, o)))))
+
+    def second(t: Column, g: Column, extension: Column) -> Column:
+        cx, bottom = t["x"] + t["width"] / 2, t["y"] + t["height"]
+        wide = F.when((cx >= x0(g) - extension) & (cx <= _at(g["cols"], F.lit(1)) + EDGE), F.lit(0))
+        above = bottom.between(_at(g["rows"], F.lit(0)) - HEADER, _at(g["rows"], F.lit(0)) + EDGE)
+        below = t["y"].between(F.element_at(g["rows"], -1) - EDGE, F.element_at(g["rows"], -1) + HEADER)
+        found = lambda c: F.coalesce(F.when(above, _let(_origin(g, F.lit(0), c), lambda o: claim(ABOVE, g, o))), F.when(below, _let(_origin(g, F.size(g["rows"]) - 2, c), lambda o: claim(BELOW, g, o))))
+        return F.when(above | below, _let(F.coalesce(_band(g["cols"], cx), wide), found))
+
+    def extension(g: Column, firsts: Column) -> Column:
+        return F.array_max(F.zip_with(texts, firsts, lambda t, c: F.when((c["component"] == g["component"]) & (c["way"] == LEFT), x0(g) - t["x"] + PAD)))
+
+    def settled(firsts: Column, extensions: Column) -> Column:
+        late = lambda t: F.array_min(F.transform(grids, lambda g, i: second(t, g, F.get(extensions, i))))
+        wider = lambda c: F.get(extensions, (F.array_position(F.transform(grids, lambda g: g["component"]), c["component"]) - 1).cast("int"))
+        taken = lambda c: F.when(c.isNotNull(), F.struct(c["component"].alias("component"), c["cell"].alias("cell"), c["way"].alias("way"), F.coalesce(wider(c), F.lit(0.0)).alias("extension")))
+        return F.zip_with(texts, firsts, lambda t, c: _let(F.when(c.isNotNull(), c).otherwise(late(t)), taken))
+
+    firsts = F.transform(texts, lambda t: F.array_min(F.transform(grids, lambda g: first(t, g))))
+    return _let(firsts, lambda a: _let(F.transform(grids, lambda g: extension(g, a)), lambda e: _let(settled(a, e), f)))
+
+
+def _taken(texts: str, grids: str = "grids") -> Column:
+    """The texts of a page that a table takes in, as (p, at)."""
+    both = lambda taken: F.filter(F.zip_with(texts, taken, lambda t, c: F.struct(t.alias("p"), c.alias("at"))), lambda x: x["at"].isNotNull())
+    return _claims(F.col(texts), F.col(grids), both)
 
 
 def claims(texts: DataFrame, grids: DataFrame) -> DataFrame:
@@ -113,25 +170,8 @@ def claims(texts: DataFrame, grids: DataFrame) -> DataFrame:
     points above the table or below, to the cell of its column in the first or last row. A table
     with labels is wider by ``extension``, also for its headers. Of several tables the first one takes a text.
     """
-    x0, y0, y1 = _at("cols", F.lit(0)), _at("rows", F.lit(0)), F.element_at("rows", -1)
-    cx, cy, bottom = F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2, F.col("y") + F.col("height")
-    t = texts.select(*PAGE, "ordinal", "x", "y", "width", "height").join(grids.select(*PAGE, "component", "cols", "rows", "origins"), PAGE)
-    t = t.withColumn("r", _band("rows", cy)).withColumn("c", _band("cols", cx))
-    label = (cx < x0) & (F.col("x") >= x0 - LABEL)
-    first = F.when(_origin(F.col("r"), F.col("c")).isNotNull(), F.struct(F.lit(INSIDE).alias("way"), F.col("component"), _origin(F.col("r"), F.col("c")).alias("cell")))
-    first = F.coalesce(first, F.when(label & _origin(F.col("r"), F.lit(0)).isNotNull(), F.struct(F.lit(LEFT).alias("way"), F.col("component"), _origin(F.col("r"), F.lit(0)).alias("cell"))))
-    text, table = Window.partitionBy(*PAGE, "ordinal"), Window.partitionBy(*PAGE, "component")
-    t = t.withColumn("first", F.min(first).over(text))
-    mine = (F.col("first.component") == F.col("component")) & (F.col("first.way") == LEFT)
-    t = t.withColumn("extension", F.max(F.when(mine, x0 - F.col("x") + PAD)).over(table))
-    wide = F.when((cx >= x0 - F.col("extension")) & (cx <= _at("cols", F.lit(1)) + EDGE), F.lit(0))
-    col = F.coalesce(F.col("c"), wide)
-    last = F.size("rows") - 2
-    above = bottom.between(y0 - HEADER, y0 + EDGE) & _origin(F.lit(0), col).isNotNull()
-    below = F.col("y").between(y1 - EDGE, y1 + HEADER) & _origin(last, col).isNotNull()
-    second = F.when(above, F.struct(F.lit(ABOVE).alias("way"), F.col("component"), _origin(F.lit(0), col).alias("cell"))).when(below, F.struct(F.lit(BELOW).alias("way"), F.col("component"), _origin(last, col).alias("cell")))
-    t = t.withColumn("taken", F.coalesce("first", F.min(second).over(text))).where("taken.component = component")
-    return t.select(*PAGE, "ordinal", "component", F.col("taken.cell.row").alias("row"), F.col("taken.cell.col").alias("col"), F.col("taken.way").alias("way"), F.coalesce("extension", F.lit(0.0)).alias("extension"))
+    t = _with_grids(_by_page(texts, "texts", layout.BOX), grids).select(*PAGE, F.explode(_taken("texts")).alias("z"))
+    return t.select(*PAGE, F.col("z.p.ordinal").alias("ordinal"), F.col("z.at.component").alias("component"), F.col("z.at.cell.row").alias("row"), F.col("z.at.cell.col").alias("col"), F.col("z.at.way").alias("way"), F.col("z.at.extension").alias("extension"))
 
 
 def cells(rects: DataFrame, texts: DataFrame, fields: DataFrame, fills: DataFrame) -> DataFrame:
@@ -140,29 +180,37 @@ def cells(rects: DataFrame, texts: DataFrame, fields: DataFrame, fills: DataFram
     A label widens the first column to the left. The last fill whose centre a cell holds colours it.
     Paddings over 2 points count; texts align to the top, centre or bottom where over 6 points are free.
     """
-    grids = kept(tables(rects))
-    o = grids.select(*PAGE, "component", "cols", "rows", F.explode("origins").alias("o"))
-    box = o.select(
-        *PAGE, "component", *[F.col(f"o.{c}").alias(c) for c in ("row", "col", "row_span", "col_span")], _at("cols", F.col("o.col")).alias("x"), _at("rows", F.col("o.row")).alias("y"),
-        (_at("cols", F.col("o.col") + F.col("o.col_span")) - _at("cols", F.col("o.col"))).alias("width"), (_at("rows", F.col("o.row") + F.col("o.row_span")) - _at("rows", F.col("o.row"))).alias("height"),
+    pages = _by_page(tables(rects), "grids", ["component", "cols", "rows", "origins"])
+    for name, df, columns in (("texts", texts, layout.BOX), ("fields", fields, layout.BOX), ("fills", fills, [*layout.BOX, "fill"])):
+        pages = pages.join(_by_page(df, name, columns), PAGE, "left")
+    pages = pages.select(*PAGE, "grids", _taken("texts").alias("texts"), _placed("fields").alias("fields"), _placed("fills").alias("fills"))
+
+    def cell(g: Column, o: Column) -> Column:
+        table = lambda x: x["at"]["component"] == g["component"]
+        own = lambda name: F.filter(name, lambda x: table(x) & (x["at"]["cell"]["row"] == o["row"]) & (x["at"]["cell"]["col"] == o["col"]))
+        wider = F.when(o["col"] == 0, F.coalesce(F.array_max(F.transform(F.filter("texts", table), lambda x: x["at"]["extension"])), F.lit(0.0))).otherwise(0.0)
+        x, y = _at(g["cols"], o["col"]), _at(g["rows"], o["row"])
+        return F.struct(
+            g["component"].alias("component"), *[o[c].alias(c) for c in ("row", "col", "row_span", "col_span")], x.alias("x"), y.alias("y"), wider.alias("wider"),
+            (_at(g["cols"], o["col"] + o["col_span"]) - x).alias("width"), (_at(g["rows"], o["row"] + o["row_span"]) - y).alias("height"),
+            own("texts").alias("texts"), own("fields").alias("fields"), own("fills").alias("fills"),
+        )
+
+    o = pages.select(*PAGE, F.explode(F.flatten(F.transform("grids", lambda g: F.transform(g["origins"], lambda o: cell(g, o))))).alias("o")).select(*PAGE, "o.*")
+    of = lambda name, f: F.transform(name, lambda x: f(x["p"]))
+    ordinals = lambda name: F.coalesce(F.array_sort(of(name, lambda p: p["ordinal"])), F.array().cast("array<long>"))
+    c = o.select(
+        *PAGE, "component", "row", "col", "row_span", "col_span", (F.col("x") - F.col("wider")).alias("x"), "y", (F.col("width") + F.col("wider")).alias("width"), "height",
+        F.array_max(of("fills", lambda p: F.struct(p["ordinal"], p["fill"].alias("fill"))))["fill"].alias("fill"), ordinals("texts").alias("texts"), ordinals("fields").alias("fields"),
+        F.array_min(of("texts", lambda p: p["x"])).alias("t_x"), F.array_min(of("texts", lambda p: p["y"])).alias("t_y"),
+        F.array_max(of("texts", lambda p: p["x"] + p["width"])).alias("t_x1"), F.array_max(of("texts", lambda p: p["y"] + p["height"])).alias("t_y1"),
     )
-    at = [*PAGE, "component", "row", "col"]
-    own = texts.select(*PAGE, "ordinal", F.col("x").alias("t_x"), F.col("y").alias("t_y"), (F.col("x") + F.col("width")).alias("t_x1"), (F.col("y") + F.col("height")).alias("t_y1"))
-    taken = claims(texts, grids).join(own, [*PAGE, "ordinal"])
-    held = taken.groupBy(*at).agg(F.array_sort(F.collect_list("ordinal")).alias("texts"), *[f(c).alias(c) for f, c in ((F.min, "t_x"), (F.min, "t_y"), (F.max, "t_x1"), (F.max, "t_y1"))])
-    wider = taken.groupBy(*PAGE, "component").agg(F.max("extension").alias("extension"))
-    of_fields = placed(fields, grids).groupBy(*at).agg(F.array_sort(F.collect_list("ordinal")).alias("fields"))
-    coloured = placed(fills, grids).groupBy(*at).agg(F.max_by("fill", "ordinal").alias("fill"))
-    c = box.join(held, at, "left").join(of_fields, at, "left").join(coloured, at, "left").join(wider, [*PAGE, "component"], "left")
-    more = F.when(F.col("col") == 0, F.coalesce("extension", F.lit(0.0))).otherwise(0.0)
-    c = c.withColumn("x", F.col("x") - more).withColumn("width", F.col("width") + more)
-    none = F.array().cast("array<long>")
     pad = lambda v: F.when(v > 2, v)
     top, bottom = F.col("t_y") - F.col("y"), F.col("y") + F.col("height") - F.col("t_y1")
     free = F.col("height") - (F.col("t_y1") - F.col("t_y"))
     ratio = top / F.nullif(top + bottom, F.lit(0.0))
     return c.select(
-        *at, "row_span", "col_span", "x", "y", "width", "height", "fill", F.coalesce("texts", none).alias("texts"), F.coalesce("fields", none).alias("fields"),
+        *PAGE, "component", "row", "col", "row_span", "col_span", "x", "y", "width", "height", "fill", "texts", "fields",
         pad(F.col("t_x") - F.col("x")).alias("pad_left"), pad(top).alias("pad_top"), pad(F.col("x") + F.col("width") - F.col("t_x1")).alias("pad_right"), pad(bottom).alias("pad_bottom"),
         F.when(free > 6, F.when(ratio < 0.3, "top").when(ratio > 0.7, "bottom").otherwise("center")).alias("align"),
     )
@@ -171,37 +219,71 @@ def cells(rects: DataFrame, texts: DataFrame, fields: DataFrame, fills: DataFram
 # ---- a page as a whole
 
 #: Parts by the order in which they take elements.
-PARTS = ("table", "header", "footer", "body")
+PARTS = ("table", "header", "footer", "paragraph")
+
+
+def _paragraphs(rows: Column) -> Column:
+    """Paragraph of each line (y, size) of a page; the breaks are those of ``layout.paragraphs``."""
+
+    def breaks(r: Column, k: Column) -> Column:
+        last = F.get(rows, k - 1)
+        gap = r["y"] - (last["y"] + 1.2 * last["size"])
+        return F.when((gap > 1.5 * (r["size"] + last["size"]) / 2) | (F.greatest(r["size"], last["size"]) / F.least(r["size"], last["size"]) > 1.15), 1).otherwise(0)
+
+    # the line before the first is null, so the first starts none
+    return _let(F.transform(rows, breaks), lambda b: F.transform(b, lambda _, k: F.aggregate(F.slice(b, F.lit(1), k + 1), F.lit(0).cast("long"), lambda s, x: s + x)))
 
 
 def page_parts(rects: DataFrame, texts: DataFrame, fields: DataFrame, page_height: float = 792.0) -> DataFrame:
     """(keys, kind, ordinal, part, ref, place): each text and field of a page in exactly one part.
 
     Tables take what they claim; artifacts in the top and bottom 15% of the page go to header and footer; what is left
-    is grouped into lines and paragraphs. All claims on an element are settled by one minimum over their order, so no
-    step waits for an anti join with the step before it. ``ref`` is the table's component or
+    is grouped into lines and paragraphs. A page is one row with its elements and tables, so all steps are array
+    expressions of that row: nothing is computed twice and nothing shuffled but the elements, once. ``ref`` is the table's component or
     the paragraph's number; ``place`` the order of tables and paragraphs by y. texts have ``artifact``.
     """
-    grids = kept(tables(rects))
-    own = lambda df, kind, artifact: df.select(*PAGE, F.lit(kind).alias("kind"), "ordinal", F.struct("x", "y", F.col("height").alias("size")).alias("at"), artifact.alias("artifact"))
+    own = lambda df, kind, artifact: df.select(*PAGE, *layout.BOX, F.lit(kind).alias("kind"), artifact.alias("artifact"))
     elements = own(texts, "text", F.coalesce(F.col("artifact"), F.lit(False))).unionByName(own(fields, "field", F.lit(False)))
-    y = F.col("at.y")
-    by_place = F.when(F.col("artifact") & (y < 0.15 * page_height), 1).when(F.col("artifact") & (y > 0.85 * page_height), 2).otherwise(3)
-    claim = lambda df, rank, ref, at: df.select(*PAGE, "kind", "ordinal", F.struct(rank.alias("rank"), ref.alias("ref")).alias("c"), at.alias("at"))
-    none = F.lit(None).cast("struct<x:double,y:double,size:double>")
-    to_tables = claims(texts, grids).select(*PAGE, F.lit("text").alias("kind"), "ordinal", "component").unionByName(placed(fields, grids).select(*PAGE, F.lit("field").alias("kind"), "ordinal", "component"))
-    all_claims = claim(elements, by_place, F.lit(None).cast("long"), F.col("at")).unionByName(claim(to_tables, F.lit(0), F.col("component"), none))
-    settled = all_claims.groupBy(*PAGE, "kind", "ordinal").agg(F.min("c").alias("c"), F.max("at").alias("at"))
-    settled = settled.select(*PAGE, "kind", "ordinal", F.get(F.array(*[F.lit(p) for p in PARTS]), F.col("c.rank")).alias("part"), F.col("c.ref").alias("ref"), "at.x", "at.y", "at.size")
-    body = settled.where("part = 'body'")
-    # lines and paragraphs of what is left
-    uid = (F.col("ordinal") * 2 + F.when(F.col("kind") == "field", 1).otherwise(0)).alias("ordinal")
-    lines = layout.baseline_lines(body.select(*PAGE, uid, "x", "y")).select(*PAGE, "ordinal", "line", "y")
-    sized = lines.join(body.select(*PAGE, uid, "size"), [*PAGE, "ordinal"])
-    rows = sized.groupBy(*PAGE, "line").agg(F.min("y").alias("y"), F.max("size").alias("font_size")).withColumnRenamed("line", "ordinal")
-    paragraph = layout.paragraphs(rows).select(*PAGE, F.col("ordinal").alias("line"), F.col("paragraph").cast("long").alias("paragraph"))
-    of = lines.join(paragraph, [*PAGE, "line"]).select(*PAGE, F.expr("ordinal div 2").alias("ordinal"), F.when(F.col("ordinal") % 2 == 1, "field").otherwise("text").alias("kind"), "paragraph")
-    full = settled.join(of, [*PAGE, "kind", "ordinal"], "left").withColumn("ref", F.coalesce("paragraph", "ref")).withColumn("part", F.when(F.col("part") == "body", "paragraph").otherwise(F.col("part")))
-    tops = full.where("part = 'paragraph'").groupBy(*PAGE, "part", "ref").agg(F.min("y").alias("top")).unionByName(grids.select(*PAGE, F.lit("table").alias("part"), F.col("component").alias("ref"), _at("rows", F.lit(0)).alias("top")))
-    place = tops.select(*PAGE, "part", "ref", F.row_number().over(Window.partitionBy(*PAGE).orderBy("top", "part", "ref")).cast("long").alias("place"))
-    return full.join(place, [*PAGE, "part", "ref"], "left").select(*PAGE, "kind", "ordinal", "part", "ref", "place")
+    pages = _with_grids(_by_page(elements, "elements", [*layout.BOX, "kind", "artifact"]), tables(rects), "left")
+    of = lambda kind: F.filter("elements", lambda e: e["kind"] == kind)
+    none = F.expr("cast(array() as array<struct<component:bigint,cols:array<double>,rows:array<double>,origins:array<struct<row:int,col:int,row_span:int,col_span:int>>>>)")
+    pages = pages.select(*PAGE, of("text").alias("texts"), of("field").alias("fields"), F.coalesce("grids", none).alias("grids"))
+
+    def part(e: Column, component: Column) -> Column:
+        by_place = F.when(e["artifact"] & (e["y"] < 0.15 * page_height), 1).when(e["artifact"] & (e["y"] > 0.85 * page_height), 2).otherwise(3)
+        rank = F.when(component.isNotNull(), 0).otherwise(by_place)
+        return F.struct(e["kind"].alias("kind"), e["ordinal"].alias("ordinal"), e["y"].alias("y"), e["height"].alias("size"), rank.alias("rank"), component.alias("ref"))
+
+    of_texts = _claims(F.col("texts"), F.col("grids"), lambda taken: F.zip_with("texts", taken, lambda t, c: part(t, c["component"])))
+    of_fields = F.transform("fields", lambda f: part(f, _home(f, F.col("grids"))["component"]))
+    pages = pages.select(*PAGE, "grids", F.concat(of_texts, of_fields).alias("elements"))
+
+    def rows(body: Column, ys: Column, lines: Column) -> Column:
+        def row(k: Column) -> Column:
+            mine = F.filter(ys, lambda _, i: F.get(lines, i) == k)
+            own = lambda y0, y1: F.filter(body, lambda e: (e["y"] >= y0) & (e["y"] <= y1))
+            size = lambda y0, y1: F.array_max(F.transform(own(y0, y1), lambda e: e["size"]))
+            return _let(F.struct(F.array_min(mine).alias("y"), F.array_max(mine).alias("y1")), lambda m: F.struct(m["y"].alias("y"), size(m["y"], m["y1"]).alias("size")))
+
+        return F.transform(F.array_distinct(lines), row)
+
+    def whole(ys: Column, lines: Column, paragraphs: Column) -> Column:
+        """(kind, ordinal, part, ref, place) of the elements, given the lines of the body and their paragraphs."""
+        at = lambda e: F.get(paragraphs, F.get(lines, (F.array_position(ys, e["y"]) - 1).cast("int")))
+        top = lambda y, part, ref: F.struct(y.alias("top"), F.lit(part).alias("part"), ref.alias("ref"))
+        # the first line of a paragraph has its least y
+        starts = F.transform(F.array_distinct(paragraphs), lambda p: top(_at(ys, F.array_position(lines, (F.array_position(paragraphs, p) - 1).cast("int")) - 1), "paragraph", p))
+        order = F.transform(F.array_sort(F.concat(starts, F.transform("grids", lambda g: top(_at(g["rows"], F.lit(0)), "table", g["component"])))), lambda t: F.struct(t["part"].alias("part"), t["ref"].alias("ref")))
+
+        def one(e: Column, places: Column) -> Column:
+            name = F.get(F.array(*[F.lit(p) for p in PARTS]), e["rank"])
+            ref = F.when(e["rank"] == 3, at(e)).otherwise(e["ref"])
+            place = lambda x: F.nullif(F.array_position(places, F.struct(name.alias("part"), x.alias("ref"))), F.lit(0))
+            return _let(ref, lambda x: F.struct(e["kind"].alias("kind"), e["ordinal"].alias("ordinal"), name.alias("part"), x.alias("ref"), place(x).alias("place")))
+
+        return _let(order, lambda places: F.transform("elements", lambda e: one(e, places)))
+
+    body = F.filter("elements", lambda e: e["rank"] == 3)
+    heights = lambda b: F.array_sort(F.array_distinct(F.array_compact(F.transform(b, lambda e: e["y"]))))
+    parts = _let(body, lambda b: _let(heights(b), lambda ys: _let(shapes.anchor_groups(ys, 3.0), lambda lines: _let(_let(rows(b, ys, lines), _paragraphs), lambda ps: whole(ys, lines, ps)))))
+    return pages.select(*PAGE, F.explode(parts).alias("e")).select(*PAGE, "e.kind", "e.ordinal", "e.part", "e.ref", "e.place")

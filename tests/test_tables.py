@@ -74,3 +74,15 @@ def test_cells_with_all_that_they_hold(spark):
     assert (c[1, 0]["x"], c[0, 1]["x"]) == (146.0, 300.0)
     assert c[0, 0]["pad_left"] == 4.0 and c[0, 0]["pad_top"] == 10.0 and c[0, 0]["align"] == "center"
     assert c[1, 1]["align"] == "bottom" and c[0, 1]["align"] is None and c[0, 1]["pad_left"] is None
+
+
+def test_a_page_is_settled_in_one_row(spark, data):
+    """Elements meet the tables once: no window carries a table's arrays, and no part of the plan is computed again."""
+    from folioframe.plans import catalog
+
+    plan = lambda name: catalog.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("j07_cell_fill", "j08_left_labels", "j09_table_bands", "g12_table_cells", "g14_padding", "g34_page_layout"):
+        text = plan(name)
+        # the views number the boxes of a page by a window of their own
+        assert all("l_orderkey" in line for line in text.splitlines() if "Window [" in line), name
+        assert text.count("Join") <= 4 + (3 if name in ("g12_table_cells", "g14_padding") else 0), name
