@@ -90,6 +90,25 @@ def banded(df: DataFrame, low: Column, high: Column | None = None, name: str = "
     return df.withColumn(name, at(low) if high is None else F.explode_outer(F.sequence(at(low), at(high))))
 
 
+def around(left: DataFrame, right: DataFrame, keys: list[str], span: tuple[Column, Column], low: Column, high: Column | None = None, name: str = "near") -> DataFrame:
+    """left with the rows of right on its page whose bands its span of y touches, as an array.
+
+    Both are shuffled once, by page, and meet there as one row: the page's right rows as an array for each
+    band. A left row takes only its bands' arrays along. A right row stands in the band of ``low``, or in each
+    from ``low`` to ``high``, and so can come more than once. Without any the array is empty or null.
+    """
+    rest = lambda df: F.struct(*[c for c in df.columns if c not in keys])
+    r = banded(right.repartition(*keys), low, high, "__band").where("__band is not null")
+    r = r.groupBy(*keys, "__band").agg(F.collect_list(rest(right)).alias("__r"))
+    r = r.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__band", "__r"))).alias("__m"))
+    none = F.array().cast(r.schema["__m"].dataType.valueType)
+    first, last = [F.floor(v / BAND).cast("int") for v in span]
+    l = left.withColumns({"__a": first, "__b": last}).groupBy(*keys).agg(F.collect_list(F.struct(rest(left).alias("own"), F.col("__a").alias("a"), F.col("__b").alias("b"))).alias("__l"))
+    met = lambda x: F.when(x["a"] <= x["b"], F.flatten(F.transform(F.sequence(x["a"], x["b"]), lambda b: F.coalesce(F.try_element_at("__m", b), none))))
+    both = l.join(r, keys, "left").select(*keys, F.explode(F.transform("__l", lambda x: F.struct(x["own"].alias("own"), met(x).alias("near")))).alias("__x"))
+    return both.select(*keys, "__x.own.*", F.col("__x.near").alias(name)).select(*left.columns, name)
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], distance: Column, within: Column, payload: Column, order: Column, name: str) -> DataFrame:
     """left with the payload of its nearest right row (ties: first in order); null where none is within."""
     joined = left.join(right, keys, "left").where(within | F.lit(True))

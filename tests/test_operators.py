@@ -221,3 +221,12 @@ def test_stream_rows_in_parts():
     parts = list(content.lex(Frame(), ["k"])([pa.RecordBatch.from_pydict({"k": [1, 2, 3], "content": [page, None, page]})]))
     assert max(p.num_rows for p in parts) <= 10_000
     assert [(k, o) for p in parts for k, o in zip(p["k"].to_pylist(), p["ordinal"].to_pylist())] == [(k, o) for k in (1, 3) for o in range(36_000)]
+
+
+def test_nearest_colour_shuffles_texts_and_marks_once(spark, data):
+    """Marks aren't repeated over cells, and pages meet without a second join to bring back the texts."""
+    from folioframe.plans import catalog
+
+    plan = catalog.queries()["j04_nearest_color"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    assert "explode(transform(" not in plan.split("Join")[1]
