@@ -1,20 +1,24 @@
 """Search, replacement and blanking in the strings that content streams show.
 
-A stream is cut into tokens, one row each; windows over a page tell the operator that shows
-a string, its array, its line and its font. Strings are decoded and joined by unit (a
-string, a ``TJ`` array, a line); a match in the joined text goes back to the strings it covers by
-their running offsets, and only those are written anew: names, operators, numbers, comments,
+The operator that shows a string, its array, its line and its font follow from what stands before it in the stream, so a page's
+stream is read once, in order, where the page lies: no row for each token, no join, no sort. Strings are decoded and joined by
+unit (a string, a ``TJ`` array, a line); a match in the joined text goes back to the strings it covers by their
+running offsets, and only those are written anew: names, operators, numbers, comments,
 inline images and strings that no operator shows stay as they are, byte for byte.
+``tokens`` and ``shown`` give the same as rows, for those who look at single tokens.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.functions.text import escape_pdf_string, from_utf16_hex, utf16_hex
+from folioframe.functions.text import from_utf16_hex
 
 _IN = r"[^\\()]*+"
 _DEEP = rf"\({_IN}(?:\\.{_IN})*+\)"
@@ -66,19 +70,6 @@ def _from_codes(digits: Column, width: Column, codes: Column) -> Column:
     return F.array_join(F.transform(at, lambda i: F.coalesce(F.try_element_at(codes, F.conv(F.substr(digits, i * width + 1, width), 16, 10).cast("int")), F.lit(""))), "")
 
 
-def _to_codes(text: Column, width: Column, codes: Column) -> Column:
-    """Hex codes of a text; null if a character beyond 8 bits has none."""
-    entries = F.map_entries(codes)
-
-    def one(ch: Column) -> Column:
-        own = F.element_at(F.filter(entries, lambda e: e["value"] == ch), -1)["key"]
-        code = F.coalesce(F.when(F.exists(entries, lambda e: e["value"] == ch), own), F.when(F.ascii(ch) < 256, F.ascii(ch)))
-        return F.lpad(F.hex(code), width, "0")
-
-    parts = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), one)
-    return F.when(~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, ""))
-
-
 def tokens(pages: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """(keys, pos, token, kind, operator, line, array, font): all tokens of the streams; joined they give the stream."""
     t = pages.select(*keys, F.posexplode(F.regexp_extract_all(content, F.lit(TOKEN), F.lit(0))).alias("pos", "token")).withColumn("kind", _kind())
@@ -113,37 +104,225 @@ def shown(toks: DataFrame, keys: list[str], fonts: DataFrame | None = None) -> D
     return s.withColumn("coded", F.coalesce(coded, F.lit(False))).withColumn("utf16", F.coalesce(wide & ~coded, F.lit(False))).withColumn("text", text)
 
 
-def _written(text: Column) -> Column:
-    """A token for a text, of the kind that the row's token has; null if its font can't show it."""
-    literal = F.when(text.rlike(r"[^\x00-\xFF]"), F.concat(F.lit("<FEFF"), utf16_hex(text), F.lit(">"))).otherwise(F.concat(F.lit("("), escape_pdf_string(text), F.lit(")")))
-    return (
-        F.when(F.col("coded"), F.concat(F.lit("<"), _to_codes(text, F.col("width"), F.col("codes")), F.lit(">")))
-        .when(F.col("utf16"), F.concat(F.lit("<FEFF"), utf16_hex(text), F.lit(">")))
-        .when((F.col("kind") == "hex") & ~text.rlike(r"[^\x00-\xFF]"), F.concat(F.lit("<"), F.hex(F.encode(text, "ISO-8859-1")), F.lit(">")))
-        .otherwise(literal)
-    )
-
-
-def _units(strings: DataFrame, keys: list[str], kinds: Column) -> DataFrame:
-    """(keys, way, unit, pos, text, offset, joined): strings by unit of each way to look at them."""
-    rows = strings.select(*keys, "pos", "text", F.explode(kinds).alias("w")).select(*keys, F.col("w.way").alias("way"), F.col("w.unit").alias("unit"), "pos", "text")
-    parts = rows.groupBy(*keys, "way", "unit").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"))
-    return parts.withColumn("joined", F.array_join(F.transform("parts", lambda p: p["text"]), ""))
+# ---- a page's stream, read in order
 
-
-def _spread(units: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each string of the units, with the offset at which its text starts in the joined text."""
-    rows = units.select("*", F.posexplode("parts").alias("i", "part")).drop("parts").select("*", F.col("part.pos").alias("pos"), F.length("part.text").alias("size")).drop("part")
-    before = Window.partitionBy(*keys, "way", "unit").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
-
-
-def _way(way: int, unit: Column, when: Column) -> Column:
-    return F.when(when, F.struct(F.lit(way).alias("way"), unit.cast("long").alias("unit")))
-
-
-def _joined_again(toks: DataFrame, keys: list[str]) -> DataFrame:
-    return toks.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]), "").alias("content"), F.coalesce(F.max("way"), F.lit(0)).alias("way"))
+_GAP = r"(?:\s++|[+-]?[0-9.]++(?=[\s()<>\[\]{}/%]|\Z))"
+#: The same tokens by group: strings and hex strings with the gap after them, gaps (white space and numbers), opaque, names, brackets, marks, operators.
+_SCAN = re.compile(
+    rf"(?s)(?:(\({_IN}(?:(?:\\.|{_INNER}){_IN})*+\))|(<[0-9A-Fa-f\s]*+>)){_GAP}*+|({_GAP}++)|((?<!\S)BI(?=\s).*?\sEI(?!\S)|%[^\r\n]*+)"
+    r"|(/[^\s()<>\[\]{}/%]*+)|(\[)|(\])|(<<|>>)|([^\s()<>\[\]{}/%]++)|(.)",
+    re.A,
+)
+_STRING, _HEX, _SPACE, _OPAQUE, _NAME, _OPEN, _CLOSE, _MARK = range(1, 9)
+_ESCAPE = re.compile(r"(?s)\\([0-7]{1,3})|\\(\r?\n|\r)|\\(.)|\\\Z")
+_LETTERS = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
+
+
+def _plain(m: re.Match) -> str:
+    return chr(int(m[1], 8) % 256) if m[1] else _LETTERS.get(m[3], m[3]) if m[3] else ""
+
+
+def _decoded(token: str, codes: dict | None) -> tuple[str, str, tuple | None]:
+    """(kind, text, (codes, width)) of a string token: literal, hex, utf16, or coded by its font's map."""
+    inner = token[1:-1]
+    if token[0] == "(":
+        return "literal", _ESCAPE.sub(_plain, inner) if "\\" in inner else inner, None
+    digits = "".join(inner.split()).upper()
+    digits += "0" * (len(digits) % 2)
+    if codes is not None:
+        width = 4 if digits and len(digits) % 4 == 0 else 2
+        return "coded", "".join([codes.get(int(digits[i : i + width], 16)) or "" for i in range(0, len(digits), width)]), (codes, width)
+    if digits.startswith("FEFF"):
+        return "utf16", bytes.fromhex(digits[4:]).decode("utf-16-be", "replace"), None
+    return "hex", bytes.fromhex(digits).decode("latin-1"), None
+
+
+def _shown_in(stream: str, fonts: dict) -> list[tuple]:
+    """(start, end, kind, text, array, line, codes) of the strings that an operator of the stream shows, in order."""
+    out, held = [], []
+    line = opened = closed = 0
+    font = named = None
+    for m in _SCAN.finditer(stream):
+        k = m.lastindex
+        if k <= _HEX:
+            start, end = m.span(k)
+            held.append((start, end, m[k], opened if opened > closed else None, line))
+            line += stream.count("\n", end, m.end())
+            continue
+        token = m[0]
+        if k <= _OPAQUE:
+            line += token.count("\n")
+        elif k == _NAME:
+            named = token[1:]
+        elif k == _OPEN:
+            opened += 1
+        elif k == _CLOSE:
+            closed += 1
+        elif k == _MARK:
+            pass
+        elif token in "(<":  # nothing closes it
+            held.append((*m.span(), token, opened if opened > closed else None, line))
+        else:
+            if token in SHOWS:
+                codes = fonts.get(font)
+                for start, end, x, array, at in held:
+                    if x[0] == "(" and "\\" not in x:
+                        out.append((start, end, "literal", x[1:-1], array, at, None))
+                    else:
+                        kind, text, own = _decoded(x, codes)
+                        out.append((start, end, kind, text, array, at, own))
+            elif token == "Tf" and named is not None:
+                font = named
+            held, named = [], None
+    return out
+
+
+def _written(string: tuple, text: str) -> str | None:
+    """A token for a text, of the kind that the string has; null if its font can't show it."""
+    kind, codes = string[2], string[6]
+    if kind == "coded":
+        own = {v: c for c, v in codes[0].items()}
+        made = [own.get(ch, ord(ch) if ord(ch) < 256 else None) for ch in text]
+        if any(c is None or c >= 16 ** codes[1] for c in made):
+            return None
+        return "<" + "".join(f"{c:0{codes[1]}X}" for c in made) + ">"
+    beyond = any(ch > "\xff" for ch in text)
+    if kind == "utf16" or beyond:
+        return "<FEFF" + text.encode("utf-16-be", "replace").hex().upper() + ">"
+    if kind == "hex":
+        return "<" + text.encode("latin-1").hex().upper() + ">"
+    return "(" + text.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)") + ")"
+
+
+def _grouped(strings: list[tuple], place: int) -> list[list[tuple]]:
+    # lines and arrays are counted up, so those of one stand together
+    return [list(unit) for _, unit in groupby(strings, itemgetter(place))]
+
+
+def _units(strings: list[tuple], way: int) -> list[list[tuple]]:
+    """Strings by unit of a way to look at them."""
+    if way in (ARRAY, LOOSE):
+        return _grouped([s for s in strings if s[4] is not None and (way == LOOSE or s[2] != "coded")], 4)
+    if way in (CODES, LINE):
+        return _grouped([s for s in strings if way == LINE or s[2] == "coded"], 5)
+    kind = {EXACT: "literal", EXACT_HEX: "hex", UTF16: "utf16"}[way]
+    # a whole hex string may be UTF-16 too
+    return [[s] for s in strings if s[4] is None and (s[2] == kind or way == EXACT_HEX and s[2] == "utf16")]
+
+
+def _edited(stream: str, edits: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    for start, end, token in sorted(edits):
+        out += [stream[at:start], token]
+        at = end
+    return "".join([*out, stream[at:]])
+
+
+def _replaced(stream: str, fonts: dict, old: str, new: str, loose: re.Pattern) -> tuple[str, int]:
+    """The stream with ``old`` replaced and the way taken."""
+    strings = _shown_in(stream, fonts)
+    for way in range(EXACT, LOOSE + 1):
+        hits = []
+        for unit in _units(strings, way):
+            joined = "".join([s[3] for s in unit])
+            if way in (EXACT, EXACT_HEX):
+                at, n = (0 if joined == old and old else -1), len(old)
+            elif way == LOOSE:
+                m = loose.search(joined)
+                at, n = (m.start(), m.end() - m.start()) if m and m[0] else (-1, 0)
+            else:
+                at, n = (joined.find(old) if old else -1), len(old)
+            if at >= 0:
+                hits.append((unit, at, at + n))
+        if hits:
+            made = [x for h in hits for x in _cut(*h, new, way in (ARRAY, LOOSE))]
+            return _edited(stream, made), way if made else 0
+    return stream, 0
+
+
+def _cut(unit: list[tuple], first: int, last: int, new: str, in_array: bool) -> list[tuple[int, int, str]]:
+    """Edits that put ``new`` in the place of the unit's characters from first to last; none if a font can't show what is left."""
+    cuts, offset = [], 0
+    for s in unit:
+        size = len(s[3])
+        if first < offset + size and last > offset:
+            cuts.append((s, s[3][: max(first - offset, 0)], s[3][min(last - offset, size) :]))
+        offset += size
+    made = []
+    for i, (s, head, tail) in enumerate(cuts):
+        if in_array:
+            made.append([_written(s, x) for x in ([head] if head else []) + ([new] if i == 0 else []) + ([tail] if tail else [])])
+        else:
+            made.append([_written(s, head + (new if i == 0 else "") + tail)])
+    if any(x is None for m in made for x in m):
+        return []
+    if in_array:  # what lies between the pieces goes
+        return [(cuts[0][0][0], cuts[-1][0][1], "".join(" ".join(m) for m in made))]
+    return [(s[0], s[1], m[0]) for (s, _, _), m in zip(cuts, made)]
+
+
+def _blanked(stream: str, fonts: dict, old: str) -> tuple[str, int]:
+    strings = _shown_in(stream, fonts)
+    alone = [[s] for s in strings if s[4] is None and s[2] != "coded"]
+    edits, taken = [], 0
+    for way, units in ((EXACT, alone), (ARRAY, _units(strings, ARRAY)), (CODES, _units(strings, CODES))):
+        for unit in units:
+            joined = "".join([s[3] for s in unit])
+            blank, at = joined.replace(old, " " * len(old)), 0
+            if blank == joined:
+                continue
+            for s in unit:
+                own = blank[at : at + len(s[3])]
+                at += len(s[3])
+                token = _written(s, own) if own != s[3] else None
+                if token is not None:
+                    edits.append((s[0], s[1], token))
+                    taken = way
+    return _edited(stream, edits), taken
+
+
+def _lines(stream: str, fonts: dict) -> list[tuple[int, str, int]]:
+    return [(unit[0][5], "".join([s[3] for s in unit]), len(unit)) for unit in _grouped(_shown_in(stream, fonts), 5)]
+
+
+#: Rows and characters that a task holds in Python before it gives them back.
+PART, CHARS = 8192, 1 << 23
+
+
+def _by_page(pages: DataFrame, keys: list[str], fonts: DataFrame | None, content: str, make, names: list[str], types: list) -> DataFrame:
+    """(keys, names): the rows that ``make`` gives for each page's stream and its fonts' maps."""
+    p = pages.select(*keys, F.col(content).alias("__stream")).where("__stream <> ''")
+    mapped = fonts is not None
+    if mapped:
+        maps = fonts.groupBy(*keys).agg(F.collect_list(F.struct("font", "codes")).alias("__fonts"))
+        p = p.join(maps, keys, "left")
+    kinds = dict(p.dtypes)
+    sql = {pa.string(): "string", pa.int32(): "int", pa.int64(): "long"}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{n} {sql[t]}" for n, t in zip(names, types))])
+
+    def part(own, at, rows):
+        picked = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([*(c.take(picked) for c in own), *(pa.array(list(c), t) for c, t in zip(zip(*rows), types))], names=[*keys, *names])
+
+    def run(batches):
+        for b in batches:
+            own = [b.column(k) for k in keys]
+            streams = b.column("__stream")
+            maps = b.column("__fonts") if mapped else None
+            at, rows, chars = [], [], 0
+            for i, stream in enumerate(streams):
+                by_font = {f["font"]: dict(f["codes"]) for f in maps[i].as_py() or () if f["codes"] is not None} if mapped else {}
+                for r in make(stream.as_py(), by_font):
+                    at.append(i)
+                    rows.append(r)
+                    chars += sum(len(x) for x in r if isinstance(x, str))
+                    if len(rows) == PART or chars > CHARS:
+                        yield part(own, at, rows)
+                        at, rows, chars = [], [], 0
+            if rows:
+                yield part(own, at, rows)
+
+    return p.mapInArrow(run, schema)
 
 
 def replace_text(pages: DataFrame, keys: list[str], old: str, new: str, fonts: DataFrame | None = None, content: str = "content") -> DataFrame:
@@ -154,40 +333,10 @@ def replace_text(pages: DataFrame, keys: list[str], old: str, new: str, fonts: D
     several operators; in each array with any white space for white space. In an array, what
     lies between the matched pieces goes; kerning before and after stays. Elsewhere every
     operator stays, and strings that the match covers whole become empty.
+    ``fonts`` has (keys, font, codes): a map from codes to texts for each font that has one.
     """
-    toks = tokens(pages, keys, content)
-    strings = shown(toks, keys, fonts)
-    alone, coded = F.col("array").isNull(), F.col("coded")
-    same = F.col("text") == old
-    ways = F.array_compact(F.array(
-        _way(EXACT, F.col("pos"), alone & (F.col("kind") == "string") & same), _way(ARRAY, F.col("array"), ~alone & ~coded), _way(EXACT_HEX, F.col("pos"), alone & (F.col("kind") == "hex") & ~coded & same),
-        _way(CODES, F.col("line"), coded), _way(UTF16, F.col("pos"), alone & F.col("utf16")), _way(LINE, F.col("line"), F.lit(True)), _way(LOOSE, F.col("array"), ~alone),
-    ))
-    units = _units(strings, keys, ways)
-    loose = r"\s+".join(re.escape(x) for x in old.split())
-    found = F.when(F.col("way") == LOOSE, F.regexp_extract("joined", f"({loose})", 1)).otherwise(F.lit(old))
-    units = units.withColumn("found", found).withColumn("at", F.when(F.col("found") != "", F.position(F.col("found"), F.col("joined"))).otherwise(0))
-    hits = units.where("at > 0").withColumn("least", F.min("way").over(Window.partitionBy(*keys))).where("way = least")
-    cuts = _spread(hits, keys).withColumn("start", F.col("at") - 1 - F.col("offset")).withColumn("end", F.col("start") + F.length("found"))
-    cuts = cuts.where((F.col("start") < F.col("size")) & (F.col("end") > 0))
-    mine = Window.partitionBy(*keys, "way", "unit")
-    cuts = cuts.select(*keys, "pos", "way", F.greatest("start", F.lit(0)).alias("start"), F.least("end", "size").alias("end"), (F.min("pos").over(mine) == F.col("pos")).alias("leads"), F.min("pos").over(mine).alias("from_pos"), F.max("pos").over(mine).alias("to_pos"))
-    # written anew, string by string
-    s = strings.join(cuts, [*keys, "pos"])
-    head, tail = F.left("text", F.col("start")), F.substr(F.col("text"), F.col("end") + 1)
-    middle = F.when(F.col("leads"), F.lit(new)).otherwise("")
-    in_array = F.col("way").isin(ARRAY, LOOSE)
-    piece = lambda x: F.when(F.length(x) > 0, _written(x))
-    pieces = F.concat_ws(" ", piece(head), F.when(F.col("leads"), _written(F.lit(new))), piece(tail))
-    whole = _written(F.concat(head, middle, tail))
-    s = s.withColumn("renewed", F.when(in_array, pieces).otherwise(whole))
-    # a unit that can't be written stays as it is
-    s = s.withColumn("fails", F.max(F.when(F.col("renewed").isNull(), 1).otherwise(0)).over(Window.partitionBy(*keys, "from_pos", "to_pos"))).where("fails = 0")
-    edits = s.select(*keys, "pos", "way", "renewed", F.when(in_array & F.col("leads"), F.col("to_pos")).alias("until"))
-    t = toks.join(edits, [*keys, "pos"], "left")
-    gone = F.max("until").over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) > F.col("pos")
-    t = t.withColumn("gone", F.coalesce(gone, F.lit(False)) & F.col("renewed").isNull())
-    return _joined_again(t.withColumn("token", F.when(F.col("gone"), "").otherwise(F.coalesce("renewed", "token"))), keys)
+    loose = re.compile(r"\s+".join(re.escape(x) for x in old.split()), re.A)
+    return _by_page(pages, keys, fonts, content, lambda stream, own: [_replaced(stream, own, old, new, loose)], ["content", "way"], [pa.string(), pa.int32()])
 
 
 def blank_text(pages: DataFrame, keys: list[str], old: str, fonts: DataFrame | None = None, content: str = "content") -> DataFrame:
@@ -195,20 +344,9 @@ def blank_text(pages: DataFrame, keys: list[str], old: str, fonts: DataFrame | N
 
     Each string keeps its length and arrays their kerning.
     """
-    toks = tokens(pages, keys, content)
-    strings = shown(toks, keys, fonts)
-    alone, coded = F.col("array").isNull(), F.col("coded")
-    ways = F.array_compact(F.array(_way(EXACT, F.col("pos"), alone & ~coded), _way(ARRAY, F.col("array"), ~alone & ~coded), _way(CODES, F.col("line"), coded)))
-    units = _units(strings, keys, ways).withColumn("blank", F.replace("joined", F.lit(old), F.lit(" " * len(old)))).where("blank <> joined")
-    new = _spread(units, keys).select(*keys, "pos", "way", F.substr(F.col("blank"), F.col("offset").cast("int") + 1, F.col("size")).alias("blank"))
-    s = strings.join(new, [*keys, "pos"]).where("blank <> text")
-    edits = s.select(*keys, "pos", "way", _written(F.col("blank")).alias("renewed"))
-    t = toks.join(edits, [*keys, "pos"], "left")
-    return _joined_again(t.withColumn("token", F.coalesce("renewed", "token")), keys)
+    return _by_page(pages, keys, fonts, content, lambda stream, own: [_blanked(stream, own, old)], ["content", "way"], [pa.string(), pa.int32()])
 
 
 def shown_lines(pages: DataFrame, keys: list[str], fonts: DataFrame | None = None, content: str = "content") -> DataFrame:
     """(keys, line, text, n_strings): what each line of the streams shows."""
-    s = shown(tokens(pages, keys, content), keys, fonts)
-    parts = s.groupBy(*keys, "line").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("p"))
-    return parts.select(*keys, "line", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"), F.size("p").cast("long").alias("n_strings"))
+    return _by_page(pages, keys, fonts, content, _lines, ["line", "text", "n_strings"], [pa.int64(), pa.string(), pa.int64()])
