@@ -109,6 +109,23 @@ def around(left: DataFrame, right: DataFrame, keys: list[str], span: tuple[Colum
     return both.select(*keys, "__x.own.*", F.col("__x.near").alias(name)).select(*left.columns, name)
 
 
+def beside(left: DataFrame, right: DataFrame, keys: list[str], span: tuple[Column, Column], low: Column, high: Column | None = None, name: str = "near") -> DataFrame:
+    """left with the rows of right on its page whose bands its span of y touches, as an array; null or empty without any.
+
+    As ``around``, but left stays as rows: the page's right rows stand in one row by bands, which left rows look up by hash.
+    So left is shuffled once, neither sorted nor grouped again. For pages with few right rows.
+    """
+    rest = F.struct(*[c for c in right.columns if c not in keys])
+    r = banded(right, low, high, "__band").where("__band is not null").repartition(*keys)
+    r = r.groupBy(*keys, "__band").agg(F.collect_list(rest).alias("__r"))
+    r = r.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__band", "__r"))).alias("__m"))
+    none = F.array().cast(r.schema["__m"].dataType.valueType)
+    a, b = [F.floor(v / BAND).cast("int") for v in span]
+    own = lambda i: F.coalesce(F.try_element_at("__m", i), none)
+    met = F.when(a == b, own(a)).when(a < b, F.flatten(F.transform(F.sequence(a, F.greatest(a, b)), own)))
+    return left.join(r.hint("shuffle_hash"), keys, "left").withColumn(name, met).select(*left.columns, name)
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], distance: Column, within: Column, payload: Column, order: Column, name: str) -> DataFrame:
     """left with the payload of its nearest right row (ties: first in order); null where none is within."""
     joined = left.join(right, keys, "left").where(within | F.lit(True))

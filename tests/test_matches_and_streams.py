@@ -136,3 +136,12 @@ def test_reading_order_takes_pages_by_batches(spark, data):
 
     plan = catalog.queries()["g32_reading_order"](spark, data)._jdf.queryExecution().sparkPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan, "a call for each page"
+
+
+@pytest.mark.parametrize("name", ["j18_link_match", "j14_label_cell", "j15_paragraph_background", "j16_nearest_underline", "j23_field_beside_line"])
+def test_matched_elements_are_shuffled_once(spark, data, name):
+    from folioframe.plans import catalog
+
+    plan = catalog.queries()[name](spark, data)._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin") if x in plan]
+    assert joins == ["ShuffledHashJoin"] and "Aggregate" not in plan[: plan.index("ShuffledHashJoin")], "pairs were grouped again"
