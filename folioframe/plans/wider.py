@@ -69,15 +69,17 @@ _RUNS = """runs AS (SELECT doc_id, page_id, ln, run, any_value(bold) AS bold, an
 _ESC = "replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 
 
-def _run_rows(s, d):
-    text = v.g_text(s, d).withColumn("color", F.when(F.col("ordinal") % 12 % 5 == 4, "00ff00").otherwise(F.col("color")))
+def _run_rows(s, d, *by):
+    text = v.g_text(s, d).select(*KEY, "ln", "x", "width", "font_size", "bold", "color", "text")
+    text = (text.repartition(*by) if by else text).withColumn("color", F.when(F.col("ordinal") % 12 % 5 == 4, "00ff00").otherwise(F.col("color")))
     return l.styled_runs(text, [*PAGE, "ln"])
 
 
 @register("k03_runs_xml", f"""SELECT doc_id, string_agg('<w:p>' || p || '</w:p>', '' ORDER BY ln) AS xml FROM (SELECT doc_id, ln, string_agg('<w:r><w:rPr>' || CASE WHEN bold THEN '<w:b/>' ELSE '' END || CASE WHEN color <> '000000' THEN '<w:color w:val="' || color || '"/>' ELSE '' END ||
  '<w:sz w:val="' || floor(font_size * 2 + 0.5)::BIGINT || '"/></w:rPr><w:t xml:space="preserve">' || {_ESC.format(x='text')} || '</w:t></w:r>', '' ORDER BY run) AS p FROM runs GROUP BY doc_id, ln) GROUP BY doc_id""", _RUNS)
 def k03(s, d):
-    return doc.flow_xml(_run_rows(s, d), ["doc_id"], "ln", ["run"])
+    # words are shuffled once, by document: lines, runs, paragraphs and documents are all made where they lie
+    return doc.flow_xml(_run_rows(s, d, "doc_id"), ["doc_id"], "ln", ["run"])
 
 
 @register("k04_positioned_xml", """SELECT doc_id, page_id, string_agg('<wp:anchor x="' || floor(x * 12700 + 0.5)::BIGINT || '" y="' || floor(y * 12700 + 0.5)::BIGINT || '" cx="' || floor(width * 12700 + 0.5)::BIGINT || '" cy="' || floor(height * 12700 + 0.5)::BIGINT || '" relativeHeight="' || z || '">' || body || '</wp:anchor>', '' ORDER BY z, kind, ordinal) AS xml FROM (

@@ -271,3 +271,11 @@ def test_elements_of_saved_pages_are_shuffled_once(spark, data):
     plan = catalog.queries()["k11_saved"](spark, data)._jdf.queryExecution().sparkPlan().toString()
     words = plan[: plan.index("Union")]
     assert words.count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in words and "BroadcastHashJoin" not in words
+
+
+def test_runs_of_a_document_are_shuffled_once(spark, data):
+    from folioframe.plans import catalog
+
+    df = catalog.queries()["k03_runs_xml"](spark, data)
+    assert df.count()
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
