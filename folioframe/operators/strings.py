@@ -5,6 +5,8 @@ stream is read once, in order, where the page lies: no row for each token, no jo
 unit (a string, a ``TJ`` array, a line); a match in the joined text goes back to the strings it covers by their
 running offsets, and only those are written anew: names, operators, numbers, comments,
 inline images and strings that no operator shows stay as they are, byte for byte.
+Plain strings that are shown one after another on a line, or by one array, are read as one run; its text is
+joined as a whole, and it is taken apart only where that text may hold a match.
 ``tokens`` and ``shown`` give the same as rows, for those who look at single tokens.
 """
 
@@ -12,8 +14,9 @@ from __future__ import annotations
 
 import re
 from itertools import groupby
-from operator import itemgetter
+from operator import attrgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,14 +109,25 @@ def shown(toks: DataFrame, keys: list[str], fonts: DataFrame | None = None) -> D
 
 # ---- a page's stream, read in order
 
-_GAP = r"(?:\s++|[+-]?[0-9.]++(?=[\s()<>\[\]{}/%]|\Z))"
-#: The same tokens by group: strings and hex strings with the gap after them, gaps (white space and numbers), opaque, names, brackets, marks, operators.
+_ENDS = r"(?=[\s()<>\[\]{}/%]|\Z)"
+_NUMBER = rf"[+-]?[0-9.]++{_ENDS}"
+_GAP = rf"(?:\s++|{_NUMBER})"
+#: Strings without escapes and parentheses, gaps without a line's end, and what shows strings.
+_PLAIN = r"(?:\([^\\()]*+\)|<[0-9A-Fa-f]*+>)"
+_BLANK = r"[ \t\r\f\v]*+"
+_ASIDE = rf"{_BLANK}(?:{_NUMBER}{_BLANK})?+"
+_MORE = rf"(?:{_BLANK}{_NUMBER})*+{_BLANK}"
+_SHOW = rf"(?:T[jJ]|['\"]){_ENDS}"
+#: The same tokens by group: runs of plain strings that are shown (by an array, by an operator each), strings and hex strings
+#: with the gap after them, gaps (white space and numbers), opaque, names, brackets, marks, operators; names and operators with the gap on their line.
 _SCAN = re.compile(
-    rf"(?s)(?:(\({_IN}(?:(?:\\.|{_INNER}){_IN})*+\))|(<[0-9A-Fa-f\s]*+>)){_GAP}*+|({_GAP}++)|((?<!\S)BI(?=\s).*?\sEI(?!\S)|%[^\r\n]*+)"
-    r"|(/[^\s()<>\[\]{}/%]*+)|(\[)|(\])|(<<|>>)|([^\s()<>\[\]{}/%]++)|(.)",
+    rf"(?s)(\[{_ASIDE}(?:{_PLAIN}{_ASIDE})++\]{_ASIDE}{_SHOW})|((?:{_PLAIN}{_BLANK}{_SHOW}{_BLANK})++)"
+    rf"|(?:(\({_IN}(?:(?:\\.|{_INNER}){_IN})*+\))|(<[0-9A-Fa-f\s]*+>)){_GAP}*+|({_GAP}++)|((?<!\S)BI(?=\s).*?\sEI(?!\S)|%[^\r\n]*+)"
+    rf"|(/[^\s()<>\[\]{{}}/%]*+){_MORE}|(\[)|(\])|(<<|>>)|([^\s()<>\[\]{{}}/%]++){_MORE}|(.)",
     re.A,
 )
-_STRING, _HEX, _SPACE, _OPAQUE, _NAME, _OPEN, _CLOSE, _MARK = range(1, 9)
+_ARRAY_RUN, _RUN, _STRING, _HEX, _SPACE, _OPAQUE, _NAME, _OPEN, _CLOSE, _MARK = range(1, 11)
+_PIECE = re.compile(r"\(([^()]*+)\)|<([0-9A-Fa-f]*+)>")
 _ESCAPE = re.compile(r"(?s)\\([0-7]{1,3})|\\(\r?\n|\r)|\\(.)|\\\Z")
 _LETTERS = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
 
@@ -137,19 +151,102 @@ def _decoded(token: str, codes: dict | None) -> tuple[str, str, tuple | None]:
     return "hex", bytes.fromhex(digits).decode("latin-1"), None
 
 
-def _shown_in(stream: str, fonts: dict) -> list[tuple]:
-    """(start, end, kind, text, array, line, codes) of the strings that an operator of the stream shows, in order."""
+class _Run:
+    """Strings that stand together in an array or on a line: plain ones as they are in the stream, or (``own``) each for itself."""
+
+    __slots__ = ("start", "chunk", "array", "line", "own", "text", "n")
+
+    def __init__(self, start: int, chunk: str, array: int | None, line: int, own: tuple | None = None):
+        self.start, self.chunk, self.array, self.line, self.own = start, chunk, array, line, own
+        self.text, self.n = (own[3], 1) if own else (None, 0)
+
+    @property
+    def strings(self) -> list[tuple]:
+        if self.own:
+            return [self.own]
+        out = []
+        for m in _PIECE.finditer(self.chunk):
+            kind, text, _ = ("literal", m[1], None) if m[1] is not None else _decoded(m[0], None)
+            out.append((self.start + m.start(), self.start + m.end(), kind, text, self.array, self.line, None))
+        return out
+
+
+_DIGITS = np.zeros(256, np.uint16)
+_DIGITS[[ord(x) for x in "0123456789ABCDEFabcdef"]] = [int(x, 16) for x in "0123456789ABCDEFabcdef"]
+
+
+def _read(runs: list[_Run]) -> None:
+    """Texts and numbers of strings of plain runs, all at once by the places of their brackets."""
+    plain = [r for r in runs if r.text is None and r.chunk.isascii()]
+    if plain:
+        ends = np.cumsum([len(r.chunk) for r in plain])
+        a = np.frombuffer("".join([r.chunk for r in plain]).encode("ascii"), np.uint8)
+        opens = a == 40
+        literal = (opens.view(np.int8) - (a == 41).view(np.int8)).cumsum(dtype=np.int8).view(bool)  # what stands within, with what opens it
+        start, end = np.flatnonzero((a == 60) > literal), np.flatnonzero((a == 62) > literal)
+        literal[opens] = False
+        size = end - start - 1
+        digit = lambda at, i: _DIGITS[a[np.minimum(at + i, len(a) - 1)]]
+        head = start[size >= 4]
+        wide = np.isin(start, head[(digit(head, 1) == 15) & (digit(head, 2) == 14) & (digit(head, 3) == 15) & (digit(head, 4) == 15)])
+        bad = np.where(wide, size % 4, size % 2) != 0
+        skip, step = np.where(wide, 4, 0), np.where(wide, 4, 2)
+        chars = (size - skip) // step
+        at = np.repeat(start + 1 + skip - step * (np.cumsum(chars) - chars), chars) + np.repeat(step, chars) * np.arange(chars.sum())  # first digits of characters
+        value, by = a.astype("<u2"), np.repeat(wide, chars)
+        code = digit(at, 0) * 16 + digit(at, 1)
+        value[at] = np.where(by, code * 256 + digit(at, 2) * 16 + digit(at, 3), code)
+        literal[at] = True  # what gives a character
+        halves = at[by & (value[at] >= 0xD800) & (value[at] < 0xE000)]
+        odd = {*np.searchsorted(ends, np.concatenate([start[bad], halves]), "right").tolist()}  # those are read one by one
+        shown = np.flatnonzero(literal)
+        upto = (2 * np.searchsorted(shown, ends)).tolist()
+        counts = np.diff(np.searchsorted(np.flatnonzero(opens), ends) + np.searchsorted(start, ends), prepend=0).tolist()
+        shown, upto = value[shown].tobytes(), [0, *upto]
+        for i, r in enumerate(plain):
+            if i not in odd:
+                r.text, r.n = shown[upto[i] : upto[i + 1]].decode("utf-16-le"), counts[i]
+    for r in runs:
+        if r.text is None:
+            own = r.strings
+            r.text, r.n = "".join([s[3] for s in own]), len(own)
+
+
+def _runs_in(stream: str, fonts: dict) -> list[_Run]:
+    """The strings that an operator of the stream shows, in order, by runs."""
     out, held = [], []
     line = opened = closed = 0
     font = named = None
+
+    def show(codes):
+        for start, end, x, array, at in held:
+            kind, text, own = _decoded(x, codes)
+            out.append(_Run(start, x, array, at, (start, end, kind, text, array, at, own)))
+
     for m in _SCAN.finditer(stream):
         k = m.lastindex
+        if k <= _RUN:
+            codes, chunk = fonts.get(font), m[k]
+            show(codes)
+            opened += k == _ARRAY_RUN
+            array = opened if opened > closed else None
+            if codes is None:
+                run = _Run(m.start(), chunk, array, line)
+                if k == _RUN and chunk[0] == "(" and chunk.rfind("(") == 0 and chunk.rfind("<") < (end := chunk.index(")")):
+                    run.text, run.n = chunk[1:end], 1
+                out.append(run)
+            else:
+                held = [(m.start() + p.start(), m.start() + p.end(), p[0], array, line) for p in _PIECE.finditer(chunk)]
+                show(codes)
+            closed += k == _ARRAY_RUN
+            held, named = [], None
+            continue
         if k <= _HEX:
             start, end = m.span(k)
             held.append((start, end, m[k], opened if opened > closed else None, line))
             line += stream.count("\n", end, m.end())
             continue
-        token = m[0]
+        token = m[k]
         if k <= _OPAQUE:
             line += token.count("\n")
         elif k == _NAME:
@@ -164,19 +261,19 @@ def _shown_in(stream: str, fonts: dict) -> list[tuple]:
             held.append((*m.span(), token, opened if opened > closed else None, line))
         else:
             if token in SHOWS:
-                codes = fonts.get(font)
-                for start, end, x, array, at in held:
-                    if x[0] == "(" and "\\" not in x:
-                        out.append((start, end, "literal", x[1:-1], array, at, None))
-                    else:
-                        kind, text, own = _decoded(x, codes)
-                        out.append((start, end, kind, text, array, at, own))
+                show(fonts.get(font))
             elif token == "Tf" and named is not None:
                 font = named
             held, named = [], None
+    _read(out)
     return out
 
 
+def _shown_in(stream: str, fonts: dict) -> list[tuple]:
+    """(start, end, kind, text, array, line, codes) of the strings that an operator of the stream shows, in order."""
+    return [s for run in _runs_in(stream, fonts) for s in run.strings]
+
+
 def _written(string: tuple, text: str) -> str | None:
     """A token for a text, of the kind that the string has; null if its font can't show it."""
     kind, codes = string[2], string[6]
@@ -194,20 +291,23 @@ def _written(string: tuple, text: str) -> str | None:
     return "(" + text.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)") + ")"
 
 
-def _grouped(strings: list[tuple], place: int) -> list[list[tuple]]:
+def _grouped(runs: list[_Run], place: str) -> list[list[_Run]]:
     # lines and arrays are counted up, so those of one stand together
-    return [list(unit) for _, unit in groupby(strings, itemgetter(place))]
+    return [list(unit) for _, unit in groupby(runs, attrgetter(place))]
 
 
-def _units(strings: list[tuple], way: int) -> list[list[tuple]]:
-    """Strings by unit of a way to look at them."""
-    if way in (ARRAY, LOOSE):
-        return _grouped([s for s in strings if s[4] is not None and (way == LOOSE or s[2] != "coded")], 4)
-    if way in (CODES, LINE):
-        return _grouped([s for s in strings if way == LINE or s[2] == "coded"], 5)
+def _units(runs: list[_Run], way: int, may) -> list[list[tuple]]:
+    """Strings by unit of a way to look at them; plain ones only of units whose text ``may`` hold a match."""
+    if way == CODES:  # plain runs have none
+        runs = [r for r in runs if r.own and r.own[2] == "coded"]
+        return [[r.own for r in unit] for unit in _grouped(runs, "line")]
+    if way in (ARRAY, LINE, LOOSE):
+        units = _grouped(runs, "line") if way == LINE else _grouped([r for r in runs if r.array is not None and (way == LOOSE or not r.own or r.own[2] != "coded")], "array")
+        return [[s for r in unit for s in r.strings] for unit in units if may("".join([r.text for r in unit]))]
     kind = {EXACT: "literal", EXACT_HEX: "hex", UTF16: "utf16"}[way]
+    strings = [s for r in runs if r.array is None and may(r.text) for s in r.strings]
     # a whole hex string may be UTF-16 too
-    return [[s] for s in strings if s[4] is None and (s[2] == kind or way == EXACT_HEX and s[2] == "utf16")]
+    return [[s] for s in strings if s[2] == kind or way == EXACT_HEX and s[2] == "utf16"]
 
 
 def _edited(stream: str, edits: list[tuple[int, int, str]]) -> str:
@@ -220,10 +320,10 @@ def _edited(stream: str, edits: list[tuple[int, int, str]]) -> str:
 
 def _replaced(stream: str, fonts: dict, old: str, new: str, loose: re.Pattern) -> tuple[str, int]:
     """The stream with ``old`` replaced and the way taken."""
-    strings = _shown_in(stream, fonts)
+    runs = _runs_in(stream, fonts)
     for way in range(EXACT, LOOSE + 1):
         hits = []
-        for unit in _units(strings, way):
+        for unit in _units(runs, way, loose.search if way == LOOSE else lambda text: old in text):
             joined = "".join([s[3] for s in unit])
             if way in (EXACT, EXACT_HEX):
                 at, n = (0 if joined == old and old else -1), len(old)
@@ -262,10 +362,10 @@ def _cut(unit: list[tuple], first: int, last: int, new: str, in_array: bool) ->
 
 
 def _blanked(stream: str, fonts: dict, old: str) -> tuple[str, int]:
-    strings = _shown_in(stream, fonts)
-    alone = [[s] for s in strings if s[4] is None and s[2] != "coded"]
+    runs, may = _runs_in(stream, fonts), lambda text: old in text
+    alone = [[s] for r in runs if r.array is None and may(r.text) for s in r.strings if s[2] != "coded"]
     edits, taken = [], 0
-    for way, units in ((EXACT, alone), (ARRAY, _units(strings, ARRAY)), (CODES, _units(strings, CODES))):
+    for way, units in ((EXACT, alone), (ARRAY, _units(runs, ARRAY, may)), (CODES, _units(runs, CODES, may))):
         for unit in units:
             joined = "".join([s[3] for s in unit])
             blank, at = joined.replace(old, " " * len(old)), 0
@@ -282,7 +382,7 @@ def _blanked(stream: str, fonts: dict, old: str) -> tuple[str, int]:
 
 
 def _lines(stream: str, fonts: dict) -> list[tuple[int, str, int]]:
-    return [(unit[0][5], "".join([s[3] for s in unit]), len(unit)) for unit in _grouped(_shown_in(stream, fonts), 5)]
+    return [(unit[0].line, "".join([r.text for r in unit]), sum(r.n for r in unit)) for unit in _grouped(_runs_in(stream, fonts), "line")]
 
 
 #: Rows and characters that a task holds in Python before it gives them back.
@@ -291,7 +391,7 @@ PART, CHARS = 8192, 1 << 23
 
 def _by_page(pages: DataFrame, keys: list[str], fonts: DataFrame | None, content: str, make, names: list[str], types: list) -> DataFrame:
     """(keys, names): the rows that ``make`` gives for each page's stream and its fonts' maps."""
-    p = pages.select(*keys, F.col(content).alias("__stream")).where("__stream <> ''")
+    p = pages.select(*keys, F.col(content).alias("__stream"))  # no filter here: it would make a computed stream twice
     mapped = fonts is not None
     if mapped:
         maps = fonts.groupBy(*keys).agg(F.collect_list(F.struct("font", "codes")).alias("__fonts"))
@@ -310,9 +410,11 @@ def _by_page(pages: DataFrame, keys: list[str], fonts: DataFrame | None, content
             streams = b.column("__stream")
             maps = b.column("__fonts") if mapped else None
             at, rows, chars = [], [], 0
-            for i, stream in enumerate(streams):
+            for i, stream in enumerate(streams.to_pylist()):
+                if not stream:
+                    continue
                 by_font = {f["font"]: dict(f["codes"]) for f in maps[i].as_py() or () if f["codes"] is not None} if mapped else {}
-                for r in make(stream.as_py(), by_font):
+                for r in make(stream, by_font):
                     at.append(i)
                     rows.append(r)
                     chars += sum(len(x) for x in r if isinstance(x, str))

@@ -37,6 +37,15 @@ def g_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def g_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their visual lines as an array (ordinal, ln, text). Documents are shuffled, once, before their text is taken apart."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null").repartition("doc_id").select("doc_id", _visual_lines(F.col("text")).alias("v"))
+    d = d.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / 40).cast("int")), lambda i: F.slice("v", i * 40 + 1, F.lit(40)))).alias("page_id", "v"))
+    line = lambda text, i: F.struct(i.cast("long").alias("ordinal"), (F.col("page_id") * 40 + i).cast("long").alias("ln"), text.alias("text"))
+    d = d.select("doc_id", F.col("page_id").cast("long").alias("page_id"), F.transform("v", line).alias("lines"))
+    return d.groupBy("doc_id", "page_id").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines"))
+
+
 def g_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of visual lines, without blanks. No shuffle: a word's place follows from the line before it."""
     line = g_line(spark, sf_dir).withColumnRenamed("text", "line").withColumnRenamed("ordinal", "k")
