@@ -132,8 +132,7 @@ _WAYS_SQL = _CUT_SQL + """, piece AS (SELECT *, list_transform(range((length(tex
  WHEN 3 THEN array_to_string(list_transform(ps, lambda x: CASE WHEN x.p = 'that' THEN 'those there' ELSE x.p END), '') WHEN 5 THEN array_to_string(list_transform(ps, lambda x: CASE WHEN x.wide THEN regexp_replace(x.p, 'that', 'those there') ELSE x.p END), '') ELSE text END AS text, len(ps) AS n_strings FROM way""", _WAYS_SQL)
 def x05o(s, d):
     # each piece has its own operator
-    parts = F.array_join(F.transform("cut", lambda x: F.concat(_token(x["p"], x["i"] % 3 == 2), F.lit(" Tj"))), " ")
-    return _split(st.replace_text(_page_streams(_pieces(s, d), parts), PAGE, "that", "those there"), s, d)
+    return _placed(st.replace_text(_cut_pages(s, d, lambda i: [F.lit(" Tj")], lambda x: x), [*PAGE, "places"], "that", "those there"))
 
 
 @register("x06_blank_split", "SELECT doc_id, page_id, ordinal, replace(text, 'that', '    ') AS text, (length(text) + k - 1) // k AS n_strings FROM cut", _CUT_SQL)
