@@ -89,13 +89,6 @@ def _placed(out: DataFrame) -> DataFrame:
     return lines.select(*PAGE, F.get("places", F.col("line").cast("int")).alias("ordinal"), "text", "n_strings").where("ordinal is not null")
 
 
-def _pieces(s, d) -> DataFrame:
-    """Lines cut into pieces of one to five characters."""
-    lines = v.g_line(s, d).where("text <> ''").withColumn("k", ((F.col("doc_id") + F.col("ln")) % 5 + 1).cast("int"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / F.col("k")).cast("int")), lambda i: F.struct(i.alias("i"), F.substr(F.col("text"), i * F.col("k") + 1, F.col("k")).alias("p")))
-    return lines.withColumn("cut", cut)
-
-
 def _lines_of(streams: DataFrame) -> DataFrame:
     return st.shown_lines(streams, PAGE).select(*PAGE, F.col("line").cast("long").alias("ordinal"), "text", "n_strings")
 
@@ -137,9 +130,7 @@ def x05o(s, d):
 
 @register("x06_blank_split", "SELECT doc_id, page_id, ordinal, replace(text, 'that', '    ') AS text, (length(text) + k - 1) // k AS n_strings FROM cut", _CUT_SQL)
 def x06s(s, d):
-    parts = F.array_join(F.transform("cut", lambda x: F.concat(_token(x["p"], x["i"] % 3 == 2), F.lit(" -"), x["i"].cast("string"))), " ")
-    out = st.blank_text(_page_streams(_pieces(s, d), F.concat(F.lit("["), parts, F.lit("] TJ"))), PAGE, "that")
-    return _split(out, s, d)
+    return _placed(st.blank_text(_arrays(s, d), [*PAGE, "places"], "that"))
 
 
 def _split(out: DataFrame, s, d, fonts: DataFrame | None = None) -> DataFrame:

@@ -165,13 +165,13 @@ def test_plain_strings_are_read_as_one_run():
 def test_cut_pages_are_shuffled_once_and_made_once(spark, data):
     from folioframe.plans import catalog
 
-    for name in ("x05_split_arrays", "x05_split_operators",):
+    for name in ("x05_split_arrays", "x05_split_operators", "x06_blank_split",):
         plan = catalog.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
         assert not any(x in plan for x in ("Join", "Window")) and plan.count("RepartitionByExpression") == 1, plan
         assert plan.count("1 0 0 1 72") == 1, "streams are made twice"
 
 
-@pytest.mark.parametrize("name", ["x05_split_arrays", "x05_split_operators"])
+@pytest.mark.parametrize("name", ["x05_split_arrays", "x05_split_operators", "x06_blank_split"])
 def test_pages_of_equal_documents_are_one_page(spark, tmp_path, name):
     from folioframe.plans import catalog
 
