@@ -20,7 +20,9 @@ while they stay within ``FILTER_MOST`` bytes and ``WORDS_MOST`` words, which is
 merged statistics before anything is sent. Beyond that, only n-grams of at least some level are sent
 (frequent ones: as many as fit the bound; their first level is stored with ``FIRM`` times the probes, so
 that a rare one passes for them once in 16 million), and the rest, which are rare and so have
-no hot key, are looked up by a shuffle of each text's distinct rare n-grams to the segments' own filters.
+no hot key, are looked up by a shuffle. Texts are dealt into buckets by a hash, of about ``ASK_BYTES`` each; a bucket sends its distinct rare
+n-grams, sorted, to ranges of ``SHARE`` segments, whose own filters answer with a level for each in the same order.
+The bucket finds the same n-grams again when it is scored, so the answer needs no keys.
 
 Words are told apart by 64-bit hashes: in a million million pairs of words one pair in 18 million
 would share one.
@@ -56,6 +58,9 @@ MU = 100.0
 PIECE_BYTES = 8 << 20
 SCORE_BYTES = 1 << 20
 SEGMENT_BYTES = 1 << 20
+#: Bytes of text of a bucket whose rare n-grams are looked up at once, and segments that answer together.
+ASK_BYTES = 4 << 20
+SHARE = 16
 #: Bounds of what is broadcast.
 FILTER_MOST = 192 << 20
 WORDS_MOST = 8_000_000
@@ -261,8 +266,9 @@ class Filter:
         self.start = np.cumsum([0, *(len(b) for _, b in chunks)])[:-1]
         self.data = np.frombuffer(b"".join(b for _, b in chunks), np.uint8)
 
-    def levels(self, hashes: np.ndarray) -> np.ndarray:
-        at = segment_of(hashes, self.ranges).astype(np.int64)
+    def levels(self, hashes: np.ndarray, ranges: int | None = None, first: int = 0) -> np.ndarray:
+        """Levels of n-grams; ranges and first: of how many ranges this one has some, and from which on."""
+        at = segment_of(hashes, ranges or self.ranges).astype(np.int64) - first
         return found_levels(hashes, self.bits[at], self.start[at], self.data, self.least)
 
 
@@ -358,45 +364,55 @@ def learn(docs: DataFrame, text: str = "text", segment_bytes: int = SEGMENT_BYTE
     return Model(segments, n[0], n[1], n[2], parts, n[3 : LEVELS + 4], n[LEVELS + 4 :])
 
 
-def _answers(docs: DataFrame, model: Model, sent) -> DataFrame:
-    """(k1, k2, found): levels and counts of each text's rare n-grams, from the segments' own filters."""
-    segments = model.segments
+def _rare(p: Piece, known: Known) -> np.ndarray:
+    """The n-grams that the broadcast filter lacks, sorted: the same for the same texts in any order."""
+    pairs = np.unique(p.pair)
+    return np.unique(np.concatenate([p.word[known.word_counts(p.word) == 0], pairs[known.filter.levels(pairs) == 0]]))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        for b in batches:
-            for k1, k2, text in zip(*(x.to_pylist() for x in b.columns)):
-                p = Piece([text])
-                h = np.unique(np.concatenate([p.word[known.word_counts(p.word) == 0], p.pair[known.filter.levels(p.pair) == 0]]))
-                seg = segment_of(h, segments)
-                cuts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])).tolist() if len(h) else []
-                out = [(int(seg[a]), k1, k2, h[a:e].tobytes()) for a, e in zip(cuts, [*cuts[1:], len(h)])]
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out) if out else [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["segment", "k1", "k2", "words"])
+
+def _answers(texts: DataFrame, model: Model, sent, share: int = SHARE) -> DataFrame:
+    """(bucket, part, levels, places, counts) of a bucket's rare n-grams, from the segments' own filters.
+
+    ``part`` is a range of the hash, so in their order the levels are those of the bucket's ``_rare``; counts stand for the words at ``places`` of their part.
+    """
+    segments, share = model.segments, min(share, model.segments)
+    rows = lambda out, names, types: pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out) if out else [()] * len(names), types)], names=names)
+
+    def ask(table: pa.Table) -> pa.Table:
+        h = _rare(Piece(table["text"].to_pylist()), sent.value)
+        part = segment_of(h, segments // share)
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if len(h) else []
+        bucket = table["bucket"][0].as_py()
+        out = [(int(part[a]), bucket, h[a:e].tobytes()) for a, e in zip(cuts, [*cuts[1:], len(h)])]
+        return pa.Table.from_batches([rows(out, ["part", "bucket", "words"], (pa.int32(), pa.int64(), pa.binary()))])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, m, w, n = None, None, 64, None, None
+        at, held, filters, w, n = None, [], None, None, None
         for b in batches:
-            out = []
-            for segment, kind, k1, k2, asked, counts, pairs, levels in zip(*(x.to_pylist() for x in b.columns)):
+            out, size = [], 0
+            for part, kind, segment, bucket, asked, counts, pairs, levels in zip(*(x.to_pylist() for x in b.columns)):
+                if part != at:
+                    at, held, filters = part, [], None
                 if not kind:
-                    w, n = np.frombuffer(asked, np.uint64), np.frombuffer(counts, np.int64)
-                    m, bits = fill(np.concatenate([w, np.frombuffer(pairs, np.uint64)]), np.concatenate([level(n), np.frombuffer(levels, np.uint8)]))
-                    at, own = segment, np.frombuffer(bits, np.uint8)
+                    held.append((segment, *(np.frombuffer(x, t) for x, t in zip((asked, counts, pairs, levels), (np.uint64, np.int64, np.uint64, np.uint8)))))
                     continue
+                if filters is None:  # segments without a row learned nothing: blank
+                    w, n = (np.concatenate([x[i] for x in held] or [np.zeros(0, t)]) for i, t in ((1, np.uint64), (2, np.int64)))
+                    filters = Filter(share, [(s - part * share, *fill(np.concatenate([own, pr]), np.concatenate([level(c), lv]))) for s, own, c, pr, lv in held])
+                    held = []
                 h = np.frombuffer(asked, np.uint64)
-                mine = segment == at  # else nothing was learned in this range
-                q = found_levels(h, np.full(len(h), m, np.uint64), np.zeros(len(h), np.int64), own, 1) if mine else np.zeros(len(h), np.uint8)
-                c = _look(w, n, h) if mine else np.zeros(len(h), np.int64)
-                out.append((k1, k2, h.tobytes(), q.tobytes(), c.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["k1", "k2", "h", "q", "c"])
+                c = _look(w, n, h)
+                place = np.flatnonzero(c)
+                q = filters.levels(h, segments, part * share).tobytes()
+                out.append((bucket, part, q, place.astype(np.int32).tobytes(), c[place].tobytes()))
+            yield rows(out, ["bucket", "part", "levels", "places", "counts"], (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))
 
     null = F.lit(None).cast("binary")
-    asked = docs.select("k1", "k2", "text").mapInArrow(tidied(ask), "segment int, k1 long, k2 long, words binary").dropDuplicates(["segment", "k1", "k2"])
-    asked = asked.select("segment", F.lit(1).alias("kind"), "k1", "k2", "words", null.alias("word_counts"), null.alias("pairs"), null.alias("levels"))
-    own = model.parts.select("segment", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), "words", "word_counts", "pairs", "levels")
-    both = own.unionByName(asked).repartition("segment").sortWithinPartitions("segment", "kind")
-    told = both.mapInArrow(tidied(tell), "k1 long, k2 long, h binary, q binary, c binary")
-    return told.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "q", "c")).alias("found"))
+    asked = texts.groupBy("bucket").applyInArrow(ask, "part int, bucket long, words binary")
+    asked = asked.select("part", F.lit(1).alias("kind"), F.lit(0).alias("segment"), "bucket", "words", null.alias("word_counts"), null.alias("pairs"), null.alias("levels"))
+    own = model.parts.select(F.expr(f"segment div {share}").cast("int").alias("part"), F.lit(0).alias("kind"), "segment", F.lit(0).cast("long").alias("bucket"), "words", "word_counts", "pairs", "levels")
+    both = own.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind", "segment")
+    return both.mapInArrow(tidied(tell), "bucket long, part int, levels binary, places binary, counts binary")
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", filter_most: int = FILTER_MOST, words_most: int = WORDS_MOST) -> DataFrame:
@@ -405,39 +421,49 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     sent = docs.sparkSession.sparkContext.broadcast(model.known(least))
     total, distinct, once = model.tokens, model.distinct, model.once
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    if least > 1:
-        rows = rows.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64("text", F.lit(2), "doc_id"))
-        rows = rows.join(_answers(rows, model, sent), ["k1", "k2"], "left").select("doc_id", "found", "text")
+    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
-    def work(part: list) -> list[tuple]:
+    def work(part: list, answers: pa.Table | None = None) -> list[tuple]:
         known: Known = sent.value
         p = Piece([r[-1] for r in part])
         exact = known.word_counts(p.word)
         once_each, back = np.unique(p.pair, return_inverse=True)
-        one, two = known.filter.levels(p.word), known.filter.levels(once_each)[back]
-        if least > 1:
-            flat = [x for r in part for x in r[1] or ()]
-            h = np.concatenate([np.frombuffer(x["h"], np.uint64) for x in flat] or [np.zeros(0, np.uint64)])
-            h, at = np.unique(h, return_index=True)
-            q = np.concatenate([np.frombuffer(x["q"], np.uint8) for x in flat] or [np.zeros(0, np.uint8)])[at]
-            c = np.concatenate([np.frombuffer(x["c"], np.int64) for x in flat] or [np.zeros(0, np.int64)])[at]
+        one, two = known.filter.levels(p.word), known.filter.levels(once_each)
+        if answers is not None:
+            h = _rare(p, known)
+            q, c, at = np.zeros(len(h), np.uint8), np.zeros(len(h), np.int64), 0
+            for levels, places, counts in zip(*(answers.sort_by("part")[x].to_pylist() for x in ("levels", "places", "counts"))):
+                q[at : at + len(levels)] = np.frombuffer(levels, np.uint8)
+                c[at + np.frombuffer(places, np.int32)] = np.frombuffer(counts, np.int64)
+                at += len(levels)
+            assert at == len(h), "a bucket's texts have changed"
             one = np.where(exact > 0, one, _look(h, q, p.word))
             exact = np.where(exact > 0, exact, _look(h, c, p.word))
-            two = np.where(two > 0, two, _look(h, q, p.pair))
+            two = np.where(two > 0, two, _look(h, q, once_each))
         c1 = MEAN[one]
-        c2 = np.minimum(MEAN[two], np.minimum(c1[p.token], c1[p.before]))
+        c2 = np.minimum(MEAN[two][back], np.minimum(c1[p.token], c1[p.before]))
         p1 = (c1 + once / (distinct + 1)) / (total + once) if total else np.ones(len(c1))
         log = np.log10((c2 + MU * p1[p.token]) / (c1[p.before] + MU))
         base = np.log10((exact + 1) / (total + distinct + 1))[p.token]
         sums = [np.add.reduceat(x, p.first) for x in (base, log, (exact > 0)[p.token].astype(np.int64))]
         return [(r[0], int(n), int(k), float(b), float(s)) for r, n, b, s, k in zip(part, p.sizes, *sums)]
 
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 5, types)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(_rows(batches), SCORE_BYTES):
-            cols = zip(*work(part))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            yield made(work(part))
+
+    def both(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([made(work(list(zip(texts["doc_id"].to_pylist(), texts["text"].to_pylist())), answers) if len(texts) else [])])
 
-    return rows.mapInArrow(tidied(run), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    if least == 1:
+        return rows.mapInArrow(tidied(run), schema)
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    texts = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // ASK_BYTES)))))
+    return texts.groupBy("bucket").cogroup(_answers(texts, model, sent).groupBy("bucket")).applyInArrow(both, schema)
 
 
 def digest(docs: DataFrame, filter_most: int = FILTER_MOST, words_most: int = WORDS_MOST) -> DataFrame:

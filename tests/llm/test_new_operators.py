@@ -189,6 +189,25 @@ def test_rare_ngrams_by_shuffle_give_the_same(docs, monkeypatch):
     assert sum(abs(a["score"] - b["score"]) < 1e-6 * a["n_tokens"] for a, b in zip(whole, slim)) > 0.3 * len(whole)
 
 
+def test_rare_ngrams_are_looked_up_by_buckets_of_texts(docs, monkeypatch):
+    model = lb.learn(docs.where(~lb.held_out(F.col("doc_id"))), segment_bytes=500)
+    assert model.segments >= 32
+    least = model.least(600, 12)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(model.known(least))
+    texts = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(4)))
+    answers = lb._answers(texts, model, sent).groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts")).collect()
+    assert 1 < len(answers) <= 4 and all(r["n"] == r["parts"] <= -(-model.segments // lb.SHARE) for r in answers), "a row for each text and segment"
+    # however texts and segments are dealt out, scores are the same
+    key = lambda r: tuple((x is not None, x) for x in r[:3])
+    got = []
+    for size in (1 << 10, 4 << 20):
+        monkeypatch.setattr(lb, "ASK_BYTES", size)
+        got.append(sorted(lb.score(docs, model, filter_most=600, words_most=12).collect(), key=key))
+    for a, b in zip(*got, strict=True):
+        assert a[:3] == b[:3] and a["base_score"] == pytest.approx(b["base_score"]) and a["score"] == pytest.approx(b["score"])
+
+
 def test_model_beats_single_words_on_held_out_documents(spark, data):
     docs = spark.read.parquet(f"{data}/../sf0.01/documents.parquet")
     r = lb.digest(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
