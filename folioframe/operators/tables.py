@@ -7,10 +7,12 @@ fills meet the tables of their page in one row; each of them is settled once, in
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import layout, shapes
+from . import layout
 
 PAGE = ["doc_id", "page_id"]
 #: Points that an edge may be off its bound: when points are placed, and after narrow cells have been merged away.
@@ -222,24 +224,46 @@ def cells(rects: DataFrame, texts: DataFrame, fields: DataFrame, fills: DataFram
 PARTS = ("table", "header", "footer", "paragraph")
 
 
-def _paragraphs(rows: Column) -> Column:
-    """Paragraph of each line (y, size) of a page; the breaks are those of ``layout.paragraphs``."""
+def _places(elements: list[tuple], tables: list[tuple]) -> tuple[list, list]:
+    """(refs, places) of a page's elements (y, size, rank, ref), given its tables (top, component).
 
-    def breaks(r: Column, k: Column) -> Column:
-        last = F.get(rows, k - 1)
-        gap = r["y"] - (last["y"] + 1.2 * last["size"])
-        return F.when((gap > 1.5 * (r["size"] + last["size"]) / 2) | (F.greatest(r["size"], last["size"]) / F.least(r["size"], last["size"]) > 1.15), 1).otherwise(0)
-
-    # the line before the first is null, so the first starts none
-    return _let(F.transform(rows, breaks), lambda b: F.transform(b, lambda _, k: F.aggregate(F.slice(b, F.lit(1), k + 1), F.lit(0).cast("long"), lambda s, x: s + x)))
+    What no table or margin takes is grouped into lines, from their first y on, and lines into paragraphs; the breaks are those of ``layout.paragraphs``.
+    """
+    sizes: dict[float, list] = {}
+    for y, size, rank, _ in elements:
+        if rank == 3 and y is not None:
+            own = sizes.setdefault(y, [])
+            if size is not None:
+                own.append(size)
+    lines: list[list] = []  # y, size
+    paragraph, number, tops = {}, 0, []
+    starts = []
+    for y in sorted(sizes):
+        if not lines or abs(y - lines[-1][0]) > 3.0:
+            lines.append([y, None])
+            starts.append([])
+        starts[-1].append(y)
+        lines[-1][1] = max([*sizes[y], *([] if lines[-1][1] is None else [lines[-1][1]])], default=None)
+    for k, (y, size) in enumerate(lines):
+        last = lines[k - 1][1] if k else None  # the line before the first is null, so the first starts none
+        if size is not None and last is not None:
+            low, high = min(size, last), max(size, last)
+            number += y - (lines[k - 1][0] + 1.2 * last) > 1.5 * (size + last) / 2 or (high / low > 1.15 if low else high > 0)
+        if len(tops) <= number:
+            tops.append((y, "paragraph", number))
+        for v in starts[k]:
+            paragraph[v] = number
+    order = {t[1:]: i for i, t in reversed([*enumerate(sorted([*tops, *((top, "table", component) for top, component in tables)]), 1)])}
+    refs = [paragraph.get(y) if rank == 3 else ref for y, _, rank, ref in elements]
+    return refs, [order.get((PARTS[e[2]], ref)) for e, ref in zip(elements, refs)]
 
 
 def page_parts(rects: DataFrame, texts: DataFrame, fields: DataFrame, page_height: float = 792.0) -> DataFrame:
     """(keys, kind, ordinal, part, ref, place): each text and field of a page in exactly one part.
 
     Tables take what they claim; artifacts in the top and bottom 15% of the page go to header and footer; what is left
-    is grouped into lines and paragraphs. A page is one row with its elements and tables, so all steps are array
-    expressions of that row: nothing is computed twice and nothing shuffled but the elements, once. ``ref`` is the table's component or
+    is grouped into lines and paragraphs. A page is one row with its elements and tables: claims are array
+    expressions of that row, lines and paragraphs one fold over it; nothing is shuffled but the elements, once. ``ref`` is the table's component or
     the paragraph's number; ``place`` the order of tables and paragraphs by y. texts have ``artifact``.
     """
     own = lambda df, kind, artifact: df.select(*PAGE, *layout.BOX, F.lit(kind).alias("kind"), artifact.alias("artifact"))
@@ -258,32 +282,24 @@ def page_parts(rects: DataFrame, texts: DataFrame, fields: DataFrame, page_heigh
     of_fields = F.transform("fields", lambda f: part(f, _home(f, F.col("grids"))["component"]))
     pages = pages.select(*PAGE, "grids", F.concat(of_texts, of_fields).alias("elements"))
 
-    def rows(body: Column, ys: Column, lines: Column) -> Column:
-        def row(k: Column) -> Column:
-            mine = F.filter(ys, lambda _, i: F.get(lines, i) == k)
-            own = lambda y0, y1: F.filter(body, lambda e: (e["y"] >= y0) & (e["y"] <= y1))
-            size = lambda y0, y1: F.array_max(F.transform(own(y0, y1), lambda e: e["size"]))
-            return _let(F.struct(F.array_min(mine).alias("y"), F.array_max(mine).alias("y1")), lambda m: F.struct(m["y"].alias("y"), size(m["y"], m["y1"]).alias("size")))
-
-        return F.transform(F.array_distinct(lines), row)
-
-    def whole(ys: Column, lines: Column, paragraphs: Column) -> Column:
-        """(kind, ordinal, part, ref, place) of the elements, given the lines of the body and their paragraphs."""
-        at = lambda e: F.get(paragraphs, F.get(lines, (F.array_position(ys, e["y"]) - 1).cast("int")))
-        top = lambda y, part, ref: F.struct(y.alias("top"), F.lit(part).alias("part"), ref.alias("ref"))
-        # the first line of a paragraph has its least y
-        starts = F.transform(F.array_distinct(paragraphs), lambda p: top(_at(ys, F.array_position(lines, (F.array_position(paragraphs, p) - 1).cast("int")) - 1), "paragraph", p))
-        order = F.transform(F.array_sort(F.concat(starts, F.transform("grids", lambda g: top(_at(g["rows"], F.lit(0)), "table", g["component"])))), lambda t: F.struct(t["part"].alias("part"), t["ref"].alias("ref")))
-
-        def one(e: Column, places: Column) -> Column:
-            name = F.get(F.array(*[F.lit(p) for p in PARTS]), e["rank"])
-            ref = F.when(e["rank"] == 3, at(e)).otherwise(e["ref"])
-            place = lambda x: F.nullif(F.array_position(places, F.struct(name.alias("part"), x.alias("ref"))), F.lit(0))
-            return _let(ref, lambda x: F.struct(e["kind"].alias("kind"), e["ordinal"].alias("ordinal"), name.alias("part"), x.alias("ref"), place(x).alias("place")))
-
-        return _let(order, lambda places: F.transform("elements", lambda e: one(e, places)))
-
-    body = F.filter("elements", lambda e: e["rank"] == 3)
-    heights = lambda b: F.array_sort(F.array_distinct(F.array_compact(F.transform(b, lambda e: e["y"]))))
-    parts = _let(body, lambda b: _let(heights(b), lambda ys: _let(shapes.anchor_groups(ys, 3.0), lambda lines: _let(_let(rows(b, ys, lines), _paragraphs), lambda ps: whole(ys, lines, ps)))))
-    return pages.select(*PAGE, F.explode(parts).alias("e")).select(*PAGE, "e.kind", "e.ordinal", "e.part", "e.ref", "e.place")
+    tops = F.transform("grids", lambda g: F.struct(_at(g["rows"], F.lit(0)).alias("top"), g["component"].alias("component")))
+    pages = pages.select(*PAGE, "elements", tops.alias("tables"))
+    kinds = dict(pages.select(*PAGE, F.get("elements", F.lit(0))["ordinal"].alias("ordinal")).dtypes)
+
+    def run(batches):
+        for batch in batches:
+            held, tables = [batch.column(c) for c in ("elements", "tables")]
+            own, grids = held.flatten(), tables.flatten()
+            cuts, ends = [(np.asarray(x.offsets) - x.offsets[0].as_py()).tolist() for x in (held, tables)]
+            elements = list(zip(*(own.field(c).to_pylist() for c in ("y", "size", "rank", "ref"))))
+            tops = list(zip(*(grids.field(c).to_pylist() for c in ("top", "component"))))
+            refs, places = [], []
+            for k in range(len(held)):
+                ref, place = _places(elements[cuts[k] : cuts[k + 1]], tops[ends[k] : ends[k + 1]])
+                refs += ref
+                places += place
+            at = pa.array(np.repeat(np.arange(len(held)), np.diff(cuts)))
+            parts = pa.array(PARTS).take(own.field("rank"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in PAGE), own.field("kind"), own.field("ordinal"), parts, pa.array(refs, pa.int64()), pa.array(places, pa.int64())], names=[*PAGE, "kind", "ordinal", "part", "ref", "place"])
+
+    return pages.mapInArrow(run, f"{', '.join(f'{c} {kinds[c]}' for c in PAGE)}, kind string, ordinal {kinds['ordinal']}, part string, ref long, place long")

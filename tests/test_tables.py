@@ -102,3 +102,15 @@ def test_grids_pair_a_pages_borders_in_one_row(spark):
     (r,) = g.collect()
     assert (r["page_id"], r["component"], r["n_borders"], len(r["boxes"])) == (1, 0, 4, 4)
     assert r["cols"] == [50.0, 110.0, 170.0] and r["rows"] == [100.0, 120.0, 144.0]
+
+
+def test_a_pages_lines_are_one_fold(spark):
+    rects = _layout_data(spark)
+    box = "doc_id long, page_id long, ordinal long, x double, y double, width double, height double"
+    rows = [(0, 5, i, 50.0, y, 10.0, h) for i, (y, h) in enumerate([(200.0, 0.0), (202.0, 0.0), (230.0, 12.0), (245.0, 12.0), (None, 12.0), (300.0, None), (20.0, 8.0), (760.0, 8.0)])]
+    texts = spark.createDataFrame(rows, box).selectExpr("*", "ordinal > 5 AS artifact")
+    out = tb.page_parts(rects, texts, spark.createDataFrame([(0, 1, 0, 60.0, 105.0, 4.0, 4.0)], box))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    got = sorted((tuple(r) for r in out.collect()), key=lambda r: (r[1], r[3]))
+    want = [(0, "paragraph", 0, 1), (1, "paragraph", 0, 1), (2, "paragraph", 1, 2), (3, "paragraph", 1, 2), (4, "paragraph", None, None), (5, "paragraph", 1, 2), (6, "header", None, None), (7, "footer", None, None)]
+    assert got == [(0, 1, "field", 0, "table", 0, 1), *((0, 5, "text", *w) for w in want)]
