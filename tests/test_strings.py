@@ -177,5 +177,7 @@ def test_pages_of_equal_documents_are_one_page(spark, tmp_path, name):
 
     rows = [(1, "so that is\n\nwhat (that) \\ was"), (1, "é that\nit"), (2, None), (3, ""), (4, "\n" * 50 + "that that")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((r["doc_id"], r["page_id"], r["ordinal"], r["text"].replace("those there", "that").replace("    ", "that")) for r in catalog.queries()[name](spark, str(tmp_path)).collect())
-    assert got == sorted([(1, 0, 0, "so that is"), (1, 0, 2, "what (that) \\ was"), (1, 0, 0, "é that"), (1, 0, 1, "it"), (4, 1, 10, "that that")])
+    got = sorted((r["doc_id"], r["page_id"], r["ordinal"], r["text"].replace("those there", "that")) for r in catalog.queries()[name](spark, str(tmp_path)).collect())
+    shown = lambda text: text.replace("that", "    ") if name == "x06_blank_split" else text
+    want = [(1, 0, 0, "so that is"), (1, 0, 2, "what (that) \\ was"), (1, 0, 0, "é that"), (1, 0, 1, "it"), (4, 1, 10, "that that")]
+    assert got == sorted((*w[:3], shown(w[3])) for w in want)
